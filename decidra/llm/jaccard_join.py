@@ -50,8 +50,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_words) > 500_000:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in words:
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 

@@ -17,7 +17,7 @@ from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty, written
@@ -63,7 +63,7 @@ class Tokens:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end token."""
         cut = [t.split(" ") for t in texts]
-        new = set().union(*cut) - self.index.keys()
+        new = {w for words in cut for w in words if w not in self.index}
         if len(self.index) + len(new) > CACHE or self.used > 8 * CACHE:
             self.clear()
             new = set().union(*cut)

@@ -268,7 +268,7 @@ class Scorer:
         self.net, self.known, self.x = net, {}, np.empty((0, 6 * HIDDEN), np.float32)
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted(words - self.known.keys())
+        new = sorted(w for w in words if w not in self.known)
         if not new:
             return
         if len(self.known) + len(new) > CACHE_WORDS:
