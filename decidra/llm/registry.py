@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_toxicity
+from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity
 
-MODULES = [queries_decontamination, queries_jaccard_join, queries_packing, queries_toxicity]
+MODULES = [queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity]
 
 
 def queries() -> dict:
