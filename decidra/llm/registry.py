@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity
+from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity, queries_url_filter
 
-MODULES = [queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity]
+MODULES = [queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity, queries_url_filter]
 
 
 def queries() -> dict:
