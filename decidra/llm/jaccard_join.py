@@ -6,8 +6,9 @@ parts; with ``n1 > k / 2`` some group holds one difference at most, so all but o
 of ``n2 - 1`` parts of every group is a signature, so such sets share a signature.  ``spare`` more groups make it
 needless to match on empty parts, unless a set has more groups with empty signatures than that.
 
-Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket; sets that
-then are in the components of all that they met are settled, the rest goes on to further rounds in blocks.
+Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket.  Buckets whose
+sets then are in one component are settled; in the others, the members of the smaller components are compared with all of
+other components, in blocks.  Sizes and parity sketches rule out most pairs without their texts.
 
 Elements are 64-bit hashes of words and sets are known by 64-bit fingerprints; everything else is exact.
 
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty, written
 from .graph import components
 
-#: Parity bits of a set's sketch: sets that differ in d elements differ in d bits at most.
-SKETCH_BITS = 1024
 #: Sets of a bucket that all others of the bucket are compared with in the first of the further rounds.
 BLOCK = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -177,54 +176,53 @@ def fingerprint(s: np.ndarray) -> np.int64:
 
 
 def sketch(s: np.ndarray) -> list[int]:
-    bits = np.bincount((mix(s ^ _C[2]) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+    """Parities of the elements in 2 to 4 bits an element, a power of two: sets that differ in d elements differ in d bits at most."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s ^ _C[2]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def described(documents: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, fp, sketch) of each row."""
+def prepared(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """Texts are read once, for rows of two sorts.
 
-    def work(batches):
-        import pyarrow as pa
-
-        for b in slices(batches):
-            sets = [shingles(t, n) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(fingerprint(s)) for s in sets], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["doc_id", "size", "fp", "sketch"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(work, "doc_id long, size long, fp long, sketch array<long>")
-
-
-def signed(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
-    """(sig, fp, more): signature, the smallest set that has it within a slice of rows, and the others of the slice."""
+    (doc_id, size, fp, sketch) of each text; and (sig, fp, more): a signature, the smallest set that has it within a
+    slice of rows, and the others of the slice.
+    """
 
     def work(batches):
         import pyarrow as pa
 
+        names = ["doc_id", "size", "fp", "sketch", "sig", "more"]
+        longs, none = pa.list_(pa.int64()), lambda k, kind=pa.int64(): pa.nulls(k, kind)
         seen: set[int] = set()
         for b in slices(batches, rows=1024):
-            sets, fps = [], []
+            sets, fps, new_sets, new = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, n)
                 fp = int(fingerprint(s))
+                sets.append(s)
+                fps.append(fp)
                 if len(s) and fp not in seen:
                     seen.add(fp)
-                    sets.append(s)
-                    fps.append(fp)
+                    new_sets.append(s)
+                    new.append(fp)
             if len(seen) > 200_000:
                 seen.clear()
-            sig, owner = signatures(sets, t)
-            fp = np.array(fps, np.int64)[owner] if len(owner) else np.empty(0, np.int64)
+            k = len(sets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], longs), none(k), none(k, longs)], names)
+            sig, owner = signatures(new_sets, t)
+            fp = np.array(new, np.int64)[owner] if len(owner) else np.empty(0, np.int64)
             order = np.lexsort((fp, sig))
             sig, fp = sig[order], fp[order]
             fresh = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
             starts = np.flatnonzero(fresh)
-            ends = np.append(starts[1:], len(sig))
-            offsets = np.concatenate([[0], np.cumsum(ends - starts - 1)]).astype(np.int32)
-            more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(fp[~fresh]))
+            extra = np.diff(np.append(starts, len(sig))) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(extra)]).astype(np.int32)), pa.array(fp[~fresh]))
             for k in range(0, len(starts), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[starts[k : k + 50_000]].view(np.int64)), pa.array(fp[starts[k : k + 50_000]]), more[k : k + 50_000]], ["sig", "fp", "more"])
+                part, m = starts[k : k + 50_000], len(starts[k : k + 50_000])
+                yield pa.RecordBatch.from_arrays([none(m), none(m), pa.array(fp[part]), none(m, longs), pa.array(sig[part].view(np.int64)), more[k : k + 50_000]], names)
 
-    return documents.select(text_or_empty().alias("text")).mapInArrow(work, "sig long, fp long, more array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(work, "doc_id long, size long, fp long, sketch array<long>, sig long, more array<long>")
 
 
 def met(signs: DataFrame) -> DataFrame:
@@ -239,7 +237,9 @@ def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
     """Pairs (a, b) of fingerprints whose sizes and sketches don't rule out a link; with one row's id for each."""
     side = lambda x: about.select(F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("id").alias(f"id_{x}"))
     most = F.expr(f"size_a + size_b - 2 * ceil({t.num} * (size_a + size_b) / {t.num + t.den}D - 1e-9)")
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    words = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    half = lambda c: F.when(F.size(c) > words, F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(half("sketch_a"), half("sketch_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = F.expr(f"{t.den} * least(size_a, size_b) >= {t.num} * greatest(size_a, size_b)")
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (differ <= most)).select("a", "b", "id_a", "id_b")
 
@@ -273,26 +273,31 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> Da
 
 def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold = Threshold(85, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: the smallest id that links of the threshold reach."""
-    about = written(described(documents, n), "sets")
+    if 2 * threshold.num < threshold.den:
+        raise ValueError("sketches are compared for thresholds from 0.5")
+    rows = written(prepared(documents, n, threshold), "sets")
+    about = rows.where("size is not null").select("doc_id", "size", "fp", "sketch")
     classes = about.where("size > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
-    shared = written(met(signed(documents, n, threshold)), "shared")
+    shared = written(met(rows.where("sig is not null").select("sig", "fp", "more")), "shared")
     links = roots = None
 
-    def settle(pairs: DataFrame):
+    def settle(pairs: DataFrame, one_first: bool = False):
         """Verifies pairs of different components; the links and components that are then known."""
         nonlocal links, roots
         open_pairs = written(plausible(pairs, classes, threshold), "pairs")
-        # one pair of each set first: what these link need not be verified again
-        one = open_pairs.groupBy("b").agg(F.min(F.struct("a", "id_a", "id_b")).alias("p")).select("p.a", "b", "p.id_a", "p.id_b")
-        for part in (one, None):
-            if part is None:
-                part = written(apart(open_pairs), "pairs")
-                if part.limit(1).count() == 0:
-                    return
-            found = verified(part, documents, n, threshold)
-            links = written(found if links is None else links.unionByName(found), "links")
-            roots = components(links)
+        part = open_pairs
+        if one_first:  # one pair of each set: what these link need not be verified again
+            part = open_pairs.groupBy("b").agg(F.min(F.struct("a", "id_a", "id_b")).alias("p")).select("p.a", "b", "p.id_a", "p.id_b")
+        while part.limit(1).count():
+            found = written(verified(part, documents, n, threshold), "links")
+            if found.limit(1).count():
+                links = found if links is None else written(links.unionByName(found), "links")
+                roots = components(links)
+            if not one_first:
+                break
+            open_pairs = part = written(apart(open_pairs).join(part, ["a", "b"], "left_anti"), "pairs")
+            one_first = False
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Rows whose a and b aren't known to be in one component."""
@@ -301,19 +306,31 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
-    settle(shared.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct())
-    # what isn't in the component of its bucket's smallest set goes on, with all that met there
-    block, rest = BLOCK, apart(shared.select("sig", F.col("lead").alias("a"), F.col("fp").alias("b"))).select("sig", F.col("b").alias("fp")).distinct()
+    settle(shared.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), one_first=True)
+    # buckets of several components go on: the members of their smaller components are compared with all others, in
+    # blocks, until what is left of each bucket is in one component
+    def with_root(members: DataFrame) -> DataFrame:
+        if roots is None:
+            return members.select("sig", "fp", F.col("fp").alias("root"))
+        return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
+
+    mixed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("fp").alias("b"))).select("sig").distinct()
+    members = shared.select("sig", "fp").unionByName(shared.select("sig", F.col("lead").alias("fp"))).distinct()
+    block, rest = BLOCK, members.join(mixed, "sig", "left_semi")
     while True:
-        numbered = rest.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("fp"))).withColumn("many", F.lead("fp").over(Window.partitionBy("sig").orderBy("fp")).isNotNull() | (F.col("rank") > 1))
-        rest = written(numbered.where("many").drop("many"), "rest")
+        rooted = with_root(rest)
+        several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+        counted = rooted.join(several, "sig").withColumn("many", F.count("*").over(Window.partitionBy("sig", "root")))
+        rest = written(counted.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("many", "root", "fp"))).drop("many"), "rest")
         if rest.limit(1).count() == 0:
             break
-        heads = rest.where(F.col("rank") <= block).select("sig", F.col("fp").alias("a"), F.col("rank").alias("rank_a"))
-        pairs = rest.select("sig", F.col("fp").alias("b"), "rank").join(heads, "sig").where("rank_a < rank").select("a", "b").distinct()
-        settle(apart(pairs))
+        heads = rest.where(F.col("rank") <= block).select("sig", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.col("rank").alias("rank_x"))
+        pairs = rest.join(heads, "sig").where("rank_x < rank and root_x <> root").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
+        settle(pairs)
         rest, block = rest.where(F.col("rank") > block).select("sig", "fp"), block * 2
 
+    if roots is None:
+        roots = documents.sparkSession.createDataFrame([], "node long, root long")
     named = roots.join(classes.select(F.col("fp").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("low"))
     of = roots.join(named, "root").select(F.col("node").alias("fp"), "low")
     lowest = written(classes.select("fp", "id").join(of, "fp", "left").select("fp", F.coalesce("low", "id").alias("low")), "lowest")
