@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,56 +28,114 @@ SIZE, END = 4096, 1
 NEARLY_FULL = 8
 #: Partitions whose remaining bins meet in one of the next level; pieces dealt to one partition of the first level, about.
 FAN, PIECES = 8, 20_000
-#: Different space-separated strings whose ids a Python worker keeps.
-CACHE = 400_000
+#: Different strings between spaces whose ids a Python worker keeps.
+CACHE = 1_500_000
 
 
-class Tokens:
-    """Ids of texts by a tokenizer of which white space always ends a word: each string between spaces is encoded once."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.clear()
+class Table:
+    """Id sequences of strings, end to end in one array."""
 
-    def clear(self) -> None:
+    def __init__(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.start, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), 0
 
-    def _add(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                n = len(self.index)
-                if n + 2 > len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.index[w] = n
-                self.start[n + 1] = self.used
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n, more = len(self.index), len(strings)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + more + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n + 1 : n + more + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+        self.index.update(zip(strings, range(n, n + more), strict=True))
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        """Where each string stands, -1 if it is unknown."""
+        return np.fromiter(map(self.index.get, strings, repeat(-1)), np.int64, len(strings))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The joined ids of the strings at these places, and how many each has."""
+        first = self.start[at]
+        lengths = self.start[at + 1] - first
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - lengths), lengths)], lengths
+
+
+class Tokens:
+    """Ids by a tokenizer of lower-cased words, of which white space always ends a word.
+
+    A string between spaces is split into the words of the tokenizer's pattern once; a word is encoded once.  Strings
+    beyond printable Latin characters go through the tokenizer whole.
+    """
+
+    #: Fixed value: the tokenizer's own pattern of words.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words = regex.compile(self.PATTERN).findall
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        ids = self.whole.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[k for token, k in ids.items() if token.endswith("</w>")]] = True
+        self.strings, self.parts = Table(), Table()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        ids = np.array(self.plain.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        self.parts.add(parts, ids, np.diff(last, prepend=-1))
+
+    def _learn(self, strings: list[str]) -> None:
+        cut, odd = [], []
+        for s in strings:
+            if s.isascii() and s.isprintable():
+                low = s.lower()
+            elif s.isprintable() and max(s) < "\u0250":
+                low = self.whole.normalizer.normalize_str(s)
+            else:
+                odd.append(s)
+                continue
+            if "<|" in s and any(t in s for t in self.special):
+                odd.append(s)
+                continue
+            cut.append((s, self.words(low)))
+        flat = list(chain.from_iterable(parts for _, parts in cut))
+        at = self.parts.places(flat)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn_parts(list(dict.fromkeys(flat[k] for k in missing)))
+            at[missing] = self.parts.places([flat[k] for k in missing])
+        ids, lengths = self.parts.gather(at)
+        count = np.array([len(parts) for _, parts in cut], np.int64)
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(count)
+        self.strings.add([s for s, _ in cut], ids, total[ends] - total[ends - count])
+        if odd:
+            made = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)]
+            self.strings.add(odd, np.concatenate(made), np.array([len(m) for m in made]))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end token."""
-        cut = [t.split(" ") for t in texts]
-        new = {w for words in cut for w in words if w not in self.index}
-        if len(self.index) + len(new) > CACHE or self.used > 8 * CACHE:
-            self.clear()
-            new = set().union(*cut)
-        self._add(sorted(new))
-        for text, words in zip(texts, cut, strict=True):
-            if any(s in text for s in self.special) and any(" " in s for s in self.special):
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            first, length = self.start[at], self.start[at + 1] - self.start[at]
-            total = np.cumsum(length)
-            where = np.arange(total[-1]) + np.repeat(first - (total - length), length)
-            yield self.flat[where]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        flat = list(chain.from_iterable(cut))
+        if len(self.strings.index) > CACHE:
+            self.strings, self.parts = Table(), Table()
+        at = self.strings.places(flat)
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(flat[k] for k in missing)))
+            at[missing] = self.strings.places([flat[k] for k in missing])
+        ids, lengths = self.strings.gather(at)
+        total, k = np.concatenate([[0], np.cumsum(lengths)]), 0
+        for words in cut:
+            yield ids[total[k] : total[k + len(words)]]
+            k += len(words)
 
 
 _tokens: dict[str, Tokens] = {}
@@ -101,10 +160,11 @@ def pieces(documents: DataFrame, vocabulary: Callable[[], str], size: int = SIZE
             coder, out = tokens(vocabulary()), [[], [], [], [], []]
             ids_of = b.column("doc_id").to_pylist()
             for doc, ids in zip(ids_of, coder.encode(b.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, np.uint32(end)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), size)):
-                    part = ids[start : start + size]
-                    for c, v in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                n, last = len(ids) + 1, np.array([end], "<u4").tobytes()
+                for k, start in enumerate(range(0, n, size)):
+                    stop = min(n, start + size)
+                    crc = zlib.crc32(ids[start : min(stop, n - 1)].astype("<u4", copy=False).tobytes())
+                    for c, v in zip(out, (doc, k, start, stop - start, zlib.crc32(last, crc) if stop == n else crc), strict=True):
                         c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
