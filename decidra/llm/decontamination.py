@@ -17,6 +17,7 @@ fewer than ``shortest`` words are ignored.  Other columns are ignored; empty tab
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -54,26 +55,26 @@ def _about(token: str) -> int:
     return (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4) << 3 | kind
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The tokens, their hashes, and the type of each placeholder (0: an ordinary word, else its kind)."""
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens and which are words, these words' hashes, and the type of each placeholder (0: an ordinary word, else its kind)."""
     tokens = TOKEN.findall(text or "")
     if len(_known) > 600_000:
         _known.clear()
-    for t in set(tokens):
-        if t not in _known:
-            _known[t] = _about(t)
-    got = np.fromiter(map(_known.__getitem__, tokens), np.int64, len(tokens))
+    got = np.fromiter(map(_known.get, tokens, repeat(-1)), np.int64, len(tokens))
+    for k in np.flatnonzero(got < 0).tolist():
+        got[k] = _known[tokens[k]] = _about(tokens[k])
     kind, h = got & 7, got >> 3
     after = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
     keep = kind != STOP
-    tokens = [t for t, k in zip(tokens, keep, strict=True) if k] if not keep.all() else tokens
     kind, h, after = kind[keep], h[keep].astype(np.uint64), after[keep]
     name = (kind == NAMELIKE) & (after != STOP)
-    name |= (kind == NAMELIKE) & np.isin(h, h[name])
+    first = (kind == NAMELIKE) & ~name
+    if name.any() and first.any():
+        name[first] = np.isin(h[first], h[name])
     slot = np.where(name, NAMELIKE, 0)
     slot[kind == NUMBER] = NUMBER
     slot[(kind == UNIT) & (after == NUMBER)] = UNIT
-    return tokens, h, slot
+    return tokens, np.flatnonzero(keep), h, slot
 
 
 def windows(h: np.ndarray, slot: np.ndarray, view: int, n: int) -> np.ndarray:
@@ -105,13 +106,13 @@ def _rows(batches, id_column: str, chosen):
     for b in slices(batches):
         cols = [[], [], [], [], [], []]
         for key, text in zip(b.column(id_column).to_pylist(), b.column("text").to_pylist(), strict=True):
-            tokens, h, slot = template(text)
+            tokens, words, h, slot = template(text)
             for view in (0, 1) if (slot == NAMELIKE).any() else (0,):
                 for n, hashes, at in chosen(h, slot, view):
                     typed = slot > 0 if view == 0 else slot > NAMELIKE
                     for p in at:
                         where = np.flatnonzero(typed[p : p + n])
-                        values = (key, int(hashes[p].astype(np.int64)), int(p), n, len(tokens), [f"{slot[p + k]}:{tokens[p + k].lower()}" for k in where])
+                        values = (key, int(hashes[p].astype(np.int64)), int(p), n, len(words), [f"{slot[p + k]}:{tokens[words[p + k]].lower()}" for k in where])
                         for c, v in zip(cols, values, strict=True):
                             c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
