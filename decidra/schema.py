@@ -1,0 +1,220 @@
+"""Declarations: roles of columns, the outcome, evaluation windows and the task.  They build expressions; they hold no data."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from enum import Enum
+
+from pyspark.sql import DataFrame
+
+
+class Role(Enum):
+    DECISION_TIME = "decision_time"
+    DEADLINE = "deadline"
+    OUTCOME_COMPONENT = "outcome_component"
+    ENTITY_ID = "entity_id"
+    NATURAL_KEY = "natural_key"
+    GROUP_ID = "group_id"
+    STATUS = "status"
+    EVENT_KIND = "event_kind"
+    OBSERVATION_REASON = "observation_reason"
+    MEASURED_AT = "measured_at"
+    AVAILABLE_AT = "available_at"
+    VALUE_AS_OF = "value_as_of"
+    FEATURE = "feature"
+    IGNORED = "ignored"
+
+
+class Grain(Enum):
+    INSTANT = 3
+    DATE = 2
+    MONTH = 1
+
+
+class Availability(Enum):
+    AT_DECISION = "at_decision"
+    AFTER = "after"
+    UNKNOWN = "unknown"
+
+
+TEMPORAL = {Role.DECISION_TIME, Role.DEADLINE, Role.OUTCOME_COMPONENT, Role.MEASURED_AT, Role.AVAILABLE_AT}
+
+
+class DeclarationError(ValueError):
+    """A declaration contradicts itself or the table."""
+
+
+@dataclass(frozen=True)
+class ColumnSpec:
+    name: str
+    role: Role
+    grain: Grain | None = None
+    availability: Availability | None = None
+    source: str | None = None
+    measured_at: str | None = None
+    window_days: tuple[float, float] | None = None
+    direction: int | None = None
+    value_as_of: str | None = None
+
+    def __post_init__(self) -> None:
+        if not self.name.strip():
+            raise DeclarationError("a column has no name")
+        if self.role in TEMPORAL and self.grain is None and self.role is not Role.OUTCOME_COMPONENT:
+            raise DeclarationError(f"{self.name}: a column of time needs a grain")
+        if self.role is not Role.FEATURE and (self.window_days or self.direction):
+            raise DeclarationError(f"{self.name}: only features have windows and directions")
+        if self.measured_at and not self.window_days:
+            raise DeclarationError(f"{self.name}: measured_at needs a window")
+        if self.role is Role.FEATURE and self.availability in (Availability.AT_DECISION, Availability.AFTER) and not (self.source or "").strip():
+            raise DeclarationError(f"{self.name}: a known availability needs a source")
+
+
+@dataclass(frozen=True)
+class Schema:
+    """All columns of a decision table; every physical column is declared, if only as ignored."""
+
+    columns: tuple[ColumnSpec, ...]
+
+    def __post_init__(self) -> None:
+        names = [c.name for c in self.columns]
+        if len(set(names)) < len(names):
+            raise DeclarationError("a column is declared twice")
+        if len(self.by_role(Role.DECISION_TIME)) != 1:
+            raise DeclarationError("one column must be the decision's time")
+        stamps = {c.name for c in self.by_role(Role.MEASURED_AT)}
+        for c in self.columns:
+            if c.measured_at and c.measured_at not in stamps:
+                raise DeclarationError(f"{c.name}: {c.measured_at} is no time of measurement")
+
+    def by_role(self, role: Role) -> list[ColumnSpec]:
+        return [c for c in self.columns if c.role is role]
+
+    def one(self, role: Role) -> str | None:
+        found = self.by_role(role)
+        return found[0].name if found else None
+
+    @property
+    def decision_time(self) -> str:
+        return self.by_role(Role.DECISION_TIME)[0].name
+
+    def spec(self, name: str) -> ColumnSpec | None:
+        return next((c for c in self.columns if c.name == name), None)
+
+    def usable_features(self) -> list[str]:
+        return [c.name for c in self.by_role(Role.FEATURE) if c.availability is Availability.AT_DECISION]
+
+    def undeclared(self, df: DataFrame) -> list[str]:
+        return sorted(set(df.columns) - {c.name for c in self.columns})
+
+
+class Comparison(Enum):
+    DIRECT = "direct"
+    BY_DATE = "by_date"
+
+
+class Positive(Enum):
+    AFTER = "event_after_deadline"
+    WITHIN = "event_within_deadline"
+
+
+class Missing(Enum):
+    """What it means that no event is recorded."""
+
+    NOT_OCCURRED = "not_occurred"
+    UNOBSERVED = "unobserved"
+    EXCLUDED = "excluded"
+
+
+@dataclass(frozen=True)
+class Cause:
+    name: str
+    meaning: Missing
+    status: str | None = None
+    assumption: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.status is None and not (self.assumption or "").strip():
+            raise DeclarationError(f"{self.name}: a cause that no status shows needs an assumption")
+
+
+@dataclass(frozen=True)
+class Outcome:
+    event: str
+    deadline: str
+    comparison: Comparison
+    positive: Positive
+    causes: tuple[Cause, ...]
+    primary_kind: str | None = None
+    recurring: bool = False
+    expected_rate: float | None = None
+    tolerance: float | None = None
+    degenerate_below: float | None = None
+    collapse_kinds: bool = False
+
+    def by_status(self) -> dict[str, Missing]:
+        return {c.status: c.meaning for c in self.causes if c.status is not None}
+
+    def fallback(self) -> Missing | None:
+        """The meaning of causes that no status shows; None if they differ or there are none."""
+        meanings = {c.meaning for c in self.causes if c.status is None}
+        return meanings.pop() if len(meanings) == 1 else None
+
+    def estimand(self) -> str:
+        side = "after" if self.positive is Positive.AFTER else "at or before"
+        how = "compared by calendar date" if self.comparison is Comparison.BY_DATE else "compared as instants"
+        return f"probability that {self.event} comes {side} {self.deadline}, {how}" + (f", of kind {self.primary_kind}" if self.primary_kind else "")
+
+
+def validate_outcome(outcome: Outcome, schema: Schema) -> None:
+    """Both columns are declared with a grain; grains that differ need a comparison by date, which a month can't take."""
+    specs = [schema.spec(c) for c in (outcome.event, outcome.deadline)]
+    for name, spec in zip((outcome.event, outcome.deadline), specs, strict=True):
+        if spec is None:
+            raise DeclarationError(f"{name} isn't declared")
+        if spec.grain is None:
+            raise DeclarationError(f"{name} has no declared grain")
+    if specs[0].grain is not specs[1].grain and outcome.comparison is Comparison.DIRECT:
+        raise DeclarationError(f"{outcome.event} and {outcome.deadline} have different grains; compare them by date")
+
+
+@dataclass(frozen=True)
+class Period:
+    """An evaluation window [start, stop)."""
+
+    name: str
+    start: dt.datetime
+    stop: dt.datetime
+
+    def __post_init__(self) -> None:
+        if not self.start < self.stop:
+            raise DeclarationError(f"{self.name}: the window is empty")
+
+
+def periods_from_days(origin: dt.datetime, days: Sequence[tuple[str, float, float]]) -> list[Period]:
+    return [Period(n, origin + dt.timedelta(days=a), origin + dt.timedelta(days=b)) for n, a, b in days]
+
+
+@dataclass(frozen=True)
+class Task:
+    """Which premises of checks hold."""
+
+    binary: bool = True
+    delayed: bool = True
+    has_process: bool = False
+    is_stream: bool = False
+    competing: bool = False
+
+
+@dataclass
+class World:
+    """Named frames and the declaration of ``main``."""
+
+    frames: dict[str, DataFrame]
+    schema: Schema
+    extra: dict = field(default_factory=dict)
+
+    @property
+    def main(self) -> DataFrame:
+        return self.frames["main"]
