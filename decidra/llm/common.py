@@ -46,6 +46,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def arrow_map(df: DataFrame, work, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most 1,000 rows (texts are long), unless the session sets a smaller number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= 1000:
+        df.sparkSession.conf.set(key, "1000")
+    return df.mapInArrow(work, schema)
+
+
 def slices(batches, rows: int = 256, chars: int = 4_000_000, column: str = "text"):
     """Pieces of Arrow batches with at most ``rows`` rows or about ``chars`` bytes of text (one row at least)."""
     for batch in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import arrow_map, slices, text_or_empty, written
 from .graph import components
 
 #: Sets of a bucket that all others of the bucket are compared with in the first of the further rounds.
@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 500_000:
+    if len(_words) > 150_000:
         _words.clear()
     for w in words:
         if w not in _words:
@@ -195,7 +195,7 @@ def prepared(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
         names = ["doc_id", "size", "fp", "sketch", "sig", "more"]
         longs, none = pa.list_(pa.int64()), lambda k, kind=pa.int64(): pa.nulls(k, kind)
         seen: set[int] = set()
-        for b in slices(batches, rows=1024):
+        for b in slices(batches, rows=500, chars=2_000_000):
             sets, fps, new_sets, new = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, n)
@@ -206,7 +206,7 @@ def prepared(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
                     seen.add(fp)
                     new_sets.append(s)
                     new.append(fp)
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
             k = len(sets)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], longs), none(k), none(k, longs)], names)
@@ -222,7 +222,7 @@ def prepared(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
                 part, m = starts[k : k + 50_000], len(starts[k : k + 50_000])
                 yield pa.RecordBatch.from_arrays([none(m), none(m), pa.array(fp[part]), none(m, longs), pa.array(sig[part].view(np.int64)), more[k : k + 50_000]], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(work, "doc_id long, size long, fp long, sketch array<long>, sig long, more array<long>")
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), work, "doc_id long, size long, fp long, sketch array<long>, sig long, more array<long>")
 
 
 def met(signs: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> Da
     have = texts.join(needed, "doc_id", "left_semi")
     first = pairs.join(have.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     joined = first.join(have.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long").distinct()
+    return arrow_map(joined.select("a", "b", "text_a", "text_b"), work, "a long, b long").distinct()
 
 
 def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold = Threshold(85, 100)) -> DataFrame:
