@@ -102,4 +102,4 @@ def by_kind(df: DataFrame, outcome: Outcome, decision: str, kind: str, kinds: li
         others = F.coalesce((F.col(kind) != k) & (F.col(outcome.event) <= F.col(outcome.deadline)), F.lit(False))
         parts.append(F.struct(F.lit(k).alias("kind"), made[LABEL].alias("label"), others.alias("others")))
     rows = df.select(F.inline(F.array(*parts)))
-    return rows.groupBy("kind").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("positives"), F.count_if("others").alias("censored_by_others"))
+    return rows.groupBy("kind").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("positives"), F.count_if(F.col("others")).alias("censored_by_others"))

@@ -95,14 +95,14 @@ def overlap(split: Split, key: str, nulls_shared: bool = True) -> DataFrame:
     rows = split.tagged().select("window", "side", key)
     rows = rows if nulls_shared else rows.where(F.col(key).isNotNull())
     both = rows.groupBy("window", key).agg(F.count_if(F.col("side") == TRAIN).alias("t"), F.count_if(F.col("side") == EVALUATE).alias("e"))
-    return both.groupBy("window").agg(F.count_if("t > 0 and e > 0").alias("shared"))
+    return both.groupBy("window").agg(F.count_if((F.col("t") > 0) & (F.col("e") > 0)).alias("shared"))
 
 
 def group_overlap(split: Split, key: str) -> DataFrame:
     """(window, shared, touched): shared groups, and the share of evaluation rows that belong to one."""
     both = split.tagged().where(F.col(key).isNotNull()).groupBy("window", key).agg(F.count_if(F.col("side") == TRAIN).alias("t"), F.count_if(F.col("side") == EVALUATE).alias("e"))
     rows = split.tagged().where(F.col("side") == EVALUATE).groupBy("window").agg(F.count("*").alias("n"))
-    shared = both.groupBy("window").agg(F.count_if("t > 0 and e > 0").alias("shared"), F.coalesce(F.sum(F.when(F.col("t") > 0, F.col("e"))), F.lit(0)).alias("hit"))
+    shared = both.groupBy("window").agg(F.count_if((F.col("t") > 0) & (F.col("e") > 0)).alias("shared"), F.coalesce(F.sum(F.when(F.col("t") > 0, F.col("e"))), F.lit(0)).alias("hit"))
     return rows.join(shared, "window", "left").select("window", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("hit", F.lit(0)) / F.col("n")).alias("touched"))
 
 
