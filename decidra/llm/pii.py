@@ -295,11 +295,11 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list, list]]:
 
 
 def found(documents: DataFrame, field: Field, make, columns: str, keep_text: bool = False) -> DataFrame:
-    """Rows of ``documents`` (a string ``text``) with the columns that ``make(text, base, added)`` gives (a tuple).  No shuffle."""
+    """Rows of ``documents`` (a string ``text``) with the columns that ``make(text, base, added)`` gives (a tuple), which replace any of their names.  No shuffle."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     made = _parse_datatype_string(columns)
-    kept = [f for f in documents.schema.fields if keep_text or f.name != "text"]
+    kept = [f for f in documents.schema.fields if (keep_text or f.name != "text") and f.name not in made.names]
     shared = documents.sparkSession.sparkContext.broadcast(field)
     schema = StructType([*kept, *made.fields])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity, queries_url_filter
+from . import queries_decontamination, queries_jaccard_join, queries_packing, queries_pii, queries_quality_classifier, queries_quality_rules, queries_secrets_scan, queries_toxicity, queries_url_filter, queries_warc
 
-MODULES = [queries_decontamination, queries_jaccard_join, queries_packing, queries_quality_rules, queries_toxicity, queries_url_filter]
+MODULES = [queries_decontamination, queries_warc, queries_url_filter, queries_quality_classifier, queries_pii, queries_secrets_scan, queries_jaccard_join, queries_quality_rules, queries_packing, queries_toxicity]
 
 
 def queries() -> dict:

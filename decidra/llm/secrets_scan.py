@@ -72,7 +72,8 @@ def p_value(token: str) -> float:
     mean, spread = size - 1 + (n - 1) * extra, math.sqrt(2 * (size - 1) + 4 * (n - 1) * extra)
     uniform = _normal((chi - mean) / spread)
     kind = np.select([codes < 48, codes < 58, codes < 91, codes == 95], [0, 1, 2, 0], 3)
-    share = float((kind[1:] != kind[:-1]).mean())
+    kind = kind[kind > 0]  # signs join words, and are rare in encoded bytes
+    share = float((kind[1:] != kind[:-1]).mean()) if len(kind) > 1 else 0.0
     runs = 1.0 if share <= _CHANGES else math.exp(-(n - 1) * (share * math.log(share / _CHANGES) + ((1 - share) * math.log((1 - share) / (1 - _CHANGES)) if share < 1 else 0)))
     rank = np.searchsorted(np.unique(codes), codes).astype(float)
     a, b = rank[:-1] - rank[:-1].mean(), rank[1:] - rank[1:].mean()
@@ -96,7 +97,7 @@ def scanned(documents: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     made = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, candidates array<struct<start:long,end:long,class:int,bin:int>>")
-    kept = [f for f in documents.schema.fields if f.name != "text"]
+    kept = [f for f in documents.schema.fields if f.name not in {"text", *made.names, "added"}]
     schema = StructType([*kept, *made.fields])
 
     def work(batches):

@@ -364,7 +364,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXI
 
 
 def score(documents: DataFrame, net: Network, column: str = "toxicity") -> DataFrame:
-    """``documents`` with one more column, the score of the whole text.  No shuffle."""
+    """``documents`` with one more column (or this one replaced), the score of the whole text.  No shuffle."""
+    documents = documents.drop(column)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     key = zlib.crc32(net.p["out"].tobytes()).to_bytes(4, "big") + zlib.crc32(net.p["char"].tobytes()).to_bytes(4, "big")
