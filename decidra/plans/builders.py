@@ -1,0 +1,181 @@
+"""Builders: raw tables to one row per decision, composed of the library's operators.
+
+Each takes data frames of the documented raw columns (strings as read from CSV, unless noted) and returns the decision
+table.  Rows are dropped for stated reasons only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.joins import Cardinality, Direction, asof_join, guarded_join, prior_count
+from ..operators.profile import row_balance
+from ..operators.windows import history, keep_first, rolling
+
+
+def stamp(column: str, form: str | None = None) -> Column:
+    """A timestamp without zone; null where it can't be read."""
+    return (F.try_to_timestamp(column, F.lit(form)) if form else F.try_to_timestamp(column)).cast("timestamp_ntz")
+
+
+def day(column: str, form: str) -> Column:
+    return F.try_to_timestamp(column, F.lit(form)).cast("date")
+
+
+def money(column: str) -> Column:
+    return F.regexp_replace(column, "[$, ]", "").try_cast("double")
+
+
+def horizons(start: str, days: Sequence[int]) -> dict[str, Column]:
+    return {f"horizon_{k}d": F.col(start) + F.expr(f"INTERVAL {k} DAYS") for k in days}
+
+
+def clock(date: Column, hhmm: str) -> Column:
+    """A date with an HHMM clock; 2400 is the next midnight."""
+    d = F.col(hhmm).try_cast("int")
+    return date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.expr(f"try_cast({hhmm} AS INT) div 100 * 60") + d % 100)
+
+
+def machine_days(telemetry: DataFrame, errors: DataFrame, failures: DataFrame, machines: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """Machine x day with 7-day history of sensors and errors, and the next failure.
+
+    telemetry: machineID, datetime (timestamp), volt, rotate, pressure, vibration; errors: machineID, datetime;
+    failures: machineID, datetime, failure; machines: machineID, model, age.
+    """
+    sensors = ["volt", "rotate", "pressure", "vibration"]
+    daily = telemetry.groupBy("machineID", F.to_date("datetime").alias("day")).agg(*(F.avg(s).alias(f"{s}_mean") for s in sensors), *(F.max(s).alias(f"{s}_max") for s in sensors))
+    counts = errors.groupBy("machineID", F.to_date("datetime").alias("day")).agg(F.count("*").alias("errors"))
+    w = rolling(["machineID"], "day", 7)
+    rows = daily.join(counts, ["machineID", "day"], "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    rows = rows.withColumns({f"{s}_mean7": F.avg(f"{s}_mean").over(w) for s in sensors} | {f"{s}_sd7": F.stddev_samp(f"{s}_mean").over(w) for s in sensors} | {f"{s}_max7": F.max(f"{s}_max").over(w) for s in sensors} | {"errors7": F.sum("errors").over(w)})
+    decided = rows.withColumn("decided_at", F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL '1 06' DAY TO HOUR")).where(F.col("volt_sd7").isNotNull())
+    broken = failures.groupBy("machineID", F.col("datetime").cast("timestamp_ntz").alias("event_at")).agg(F.min("failure").alias("kind"))
+    out = asof_join(decided, broken, left_on="decided_at", right_on="event_at", by=["machineID"], direction=Direction.FORWARD, strict=True, values=["kind"], tiebreak=["kind"])
+    out = guarded_join(out, machines, on=["machineID"], expect=Cardinality.MANY_TO_ONE)
+    return out.withColumns({"deadline_on": F.col("decided_at") + F.expr(f"INTERVAL {horizon_days} DAYS"), "unit_id": F.concat(F.col("machineID").cast("string"), F.lit("@"), F.col("day").cast("string"))})
+
+
+def visits(maintenance: DataFrame, failures: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """Machine visit with the next failure of a later day.  maintenance: machineID, datetime, comp."""
+    rows = maintenance.groupBy("machineID", F.col("datetime").cast("timestamp_ntz").alias("decided_at")).agg(F.count_distinct("comp").alias("components"))
+    broken = failures.groupBy("machineID", F.col("datetime").cast("timestamp_ntz").alias("event_at")).agg(F.count("*").alias("n"), F.min("failure").alias("component"))
+    broken = broken.select("machineID", "event_at", F.when(F.col("n") > 1, "several").otherwise(F.col("component")).alias("kind"))
+    out = asof_join(rows, broken, left_on="decided_at", right_on="event_at", by=["machineID"], direction=Direction.FORWARD, strict=True, values=["kind"])
+    return out.withColumn("deadline_on", F.col("decided_at") + F.expr(f"INTERVAL {horizon_days} DAYS"))
+
+
+def incidents(raw: DataFrame, days: Sequence[int] = (7, 30)) -> DataFrame:
+    """Reports of incidents with earlier volume of the district on two clocks, and the next report of the same place.
+
+    raw: row_id, incident_datetime, report_datetime (yyyy/MM/dd hh:mm:ss a), district, place, category, resolution.
+    """
+    form = "yyyy/MM/dd hh:mm:ss a"
+    rows = raw.withColumns({"happened_at": stamp("incident_datetime", form), "decided_at": stamp("report_datetime", form)})
+    rows = row_balance(rows, {"no_time": F.col("happened_at").isNull() | F.col("decided_at").isNull(), "before": F.col("decided_at") < F.col("happened_at"), "no_place": F.col("place").isNull()})
+    rows = rows.withColumns({"reported_90d": F.count("*").over(rolling(["district"], "decided_at", 90, "left")), "happened_90d": F.count("*").over(rolling(["district"], "happened_at", 90, "left"))})
+    nexts = rows.select("place", F.col("decided_at").alias("event_at"))
+    out = asof_join(rows, nexts, left_on="decided_at", right_on="event_at", by=["place"], direction=Direction.FORWARD, strict=True, values=[])
+    return out.withColumns({"lag_hours": F.timestamp_diff("HOUR", "happened_at", "decided_at")} | horizons("decided_at", days))
+
+
+def inspections(raw: DataFrame, days: Sequence[int] = (180, 365)) -> DataFrame:
+    """Inspections with their site's history and next failure.  raw: inspection_id, license, inspected_on (MM/dd/yyyy), result, risk."""
+    rows = raw.withColumns({"decided_at": day("inspected_on", "MM/dd/yyyy").cast("timestamp_ntz"), "failed": F.col("result").rlike("(?i)fail").cast("int")})
+    rows = row_balance(rows, {"no_date": F.col("decided_at").isNull(), "no_license": F.col("license").isNull() | (F.col("license") == "0")})
+    rows = history(rows, by=["license"], order=["decided_at", "inspection_id"], previous=["decided_at", "failed"], following=["decided_at", "failed"], sums=["failed"])
+    rows = rows.withColumns({"event_at": F.when(F.col("next_failed") == 1, F.col("next_decided_at")), "days_since": F.timestamp_diff("DAY", "previous_decided_at", "decided_at")})
+    return rows.withColumns(horizons("decided_at", days))
+
+
+def site_inspections(evaluations: DataFrame, facilities: DataFrame, violations: DataFrame, days: Sequence[int] = (180, 365)) -> DataFrame:
+    """Inspections of sites: first record of each, the site's facts, prior violations and the next one.
+
+    evaluations: site, evaluation, kind, started (MM/dd/yyyy), row; facilities: site, state, row; violations: site, found (MM/dd/yyyy).
+    """
+    first = keep_first(evaluations, ["site", "evaluation"], ["row"])
+    rows = row_balance(first.withColumn("decided_at", day("started", "MM/dd/yyyy").cast("timestamp_ntz")), {"no_date": F.col("decided_at").isNull()})
+    rows = guarded_join(rows, keep_first(facilities, ["site"], ["row"]).select("site", "state"), on=["site"], expect=Cardinality.MANY_TO_ONE, how="left")
+    found = violations.select("site", day("found", "MM/dd/yyyy").cast("timestamp_ntz").alias("event_at")).where("event_at is not null")
+    rows = prior_count(rows, found, by=["site"], decision_time="decided_at", event_time="event_at", name="prior_violations")
+    rows = asof_join(rows, found, left_on="decided_at", right_on="event_at", by=["site"], direction=Direction.FORWARD, values=[])
+    return rows.withColumns({"unit_id": F.concat("site", F.lit("/"), "evaluation")} | horizons("decided_at", days))
+
+
+def flights(raw: DataFrame) -> DataFrame:
+    """Flights with a deadline 15 minutes after the planned arrival.
+
+    raw: FlightDate (yyyy-MM-dd), CRSDepTime, CRSArrTime, ArrTime (HHMM), Cancelled, Diverted, Carrier, Number, Origin, Dest.
+    """
+    date = day("FlightDate", "yyyy-MM-dd")
+    rows = raw.withColumns({"decided_at": clock(date, "CRSDepTime"), "planned_at": clock(date, "CRSArrTime"), "landed_at": clock(date, "ArrTime")})
+    later = lambda c: F.when(F.col(c) < F.col("decided_at"), F.col(c) + F.expr("INTERVAL 1 DAY")).otherwise(F.col(c))
+    rows = rows.withColumns({"planned_at": later("planned_at"), "event_at": later("landed_at")})
+    rows = row_balance(rows, {"no_plan": F.col("decided_at").isNull() | F.col("planned_at").isNull()})
+    status = F.when(F.col("Cancelled").try_cast("double") == 1, "cancelled").when(F.col("Diverted").try_cast("double") == 1, "diverted").otherwise("flown")
+    return rows.withColumns({"status": status, "deadline_on": F.col("planned_at") + F.expr("INTERVAL 15 MINUTES"), "route": F.concat("Origin", F.lit("-"), "Dest"), "unit_id": F.concat("Carrier", F.lit("/"), "Number", F.lit("/"), "Origin", F.lit("/"), "FlightDate")}).drop("landed_at")
+
+
+def loans(raw: DataFrame, months: Sequence[int] = (12, 24, 36)) -> DataFrame:
+    """Loans with dates of two-digit years repaired.  raw: id, approved, disbursed, charged_off (dd-MMM-yy), term, amount, industry."""
+
+    def repaired(c: str) -> Column:
+        d = day(c, "d-MMM-yy")
+        return F.when(F.year(d) > 2014, F.add_months(d, -1200)).otherwise(d).cast("timestamp_ntz")
+
+    rows = raw.withColumns({"approved_at": repaired("approved"), "decided_at": repaired("disbursed"), "event_at": repaired("charged_off"), "months": F.col("term").try_cast("int"), "amount_usd": money("amount"), "sector": F.substring("industry", 1, 2)})
+    early = F.coalesce(F.col("event_at") < F.col("decided_at"), F.lit(False))
+    rows = row_balance(rows, {"no_date": F.col("decided_at").isNull(), "no_term": F.col("months").isNull() | (F.col("months") <= 0), "paid_before": early})
+    return rows.withColumns({f"due_{m}m": F.add_months("decided_at", m).cast("timestamp_ntz") for m in months} | {"deadline_on": F.add_months("decided_at", F.col("months")).cast("timestamp_ntz")})
+
+
+def studies(raw: DataFrame, registered: DataFrame) -> DataFrame:
+    """Studies: partial dates go to the month's end.  raw: id, started, due, posted (yyyy-MM or yyyy-MM-dd); registered: id, sponsor."""
+
+    def partial(c: str) -> Column:
+        return F.coalesce(day(c, "yyyy-MM-dd"), F.last_day(day(c, "yyyy-MM"))).cast("timestamp_ntz")
+
+    rows = raw.withColumns({"decided_at": partial("started"), "deadline_on": partial("due"), "event_at": partial("posted")})
+    rows = row_balance(rows, {"no_dates": F.col("decided_at").isNull() | F.col("deadline_on").isNull(), "due_before": F.coalesce(F.col("deadline_on") < F.col("decided_at"), F.lit(False))})
+    return guarded_join(rows, registered, on=["id"], expect=Cardinality.ONE_TO_ONE)
+
+
+def stays(intakes: DataFrame, outcomes: DataFrame, horizon_days: int = 30) -> DataFrame:
+    """Stays: each intake with the next outcome of the animal.  intakes: animal_id, datetime, kind; outcomes: animal_id, datetime, outcome."""
+    rows = intakes.distinct().withColumn("decided_at", stamp("datetime")).where("decided_at is not null").drop("datetime")
+    ends = outcomes.select("animal_id", stamp("datetime").alias("event_at"), F.col("outcome").alias("event_kind"))
+    out = asof_join(rows, ends, left_on="decided_at", right_on="event_at", by=["animal_id"], direction=Direction.FORWARD, values=["event_kind"], tiebreak=["event_kind"])
+    return out.withColumns({"deadline_on": F.col("decided_at") + F.expr(f"INTERVAL {horizon_days} DAYS"), "unit_id": F.concat("animal_id", F.lit("@"), F.date_format("decided_at", "yyyyMMddHHmmss")), "status": F.when(F.col("event_at").isNull(), "here").otherwise("left")})
+
+
+def calls(dispatches: DataFrame, seconds: int = 480) -> DataFrame:
+    """Units collapsed to calls: the first arrival.  dispatches: call_number, unit, received, on_scene (timestamps), priority."""
+    rows = dispatches.groupBy("call_number").agg(F.min("received").alias("decided_at"), F.min("on_scene").alias("event_at"), F.min_by("priority", F.struct("received", "unit")).alias("priority"), F.count("*").alias("units"))
+    rows = row_balance(rows, {"no_time": F.col("decided_at").isNull(), "before": F.coalesce(F.col("event_at") < F.col("decided_at"), F.lit(False))})
+    h = F.hour("decided_at")
+    return rows.withColumns({"deadline_on": F.col("decided_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)), "night": ((h >= 22) | (h < 6)).cast("int")})
+
+
+def requests(raw: DataFrame, opened: str, closed: str, status: str, days: int, dropped: Sequence[str] = ()) -> DataFrame:
+    """Requests, permits, licences or complaints with a fixed period: opened, closed (ISO times) and a status.
+
+    Rows whose status is one of ``dropped`` go, rows without a status stay.
+    """
+    rows = raw.withColumns({"decided_at": stamp(opened), "event_at": stamp(closed)})
+    rows = row_balance(rows, {"no_date": F.col("decided_at").isNull(), "closed_before": F.coalesce(F.col("event_at") < F.col("decided_at"), F.lit(False)), "dropped": F.coalesce(F.col(status).isin(*dropped), F.lit(False)) if dropped else F.lit(False)})
+    return rows.withColumns({"deadline_on": F.col("decided_at") + F.expr(f"INTERVAL {days} DAYS")})
+
+
+def star_orders(orders: DataFrame, items: DataFrame, payments: DataFrame) -> DataFrame:
+    """Orders with items and payments summed before they are joined.
+
+    orders: order_id, decided_at, deadline_on, event_at, status; items: order_id, product, seller, price, category; payments: order_id, kind, value.
+    """
+    usual = items.groupBy("order_id", "category").agg(F.count("*").alias("n")).groupBy("order_id").agg(F.min_by("category", F.struct(-F.col("n"), "category")).alias("category"))
+    sums = items.groupBy("order_id").agg(F.count("*").alias("items"), F.sum("price").alias("price"), F.count_distinct("seller").alias("sellers")).join(usual, "order_id")
+    paid = payments.groupBy("order_id").agg(F.sum("value").alias("paid"), F.count("*").alias("payments"))
+    out = guarded_join(guarded_join(orders, sums, on=["order_id"], expect=Cardinality.ONE_TO_ONE), paid, on=["order_id"], expect=Cardinality.ONE_TO_ONE)
+    lead = F.datediff("deadline_on", "decided_at")
+    return out.withColumns({"lead_days": lead, "rule_score": 1 / (1 + lead), "weekday": F.weekday("decided_at") + 1, "month": F.month("decided_at")})
