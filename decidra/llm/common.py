@@ -54,6 +54,18 @@ def arrow_map(df: DataFrame, work, schema) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+_held: dict[object, object] = {}
+
+
+def held(owner, make):
+    """What a Python worker keeps from task to task for ``owner``.  It keeps one owner's things: workers outlive stages,
+    and the caches of all operators that they served would add up."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 def slices(batches, rows: int = 256, chars: int = 4_000_000, column: str = "text"):
     """Pieces of Arrow batches with at most ``rows`` rows or about ``chars`` bytes of text (one row at least)."""
     for batch in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import arrow_map, held, slices, text_or_empty, written
 
 WINDOW, SHORTEST = 8, 5
 #: Least share of an item's words that must lie in matching windows, and of its slots that must correspond.
@@ -38,7 +38,6 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 #: Unit words, as they follow a number.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit kelvin watt watts volt volts amp amps joule joules newton newtons hz khz mhz ghz kb mb gb tb".split())
 WORD, NAMELIKE, NUMBER, STOP, UNIT = range(5)
-_known: dict[str, int] = {}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,11 +57,12 @@ def _about(token: str) -> int:
 def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """All tokens and which are words, these words' hashes, and the type of each placeholder (0: an ordinary word, else its kind)."""
     tokens = TOKEN.findall(text or "")
-    if len(_known) > 600_000:
-        _known.clear()
-    got = np.fromiter(map(_known.get, tokens, repeat(-1)), np.int64, len(tokens))
+    known = held("template tokens", dict)
+    if len(known) > 600_000:
+        known.clear()
+    got = np.fromiter(map(known.get, tokens, repeat(-1)), np.int64, len(tokens))
     for k in np.flatnonzero(got < 0).tolist():
-        got[k] = _known[tokens[k]] = _about(tokens[k])
+        got[k] = known[tokens[k]] = _about(tokens[k])
     kind, h = got & 7, got >> 3
     after = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
     keep = kind != STOP
@@ -126,7 +126,7 @@ def item_windows(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
             yield n, windows(h, slot, view, n), np.flatnonzero(_literal(slot, view, n) * 2 >= n)
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
-    return rows.mapInArrow(lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA)
+    return arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA)
 
 
 def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             yield n, w, np.flatnonzero((known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
-    hits = rows.mapInArrow(lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("width").alias("doc_width"), F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
+    hits = arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("width").alias("doc_width"), F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
     found = hits.join(items, "hash").where("width = doc_width and size(slots) = size(doc_slots)").select("doc_id", F.col("id").alias("item_id"), "pos", "width", "words", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots")
     found = written(found, "hits")
     places = found.select("doc_id", "item_id", "words", F.explode(F.sequence("pos", F.col("pos") + F.col("width") - 1)).alias("place"))

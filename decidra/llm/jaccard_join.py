@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, text_or_empty, written
+from .common import arrow_map, held, slices, text_or_empty, written
 from .graph import components
 
 #: Sets of a bucket that all others of the bucket are compared with in the first of the further rounds.
 BLOCK = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
-_words: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,12 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 150_000:
-        _words.clear()
+    known = held("word hashes", dict)
+    if len(known) > 150_000:
+        known.clear()
     for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import arrow_map, held, slices, text_or_empty, written
 
 SIZE, END = 4096, 1
 #: Bins with at most so many free places are final before the last level.
@@ -29,7 +29,7 @@ NEARLY_FULL = 8
 #: Partitions whose remaining bins meet in one of the next level; pieces dealt to one partition of the first level, about.
 FAN, PIECES = 8, 20_000
 #: Different strings between spaces whose ids a Python worker keeps.
-CACHE = 1_500_000
+CACHE = 1_000_000
 
 
 class Table:
@@ -138,15 +138,6 @@ class Tokens:
             k += len(words)
 
 
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
-
-
 def pieces(documents: DataFrame, vocabulary: Callable[[], str], size: int = SIZE, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every text: at most ``size`` tokens each, the end token included.
 
@@ -157,7 +148,8 @@ def pieces(documents: DataFrame, vocabulary: Callable[[], str], size: int = SIZE
         import pyarrow as pa
 
         for b in slices(batches):
-            coder, out = tokens(vocabulary()), [[], [], [], [], []]
+            path = vocabulary()
+            coder, out = held(("tokens", path), lambda: Tokens(path)), [[], [], [], [], []]
             ids_of = b.column("doc_id").to_pylist()
             for doc, ids in zip(ids_of, coder.encode(b.column("text").to_pylist()), strict=True):
                 n, last = len(ids) + 1, np.array([end], "<u4").tobytes()
@@ -169,7 +161,7 @@ def pieces(documents: DataFrame, vocabulary: Callable[[], str], size: int = SIZE
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: Iterable[int], size: int) -> list[int]:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import arrow_map, slices, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: texts, and nodes of each text.
@@ -313,7 +313,7 @@ def found(documents: DataFrame, field: Field, make, columns: str, keep_text: boo
             arrays = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(made.fields)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *arrays], schema.names)
 
-    return documents.mapInArrow(work, schema)
+    return arrow_map(documents, work, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import arrow_map, held, slices, text_or_empty
 
 #: Bounds of the samples, rounds, and pseudo-labels that a view gives in a round at most.
 LABELLED, UNLABELLED, ROUNDS, EXCHANGED = 4000, 6000, 4, 300
@@ -33,7 +33,6 @@ LABELLED, UNLABELLED, ROUNDS, EXCHANGED = 4000, 6000, 4, 300
 SURE = 0.95
 WORD_BITS, META_BITS, STATISTICS = 10, 8, 14
 WORD = re.compile(r"\w+")
-_buckets: dict[str, int] = {}
 
 
 def content(text: str) -> np.ndarray:
@@ -44,11 +43,12 @@ def content(text: str) -> np.ndarray:
     x[0] = 1
     if not chars:
         return x
-    if len(_buckets) > 500_000:
-        _buckets.clear()
+    known = held("word buckets", dict)
+    if len(known) > 500_000:
+        known.clear()
     for w in words:
-        if w not in _buckets:
-            _buckets[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
+        if w not in known:
+            known[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     count = np.bincount(raw, minlength=256)
     size = len(raw)
@@ -67,7 +67,7 @@ def content(text: str) -> np.ndarray:
     x[12] = sum(map(len, words)) / max(1, n) / 10
     x[13] = n < 20
     if n:
-        tf = np.log1p(np.bincount(np.fromiter(map(_buckets.__getitem__, words), np.int64, n), minlength=1 << WORD_BITS))
+        tf = np.log1p(np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, n), minlength=1 << WORD_BITS))
         x[STATISTICS:] = tf / np.sqrt((tf * tf).sum())
     return x
 
@@ -205,4 +205,4 @@ def score(documents: DataFrame, model: CoTrained) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(shared.value.scores(*_views(b)), pa.float64())], ["doc_id", "score"])
 
-    return _inputs(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars").mapInArrow(work, "doc_id long, score double")
+    return arrow_map(_inputs(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars"), work, "doc_id long, score double")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import arrow_map, slices, text_or_empty, written
 from .spans import overlaps
 
 KINDS = ("assign", "access", "hex", "random")
@@ -113,7 +113,7 @@ def scanned(documents: DataFrame) -> DataFrame:
             arrays = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip((bases, candidates), made.fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *arrays], schema.names)
 
-    return documents.mapInArrow(work, schema)
+    return arrow_map(documents, work, schema)
 
 
 def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:

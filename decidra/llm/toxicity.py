@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import arrow_map, held, slices, text_or_empty
 
 WORD = re.compile(r"\w+")
 CHAR_BITS, DIM, HIDDEN = 16, 8, 8
@@ -32,7 +32,7 @@ NGRAMS = (3, 4, 5)
 #: Bounds of the labelled sample that the network is fitted on, for each class, and of its windows for each text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WINDOWS = 1500, 4000, 10
 #: Words whose input vectors a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 
 
 def windows_of(n: int) -> list[tuple[int, int]]:
@@ -316,16 +316,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[bytes, Scorer] = {}
-
-
-def _scorer(net: Network, key: bytes) -> Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(net)
-    return _scorers[key]
-
-
 def held_out(column: str = "doc_id"):
     """Rows that labels are never learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
@@ -358,16 +348,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXI
                 made.append([" ".join(words[a:z]) for a, z in (spans[k] for k in keep)])
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(made, pa.list_(pa.string()))], ["toxic", "windows"])
 
-    got = documents.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("toxic", "text").mapInArrow(cut, "toxic int, windows array<string>").collect()
+    got = documents.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("toxic", "text")
+    got = arrow_map(got, cut, "toxic int, windows array<string>").collect()
     examples = sorted((r.toxic, [w.split(" ") for w in r.windows]) for r in got)
     return train(examples, seen)
 
 
 def score(documents: DataFrame, net: Network, column: str = "toxicity") -> DataFrame:
     """``documents`` with one more column (or this one replaced), the score of the whole text.  No shuffle."""
-    documents = documents.drop(column)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    documents = documents.drop(column)
     key = zlib.crc32(net.p["out"].tobytes()).to_bytes(4, "big") + zlib.crc32(net.p["char"].tobytes()).to_bytes(4, "big")
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
@@ -375,7 +366,7 @@ def score(documents: DataFrame, net: Network, column: str = "toxicity") -> DataF
         import pyarrow as pa
 
         for b in slices(batches, rows=512):
-            made = _scorer(shared.value, key).scores(b.column("text").to_pylist())
+            made = held(key, lambda: Scorer(shared.value)).scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.float64())], [*b.schema.names, column])
 
-    return documents.mapInArrow(work, StructType([*documents.schema.fields, StructField(column, DoubleType())]))
+    return arrow_map(documents, work, StructType([*documents.schema.fields, StructField(column, DoubleType())]))

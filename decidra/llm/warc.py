@@ -26,6 +26,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of content in a gzip member at most; records in a file at most.
@@ -80,7 +82,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
                 made = [zipped(record(*r))[:-1] for r in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
-    members = marked.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(work, "value binary")
+    members = arrow_map(marked.select("page_id", "url", "payload", "digest", "refers_to"), work, "value binary")
     members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
