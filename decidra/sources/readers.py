@@ -22,11 +22,11 @@ def csv_strings(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def csv_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Well-formed rows, and the text of rows that don't fit ``schema``."""
+    """Well-formed rows, and rows that don't fit ``schema`` with their text (``_corrupt_record``)."""
     corrupt = "_corrupt_record"
     full = StructType([*schema.fields, StructField(corrupt, StringType())])
     df = spark.read.schema(full).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
-    return df.where(F.col(corrupt).isNull()).drop(corrupt), df.where(F.col(corrupt).isNotNull()).select(corrupt)
+    return df.where(F.col(corrupt).isNull()).drop(corrupt), df.where(F.col(corrupt).isNotNull())
 
 
 def csv_inferred(spark: SparkSession, path: str, sampling: float = 0.1) -> DataFrame:
