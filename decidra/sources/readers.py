@@ -22,11 +22,12 @@ def csv_strings(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def csv_tolerant(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Well-formed rows, and rows that don't fit ``schema`` with their text (``_corrupt_record``)."""
-    corrupt = "_corrupt_record"
-    full = StructType([*schema.fields, StructField(corrupt, StringType())])
-    df = spark.read.schema(full).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
-    return df.where(F.col(corrupt).isNull()).drop(corrupt), df.where(F.col(corrupt).isNotNull())
+    """Rows that fit ``schema``, typed, and those that don't, as strings.  An empty field is null."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE")
+    fits = F.lit(True)
+    for f in schema.fields:
+        fits = fits & (F.col(f.name).isNull() | F.col(f.name).try_cast(f.dataType).isNotNull())
+    return raw.where(fits).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields)), raw.where(~fits)
 
 
 def csv_inferred(spark: SparkSession, path: str, sampling: float = 0.1) -> DataFrame:
