@@ -3,12 +3,14 @@
 A text's set holds the hashes of its distinct word n-grams.  Sets are banded by size; within a band, two sets that
 reach the threshold differ in at most ``k`` elements.  The domain of elements is split into ``n1`` groups of ``n2``
 parts; with ``n1 > k / 2`` some group holds one difference at most, so all but one of its parts agree.  Every subset
-of ``n2 - 1`` parts of every group is a signature, so such sets share a signature.  ``spare`` more groups make it
-needless to match on empty parts, unless a set has more groups with empty signatures than that.
+of ``n2 - 1`` parts of every group is a signature, so such sets share a signature.  With ``spare`` more groups they share
+``spare + 1``; a set matches on empty parts only if ``spare`` or more of its groups have any, so two signatures of
+different groups are always shared.
 
 Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket.  Buckets whose
-sets then are in one component are settled; in the others, the members of the smaller components are compared with all of
-other components, in blocks.  Sizes and parity sketches rule out most pairs without their texts.
+sets then are in one component are settled.  In the others, the members of the smaller components are compared with all of
+other components, in blocks; buckets of more than a block are first refined to pairs of signatures, since linked
+sets share two.  Sizes and parity sketches rule out most pairs without their texts.
 
 Elements are 64-bit hashes of words and sets are known by 64-bit fingerprints; everything else is exact.
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held, slices, text_or_empty, written
+from .decontamination import bit_map
 from .graph import components
 
 #: Sets of a bucket that all others of the bucket are compared with in the first of the further rounds.
@@ -157,7 +160,7 @@ def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.nda
         group = np.arange(len(of_pair)) - np.repeat(first[:-1] // parts, groups)
         chosen = list(combinations(range(parts), parts - 1))
         empty = np.stack([count[:, list(c)].sum(1) == 0 for c in chosen], 1)
-        weak = np.bincount(of_pair, empty.any(1), len(w)) > spare
+        weak = np.bincount(of_pair, empty.any(1), len(w)) > spare - 1
         base = mix(b[of_pair].astype(np.uint64) * _C[0] + mix(group.astype(np.uint64) * np.uint64(8) + np.uint64(parts)))
         for j, c in enumerate(chosen):
             sig = base + np.uint64(j)
@@ -246,8 +249,6 @@ def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
 
 def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The pairs that reach the threshold, by the sets of their whole texts."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-
     def work(batches):
         import pyarrow as pa
 
@@ -264,7 +265,14 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> Da
                             out.append((a, z))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    needed = pairs.select(F.col("id_a").alias("doc_id")).union(pairs.select("id_b")).distinct()
+    needed = written(pairs.select(F.col("id_a").alias("doc_id")).union(pairs.select("id_b")).distinct(), "needed")
+    # a bit map of fixed size keeps most other texts from being dealt; the join then is exact
+    bits = min(27, max(16, 4 + int(needed.count()).bit_length()))
+    marks = documents.sparkSession.createDataFrame([(bit_map(needed.select(F.xxhash64("doc_id").alias("hash")), bits).view(np.int64).tolist(),)], "bits array<long>").scalar()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    marked = F.expr(f"int(shiftrightunsigned(xxhash64(doc_id), {64 - bits}) & 63)")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = texts.where(F.getbit(F.get(marks, F.shiftright(place, 6).cast("int")), marked) == 1)
     have = texts.join(needed, "doc_id", "left_semi")
     first = pairs.join(have.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
     joined = first.join(have.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
@@ -314,20 +322,31 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
             return members.select("sig", "fp", F.col("fp").alias("root"))
         return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
 
-    mixed = apart(shared.select("sig", F.col("lead").alias("a"), F.col("fp").alias("b"))).select("sig").distinct()
-    members = shared.select("sig", "fp").unionByName(shared.select("sig", F.col("lead").alias("fp"))).distinct()
-    block, rest = BLOCK, members.join(mixed, "sig", "left_semi")
-    while True:
-        rooted = with_root(rest)
+    def mixed(members: DataFrame) -> DataFrame:
+        """(sig, fp, root, rank) of buckets of several components, smaller components first."""
+        rooted = with_root(members)
         several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
         counted = rooted.join(several, "sig").withColumn("many", F.count("*").over(Window.partitionBy("sig", "root")))
-        rest = written(counted.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("many", "root", "fp"))).drop("many"), "rest")
-        if rest.limit(1).count() == 0:
-            break
-        heads = rest.where(F.col("rank") <= block).select("sig", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.col("rank").alias("rank_x"))
-        pairs = rest.join(heads, "sig").where("rank_x < rank and root_x <> root").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
-        settle(pairs)
-        rest, block = rest.where(F.col("rank") > block).select("sig", "fp"), block * 2
+        return written(counted.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("many", "root", "fp"))).drop("many"), "rest")
+
+    def compare(rows: DataFrame, heads: int) -> None:
+        """Settles the pairs of the first ``heads`` of each bucket with its others."""
+        first = rows.where(F.col("rank") <= heads).select("sig", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.col("rank").alias("rank_x"))
+        settle(rows.join(first, "sig").where("rank_x < rank and root_x <> root").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct())
+
+    open_sigs = apart(shared.select("sig", F.col("lead").alias("a"), F.col("fp").alias("b"))).select("sig").distinct()
+    members = shared.select("sig", "fp").unionByName(shared.select("sig", F.col("lead").alias("fp"))).distinct()
+    rest = mixed(members.join(open_sigs, "sig", "left_semi"))
+    if rest.limit(1).count():
+        large = rest.where(F.col("rank") > BLOCK).select("sig").distinct()
+        compare(rest.join(large, "sig", "left_anti"), BLOCK)
+        by_set = rest.join(large, "sig", "left_semi").groupBy("fp").agg(F.sort_array(F.collect_list("sig")).alias("s"))
+        first = by_set.select("fp", "s", F.posexplode("s").alias("at", "x"))
+        rest = first.select("fp", "x", F.explode(F.slice("s", F.col("at") + 2, F.greatest(F.size("s") - F.col("at") - 1, F.lit(0)))).alias("y")).select(F.xxhash64("x", "y").alias("sig"), "fp")
+        rest, block = mixed(rest), BLOCK
+        while rest.limit(1).count():
+            compare(rest, block)
+            rest, block = mixed(rest.where(F.col("rank") > block).select("sig", "fp")), block * 4
 
     if roots is None:
         roots = documents.sparkSession.createDataFrame([], "node long, root long")

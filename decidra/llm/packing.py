@@ -12,6 +12,7 @@ of length go by a hash of the id, the id and the piece's number; which sequence
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
@@ -28,8 +29,21 @@ SIZE, END = 4096, 1
 NEARLY_FULL = 8
 #: Partitions whose remaining bins meet in one of the next level; pieces dealt to one partition of the first level, about.
 FAN, PIECES = 8, 20_000
-#: Different strings between spaces whose ids a Python worker keeps.
-CACHE = 1_000_000
+#: Different strings between spaces, and different words, whose ids a Python worker keeps.
+CACHE_STRINGS, CACHE_WORDS = 900_000, 1_000_000
+
+
+_AFTER_SIGN = re.compile(r"(?:[^\w \t\n]|_)[.,][ \n]")
+
+
+def apart(text: str) -> str:
+    """The text with spaces for line ends, and around commas and full stops that end a word, which are words of their own.
+
+    One after another sign belongs to that sign's word; texts with such are left as they are.
+    """
+    if not _AFTER_SIGN.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")
+    return text.replace("\n", " ")
 
 
 class Table:
@@ -122,10 +136,12 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, without an end token."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [apart(t).split(" ") for t in texts]
         flat = list(chain.from_iterable(cut))
-        if len(self.strings.index) > CACHE:
-            self.strings, self.parts = Table(), Table()
+        if len(self.strings.index) > CACHE_STRINGS:
+            self.strings = Table()
+        if len(self.parts.index) > CACHE_WORDS:
+            self.parts = Table()
         at = self.strings.places(flat)
         missing = np.flatnonzero(at < 0).tolist()
         if missing:

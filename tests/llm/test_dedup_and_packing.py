@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from decidra.llm.graph import components
 from decidra.llm.jaccard_join import Threshold, signatures, similar_components, shingles
 from decidra.llm.packing import best_fit, packed, pieces
 from decidra.llm.queries_packing import vocabulary
@@ -61,6 +62,16 @@ def test_components_equal_brute_force(spark, n, t):
     assert got == brute(rows, n, t)
 
 
+def test_components_of_both_ways_agree(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(60)] + [(None, 5), (7, None), (9, 9)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    one, many = components(df), components(df, one_task=0)
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, many.collect()))
+    assert {x.root for x in many.collect() if x.node >= 1000} == {1000}
+    assert components(df.limit(0)).count() == components(df.limit(0), one_task=0).count() == 0
+
+
 def test_chains_of_links_are_followed(spark):
     """Each text links with the next, few with the smallest of their buckets."""
     words = [f"w{k}" for k in range(400)]
