@@ -4,13 +4,11 @@ A text's set holds the hashes of its distinct word n-grams.  Sets are banded by
 reach the threshold differ in at most ``k`` elements.  The domain of elements is split into ``n1`` groups of ``n2``
 parts; with ``n1 > k / 2`` some group holds one difference at most, so all but one of its parts agree.  Every subset
 of ``n2 - 1`` parts of every group is a signature, so such sets share a signature.  With ``spare`` more groups they share
-``spare + 1``; a set matches on empty parts only if ``spare`` or more of its groups have any, so two signatures of
-different groups are always shared.
+``spare + 1``; a set matches on empty parts only if ``spare`` or more of its groups have any.
 
 Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket.  Buckets whose
-sets then are in one component are settled.  In the others, the members of the smaller components are compared with all of
-other components, in blocks; buckets of more than a block are first refined to pairs of signatures, since linked
-sets share two.  Sizes and parity sketches rule out most pairs without their texts.
+sets then are in one component are settled.  In the others, sets of different components are compared: those of small buckets
+by a join, those of large ones in blocks of rows by their sketches alone, which gives the few pairs that are close.  Sizes and parity sketches rule out most pairs without their texts.
 
 Elements are 64-bit hashes of words and sets are known by 64-bit fingerprints; everything else is exact.
 
@@ -36,8 +34,10 @@ from .common import arrow_map, held, slices, text_or_empty, written
 from .decontamination import bit_map
 from .graph import components
 
-#: Sets of a bucket that all others of the bucket are compared with in the first of the further rounds.
+#: Sets of a bucket up to which a join compares them.
 BLOCK = 16
+#: Rows of a large bucket that are compared with as many others in one group.
+CHUNK = 2048
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -247,6 +247,45 @@ def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (differ <= most)).select("a", "b", "id_a", "id_b")
 
 
+def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (a, b) of different roots in buckets (sig, fp, root, rank) whose sizes and sketches don't rule out a link.
+
+    A bucket's rows are dealt in chunks of ``CHUNK``, each pair of chunks to one group, so a group has 2 * CHUNK rows at most.
+    """
+    chunk = F.floor((F.col("rank") - 1) / CHUNK)
+    dealt = rows.withColumn("chunk", chunk).withColumn("last", F.max("chunk").over(Window.partitionBy("sig"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    dealt = dealt.join(about.select("fp", "size", "sketch"), "fp").select("sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "root", "size", "sketch")
+
+    def work(key, frame):
+        import pandas as pd
+
+        f = frame.sort_values(["chunk", "root", "fp"], kind="stable")
+        words = min(map(len, f["sketch"]))
+        bits = np.stack([_folded(np.asarray(s, np.int64), words) for s in f["sketch"]]).view(np.uint64)
+        fp, root, size, side = (f[c].to_numpy(np.int64) for c in ("fp", "root", "size", "chunk"))
+        same, found = key[1] == key[2], [[], []]
+        starts = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (side[1:] != side[:-1])]))
+        for a, z in zip(starts, np.append(starts[1:], len(fp)), strict=True):
+            if not same and side[a] != key[1]:
+                break
+            others = np.arange(z, len(fp)) if same else np.flatnonzero((side == key[2]) & (root != root[a]))
+            for k in range(a, z):
+                fits = others[t.den * np.minimum(size[k], size[others]) >= t.num * np.maximum(size[k], size[others])]
+                most = size[k] + size[fits] - 2 * t.needed(size[k], size[fits])
+                near = fits[np.bitwise_count(bits[fits] ^ bits[k]).sum(1, dtype=np.int64) <= most]
+                found[0] += np.minimum(fp[k], fp[near]).tolist()
+                found[1] += np.maximum(fp[k], fp[near]).tolist()
+        return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
+
+    return dealt.groupBy("sig", "i", "j").applyInPandas(work, "a long, b long").distinct()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The pairs that reach the threshold, by the sets of their whole texts."""
     def work(batches):
@@ -315,8 +354,7 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
         return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
     settle(shared.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), one_first=True)
-    # buckets of several components go on: the members of their smaller components are compared with all others, in
-    # blocks, until what is left of each bucket is in one component
+    # in buckets of several components, sets of different ones are compared
     def with_root(members: DataFrame) -> DataFrame:
         if roots is None:
             return members.select("sig", "fp", F.col("fp").alias("root"))
@@ -340,13 +378,7 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
     if rest.limit(1).count():
         large = rest.where(F.col("rank") > BLOCK).select("sig").distinct()
         compare(rest.join(large, "sig", "left_anti"), BLOCK)
-        by_set = rest.join(large, "sig", "left_semi").groupBy("fp").agg(F.sort_array(F.collect_list("sig")).alias("s"))
-        first = by_set.select("fp", "s", F.posexplode("s").alias("at", "x"))
-        rest = first.select("fp", "x", F.explode(F.slice("s", F.col("at") + 2, F.greatest(F.size("s") - F.col("at") - 1, F.lit(0)))).alias("y")).select(F.xxhash64("x", "y").alias("sig"), "fp")
-        rest, block = mixed(rest), BLOCK
-        while rest.limit(1).count():
-            compare(rest, block)
-            rest, block = mixed(rest.where(F.col("rank") > block).select("sig", "fp")), block * 4
+        settle(close_pairs(mixed(rest.join(large, "sig", "left_semi").select("sig", "fp")), classes, threshold))
 
     if roots is None:
         roots = documents.sparkSession.createDataFrame([], "node long, root long")
