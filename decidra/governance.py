@@ -272,17 +272,66 @@ class Verdict:
 
 def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFrame, rule: Rule, costs: Costs | None = None, draws: int = DRAWS) -> Verdict:
     """Measures external scores (unit, score) on a sample, which is spent by it; scores are joined by unit, not by place."""
+    unit, scored = ledger._samples[sample].unit, _scored(ledger, sample, scores, "_a")
+    rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit, "left").withColumn("_rule", rule.score())
+    if rows.where(F.col("_a").isNull()).limit(1).count():
+        raise Blocked("observed units have no score")
+    names = ["auc", "brier", "log_loss", *(["net_benefit"] if costs else [])]
+    return Verdict(rows.count(), tuple(paired(rows, "_a", "_rule", LABEL, m, costs, draws, key=unit) for m in names))
+
+
+def _scored(ledger: SampleLedger, sample: str, scores: DataFrame, name: str) -> DataFrame:
+    """(unit, name) with types checked and one score for each unit."""
     unit = ledger._samples[sample].unit
-    checked = gate(scores.withColumn("_one", F.lit(1)), "score", "_one").drop("_one")
+    checked = gate(scores.withColumn("_one", F.lit(1)), "score", "_one")
     if scores.groupBy(unit).count().where("count > 1").limit(1).count():
         raise Blocked("a unit has several scores")
-    frame = ledger.checkout(sample, Purpose.MEASUREMENT)
-    rows = frame.where(F.col(LABEL).isNotNull()).join(checked.select(unit, "score"), unit, "left").withColumn("_rule", rule.score())
-    missing = rows.where(F.col("score").isNull()).limit(1).count()
-    if missing:
+    return checked.select(unit, F.col("score").alias(name))
+
+
+def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right: DataFrame, metrics: Sequence[str] = ("auc", "brier"), draws: int = DRAWS) -> Verdict:
+    """Two models' scores (unit, score) on the same rows of a sample, which one checkout spends."""
+    unit = ledger._samples[sample].unit
+    a, b = _scored(ledger, sample, left, "_a"), _scored(ledger, sample, right, "_b")
+    rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(a, unit, "left").join(b, unit, "left")
+    if rows.where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count():
         raise Blocked("observed units have no score")
-    names = ["auc", "brier", "log_loss", *(["net_benefit"] if costs else [])]
-    return Verdict(rows.count(), tuple(paired(rows, "score", "_rule", LABEL, m, costs, draws, key=unit) for m in names))
+    return Verdict(rows.count(), tuple(paired(rows, "_a", "_b", LABEL, m, draws=draws, key=unit) for m in metrics))
+
+
+@dataclass(frozen=True)
+class Stability:
+    windows: dict[str, Comparison | Unmeasured]
+
+    @property
+    def signs(self) -> set[int]:
+        """The signs of decisive differences; one sign, or none, is stable."""
+        return {1 if c.low > 0 else -1 for c in self.windows.values() if isinstance(c, Comparison) and c.decisive}
+
+    @property
+    def stable(self) -> bool:
+        return len(self.signs) <= 1
+
+
+def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFrame], rule: Rule, metric: str = "auc", draws: int = DRAWS) -> Stability:
+    """A metric against the rule in each window.  All windows are validated before any is spent."""
+    ready = {}
+    for sample, scores in predictions.items():
+        if sample not in ledger._samples:
+            raise Blocked(f"{sample} isn't registered")
+        if any(p is Purpose.MEASUREMENT for p, _ in ledger.history(sample)):
+            ledger.overrides.enforce("P1", True, f"{sample} was measured before")
+        s = ledger._samples[sample]
+        scored = _scored(ledger, sample, scores, "_a")
+        if s.frame.where(F.col(LABEL).isNotNull()).join(scored, s.unit, "left_anti").limit(1).count():
+            raise Blocked(f"observed units of {sample} have no score")
+        ready[sample] = scored
+    out = {}
+    for sample, scored in ready.items():
+        unit = ledger._samples[sample].unit
+        rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit).withColumn("_rule", rule.score())
+        out[sample] = paired(rows, "_a", "_rule", LABEL, metric, draws=draws, key=unit)
+    return Stability(out)
 
 
 @dataclass

@@ -169,3 +169,14 @@ def test_gate_refuses(spark):
         g.gate(spark.createDataFrame([(0.1, 2)], "s double, y int"), "s", "y")
     assert g.paired(spark.createDataFrame([(0.1, 0.2, 1)], "m double, r double, y int"), "m", "r", "y", "auc").reason == "a single class"
     assert "finite" in g.paired(spark.createDataFrame([(float("nan"), 0.2, 1)], "m double, r double, y int"), "m", "r", "y", "brier").reason
+
+
+def test_contrast_and_stability(spark):
+    result = run(parse(form()), world(spark))
+    lead = lambda name, sign=1: result.samples._samples[name].frame.select("entity_id", (0.5 + sign * 0.45 / (1 + F.col("lead_days"))).alias("score"))
+    stable = g.stability_across_windows(result.samples, {f"w{k}:evaluate": lead(f"w{k}:evaluate") for k in range(3)}, g.Rule(constant=0.5), draws=40)
+    assert stable.stable and stable.signs == {1}
+    with pytest.raises(g.Blocked):
+        g.stability_across_windows(result.samples, {"w0:evaluate": lead("w0:evaluate")}, g.Rule(constant=0.5), draws=5)
+    verdict = g.measure_contrast(result.samples, "reserve", lead("reserve"), lead("reserve", -1), ["auc"], draws=40)
+    assert verdict.comparisons[0].low > 0
