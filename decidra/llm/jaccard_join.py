@@ -8,7 +8,8 @@ of ``n2 - 1`` parts of every group is a signature, so such sets share a signatur
 
 Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket.  Buckets whose
 sets then are in one component are settled.  In the others, sets of different components are compared: those of small buckets
-by a join, those of large ones in blocks of rows by their sketches alone, which gives the few pairs that are close.  Sizes and parity sketches rule out most pairs without their texts.
+by a join, those of large ones in blocks of rows by their sketches alone: first a forest of close pairs, then the close
+pairs of sets that these haven't linked.  Sizes and parity sketches rule out most pairs without their texts.
 
 Elements are 64-bit hashes of words and sets are known by 64-bit fingerprints; everything else is exact.
 
@@ -247,14 +248,18 @@ def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (differ <= most)).select("a", "b", "id_a", "id_b")
 
 
-def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
+def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold, forest: bool) -> DataFrame:
     """Pairs (a, b) of different roots in buckets (sig, fp, root, rank) whose sizes and sketches don't rule out a link.
 
     A bucket's rows are dealt in chunks of ``CHUNK``, each pair of chunks to one group, so a group has 2 * CHUNK rows at most.
+    A pair is made in the lowest of the buckets that it shares.  ``forest``: only pairs that join trees of a group, each
+    row's nearest first, so fewer than the group has roots; over all groups they reach what all the pairs reach.
     """
     chunk = F.floor((F.col("rank") - 1) / CHUNK)
+    own = rows.groupBy("fp").agg(F.collect_set("sig").alias("sigs"))  # bounded by the layout of signatures
     dealt = rows.withColumn("chunk", chunk).withColumn("last", F.max("chunk").over(Window.partitionBy("sig"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    dealt = dealt.join(about.select("fp", "size", "sketch"), "fp").select("sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "root", "size", "sketch")
+    dealt = dealt.join(about.select("fp", "size", "sketch").join(own, "fp"), "fp")
+    dealt = dealt.select("sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "root", "size", "sketch", F.filter("sigs", lambda x: x < F.col("sig")).alias("lower"))
 
     def work(key, frame):
         import pandas as pd
@@ -263,6 +268,8 @@ def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
         words = min(map(len, f["sketch"]))
         bits = np.stack([_folded(np.asarray(s, np.int64), words) for s in f["sketch"]]).view(np.uint64)
         fp, root, size, side = (f[c].to_numpy(np.int64) for c in ("fp", "root", "size", "chunk"))
+        lower = [frozenset(x.tolist()) for x in f["lower"]]
+        tree = np.unique(root, return_inverse=True)[1]
         same, found = key[1] == key[2], [[], []]
         starts = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (side[1:] != side[:-1])]))
         for a, z in zip(starts, np.append(starts[1:], len(fp)), strict=True):
@@ -270,11 +277,20 @@ def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
                 break
             others = np.arange(z, len(fp)) if same else np.flatnonzero((side == key[2]) & (root != root[a]))
             for k in range(a, z):
-                fits = others[t.den * np.minimum(size[k], size[others]) >= t.num * np.maximum(size[k], size[others])]
+                fits = others[tree[others] != tree[k]] if forest else others
+                fits = fits[t.den * np.minimum(size[k], size[fits]) >= t.num * np.maximum(size[k], size[fits])]
                 most = size[k] + size[fits] - 2 * t.needed(size[k], size[fits])
-                near = fits[np.bitwise_count(bits[fits] ^ bits[k]).sum(1, dtype=np.int64) <= most]
-                found[0] += np.minimum(fp[k], fp[near]).tolist()
-                found[1] += np.maximum(fp[k], fp[near]).tolist()
+                differ = np.bitwise_count(bits[fits] ^ bits[k]).sum(1, dtype=np.int64)
+                near = fits[differ <= most]
+                if forest:
+                    near = near[np.argsort(differ[differ <= most], kind="stable")]
+                for x in near.tolist():
+                    if (forest and tree[x] == tree[k]) or not lower[k].isdisjoint(lower[x]):
+                        continue
+                    if forest:
+                        tree[tree == tree[x]] = tree[k]
+                    found[0].append(min(fp[k], fp[x]))
+                    found[1].append(max(fp[k], fp[x]))
         return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
 
     return dealt.groupBy("sig", "i", "j").applyInPandas(work, "a long, b long").distinct()
@@ -378,7 +394,10 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
     if rest.limit(1).count():
         large = rest.where(F.col("rank") > BLOCK).select("sig").distinct()
         compare(rest.join(large, "sig", "left_anti"), BLOCK)
-        settle(close_pairs(mixed(rest.join(large, "sig", "left_semi").select("sig", "fp")), classes, threshold))
+        members = rest.join(large, "sig", "left_semi").select("sig", "fp")
+        tried = written(close_pairs(mixed(members), classes, threshold, forest=True), "pairs")
+        settle(tried)  # most of what is linked is joined up by these
+        settle(close_pairs(mixed(members), classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti"))
 
     if roots is None:
         roots = documents.sparkSession.createDataFrame([], "node long, root long")
