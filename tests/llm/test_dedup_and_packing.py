@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from decidra.llm import jaccard_join
 from decidra.llm.graph import components
 from decidra.llm.jaccard_join import Threshold, signatures, similar_components, shingles
 from decidra.llm.packing import best_fit, packed, pieces
@@ -62,6 +63,28 @@ def test_components_equal_brute_force(spark, n, t):
     assert got == brute(rows, n, t)
 
 
+def test_large_buckets_in_many_chunks_equal_brute_force(spark, monkeypatch):
+    """Near copies about the threshold: most share buckets, some of them a link."""
+    called = []
+    close_pairs = jaccard_join.close_pairs
+    monkeypatch.setattr(jaccard_join, "close_pairs", lambda rows, *args, **more: called.append(rows.count()) or close_pairs(rows, *args, **more))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(70):
+        text = list(base)
+        for j in range(r.choice([2, 3, 4])):
+            text[r.randrange(len(text))] = f"x{k}.{j}"
+        rows.append((k, " ".join(text)))
+    t = Threshold(85, 100)
+    got = Counter(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, t).collect())
+    assert got == brute(rows, 4, t)
+    assert len(called) == 2 and called[0] > jaccard_join.CHUNK
+    assert 1 < len({c for _, _, c in got}) < 70
+
+
 def test_components_of_both_ways_agree(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(60)] + [(None, 5), (7, None), (9, 9)]
