@@ -3,7 +3,8 @@
 Words, numbers and sentence ends are read from a text; numbers, units after numbers and names (capitalised words that
 don't start a sentence, or that also stand within one) become typed placeholders.  Windows of the template are
 hash-joined with those of the benchmark items.  A second view keeps names as words, for passages whose punctuation or
-case was changed.  For each text and item the windows' places cover a share of the item, and the placeholders' values
+case was changed.  Windows of which numbers and units are more than half say too little as a template; a third view joins
+them with their values as they stand, so that copies are found and other numbers aren't.  For each text and item the windows' places cover a share of the item, and the placeholders' values
 must correspond: within one alignment, an item's value always stands for the same value of the text.
 
 The windows of a text are first held against a bit map of the benchmark's window hashes; its size has a fixed bound,
@@ -77,12 +78,16 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return tokens, np.flatnonzero(keep), h, slot
 
 
+def _typed(slot: np.ndarray, view: int) -> np.ndarray:
+    """Which words are placeholders in a view."""
+    return slot > (0, NAMELIKE, UNIT)[view]
+
+
 def windows(h: np.ndarray, slot: np.ndarray, view: int, n: int) -> np.ndarray:
-    """Hashes of all windows of ``n`` tokens in a view: 0 has all placeholders, 1 keeps names as words."""
+    """Hashes of all windows of ``n`` tokens in a view: 0 has all placeholders, 1 keeps names as words, 2 keeps all values."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    typed = slot > 0 if view == 0 else slot > NAMELIKE
-    x = np.where(typed, slot.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), h)
+    x = np.where(_typed(slot, view), slot.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), h)
     out = np.full(len(x) - n + 1, n, np.uint64)
     for k in range(n):
         out = out * _BASE + x[k : len(x) - n + 1 + k]
@@ -91,8 +96,8 @@ def windows(h: np.ndarray, slot: np.ndarray, view: int, n: int) -> np.ndarray:
 
 
 def _literal(slot: np.ndarray, view: int, n: int) -> np.ndarray:
-    """Words that aren't placeholders, in each window."""
-    typed = np.concatenate([[0], np.cumsum((slot > 0) if view == 0 else (slot > NAMELIKE))])
+    """Words that aren't placeholders, in each window; in view 2 those that wouldn't be in view 1."""
+    typed = np.concatenate([[0], np.cumsum(_typed(slot, min(view, 1)))])
     return n - (typed[n:] - typed[:-n])
 
 
@@ -107,9 +112,9 @@ def _rows(batches, id_column: str, chosen):
         cols = [[], [], [], [], [], []]
         for key, text in zip(b.column(id_column).to_pylist(), b.column("text").to_pylist(), strict=True):
             tokens, words, h, slot = template(text)
-            for view in (0, 1) if (slot == NAMELIKE).any() else (0,):
+            for view in (0, 1, 2) if (slot == NAMELIKE).any() else (0, 2):
                 for n, hashes, at in chosen(h, slot, view):
-                    typed = slot > 0 if view == 0 else slot > NAMELIKE
+                    typed = _typed(slot, view)
                     for p in at:
                         where = np.flatnonzero(typed[p : p + n])
                         values = (key, int(hashes[p].astype(np.int64)), int(p), n, len(words), [f"{slot[p + k]}:{tokens[words[p + k]].lower()}" for k in where])
@@ -123,7 +128,7 @@ def item_windows(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     def chosen(h, slot, view):
         n = min(WINDOW, len(h))
         if n >= shortest:
-            yield n, windows(h, slot, view, n), np.flatnonzero(_literal(slot, view, n) * 2 >= n)
+            yield n, windows(h, slot, view, n), np.flatnonzero((_literal(slot, view, n) * 2 >= n) == (view < 2))
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
     return arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA)
@@ -148,10 +153,15 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     def chosen(h, slot, view):
         known = shared.value
+        values = np.count_nonzero(slot > NAMELIKE) if view == 2 else 0
         for n in widths:
+            # a text's first word may follow a number elsewhere, so one value less will do
+            if view == 2 and (2 * values < n - 1 or len(h) < n or not (few := 2 * _literal(slot, view, n) <= n + 1).any()):
+                continue
             w = windows(h, slot, view, n)
             place = w >> np.uint64(64 - bits)
-            yield n, w, np.flatnonzero((known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1))
+            marked = (known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+            yield n, w, np.flatnonzero(marked if view < 2 else marked.astype(bool) & few)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
     hits = arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("width").alias("doc_width"), F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))

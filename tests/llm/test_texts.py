@@ -38,6 +38,14 @@ def test_decontamination_checks_slots(spark):
     assert got.count() == 0
 
 
+def test_decontamination_keeps_windows_of_numbers(spark):
+    items = [(0, "Compute 12 + 7 * 5 - 3 of 8"), (1, "The table reads 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 and ends there"), (2, "1 2 3 5 8 13 21 34 55 89"), (3, "Convert 5 km 300 m 20 cm 4 mm")]
+    docs = [(k, f"Before it stands a line. {t}. After it stands one.") for k, t in items] + [(9, "Compute 13 + 8 * 6 - 4 of 9. Then 2 3 4 6 9 14 22 35 56 90 and 6 km 400 m 30 cm 5 mm")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.kind) for r in matches(df, bench).collect()}
+    assert got == {(k, k): (1.0, "exact") for k in range(4)}
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
