@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
-Words, numbers and sentence ends are read from a text; numbers, units after numbers and names (capitalised words that
-don't start a sentence, or that also stand within one) become typed placeholders.  Windows of the template are
+Words, numbers and sentence ends are read from a text; numbers (English number words too), units after numbers and names
+(words with a capital first that don't start a sentence, or that also stand within one) become typed placeholders.
+Names that follow each other are one placeholder, and so is a number with the number words after it.  Windows of the template are
 hash-joined with those of the benchmark items.  A second view keeps names as words, for passages whose punctuation or
 case was changed.  Windows of which numbers and units are more than half say too little as a template; a third view joins
 them with their values as they stand, so that copies are found and other numbers aren't.  For each text and item the windows' places cover a share of the item, and the placeholders' values
@@ -38,25 +39,29 @@ MAP_BITS, MAP_BITS_LARGE, LARGE = 24, 27, 1_000_000
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 #: Unit words, as they follow a number.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent degree degrees celsius fahrenheit kelvin watt watts volt volts amp amps joule joules newton newtons hz khz mhz ghz kb mb gb tb".split())
-WORD, NAMELIKE, NUMBER, STOP, UNIT = range(5)
+#: Number words.
+SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+WORD, NAMELIKE, NUMBER, STOP, UNIT, NUMBER_WORD = range(6)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _about(token: str) -> int:
     """Hash and kind (the lowest three bits) of a token."""
     low = token.lower()
-    kind = NAMELIKE if token[0].isupper() and token[1:] == low[1:] and len(token) > 1 else WORD
+    kind = NAMELIKE if token[0].isupper() and len(token) > 1 else WORD
     if token in ".!?\n":
         kind = STOP
     elif token[0].isdigit():
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT
+    elif low in SPELLED:
+        kind = NUMBER_WORD
     return (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4) << 3 | kind
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens and which are words, these words' hashes, and the type of each placeholder (0: an ordinary word, else its kind)."""
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens and which are words, these words' hashes, the type of each placeholder (0: an ordinary word, else its kind), and which go on the placeholder before them."""
     tokens = TOKEN.findall(text or "")
     known = held("template tokens", dict)
     if len(known) > 600_000:
@@ -73,9 +78,12 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     if name.any() and first.any():
         name[first] = np.isin(h[first], h[name])
     slot = np.where(name, NAMELIKE, 0)
-    slot[kind == NUMBER] = NUMBER
-    slot[(kind == UNIT) & (after == NUMBER)] = UNIT
-    return tokens, np.flatnonzero(keep), h, slot
+    spelled = kind == NUMBER_WORD
+    slot[(kind == NUMBER) | spelled] = NUMBER
+    slot[(kind == UNIT) & ((after == NUMBER) | (after == NUMBER_WORD))] = UNIT
+    before = np.concatenate([[0], slot[:-1]]) if len(slot) else slot
+    goes_on = (after != STOP) & ((name & (before == NAMELIKE)) | (spelled & (before == NUMBER)))
+    return tokens, np.flatnonzero(keep), h, slot, goes_on
 
 
 def _typed(slot: np.ndarray, view: int) -> np.ndarray:
@@ -83,11 +91,22 @@ def _typed(slot: np.ndarray, view: int) -> np.ndarray:
     return slot > (0, NAMELIKE, UNIT)[view]
 
 
-def windows(h: np.ndarray, slot: np.ndarray, view: int, n: int) -> np.ndarray:
-    """Hashes of all windows of ``n`` tokens in a view: 0 has all placeholders, 1 keeps names as words, 2 keeps all values."""
-    if len(h) < n:
+def seen(h: np.ndarray, slot: np.ndarray, goes_on: np.ndarray, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of a view: the first word of each, its hash, and whether it is a placeholder (in view 2: would be in view 1).
+
+    View 0 has all placeholders, 1 keeps names as words, 2 keeps all values."""
+    typed = _typed(slot, view)
+    x = np.where(typed, slot.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), h)
+    if view == 2:
+        return np.arange(len(h)), x, _typed(slot, 1)
+    start = np.flatnonzero(~(goes_on & typed))
+    return start, x[start], typed[start]
+
+
+def windows(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of ``n`` places."""
+    if len(x) < n:
         return np.empty(0, np.uint64)
-    x = np.where(_typed(slot, view), slot.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), h)
     out = np.full(len(x) - n + 1, n, np.uint64)
     for k in range(n):
         out = out * _BASE + x[k : len(x) - n + 1 + k]
@@ -95,40 +114,48 @@ def windows(h: np.ndarray, slot: np.ndarray, view: int, n: int) -> np.ndarray:
     return out
 
 
-def _literal(slot: np.ndarray, view: int, n: int) -> np.ndarray:
-    """Words that aren't placeholders, in each window; in view 2 those that wouldn't be in view 1."""
-    typed = np.concatenate([[0], np.cumsum(_typed(slot, min(view, 1)))])
+def _literal(typed: np.ndarray, n: int) -> np.ndarray:
+    """Places that aren't placeholders, in each window."""
+    typed = np.concatenate([[0], np.cumsum(typed)])
     return n - (typed[n:] - typed[:-n])
 
 
-WINDOW_SCHEMA = "id long, hash long, pos int, width int, words int, slots array<string>"
+#: ``pos`` counts the places of view 0, which values of other lengths don't shift; ``first`` to ``last`` are the words that the window covers.
+WINDOW_SCHEMA = "id long, hash long, pos int, width int, first int, last int, words int, slots array<string>"
 
 
 def _rows(batches, id_column: str, chosen):
-    """Windows of texts as Arrow batches; ``chosen`` gives for (hashes, length of the text) the widths and places to keep."""
+    """Windows of texts as Arrow batches; ``chosen`` gives for a view's places the widths and windows to keep."""
     import pyarrow as pa
 
     for b in slices(batches):
-        cols = [[], [], [], [], [], []]
+        cols = [[] for _ in range(8)]
         for key, text in zip(b.column(id_column).to_pylist(), b.column("text").to_pylist(), strict=True):
-            tokens, words, h, slot = template(text)
+            tokens, words, h, slot, goes_on = template(text)
+            place = np.cumsum(~goes_on) - 1
             for view in (0, 1, 2) if (slot == NAMELIKE).any() else (0, 2):
-                for n, hashes, at in chosen(h, slot, view):
-                    typed = _typed(slot, view)
+                start, x, typed = seen(h, slot, goes_on, view)
+                for n, hashes, at in chosen(x, typed, view):
                     for p in at:
-                        where = np.flatnonzero(typed[p : p + n])
-                        values = (key, int(hashes[p].astype(np.int64)), int(p), n, len(words), [f"{slot[p + k]}:{tokens[words[p + k]].lower()}" for k in where])
+                        where = np.flatnonzero(typed[p : p + n]) + p if view < 2 else ()
+                        slots = [f"{slot[start[k]]}:{' '.join(tokens[words[j]].lower() for j in range(start[k], _end(start, k + 1, len(h))))}" for k in where]
+                        values = (key, int(hashes[p].astype(np.int64)), int(place[start[p]]), n, int(start[p]), int(_end(start, p + n, len(h))) - 1, len(words), slots)
                         for c, v in zip(cols, values, strict=True):
                             c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "hash", "pos", "width", "words", "slots"])
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.string())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "hash", "pos", "width", "first", "last", "words", "slots"])
+
+
+def _end(start: np.ndarray, k: int, words: int) -> int:
+    """Where the words of place ``k - 1`` end."""
+    return start[k] if k < len(start) else words
 
 
 def item_windows(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    def chosen(h, slot, view):
-        n = min(WINDOW, len(h))
+    def chosen(x, typed, view):
+        n = min(WINDOW, len(x))
         if n >= shortest:
-            yield n, windows(h, slot, view, n), np.flatnonzero((_literal(slot, view, n) * 2 >= n) == (view < 2))
+            yield n, windows(x, n), np.flatnonzero((_literal(typed, n) * 2 >= n) == (view < 2))
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
     return arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA)
@@ -151,23 +178,23 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     bits, widths = MAP_BITS_LARGE if about.n > LARGE else MAP_BITS, sorted(about.widths)
     shared = documents.sparkSession.sparkContext.broadcast(bit_map(items, bits))
 
-    def chosen(h, slot, view):
+    def chosen(x, typed, view):
         known = shared.value
-        values = np.count_nonzero(slot > NAMELIKE) if view == 2 else 0
+        values = np.count_nonzero(typed) if view == 2 else 0
         for n in widths:
             # a text's first word may follow a number elsewhere, so one value less will do
-            if view == 2 and (2 * values < n - 1 or len(h) < n or not (few := 2 * _literal(slot, view, n) <= n + 1).any()):
+            if view == 2 and (2 * values < n - 1 or len(x) < n or not (few := 2 * _literal(typed, n) <= n + 1).any()):
                 continue
-            w = windows(h, slot, view, n)
+            w = windows(x, n)
             place = w >> np.uint64(64 - bits)
             marked = (known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
             yield n, w, np.flatnonzero(marked if view < 2 else marked.astype(bool) & few)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
     hits = arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("width").alias("doc_width"), F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
-    found = hits.join(items, "hash").where("width = doc_width and size(slots) = size(doc_slots)").select("doc_id", F.col("id").alias("item_id"), "pos", "width", "words", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots")
+    found = hits.join(items, "hash").where("width = doc_width and size(slots) = size(doc_slots)").select("doc_id", F.col("id").alias("item_id"), "first", "last", "words", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots")
     found = written(found, "hits")
-    places = found.select("doc_id", "item_id", "words", F.explode(F.sequence("pos", F.col("pos") + F.col("width") - 1)).alias("place"))
+    places = found.select("doc_id", "item_id", "words", F.explode(F.sequence("first", "last")).alias("place"))
     cover = places.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("covered"), F.max("words").alias("words"))
     slot = found.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "doc_slots")).alias("s")).select("doc_id", "item_id", "shift", F.col("s.slots").alias("was"), F.col("s.doc_slots").alias("now"))
     mapped = slot.groupBy("doc_id", "item_id", "shift", "was").agg(F.min("now").alias("low"), F.max("now").alias("high"))

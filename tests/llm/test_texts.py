@@ -46,6 +46,18 @@ def test_decontamination_keeps_windows_of_numbers(spark):
     assert got == {(k, k): (1.0, "exact") for k in range(4)}
 
 
+def test_decontamination_finds_values_of_other_lengths(spark):
+    item = "Then John from New York has three apples, and Smith gives John twelve apples at NASA in New York. How many of three apples does John keep for Smith?"
+    swaps = {"John": "Mary Ann", "New York": "Paris", "three": "seventy five", "twelve": "12", "Smith": "McDonald", "NASA": "Intel"}
+    told = item
+    for a, z in swaps.items():
+        told = told.replace(a, z)
+    wrong = told.replace("Mary Ann keep", "Carla keep").replace("gives Mary Ann", "gives Bob Lee").replace("of seventy five", "of nine").replace("for McDonald", "for Jones")
+    df = spark.createDataFrame([(1, told), (2, item), (3, wrong), (4, item.upper())], "doc_id long, text string")
+    got = {r.doc_id: (r.coverage, r.kind) for r in matches(df, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()}
+    assert got.keys() == {1, 2, 4} and got[1] == (1.0, "re-parameterised") and got[2] == (1.0, "exact")
+
+
 def plain_pii(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
