@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences, hierarchical.
 
 Texts are tokenized where they lie.  The pieces, without their tokens, are dealt over partitions and packed there by
-best fit, longest first.  Nearly full bins are final; the others go up a tree as items of their own: several
-partitions' remaining bins meet in one and are packed again, until one partition is left.  A level's last task holds
-at most ``fan`` partitions' underfull bins, never the pieces of the corpus.
+best fit, longest first.  Nearly full bins are final, and so are those that the shortest remaining bin doesn't fit in;
+the others go up a tree as items of their own: several partitions' remaining bins meet in one and are packed again.
+A partition gets about ``per_task`` items at every level: where so many remain that less than half of the partitions
+can't hold them, bins of samples that large have found no partners, the tree ends, and several partitions' bins are the last.
 
 Defined results: a null text is empty and gives one piece, the end token alone.  Repeated rows (equal ids and texts)
 are packed one by one.  Null ids stay null.  Other columns are ignored; an empty table gives an empty result.  Ties
@@ -27,7 +28,7 @@ from .common import arrow_map, held, slices, text_or_empty, written
 SIZE, END = 4096, 1
 #: Bins with at most so many free places are final before the last level.
 NEARLY_FULL = 8
-#: Partitions whose remaining bins meet in one of the next level; pieces dealt to one partition of the first level, about.
+#: Partitions whose remaining bins meet in one of the next level at most; items dealt to one partition of a level, about.
 FAN, PIECES = 8, 20_000
 #: Different strings between spaces, and different words, whose ids a Python worker keeps.
 CACHE_STRINGS, CACHE_WORDS = 900_000, 1_000_000
@@ -225,6 +226,14 @@ def _level(size: int, limit: int, depth: int):
     return work
 
 
+def next_width(width: int, left: int, fan: int, per_task: int) -> int:
+    """Partitions of the next level for ``left`` bins of ``width`` partitions; 0 if there is none: no two bins are left, or too many for half of the partitions."""
+    if left < 2:
+        return 0
+    upper = max(-(-width // fan), -(-left // per_task))
+    return upper if upper <= -(-width // 2) else 0
+
+
 def packed(items: DataFrame, size: int = SIZE, fan: int = FAN, per_task: int = PIECES, nearly_full: int = NEARLY_FULL) -> DataFrame:
     """``items`` (with a length of 1 to ``size``) with sequence_id and offset; gapless, no sequence over ``size``.
 
@@ -238,14 +247,19 @@ def packed(items: DataFrame, size: int = SIZE, fan: int = FAN, per_task: int = P
     level = items.select(F.col("_uid").alias("id"), "length", cell.alias("cell"))
     above, depth = [], 0
     while True:
-        last = width == 1
+        last = width == 1  # its bins are all final
         done = written(level.groupBy("cell").applyInPandas(_level(size, size if last else nearly_full, depth), "id long, parent long, place long, fill long, final boolean, cell int, number long"), f"level-{depth}")
         above.append(done)
         if last:
             break
-        width = -(-width // fan)
-        level = done.where("not final and place = 0 and id = parent").select(F.col("parent").alias("id"), F.col("fill").alias("length"), (F.col("cell") % width).cast("int").alias("cell"))
-        depth += 1
+        left = done.where("not final and place = 0 and id = parent").select("id", F.col("fill").alias("length"))
+        shortest = left.agg(F.min("length")).first()[0]
+        left = left.where(F.col("length") <= size - shortest) if shortest else left.limit(0)
+        upper = next_width(width, left.count(), fan, per_task)
+        if not upper:
+            break
+        width, depth = upper, depth + 1
+        level = left.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int"))
     placed = above[-1].select("id", "number", "place")
     for lower in reversed(above[:-1]):
         up = placed.select(F.col("id").alias("parent"), F.col("number").alias("top"), F.col("place").alias("shift"))

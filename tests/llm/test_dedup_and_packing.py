@@ -5,10 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from decidra.llm import jaccard_join
+from decidra.llm import jaccard_join, packing
 from decidra.llm.graph import components
 from decidra.llm.jaccard_join import Threshold, signatures, similar_components, shingles
-from decidra.llm.packing import best_fit, packed, pieces
+from decidra.llm.packing import best_fit, next_width, packed, pieces
 from decidra.llm.queries_packing import vocabulary
 
 SCHEMA = "doc_id long, text string, size int, fp string"
@@ -163,3 +163,31 @@ def test_packing_round_trip(spark):
     total = sum(g.length for g in got)
     assert len(bins) <= -(-total // 4096) + 2
     assert packed(pieces(df.limit(0), vocabulary)).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 3])
+def test_packing_bounds_a_task_when_no_two_pieces_fit(spark, monkeypatch, small):
+    """Bins without partners don't meet in one task; small pieces among them change nothing."""
+    r = random.Random(4)
+    lengths = [r.randint(2100, 4000) for _ in range(600)] + [5] * small
+    sizes, real = spark.sparkContext.accumulator(0), packing._level
+
+    def level(size, limit, depth):
+        work = real(size, limit, depth)
+
+        def counted(key, frame):
+            sizes.add(max(0, len(frame) - 100))
+            return work(key, frame)
+
+        return counted
+
+    monkeypatch.setattr(packing, "_level", level)
+    got = packed(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long"), 4096, fan=8, per_task=50).collect()
+    assert sizes.value == 0
+    assert sorted((g.doc_id, g.length) for g in got) == list(enumerate(lengths))
+    assert len({g.sequence_id for g in got}) == 600
+
+
+def test_packing_levels_shrink():
+    assert next_width(1500, 30_000_000, 8, 20_000) == 0 and next_width(1500, 4_000_000, 8, 20_000) == 200 and next_width(1500, 100, 8, 20_000) == 188
+    assert next_width(3, 40, 2, 20) == 2 and next_width(2, 20, 2, 20) == 1 and next_width(5, 1, 8, 20) == 0
