@@ -7,8 +7,10 @@ content's length, which is zero below 16 MB: the separator is that byte, and lon
 
 Reading takes files whole (``binaryFile``; keep archives well below an executor's memory, as the writer does) and yields
 records.  A record whose compression, header, length or payload digest fails its check is skipped: the reader looks
-for the next member (or, in a plain archive, the next version line) from which a valid record can be read, goes on there and
-logs the bytes between as quarantined.
+for the next version line or, in a zipped archive, at the end of a member for the next member, from which a valid record can
+be read, goes on there and logs the bytes between as quarantined.  A member may hold any number of records; of one that breaks
+off, the records before the break are read.  A record that is longer than its member goes on in the next ones.  A member's
+content is held whole.
 
 Defined results: a null payload is empty.  Of equal payloads (of at least ``least`` bytes) the record with the largest id
 is the response, others revisit it; rows that repeat that id are responses all.  A null id counts as the smallest one
@@ -90,6 +92,14 @@ class Damaged(ValueError):
     """A record fails a check."""
 
 
+class Short(Damaged):
+    """A record is longer than the bytes given; ``need`` are wanted at least."""
+
+    def __init__(self, why: str, need: int) -> None:
+        super().__init__(why)
+        self.need = need
+
+
 def _headers(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.split(b"\r\n")[1:]:
@@ -107,7 +117,7 @@ def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict,
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
-        raise Damaged("header without an end")
+        raise Short("header without an end", len(data) + 1)
     head = _headers(data[at:end])
     try:
         length = int(head["content-length"])
@@ -115,6 +125,8 @@ def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict,
         raise Damaged("no length") from None
     block = data[end + 4 : end + 4 + length]
     after = end + 4 + length + 4
+    if length >= 0 and after > len(data):
+        raise Short("length doesn't fit", after)
     if length < 0 or len(block) < length or data[after - 4 : after] != b"\r\n\r\n":
         raise Damaged("length doesn't fit")
     kind = head.get("warc-type", "")
@@ -131,18 +143,23 @@ def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict,
 
 
 def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """("record", start, end, record) and ("gap", start, end, reason), in order; together they cover all bytes."""
+    """("record", start, end, record) and ("gap", start, end, reason), in order; together they cover all bytes.
+
+    Of several entries in one member each starts with the member, and the last one has its bytes; gaps within it name
+    their bytes of its content.  Records before the place where a member breaks off have no bytes, the gap that follows has.
+    """
     at, size, gap, why = 0, len(data), None, ""
     zipped_file = data[:2] == MEMBER[:2] or (not VERSION.match(data) and data.find(MEMBER) >= 0 and not VERSION.search(data))
     while at < size:
         try:
             if zipped_file:
-                content, after = _member(data, at)
-                found, used = parsed(content, 0)
-                if used != len(content):
-                    raise Damaged("more than a record in a member")
+                content, after, broken = _member(data, at)
+                entries, after, failed = _entries(data, content, after, broken)
+                if not entries:
+                    raise Damaged(failed)
             else:
                 found, after = parsed(data, at)
+                entries, broken = [("record", found)], None
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -157,32 +174,91 @@ def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         if gap is not None:
             yield "gap", gap, at, why
             gap = None
-        yield "record", at, after, found
-        at = after
+        for k, (entry, what) in enumerate(entries):
+            yield entry, at, after if k == len(entries) - 1 and not broken else at, what
+        if broken:
+            gap, why = at, broken
+            at = data.find(MEMBER, at + 1)
+            if at < 0:
+                break
+        else:
+            at = after
     if gap is not None:
         yield "gap", gap, size, why
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the member at ``at`` and of those that continue a record, and where the next one begins.
+def _entries(data: bytes, content: bytes, after: int, broken: str | None) -> tuple[list[tuple[str, dict | str]], int, str]:
+    """Records and gaps in a member's content (none if there is no record), where the next member begins, and the first failure."""
+    out, at, gap, why, first = [], 0, None, "", broken or "empty member"
+    while at < len(content):
+        begin = at
+        try:
+            try:
+                found, end = parsed(content, at)
+            except Short as e:
+                if broken:
+                    raise
+                content, after, found, end = _continued(data, content, after, at, e)
+        except Damaged as e:
+            if gap is None:
+                gap, why = at, str(e)
+                first = why if not out and not broken else first
+            m = VERSION.search(content, at + 1)
+            if not m:
+                break
+            at = m.start()
+            continue
+        if gap is not None:
+            out.append(("gap", f"{why} (content {gap} to {begin})"))
+            gap = None
+        out.append(("record", found))
+        at = end
+    has_record = any(e == "record" for e, _ in out)
+    if gap is not None and has_record and not broken:
+        out.append(("gap", f"{why} (content {gap} to {len(content)})"))
+    return out if has_record else [], after, first
 
-    It is fed in pieces, so that a member costs time for its own bytes alone.
+
+def _continued(data: bytes, content: bytes, after: int, at: int, short: Short) -> tuple[bytes, int, dict, int]:
+    """The record at ``at`` with the members that continue it: its bytes, and what follows them in the last of these members; where the next member begins; the record and its end.
+
+    A member that begins with a version line has a record of its own, unless the one before it is full.
     """
-    out, view = [], memoryview(data)
+    parts, have, full = [content[at:]], len(content) - at, len(content) >= MEMBER_BYTES
+    need = short.need - at
     while True:
-        d, begin, got = zlib.decompressobj(31), at, []
+        while have < need:
+            if data[after : after + 2] != MEMBER[:2]:
+                raise short
+            more, next_after, broken = _member(data, after)
+            if broken or not more or (VERSION.match(more) and not full):
+                raise short
+            parts.append(more)
+            have, after, full = have + len(more), next_after, len(more) >= MEMBER_BYTES
+        joined = b"".join(parts)
         try:
-            while not d.eof:
-                if at >= len(data):
-                    raise Damaged("member without an end")
-                got.append(d.decompress(view[at : at + 8192]))
-                at = min(len(data), at + 8192)
-        except zlib.error as e:
-            raise Damaged(f"compression: {e}") from None
-        at -= len(d.unused_data)
-        out += got
-        if sum(map(len, got)) < MEMBER_BYTES or at >= len(data) or begin == at:
-            return b"".join(out), at
+            found, end = parsed(joined, 0)
+        except Short as e:  # its header ends in a later member
+            parts, need = [joined], e.need
+            continue
+        return joined, after, found, end
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the member at ``at``, where the next one begins, and why it breaks off, if it does.
+
+    It is fed in pieces, so that a member costs time for its own bytes alone.
+    """
+    view, d, got = memoryview(data), zlib.decompressobj(31), []
+    try:
+        while not d.eof:
+            if at >= len(data):
+                return b"".join(got), at, "member without an end"
+            got.append(d.decompress(view[at : at + 8192]))
+            at = min(len(data), at + 8192)
+    except zlib.error as e:
+        return b"".join(got), at, f"compression: {e}"
+    return b"".join(got), at - len(d.unused_data), None
 
 
 SCHEMA = "file string, entry string, start long, end long, record_type string, record_id string, uri string, payload_digest string, payload_bytes long, refers_to string, reason string"

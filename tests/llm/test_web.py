@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -38,6 +40,32 @@ def test_salvage_checks_digests_and_ends():
     assert list(warc.salvaged(b"")) == [] and list(warc.salvaged(b"noise"))[0][:3] == ("gap", 0, 5)
 
 
+def test_salvage_reads_members_of_other_writers(monkeypatch):
+    plain = records(5, False)
+    one = lambda b: gzip.compress(b)
+    ids = lambda data: [(g[0], g[3]["id"][-2] if g[0] == "record" else g[1:3]) for g in warc.salvaged(data)]
+    want = [("record", str(k)) for k in range(5)]
+    # all records in one member, and several in each
+    for data in (one(b"".join(plain)), one(b"".join(plain[:2])) + one(b"".join(plain[2:]))):
+        got = list(warc.salvaged(data))
+        assert ids(data) == want and got[0][1] == 0 and got[-1][2] == len(data)
+        assert all(a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+    # damage within a member's content, and a member that breaks off
+    bad = plain[2].replace(b"payload 2", b"payload X", 1)
+    got = list(warc.salvaged(one(b"".join([*plain[:2], bad, *plain[3:]]))))
+    assert [g[3]["id"][-2] if g[0] == "record" else "-" for g in got] == ["0", "1", "-", "3", "4"] and "payload digest (content" in got[2][3]
+    noise = [warc.record(k, "u", p, digest(p), None) for k in range(6) for p in [random.Random(k).randbytes(20_000)]]
+    cut, whole = one(b"".join(noise[:5]))[:70_000], one(noise[5])
+    got = list(warc.salvaged(cut + whole))
+    assert [g[3]["id"][-2] if g[0] == "record" else "-" for g in got] == ["0", "1", "2", "-", "5"] and got[3][:3] == ("gap", 0, len(cut)) and got[4][1:3] == (len(cut), len(cut + whole))
+    # full members: a whole record isn't continued, a longer one is
+    monkeypatch.setattr(warc, "MEMBER_BYTES", len(plain[3]))
+    assert ids(one(plain[3]) + one(plain[4]) + one(plain[2])) == [("record", "3"), ("record", "4"), ("record", "2")]
+    assert ids(warc.zipped(plain[4]) + warc.zipped(plain[2])) == [("record", "4"), ("record", "2")]
+    short = one(plain[4][:-10])
+    assert ids(short + one(plain[1])) == [("gap", (0, len(short))), ("record", "1")]
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u\r\n4", ""), (5, "u5", "é" * 1000), (None, "u6", "same"), (7, "u7", "seven"), (7, "u7", "seven"), (8, "u8", "x" * 20_000_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
