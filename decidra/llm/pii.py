@@ -1,7 +1,8 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that adds what they miss.
 
 The patterns (e-mail, IP, card, phone) give the base spans.  The field's nodes are the tokens of a text that have a
-digit or an at sign.  Neighbouring nodes share a chain potential; nodes with the same digits or letters, however far
+digit or an at sign: what stands between white space, quotes, commas, semicolons, colons, equals signs, brackets (but round
+ones) and the borders of base spans.  Neighbouring nodes share a chain potential; nodes with the same digits or letters, however far
 apart, and nodes that end with the same seven digits or have the same mail domain share skip potentials, each with the next such node.
 Tokens in base spans are observed; loopy belief propagation gives the others' marginals, so an entity that is written
 as a pattern once is found where it is written otherwise.  The potentials are trained in numpy by pseudo-likelihood on
@@ -15,9 +16,11 @@ Base spans of different kinds may overlap; added ones overlap no span.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARK, _SPACE = re.compile(r"[0-9@]"), re.compile(r"\s")
+_FIELD = re.compile(r"""[^"'`\u2018-\u201f\u00ab\u00bb,;:=\[\]{}<>]+""")
 
 
 def _digits(s: str) -> str:
@@ -84,17 +88,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def nodes(text: str) -> list[tuple[int, int]]:
-    """Places of the tokens with a digit or an at sign, without punctuation around them."""
-    out = []
+def nodes(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[int, int]]:
+    """Places of the tokens with a digit or an at sign, without punctuation around them; none lies across a border of a base span."""
+    out, borders = [], sorted({k for _, start, end in base for k in (start, end)})
     for at in _runs(text):
-        a, z = at
-        while a < z and not (text[a].isalnum() or text[a] in "+("):
-            a += 1
-        while z > a and not (text[z - 1].isalnum() or text[z - 1] == ")"):
-            z -= 1
-        if a < z:
-            out.append((a, z))
+        for m in _FIELD.finditer(text, *at):
+            cuts = borders[bisect_right(borders, m.start()) : bisect_right(borders, m.end() - 1)]
+            for a, z in zip([m.start(), *cuts], [*cuts, m.end()], strict=True):
+                if not _MARK.search(text, a, z):
+                    continue
+                while a < z and not (text[a].isalnum() or text[a] in "+("):
+                    a += 1
+                while z > a and not (text[z - 1].isalnum() or text[z - 1] == ")"):
+                    z -= 1
+                if a < z:
+                    out.append((a, z))
     return out
 
 
@@ -121,7 +129,7 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """What is seen of each node: its characters and the word before it."""
     out = np.zeros((len(spans), FEATURES), np.float32)
     for k, (a, z) in enumerate(spans):
-        token, x = text[a : min(z, a + 200)], out[k]
+        token, x = text[a:z], out[k]
         d, n = len(_digits(token)), z - a
         dots, alphas = token.count("."), sum(c.isalpha() for c in token)
         x[0] = 1
@@ -160,7 +168,7 @@ def edges(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]
 
 
 def observed(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> np.ndarray:
-    """The label of each node by the base spans (0: none, else kind + 1), or -1 if it is only partly covered."""
+    """The label of each node by the base spans (0: none, else kind + 1); spans' borders part nodes, so they cover a node or miss it."""
     out, b, j = np.zeros(len(spans), np.int64), sorted(base, key=lambda s: s[1]), 0
     for k, (a, z) in enumerate(spans):
         while j < len(b) and b[j][2] <= a:
@@ -204,8 +212,26 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, links: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Field:
-    """Pseudo-likelihood: each node's label given its neighbours' labels, by gradient descent with momentum."""
+def neighbours(links: list[tuple[int, int, int]], y: np.ndarray) -> np.ndarray:
+    """(node, edge kind, label): how many neighbours of each kind have each label."""
+    out = np.zeros((len(y), 3, len(KINDS) + 1))
+    if links:
+        a, b, kind = np.array(links, np.int64).T
+        np.add.at(out, (a, kind, y[b]), 1)
+        np.add.at(out, (b, kind, y[a]), 1)
+    return out
+
+
+def sampled(text: str, spans: list[tuple[int, int]], most: int) -> list[int]:
+    """At most ``most`` nodes of the whole text, by a hash of their tokens and numbers."""
+    if len(spans) <= most:
+        return list(range(len(spans)))
+    hashed = lambda k: xxhash.xxh3_64_intdigest(f"{k} {text[slice(*spans[k])]}".encode("utf-8", "surrogatepass"))
+    return sorted(sorted(range(len(spans)), key=hashed)[:most])
+
+
+def train(x: np.ndarray, around: np.ndarray, y: np.ndarray, steps: int = 400, decay: float = 1e-3) -> Field:
+    """Pseudo-likelihood: each node's label given its neighbours' labels (``around``), by gradient descent with momentum."""
     labels = len(KINDS) + 1
     unary, pair = np.zeros((FEATURES, labels)), np.zeros((3, labels, labels))
     pair[1] += 2.0 * np.eye(labels)
@@ -213,11 +239,8 @@ def train(x: np.ndarray, links: np.ndarray, y: np.ndarray, steps: int = 400, dec
     if not len(x):
         unary[0, 0] = 3.0
         return Field(unary, pair)
-    links = links.reshape(-1, 3)
     one = np.eye(labels)
-    counts = np.zeros((3, len(x), labels))
-    for a, b, kind in ((links[:, 0], links[:, 1], links[:, 2]), (links[:, 1], links[:, 0], links[:, 2])):
-        np.add.at(counts, (kind, a), one[y[b]])
+    counts = around.transpose(1, 0, 2)
     start = pair.copy()
     speed = [np.zeros_like(unary), np.zeros_like(pair)]
     rate = np.where(np.bincount(y, minlength=labels) > 0, len(y) / labels / np.maximum(1, np.bincount(y, minlength=labels)), 0).clip(0.1, 5)[y]
@@ -234,7 +257,7 @@ def train(x: np.ndarray, links: np.ndarray, y: np.ndarray, steps: int = 400, dec
 
 
 def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_nodes: int = SAMPLE_NODES) -> Field:
-    """Trains on at most ``sample_texts`` texts with a digit or at sign, chosen by a hash of the text, and ``sample_nodes`` nodes of each."""
+    """Trains on at most ``sample_texts`` texts with a digit or at sign, chosen by a hash of the text, and ``sample_nodes`` nodes of each, chosen by a hash from all of them."""
 
     def described(batches):
         import pyarrow as pa
@@ -242,32 +265,30 @@ def fit(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_nodes: in
         for b in slices(batches):
             cols = [[], [], []]
             for t in b.column("text").to_pylist():
-                spans = nodes(t)[:sample_nodes]
-                for c, v in zip(cols, (features(t, spans).ravel().tolist(), [v for e in edges(t, spans) for v in e], observed(spans, base_spans(t)).tolist()), strict=True):
+                base = base_spans(t)
+                spans = nodes(t, base)
+                y, chosen = observed(spans, base), sampled(t, spans, sample_nodes)
+                around = neighbours(edges(t, spans), y)[chosen]
+                for c, v in zip(cols, (features(t, [spans[k] for k in chosen]).ravel().tolist(), around.astype(np.float32).ravel().tolist(), y[chosen].tolist()), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.float32())), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], ["x", "links", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(pa.float32())), pa.array(cols[1], pa.list_(pa.float32())), pa.array(cols[2], pa.list_(pa.int64()))], ["x", "around", "y"])
 
     with_node = documents.select(text_or_empty().alias("text")).where(F.col("text").rlike("[0-9@]"))
     # the ids of the sample are found by hashes first, so only its texts are gathered
     hashes = with_node.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample_texts).collect()
     if not hashes:
-        return train(np.zeros((0, FEATURES)), np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        return train(np.zeros((0, FEATURES)), np.zeros((0, 3, len(KINDS) + 1)), np.zeros(0, np.int64))
     most = hashes[-1].h
-    rows = with_node.where(F.xxhash64("text") <= most).dropDuplicates(["text"]).limit(sample_texts).mapInArrow(described, "x array<float>, links array<long>, y array<long>").collect()
-    rows = sorted(rows, key=lambda r: (r.y, r.links, r.x))
-    shift, links = 0, []
-    for r in rows:
-        e = np.array(r.links, np.int64).reshape(-1, 3)
-        links.append(e + np.array([shift, shift, 0]))
-        shift += len(r.y)
-    x = np.concatenate([np.array(r.x, np.float64).reshape(-1, FEATURES) for r in rows])
-    return train(x, np.concatenate(links), np.concatenate([np.array(r.y, np.int64) for r in rows]))
+    rows = with_node.where(F.xxhash64("text") <= most).dropDuplicates(["text"]).limit(sample_texts).mapInArrow(described, "x array<float>, around array<float>, y array<long>").collect()
+    rows = sorted(rows, key=lambda r: (r.y, r.around, r.x))
+    x, around = (np.concatenate([np.array(r[c], np.float64) for r in rows]) for c in ("x", "around"))
+    return train(x.reshape(-1, FEATURES), around.reshape(-1, 3, len(KINDS) + 1), np.concatenate([np.array(r.y, np.int64) for r in rows]))
 
 
 def spans_of(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text its base spans and the added ones."""
     base = [base_spans(t) for t in texts]
-    places = [nodes(t) for t in texts]
+    places = [nodes(t, b) for t, b in zip(texts, base, strict=True)]
     shift, xs, links, seen = 0, [], [], []
     for t, b, p in zip(texts, base, places, strict=True):
         if p:
@@ -286,7 +307,7 @@ def spans_of(texts: list[str], field: Field) -> list[tuple[list, list]]:
         for a, z in place:
             kind, k = label[k], k + 1
             if kind:
-                if added and added[-1][0] == KINDS[kind - 1] and a - added[-1][2] <= 1:
+                if added and added[-1][0] == KINDS[kind - 1] and t[added[-1][2] : a].isspace() and a - added[-1][2] == 1:
                     added[-1][2] = z
                 else:
                     added.append([KINDS[kind - 1], a, z])

@@ -100,6 +100,28 @@ def test_skip_edges_carry_labels(spark):
     assert spans.digest([], pii.KINDS) == hashlib.sha256(b"").hexdigest()
 
 
+def test_fields_of_a_run_are_nodes(spark):
+    cut = lambda t: [t[a:z] for a, z in pii.nodes(t, pii.base_spans(t))]
+    assert cut('{"m":"a@b.org","p":"(212)555-0199","n":[3]}') == ["a@b.org", "(212)555-0199", "3"]
+    assert cut("id=7;x@y.net/212.555.0199,10.0.0.1:80") == ["7", "x@y.net", "212.555.0199", "10.0.0.1", "80"]
+    odd = '{"u":"a1@b.org","tel":"(212)555-0199"}'
+    assert pii.observed(pii.nodes(odd, pii.base_spans(odd)), pii.base_spans(odd)).tolist() == [1, 0]
+    rows = [(k, f"word {k} +1 (2{k % 90 + 10}) 555-0{k:03d} and page {k} of 9 and mail u{k}@ex{k}.org then 10.0.{k}.7 ok") for k in range(200)]
+    rows.append((900, "Call me: +1 (212) 555-0199 tonight. mail=a1@b.org;phone=(212) 555-0199,room=12"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    field = pii.fit(df)
+    out = {r.doc_id: r.new for r in pii.found(df, field, lambda t, base, added: (pii.redacted(t, base + added),), "new string").collect()}
+    assert out[900] == "Call me: [phone] tonight. mail=[email];phone=[phone],room=12"
+
+
+def test_training_nodes_come_from_the_whole_text():
+    text = " ".join(f"n{k}" for k in range(2000))
+    chosen = pii.sampled(text, pii.nodes(text), 100)
+    assert len(chosen) == 100 and chosen == sorted(set(chosen)) and chosen[-1] > 1500 and chosen[50] > 500
+    around = pii.neighbours([(0, 1, 0), (1, 2, 2)], np.array([3, 0, 1]))
+    assert around[1, 0, 3] == around[1, 2, 1] == around[0, 0, 0] == around[2, 2, 0] == 1 and around.sum() == 4
+
+
 def test_marginals_equal_enumeration():
     """On a chain, message passing is exact."""
     r = np.random.default_rng(0)
