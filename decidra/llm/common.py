@@ -35,11 +35,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/decidra/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting that a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: cuts lineage and survives lost executors.
+
+    The shuffles that made it are deleted when it is written.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_or_empty(column: str = "text"):

@@ -1,10 +1,13 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A text's set holds the hashes of its distinct word n-grams.  Sets are banded by size; within a band, two sets that
-reach the threshold differ in at most ``k`` elements.  The domain of elements is split into ``n1`` groups of ``n2``
-parts; with ``n1 > k / 2`` some group holds one difference at most, so all but one of its parts agree.  Every subset
-of ``n2 - 1`` parts of every group is a signature, so such sets share a signature.  With ``spare`` more groups they share
-``spare + 1``; a set matches on empty parts only if ``spare`` or more of its groups have any.
+A text's set holds the hashes of its distinct word n-grams.  Sets are banded by size; for a smaller set of ``a`` elements
+two sets that reach the threshold differ in at most ``D(a)`` elements.  A band splits the domain of elements into groups of
+``parts`` parts, and every subset of all parts but one of a group is a signature.  A set of ``a`` elements uses the first
+``D(a) // 2 + 1 + spare`` groups: in one more than ``spare`` of them two such sets differ in one part at most, so they share
+``share = 2 * spare + 1`` signatures at least (:class:`Band`).
+
+That more than one is shared is made use of: of each set's signatures without elements and those in the largest
+buckets, ``share - 1`` are left out; the others of two linked sets still meet in one, as all follow one order.
 
 Sets that share a signature are never all paired.  Each set is compared with the smallest of its bucket.  Buckets whose
 sets then are in one component are settled.  In the others, sets of different components are compared: those of small buckets
@@ -28,17 +31,20 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held, slices, text_or_empty, written
-from .decontamination import bit_map
+from .common import arrow_map, dropped, held, slices, text_or_empty, written
 from .graph import components
 
 #: Sets of a bucket up to which a join compares them.
 BLOCK = 16
-#: Rows of a large bucket that are compared with as many others in one group.
+#: Rows of a large bucket, about, that are compared with as many others in one group.
 CHUNK = 2048
+#: Words of sketches that are compared at a time.
+SLAB = 2_000_000
+#: Share of a set's signatures that may lie in the largest buckets, besides those without elements, before these buckets are read.
+HOT = 0.1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -88,91 +94,118 @@ class Threshold:
     def largest(self, a: int) -> int:
         return self.den * a // self.num
 
-    def bands(self, most: int) -> list[tuple[int, int, int]]:
-        """(low, high, k) for the size of the smaller set of a pair; k: differences at most."""
+    def differences(self, sizes: np.ndarray) -> np.ndarray:
+        """D: what a set of this size and a linked one that isn't smaller differ in at most; never falls with the size."""
+        sizes = np.asarray(sizes, np.int64)
+        few = _few(self)
+        real = (self.den - self.num) * (sizes + self.largest(sizes)) // (self.den + self.num)  # never below the exact one
+        return np.where(sizes < len(few), few[np.minimum(sizes, len(few) - 1)], real)
+
+    def bands(self, most: int) -> list[Band]:
         return list(_bands(self, 1 << max(6, int(most).bit_length())))
 
 
 @lru_cache
-def _bands(t: Threshold, most: int) -> tuple:
-    out, low = [], 1
-    while low <= most:
-        high = t.largest(low)
-        sizes = [(a, b) for a in {low, high, *range(max(low, high - 40), high + 1)} for b in {t.largest(a), max(a, t.largest(a) - 1), max(a, t.largest(a) - 2)}]
-        if high - low < 400:
-            sizes = [(a, b) for a in range(low, high + 1) for b in range(a, t.largest(a) + 1)]
-            k = max(a + b - 2 * t.needed(a, b) for a, b in sizes)
-        else:  # the real-valued bound is never below the exact one
-            k = int((t.den - t.num) * (high + t.largest(high)) / (t.den + t.num))
-        out.append((low, high, k))
-        low = high + 1
-    return tuple(out)
+def _few(t: Threshold) -> np.ndarray:
+    """The differences of small sizes, counted out."""
+    most = [max((a + b - 2 * t.needed(a, b) for b in range(a, t.largest(a) + 1)), default=0) for a in range(1, 400)]
+    return np.maximum.accumulate(np.array([0, *most], np.int64))
 
 
 @dataclass(frozen=True)
-class Layout:
-    """Groups and parts for k differences."""
+class Band:
+    """Signatures of pairs whose smaller set has ``low`` to ``high`` elements: groups of ``parts`` parts, ``spare`` more groups than needed."""
 
+    low: int
+    high: int
     groups: int
     parts: int
     spare: int
 
+    @property
+    def share(self) -> int:
+        """Signatures that two linked sets share at least: ``g = D // 2 + 1 + spare`` groups give ``2 * g - D`` or more, however D differences fall."""
+        return 2 * self.spare + 1
+
     @staticmethod
-    def of(k: int) -> Layout:
-        spare = 1 if k <= 16 else 3
-        return Layout((k + 2) // 2 + spare, 3 if k <= 16 else 2, spare)
+    def of(t: Threshold, low: int, high: int) -> Band:
+        """``spare`` is as large as empty signatures of the band's smallest sets, and hot ones of all, are likely to need."""
+        least, most = t.differences([low, high])
+        parts = 3 if most <= 16 else 2
+        fits = []
+        for spare in range(1, 3 + int(most) // 3):
+            groups = int(most) // 2 + 1 + spare
+            count = parts * (int(least) // 2 + 1 + spare)
+            empty = count * np.exp(-low * (parts - 1) / (groups * parts))
+            lacking = empty + 3 * np.sqrt(empty) + HOT * count - 2 * spare
+            fits.append((max(0.0, lacking), spare, groups))
+        _, spare, groups = min(fits)
+        return Band(low, high, groups, parts, spare)
 
 
-def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of all sets, and the index of each one's set."""
-    sizes = np.array([len(s) for s in sets])
+@lru_cache
+def _bands(t: Threshold, most: int) -> tuple:
+    out, low = [], 1
+    while low <= most and t.differences([low])[0] == 0:  # such sets are linked with equal ones only
+        low += 1
+    while low <= most:
+        high = t.largest(t.largest(low))
+        out.append(Band.of(t, low, high))
+        low = high + 1
+    return tuple(out)
+
+
+def signatures(sets: list[np.ndarray], t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of all sets, the index of each one's set, and for each set how many it shares with any linked set, at
+    least, in even and in odd bands.  A signature's lowest bit says whether its band is odd."""
+    sizes = np.array([len(s) for s in sets], np.int64)
     bands = t.bands(sizes.max(initial=1))
-    lows = np.array([b[0] for b in bands])
+    lows, highs = np.array([b.low for b in bands]), np.array([b.high for b in bands])
     own = np.searchsorted(lows, sizes, side="right") - 1
-    which, band = [], []
-    for k in range(len(sets)):
-        if sizes[k]:
-            for b in (own[k], own[k] - 1):
-                if b >= 0 and bands[b][2] > 0 and t.largest(bands[b][1]) >= sizes[k]:
-                    which.append(k)
-                    band.append(b)
-    out, owners = [], []
-    which, band = np.array(which, np.int64), np.array(band, np.int64)
+    sets_of, band_of = [], []
+    for back in (0, 1):  # as the smaller set of a pair, and as the larger one of a pair of the band before
+        b = own - back
+        fits = np.flatnonzero((b >= 0) & ((sizes <= highs[b]) | (sizes <= t.largest(highs[b]))))
+        sets_of.append(fits)
+        band_of.append(b[fits])
+    sets_of, band_of = np.concatenate(sets_of), np.concatenate(band_of)
+    out, owners, room = [], [], np.zeros((len(sets), 2), np.int64)
     for parts in (2, 3):
-        pick = np.array([Layout.of(bands[b][2]).parts == parts for b in band], bool)
+        pick = np.array([bands[b].parts == parts for b in band_of], bool)
         if not pick.any():
             continue
-        w, b = which[pick], band[pick]
-        layouts = [Layout.of(bands[x][2]) for x in b]
-        groups, spare = np.array([x.groups for x in layouts]), np.array([x.spare for x in layouts])
-        first = np.concatenate([[0], np.cumsum(groups * parts)])
+        w, b = sets_of[pick], band_of[pick]
+        groups, spare = np.array([bands[x].groups for x in b]), np.array([bands[x].spare for x in b])
+        used = t.differences(np.minimum(sizes[w], highs[b])) // 2 + 1 + spare
+        first = np.concatenate([[0], np.cumsum(used * parts)])
         h = np.concatenate([sets[k] for k in w])
         at = np.repeat(np.arange(len(w)), sizes[w])
         part = (((mix(h ^ _C[3]) >> np.uint64(32)) * (groups * parts)[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        place = first[at] + part
+        inside = part < (used * parts)[at]
+        place, value = (first[at] + part)[inside], mix(h[inside] + _C[0])
         order = np.argsort(place, kind="stable")
-        place, value = place[order], mix(h + _C[0])[order]
-        sums, count = np.zeros(first[-1], np.uint64), np.bincount(place, minlength=first[-1])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        count = np.bincount(place, minlength=first[-1])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
         ends = np.cumsum(count)
-        sums = total[ends] - total[ends - count]
-        sums, count = sums.reshape(-1, parts), count.reshape(-1, parts)
-        of_pair = np.repeat(np.arange(len(w)), groups)
-        group = np.arange(len(of_pair)) - np.repeat(first[:-1] // parts, groups)
+        sums, count = (total[ends] - total[ends - count]).reshape(-1, parts), count.reshape(-1, parts)
+        pair = np.repeat(np.arange(len(w)), used)
+        group = np.arange(len(pair)) - np.repeat(first[:-1] // parts, used)
         chosen = list(combinations(range(parts), parts - 1))
         empty = np.stack([count[:, list(c)].sum(1) == 0 for c in chosen], 1)
-        weak = np.bincount(of_pair, empty.any(1), len(w)) > spare - 1
-        base = mix(b[of_pair].astype(np.uint64) * _C[0] + mix(group.astype(np.uint64) * np.uint64(8) + np.uint64(parts)))
+        left = 2 * spare + 1 - np.bincount(pair, empty.sum(1), len(w)).astype(np.int64)
+        room[w, b & 1] = left
+        base = mix(b[pair].astype(np.uint64) * _C[0] + mix(group.astype(np.uint64) * np.uint64(8) + np.uint64(parts)))
+        odd = (b[pair] & 1).astype(np.uint64)
         for j, c in enumerate(chosen):
             sig = base + np.uint64(j)
             for p in c:
                 sig = mix(sig * _C[3] + sums[:, p])
-            keep = ~empty[:, j] | weak[of_pair]
-            out.append(sig[keep])
-            owners.append(w[of_pair[keep]])
+            keep = ~empty[:, j] | (left <= 0)[pair]
+            out.append((sig[keep] & ~np.uint64(1)) | odd[keep])
+            owners.append(w[pair[keep]])
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(owners)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), room
+    return np.concatenate(out), np.concatenate(owners), room
 
 
 def fingerprint(s: np.ndarray) -> np.int64:
@@ -189,52 +222,75 @@ def sketch(s: np.ndarray) -> list[int]:
 def prepared(documents: DataFrame, n: int, t: Threshold) -> DataFrame:
     """Texts are read once, for rows of two sorts.
 
-    (doc_id, size, fp, sketch) of each text; and (sig, fp, more): a signature, the smallest set that has it within a
-    slice of rows, and the others of the slice.
+    (doc_id, size, fp, sketch, room) of each text, room being how many signatures its set shares with any linked one at
+    least, in even and in odd bands; and (sig, fp) of each signature, once or more.
     """
 
     def work(batches):
         import pyarrow as pa
 
-        names = ["doc_id", "size", "fp", "sketch", "sig", "more"]
+        names = ["doc_id", "size", "fp", "sketch", "room", "sig"]
         longs, none = pa.list_(pa.int64()), lambda k, kind=pa.int64(): pa.nulls(k, kind)
         seen: set[int] = set()
-        for b in slices(batches, rows=500, chars=2_000_000):
-            sets, fps, new_sets, new = [], [], [], []
-            for text in b.column("text").to_pylist():
-                s = shingles(text, n)
-                fp = int(fingerprint(s))
-                sets.append(s)
-                fps.append(fp)
-                if len(s) and fp not in seen:
+        for b in slices(batches, rows=500, chars=1_000_000):
+            sets = [shingles(text, n) for text in b.column("text").to_pylist()]
+            fps = np.array([fingerprint(s) for s in sets], np.int64)
+            sig, owner, room = signatures(sets, t)
+            about = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([sketch(s) if len(s) else None for s in sets], longs), pa.array(room.tolist(), longs)]
+            yield pa.RecordBatch.from_arrays([*about, none(len(sets))], names)
+            fresh = np.zeros(len(sets), bool)
+            for k, fp in enumerate(fps.tolist()):
+                if fp not in seen:
                     seen.add(fp)
-                    new_sets.append(s)
-                    new.append(fp)
+                    fresh[k] = True
             if len(seen) > 50_000:
                 seen.clear()
-            k = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], longs), none(k), none(k, longs)], names)
-            sig, owner = signatures(new_sets, t)
-            fp = np.array(new, np.int64)[owner] if len(owner) else np.empty(0, np.int64)
-            order = np.lexsort((fp, sig))
+            new = fresh[owner]
+            sig, fp = sig[new].view(np.int64), fps[owner[new]]
+            order = np.argsort(fp, kind="stable")
             sig, fp = sig[order], fp[order]
-            fresh = np.concatenate([np.ones(min(1, len(sig)), bool), sig[1:] != sig[:-1]])
-            starts = np.flatnonzero(fresh)
-            extra = np.diff(np.append(starts, len(sig))) - 1
-            more = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(extra)]).astype(np.int32)), pa.array(fp[~fresh]))
-            for k in range(0, len(starts), 50_000):
-                part, m = starts[k : k + 50_000], len(starts[k : k + 50_000])
-                yield pa.RecordBatch.from_arrays([none(m), none(m), pa.array(fp[part]), none(m, longs), pa.array(sig[part].view(np.int64)), more[k : k + 50_000]], names)
+            for k in range(0, len(sig), 50_000):
+                part = sig[k : k + 50_000]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([none(m), none(m), pa.array(fp[k : k + 50_000]), none(m, longs), none(m, longs), pa.array(part)], names)
+
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), work, "doc_id long, size long, fp long, sketch array<long>, room array<long>, sig long")
 
-    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), work, "doc_id long, size long, fp long, sketch array<long>, sig long, more array<long>")
 
+def marked(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose hashed ``key`` a bit map of ``wanted.hash`` has: of 8 MB at most, made by Spark, so a join must follow."""
+    spark, bits = rows.sparkSession, min(26, max(16, 3 + int(wanted.count()).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    set_bits = wanted.select(F.shiftright(place, 6).alias("id"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - bits}) & 63))").alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    whole = spark.range(1 << (bits - 6)).join(set_bits, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))["bits"].alias("bits"))
+    place = F.shiftrightunsigned(key, 64 - bits)
+    return rows.where(F.getbit(F.get(written(whole, "marks").scalar(), F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1)
 
-def met(signs: DataFrame) -> DataFrame:
-    """(sig, lead, fp) for every set that shares a signature with a smaller one, the smallest of its bucket or slice."""
-    seen = Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = signs.withColumn("lead", F.first("fp").over(seen)).where("lead <> fp or size(more) > 0")
-    pairs = F.concat(F.when(F.col("lead") != F.col("fp"), F.array("fp")).otherwise(F.array().cast("array<long>")), F.filter("more", lambda m: m != F.col("lead")))
-    return rows.select("sig", "lead", F.explode(pairs).alias("fp"))
+
+def members(signs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, fp) of the signatures by which a set must be compared with others.
+
+    Signatures are counted first, so that the others, most by far, are never dealt with their sets.  Of a set's shared
+    signatures the ``room - 1`` of the largest buckets are left out: of two linked sets' shared ones, which are ``room`` of
+    either at least, the one in the smallest bucket stays with both.
+    """
+    many = written(signs.groupBy("sig").agg(F.count("*").alias("many")).where("many > 1"), "counts")
+    rows = marked(signs, F.xxhash64("sig"), many.select(F.xxhash64("sig").alias("hash"))).join(many, "sig")
+    own = rows.groupBy("fp").agg(F.collect_set(F.struct("many", "sig")).alias("own")).join(classes.select("fp", "room"), "fp")  # bounded by the layout of signatures
+
+    def part(odd: int):
+        mine = F.sort_array(F.filter("own", lambda x: x["sig"].bitwiseAND(1) == odd))
+        return F.slice(mine, 1, F.greatest(F.lit(0), F.size(mine) - F.greatest(F.lit(0), F.get("room", F.lit(odd)).cast("int") - 1)))
+
+    out = written(own.select("fp", F.explode(F.concat(part(0), part(1))["sig"]).alias("sig")), "members")
+    dropped(many)
+    return out
+
+
+def with_leads(rows: DataFrame) -> DataFrame:
+    """(sig, lead, fp): the smallest set of each bucket of several, for each of its others."""
+    leads = rows.groupBy("sig").agg(F.min("fp").alias("lead"), F.count("*").alias("many")).where("many > 1").select("sig", "lead")
+    return rows.join(leads, "sig").where("lead <> fp").select("sig", "lead", "fp")
 
 
 def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
@@ -249,61 +305,92 @@ def plausible(pairs: DataFrame, about: DataFrame, t: Threshold) -> DataFrame:
 
 
 def close_pairs(rows: DataFrame, about: DataFrame, t: Threshold, forest: bool) -> DataFrame:
-    """Pairs (a, b) of different roots in buckets (sig, fp, root, rank) whose sizes and sketches don't rule out a link.
+    """Pairs (a, b) of different roots in buckets (sig, fp, root) whose sizes and sketches don't rule out a link.
 
-    A bucket's rows are dealt in chunks of ``CHUNK``, each pair of chunks to one group, so a group has 2 * CHUNK rows at most.
-    A pair is made in the lowest of the buckets that it shares.  ``forest``: only pairs that join trees of a group, each
-    row's nearest first, so fewer than the group has roots; over all groups they reach what all the pairs reach.
+    A bucket's rows are dealt in chunks of about ``CHUNK``, each pair of chunks to one group; chunks of the bucket's largest
+    component are not compared with each other.  A pair is made in the lowest of the buckets that it shares.  ``forest``:
+    only pairs that join trees of a group, the nearest of some rows first, so fewer than the group has roots; over all groups they
+    reach what all the pairs reach.
     """
-    chunk = F.floor((F.col("rank") - 1) / CHUNK)
     own = rows.groupBy("fp").agg(F.collect_set("sig").alias("sigs"))  # bounded by the layout of signatures
-    dealt = rows.withColumn("chunk", chunk).withColumn("last", F.max("chunk").over(Window.partitionBy("sig"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    dealt = dealt.join(about.select("fp", "size", "sketch").join(own, "fp"), "fp")
+    many = rows.groupBy("sig", "root").agg(F.count("*").alias("many"))
+    main = many.groupBy("sig").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.max("many").alias("most"), F.sum("many").alias("all"))
+    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+    one = F.pmod(F.xxhash64("fp", "sig"), F.greatest(F.lit(1), F.when(F.col("root") == F.col("main"), F.col("n")).otherwise(F.col("m")))).cast("int")
+    dealt = rows.join(main.select("sig", "main", chunks(F.col("most")).alias("n"), chunks(F.col("all") - F.col("most")).alias("m")), "sig")
+    dealt = dealt.withColumn("chunk", F.when(F.col("root") == F.col("main"), one).otherwise(F.col("n") + one))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("root") == F.col("main"), F.col("n")).otherwise(F.lit(0)), F.col("n") + F.col("m") - 1)))
+    short = F.when(F.size("sketch") > 8, F.zip_with(F.slice("sketch", 1, (F.size("sketch") / 2).cast("int")), F.slice("sketch", (F.size("sketch") / 2).cast("int") + 1, (F.size("sketch") / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col("sketch"))
+    dealt = dealt.join(about.select("fp", "size", short.alias("sketch")).join(own, "fp"), "fp")
     dealt = dealt.select("sig", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "root", "size", "sketch", F.filter("sigs", lambda x: x < F.col("sig")).alias("lower"))
 
-    def work(key, frame):
-        import pandas as pd
-
-        f = frame.sort_values(["chunk", "root", "fp"], kind="stable")
-        words = min(map(len, f["sketch"]))
-        bits = np.stack([_folded(np.asarray(s, np.int64), words) for s in f["sketch"]]).view(np.uint64)
-        fp, root, size, side = (f[c].to_numpy(np.int64) for c in ("fp", "root", "size", "chunk"))
-        lower = [frozenset(x.tolist()) for x in f["lower"]]
-        tree = np.unique(root, return_inverse=True)[1]
-        same, found = key[1] == key[2], [[], []]
-        starts = np.flatnonzero(np.concatenate([[True], (root[1:] != root[:-1]) | (side[1:] != side[:-1])]))
-        for a, z in zip(starts, np.append(starts[1:], len(fp)), strict=True):
-            if not same and side[a] != key[1]:
-                break
-            others = np.arange(z, len(fp)) if same else np.flatnonzero((side == key[2]) & (root != root[a]))
-            for k in range(a, z):
-                fits = others[tree[others] != tree[k]] if forest else others
-                fits = fits[t.den * np.minimum(size[k], size[fits]) >= t.num * np.maximum(size[k], size[fits])]
-                most = size[k] + size[fits] - 2 * t.needed(size[k], size[fits])
-                differ = np.bitwise_count(bits[fits] ^ bits[k]).sum(1, dtype=np.int64)
-                near = fits[differ <= most]
-                if forest:
-                    near = near[np.argsort(differ[differ <= most], kind="stable")]
-                for x in near.tolist():
-                    if (forest and tree[x] == tree[k]) or not lower[k].isdisjoint(lower[x]):
-                        continue
-                    if forest:
-                        tree[tree == tree[x]] = tree[k]
-                    found[0].append(min(fp[k], fp[x]))
-                    found[1].append(max(fp[k], fp[x]))
-        return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
-
-    return dealt.groupBy("sig", "i", "j").applyInPandas(work, "a long, b long").distinct()
-
-
-def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    while len(sketch) > words:
-        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
-    return sketch
-
-
-def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> DataFrame:
+    def work(key, rows):
+        import pyarrow as pa
+
+        found = near_pairs(key[1].as_py(), key[2].as_py(), {c: rows[c].combine_chunks() for c in rows.column_names}, t, forest)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return dealt.groupBy("sig", "i", "j").applyInArrow(work, "a long, b long").distinct()
+
+
+def near_pairs(i: int, j: int, columns: dict, t: Threshold, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The close pairs of the rows of chunk ``i`` with those of chunk ``j``, in slabs of some rows at a time."""
+    chunk, fp, root, size = (columns[c].to_numpy() for c in ("chunk", "fp", "root", "size"))
+    bits, starts, lower = _same_length(columns["sketch"]), columns["lower"].offsets.to_numpy(), columns["lower"].values.to_numpy()
+    known: dict[int, frozenset] = {}
+
+    def lows(k: int) -> frozenset:
+        if k not in known:
+            known[k] = frozenset(lower[starts[k] : starts[k + 1]].tolist())
+        return known[k]
+
+    tree = np.unique(root, return_inverse=True)[1]
+    first, second = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    out, step = [[], []], max(1, SLAB // (max(1, len(second)) * bits.shape[1]))
+    for k in range(0, len(first), step):
+        part = first[k : k + step]
+        fits = tree[part][:, None] != tree[second]
+        if i == j:
+            fits &= part[:, None] < second
+        fits &= t.den * np.minimum(size[part][:, None], size[second]) >= t.num * np.maximum(size[part][:, None], size[second])
+        a, b = np.nonzero(fits)
+        a, b = part[a], second[b]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+        near = np.flatnonzero(differ <= size[a] + size[b] - 2 * t.needed(size[a], size[b]))
+        for at in near[np.argsort(differ[near], kind="stable")] if forest else near:
+            x, y = int(a[at]), int(b[at])
+            if (forest and tree[x] == tree[y]) or not lows(x).isdisjoint(lows(y)):
+                continue
+            if forest:
+                tree[tree == tree[y]] = tree[x]
+            out[0].append(min(fp[x], fp[y]))
+            out[1].append(max(fp[x], fp[y]))
+    return np.array(out[0], np.int64), np.array(out[1], np.int64)
+
+
+def _same_length(sketches) -> np.ndarray:
+    """Sketches, each folded to the length of the shortest, as rows of words."""
+    lengths, values, starts = np.diff(sketches.offsets.to_numpy()), sketches.values.to_numpy().view(np.uint64), sketches.offsets.to_numpy()
+    words = lengths.min()
+    out = np.empty((len(lengths), words), np.uint64)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        out[at] = np.bitwise_xor.reduce(values[starts[at][:, None] + np.arange(n)].reshape(len(at), n // words, words), 1)
+    return out
+
+
+def texts_of(sets: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, text) of the sets that are compared; texts of other sets may be among them if an id repeats."""
+    ids = written(classes.join(sets.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("id").alias("doc_id")), "ids")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    out = written(marked(texts, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id").alias("hash"))).join(ids, "doc_id").select("fp", "text"), "texts")
+    dropped(ids)
+    return out
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataFrame:
     """The pairs that reach the threshold, by the sets of their whole texts."""
+
     def work(batches):
         import pyarrow as pa
 
@@ -320,17 +407,8 @@ def verified(pairs: DataFrame, documents: DataFrame, n: int, t: Threshold) -> Da
                             out.append((a, z))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
-    needed = written(pairs.select(F.col("id_a").alias("doc_id")).union(pairs.select("id_b")).distinct(), "needed")
-    # a bit map of fixed size keeps most other texts from being dealt; the join then is exact
-    bits = min(27, max(16, 4 + int(needed.count()).bit_length()))
-    marks = documents.sparkSession.createDataFrame([(bit_map(needed.select(F.xxhash64("doc_id").alias("hash")), bits).view(np.int64).tolist(),)], "bits array<long>").scalar()
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
-    marked = F.expr(f"int(shiftrightunsigned(xxhash64(doc_id), {64 - bits}) & 63)")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = texts.where(F.getbit(F.get(marks, F.shiftright(place, 6).cast("int")), marked) == 1)
-    have = texts.join(needed, "doc_id", "left_semi")
-    first = pairs.join(have.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
-    joined = first.join(have.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    side = lambda x: texts.select(F.col("fp").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return arrow_map(joined.select("a", "b", "text_a", "text_b"), work, "a long, b long").distinct()
 
 
@@ -339,21 +417,28 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
     if 2 * threshold.num < threshold.den:
         raise ValueError("sketches are compared for thresholds from 0.5")
     rows = written(prepared(documents, n, threshold), "sets")
-    about = rows.where("size is not null").select("doc_id", "size", "fp", "sketch")
-    classes = about.where("size > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    about = written(rows.where("size is not null").select("doc_id", "size", "fp", "sketch", "room"), "about")
+    classes = about.where("size > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("size", "sketch", "room")))
     classes = written(classes, "classes")
-    shared = written(met(rows.where("sig is not null").select("sig", "fp", "more")), "shared")
+    met = members(rows.where("sig is not null").select("sig", "fp"), classes)
+    dropped(rows)
+    shared = written(with_leads(met), "shared")
+    dropped(met)
+    everyone = shared.select("sig", "fp").unionByName(shared.groupBy("sig").agg(F.min("lead").alias("fp")))
+    texts = None
     links = roots = None
 
     def settle(pairs: DataFrame, one_first: bool = False):
         """Verifies pairs of different components; the links and components that are then known."""
-        nonlocal links, roots
+        nonlocal links, roots, texts
         open_pairs = written(plausible(pairs, classes, threshold), "pairs")
         part = open_pairs
         if one_first:  # one pair of each set: what these link need not be verified again
-            part = open_pairs.groupBy("b").agg(F.min(F.struct("a", "id_a", "id_b")).alias("p")).select("p.a", "b", "p.id_a", "p.id_b")
+            part = open_pairs.groupBy("b").agg(F.min("a").alias("a"))
         while part.limit(1).count():
-            found = written(verified(part, documents, n, threshold), "links")
+            if texts is None:
+                texts = texts_of(everyone, documents, classes)
+            found = written(verified(part, texts, n, threshold), "links")
             if found.limit(1).count():
                 links = found if links is None else written(links.unionByName(found), "links")
                 roots = components(links)
@@ -369,40 +454,34 @@ def similar_components(documents: DataFrame, n: int = 4, threshold: Threshold =
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
+    def mixed(rows: DataFrame) -> DataFrame:
+        """(sig, fp, root, bucket) of buckets of several components; bucket: its sets."""
+        rooted = rows.select("sig", "fp", F.col("fp").alias("root"))
+        if roots is not None:
+            rooted = rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
+        several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("bucket")).where("low <> high").select("sig", "bucket")
+        return written(rooted.join(several, "sig"), "rest")
+
     settle(shared.select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct(), one_first=True)
     # in buckets of several components, sets of different ones are compared
-    def with_root(members: DataFrame) -> DataFrame:
-        if roots is None:
-            return members.select("sig", "fp", F.col("fp").alias("root"))
-        return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
-
-    def mixed(members: DataFrame) -> DataFrame:
-        """(sig, fp, root, rank) of buckets of several components, smaller components first."""
-        rooted = with_root(members)
-        several = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        counted = rooted.join(several, "sig").withColumn("many", F.count("*").over(Window.partitionBy("sig", "root")))
-        return written(counted.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("many", "root", "fp"))).drop("many"), "rest")
-
-    def compare(rows: DataFrame, heads: int) -> None:
-        """Settles the pairs of the first ``heads`` of each bucket with its others."""
-        first = rows.where(F.col("rank") <= heads).select("sig", F.col("fp").alias("x"), F.col("root").alias("root_x"), F.col("rank").alias("rank_x"))
-        settle(rows.join(first, "sig").where("rank_x < rank and root_x <> root").select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct())
-
     open_sigs = apart(shared.select("sig", F.col("lead").alias("a"), F.col("fp").alias("b"))).select("sig").distinct()
-    members = shared.select("sig", "fp").unionByName(shared.select("sig", F.col("lead").alias("fp"))).distinct()
-    rest = mixed(members.join(open_sigs, "sig", "left_semi"))
+    rest = mixed(everyone.join(open_sigs, "sig", "left_semi"))
     if rest.limit(1).count():
-        large = rest.where(F.col("rank") > BLOCK).select("sig").distinct()
-        compare(rest.join(large, "sig", "left_anti"), BLOCK)
-        members = rest.join(large, "sig", "left_semi").select("sig", "fp")
-        tried = written(close_pairs(mixed(members), classes, threshold, forest=True), "pairs")
-        settle(tried)  # most of what is linked is joined up by these
-        settle(close_pairs(mixed(members), classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti"))
+        small, large = rest.where(F.col("bucket") <= BLOCK), rest.where(F.col("bucket") > BLOCK)
+        other = small.select("sig", F.col("fp").alias("x"), F.col("root").alias("root_x"))
+        settle(small.join(other, "sig").where("x < fp and root_x <> root").select(F.col("x").alias("a"), F.col("fp").alias("b")).distinct())
+        left = mixed(large.select("sig", "fp"))
+        if left.limit(1).count():
+            tried = written(close_pairs(left, classes, threshold, forest=True), "pairs")
+            settle(tried)  # most of what is linked is joined up by these
+            left = mixed(left.select("sig", "fp"))
+            settle(close_pairs(left, classes, threshold, forest=False).join(tried, ["a", "b"], "left_anti"))
 
     if roots is None:
         roots = documents.sparkSession.createDataFrame([], "node long, root long")
     named = roots.join(classes.select(F.col("fp").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("low"))
     of = roots.join(named, "root").select(F.col("node").alias("fp"), "low")
     lowest = written(classes.select("fp", "id").join(of, "fp", "left").select("fp", F.coalesce("low", "id").alias("low")), "lowest")
+    dropped(classes, shared, texts)
     linked = about.select("doc_id", "size", F.when(F.col("size") > 0, F.col("fp")).alias("fp")).join(lowest, "fp", "left")
     return linked.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))

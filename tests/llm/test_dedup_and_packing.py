@@ -112,17 +112,34 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert similar_components(df.limit(0)).count() == 0
 
 
-def test_linked_sets_share_a_signature():
-    t, r = Threshold(85, 100), np.random.default_rng(1)
-    for size in (5, 7, 12, 30, 90, 400):
-        for _ in range(30):
+@pytest.mark.parametrize("t", [Threshold(85, 100), Threshold(8, 10), Threshold(1, 2)])
+def test_linked_sets_share_as_many_signatures_as_stated(t):
+    """So that one is left with both if each leaves out one less than its ``room``, those of the largest buckets first."""
+    r, found = np.random.default_rng(1), 0
+    for size in (4, 5, 7, 8, 9, 12, 17, 30, 41, 90, 400, 900):
+        for _ in range(40):
             base = r.integers(0, 2**63, size, dtype=np.uint64)
-            k = int(r.integers(0, max(2, size // 6)))
+            k = int(r.integers(0, max(2, size // 4)))
             other = np.concatenate([base[k:], r.integers(0, 2**63, k if r.random() < 0.5 else 0, dtype=np.uint64)])
             a, b = np.unique(base), np.unique(other)
             if a.tolist() != b.tolist() and t.linked(len(np.intersect1d(a, b)), len(a), len(b)):
-                sig, owner = signatures([a, b], t)
-                assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+                sig, owner, room = signatures([a, b], t)
+                both = set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+                band = [len([x for x in both if x & 1 == odd]) for odd in (0, 1)]
+                assert any(n > 0 and n >= max(room[:, odd]) for odd, n in enumerate(band))
+                found += 1
+    assert found > 100
+
+
+def test_differences_bound_all_linked_pairs_and_never_fall():
+    for t in (Threshold(85, 100), Threshold(8, 10), Threshold(1, 2)):
+        d = t.differences(np.arange(1500)).tolist()
+        assert d == sorted(d)
+        for a in range(1, 1500):
+            assert all(d[a] >= a + b - 2 * t.needed(a, b) for b in range(a, t.largest(a) + 1, 1 if a < 60 else 17))
+        bands = t.bands(5000)
+        assert all(x.high + 1 == y.low for x, y in zip(bands, bands[1:], strict=False)) and bands[-1].high >= 5000
+    assert Threshold(1, 1).bands(50) == []
 
 
 def test_shingles_split_and_lower_only_ascii():
