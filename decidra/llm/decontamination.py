@@ -5,15 +5,16 @@ Words, numbers and sentence ends are read from a text; numbers (English number w
 Names that follow each other are one placeholder, and so is a number with the number words after it.  Windows of the template are
 hash-joined with those of the benchmark items.  A second view keeps names as words, for passages whose punctuation or
 case was changed.  Windows of which numbers and units are more than half say too little as a template; a third view joins
-them with their values as they stand, so that copies are found and other numbers aren't.  For each text and item the windows' places cover a share of the item, and the placeholders' values
-must correspond: within one alignment, an item's value always stands for the same value of the text.
+them with their values as they stand, so that copies are found and other numbers aren't.  The windows' places within a
+stretch of the text, no longer than two items, cover a share of the item, and the placeholders' values must correspond both ways:
+within one alignment, an item's value always stands for the same value of the text, and that for no other one.
 
 The windows of a text are first held against a bit map of the benchmark's window hashes; its size has a fixed bound,
 and what passes is joined by hash, so the benchmark itself may be of any size.
 
 Defined results: null and empty texts and items match nothing; rows without an id match nothing, as they can't be
-named.  Repeated rows of one id are judged together.  An item that is shorter than a window is one window; items of
-fewer than ``shortest`` words are ignored.  Other columns are ignored; empty tables give an empty result.
+named.  Repeated rows of one id are judged together.  An item that is shorter than a window is one window; an item of
+fewer than ``shortest`` words matches only a sentence, or several, of just these words and values.  Other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def _about(token: str) -> int:
     return (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4) << 3 | kind
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens and which are words, these words' hashes, the type of each placeholder (0: an ordinary word, else its kind), and which go on the placeholder before them."""
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens and which are words, these words' hashes, the type of each placeholder (0: an ordinary word, else its kind), which
+    go on the placeholder before them, and which (one beyond the last, too) stand first after a sentence's end."""
     tokens = TOKEN.findall(text or "")
     known = held("template tokens", dict)
     if len(known) > 600_000:
@@ -83,7 +85,7 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     slot[(kind == UNIT) & ((after == NUMBER) | (after == NUMBER_WORD))] = UNIT
     before = np.concatenate([[0], slot[:-1]]) if len(slot) else slot
     goes_on = (after != STOP) & ((name & (before == NAMELIKE)) | (spelled & (before == NUMBER)))
-    return tokens, np.flatnonzero(keep), h, slot, goes_on
+    return tokens, np.flatnonzero(keep), h, slot, goes_on, np.append(after == STOP, True)
 
 
 def _typed(slot: np.ndarray, view: int) -> np.ndarray:
@@ -131,11 +133,11 @@ def _rows(batches, id_column: str, chosen):
     for b in slices(batches):
         cols = [[] for _ in range(8)]
         for key, text in zip(b.column(id_column).to_pylist(), b.column("text").to_pylist(), strict=True):
-            tokens, words, h, slot, goes_on = template(text)
+            tokens, words, h, slot, goes_on, opens = template(text)
             place = np.cumsum(~goes_on) - 1
             for view in (0, 1, 2) if (slot == NAMELIKE).any() else (0, 2):
                 start, x, typed = seen(h, slot, goes_on, view)
-                for n, hashes, at in chosen(x, typed, view):
+                for n, hashes, at in chosen(x, typed, view, opens):
                     for p in at:
                         where = np.flatnonzero(typed[p : p + n]) + p if view < 2 else ()
                         slots = [f"{slot[start[k]]}:{' '.join(tokens[words[j]].lower() for j in range(start[k], _end(start, k + 1, len(h))))}" for k in where]
@@ -152,10 +154,12 @@ def _end(start: np.ndarray, k: int, words: int) -> int:
 
 
 def item_windows(benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    def chosen(x, typed, view):
+    def chosen(x, typed, view, opens):
         n = min(WINDOW, len(x))
         if n >= shortest:
             yield n, windows(x, n), np.flatnonzero((_literal(typed, n) * 2 >= n) == (view < 2))
+        elif n and view == 2:
+            yield n, windows(x, n), (0,)
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), text_or_empty().alias("text")).where("id is not null")
     return arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA)
@@ -178,12 +182,16 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     bits, widths = MAP_BITS_LARGE if about.n > LARGE else MAP_BITS, sorted(about.widths)
     shared = documents.sparkSession.sparkContext.broadcast(bit_map(items, bits))
 
-    def chosen(x, typed, view):
+    def chosen(x, typed, view, opens):
         known = shared.value
         values = np.count_nonzero(typed) if view == 2 else 0
         for n in widths:
+            if len(x) < n or (n < shortest and view < 2):
+                continue
+            if n < shortest:
+                few = opens[: len(x) - n + 1] & opens[n:]
             # a text's first word may follow a number elsewhere, so one value less will do
-            if view == 2 and (2 * values < n - 1 or len(x) < n or not (few := 2 * _literal(typed, n) <= n + 1).any()):
+            elif view == 2 and (2 * values < n - 1 or not (few := 2 * _literal(typed, n) <= n + 1).any()):
                 continue
             w = windows(x, n)
             place = w >> np.uint64(64 - bits)
@@ -194,11 +202,19 @@ def matches(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     hits = arrow_map(rows, lambda batches: _rows(batches, "id", chosen), WINDOW_SCHEMA).select(F.col("id").alias("doc_id"), "hash", F.col("width").alias("doc_width"), F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
     found = hits.join(items, "hash").where("width = doc_width and size(slots) = size(doc_slots)").select("doc_id", F.col("id").alias("item_id"), "first", "last", "words", (F.col("doc_pos") - F.col("pos")).alias("shift"), "slots", "doc_slots")
     found = written(found, "hits")
-    places = found.select("doc_id", "item_id", "words", F.explode(F.sequence("first", "last")).alias("place"))
-    cover = places.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("covered"), F.max("words").alias("words"))
+    # a stretch is two items long and begins where another is half over, so an alignment that words shift lies in one
+    stretch = F.floor(F.col("shift") / F.col("words"))
+    places = found.select("doc_id", "item_id", "words", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "first", "last").distinct().select("doc_id", "item_id", "words", "stretch", F.explode(F.sequence("first", "last")).alias("place"))
+    cover = places.groupBy("doc_id", "item_id", "stretch").agg(F.count_distinct("place").alias("covered"), F.max("words").alias("words")).groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("words").alias("words"))
     slot = found.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "doc_slots")).alias("s")).select("doc_id", "item_id", "shift", F.col("s.slots").alias("was"), F.col("s.doc_slots").alias("now"))
-    mapped = slot.groupBy("doc_id", "item_id", "shift", "was").agg(F.min("now").alias("low"), F.max("now").alias("high"))
-    fits = mapped.groupBy("doc_id", "item_id").agg(F.avg(F.expr("int(low = high)")).alias("share"), F.bool_and(F.expr("low = was and high = was")).alias("same"))
+    slot = slot.distinct()
+
+    def constant(given: str, other: str) -> DataFrame:
+        """How many of an alignment's values on one side have one value on the other."""
+        values = slot.groupBy("doc_id", "item_id", "shift", given).agg(F.min(other).alias("low"), F.max(other).alias("high"))
+        return values.groupBy("doc_id", "item_id").agg(F.avg(F.expr("int(low = high)")).alias(f"by_{given}"), F.bool_and(F.expr(f"low = {given} and high = {given}")).alias(f"same_{given}"))
+
+    fits = constant("was", "now").join(constant("now", "was"), ["doc_id", "item_id"]).select("doc_id", "item_id", F.least("by_was", "by_now").alias("share"), F.col("same_was").alias("same"))
     judged = cover.join(fits, ["doc_id", "item_id"], "left").select(
         "doc_id", "item_id", "covered", (F.col("covered") / F.col("words")).alias("coverage"), F.coalesce("share", F.lit(1.0)).alias("consistency"), F.when(F.coalesce("same", F.lit(True)), "exact").otherwise("re-parameterised").alias("kind")
     )

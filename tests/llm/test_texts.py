@@ -46,6 +46,52 @@ def test_decontamination_keeps_windows_of_numbers(spark):
     assert got == {(k, k): (1.0, "exact") for k in range(4)}
 
 
+def test_decontamination_of_short_items_takes_whole_sentences(spark):
+    items = spark.createDataFrame([(0, "Compute 3 + 4."), (1, "Name it!"), (2, "...")], "item_id long, text string")
+    rows = [(1, "First. Compute 3 + 4. Then stop."), (2, "compute 3 4"), (3, "We compute 3 + 4 here."), (4, "Compute 3 + 5."), (5, "So. Name it"), (6, "name it so"), (7, "..."), (8, None)]
+    got = {(r.doc_id, r.item_id) for r in matches(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 0), (2, 0), (5, 1)}
+
+
+def test_decontamination_equals_brute_force_on_new_parameters(spark):
+    """Word problems and sums with new names and numbers, against a matcher that tries every place of the text."""
+    r = random.Random(5)
+    names, things = ["Ann", "Bob", "Cid", "Dora", "Egon", "Fay", "Gus", "Hal"], ["apples", "pears", "books", "coins", "cards", "rings", "bells", "boats", "hats", "keys", "nuts", "pens"]
+
+    def problem(a, b, x, y, z, t):
+        return f"When {a} has {x} {t} and {b} gives {a} another {y} {t} while {b} keeps {z} {t} of them, how many {t} does {a} hold after {b} has left the {t}?"
+
+    picks = lambda: (*r.sample(names, 2), *r.sample(range(2, 99), 3))
+    bench, docs = [], []
+    for k, t in enumerate(things):
+        one, two = picks(), picks()
+        bench.append((k, problem(*one, t)))
+        docs.append((k, f"It is told so. {problem(*two, t)} Nobody knows."))  # other parameters
+        broken = problem(*two, t).replace(f"does {two[0]}", "does Ida").replace(f"after {two[1]}", "after Jon")
+        docs.append((100 + k, f"It is told so. {broken} Nobody knows."))  # names that don't correspond
+        docs.append((200 + k, " ".join(r.sample(problem(*two, t).split(), 25))))  # the words in disorder
+    df, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(m.doc_id, m.item_id): m.kind for m in matches(df, items).collect()}
+
+    slotted = re.compile(r"[A-Z][a-z]+|\d+")
+
+    def corresponds(item, text):
+        """Tokens are equal but for names and numbers, and these map one to one, at a share of 0.8 of both sides' values."""
+        one, two = re.findall(r"\w+", item)[1:], re.findall(r"\w+", text)[1:]
+        pairs = set()
+        for x, y in zip(one, two, strict=False):
+            if slotted.fullmatch(x) and slotted.fullmatch(y) and x.isdigit() == y.isdigit():
+                pairs.add((x, y))
+            elif x != y:
+                return False
+        share = lambda side: np.mean([len({p for p in pairs if p[side] == v}) == 1 for v in {p[side] for p in pairs}])
+        return min(share(0), share(1)) >= 0.8
+
+    want = {(d, i) for d, t in docs for i, x in bench for s in [re.search(r"When .*\?", t)] if s and corresponds(x, s.group())}
+    assert {k for k in got} == want and {(k, k) for k in range(12)} <= want
+    assert not any(d >= 100 for d, _ in want) and set(got.values()) == {"re-parameterised"}
+
+
 def test_decontamination_finds_values_of_other_lengths(spark):
     item = "Then John from New York has three apples, and Smith gives John twelve apples at NASA in New York. How many of three apples does John keep for Smith?"
     swaps = {"John": "Mary Ann", "New York": "Paris", "three": "seventy five", "twelve": "12", "Smith": "McDonald", "NASA": "Intel"}
