@@ -72,13 +72,12 @@ def content(text: str) -> np.ndarray:
     return x
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int | None, length: int) -> np.ndarray:
-    """The metadata view."""
-    x = np.zeros(4 + 3 * (1 << META_BITS), np.float32)
+def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """The metadata view; it reads nothing of the text."""
+    x = np.zeros(3 + 3 * (1 << META_BITS), np.float32)
     x[0], x[1], x[2] = 1, math.log1p(max(0, n_chars or 0)) / 10, n_chars is None
-    x[3] = n_chars is not None and n_chars != length
     for k, v in enumerate((f"l{lang}", f"s{source}", f"n{int(math.log2(1 + max(0, n_chars or 0)) * 2)}")):
-        x[4 + k * (1 << META_BITS) + (zlib.crc32(v.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1))] = 1
+        x[3 + k * (1 << META_BITS) + (zlib.crc32(v.encode("utf-8", "surrogatepass")) & ((1 << META_BITS) - 1))] = 1
     return x
 
 
@@ -161,8 +160,8 @@ def cotrain(a: np.ndarray, b: np.ndarray, y: np.ndarray, free_a: np.ndarray, fre
 
 def _views(b) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in b.column("text").to_pylist()]
-    meta = zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("n_chars").to_pylist(), texts, strict=True)
-    return np.stack([content(t) for t in texts]), np.stack([metadata(lang, s, n, len(t)) for lang, s, n, t in meta])
+    meta = zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("n_chars").to_pylist(), strict=True)
+    return np.stack([content(t) for t in texts]), np.stack([metadata(*m) for m in meta])
 
 
 def _inputs(documents: DataFrame) -> DataFrame:
@@ -170,7 +169,8 @@ def _inputs(documents: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, learned=None, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained:
-    """``learned``: a condition on doc_id for the labels that may be used (all, if None).  Samples go by a hash of the id."""
+    """``learned``: a condition on doc_id for the labels that may be used (all, if None).  Samples go by a hash of the id; of an
+    id with several rows one is taken."""
     spark = documents.sparkSession
     rows = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     rows = rows.where(learned) if learned is not None else rows
@@ -189,7 +189,9 @@ def fit(documents: DataFrame, labels: DataFrame, learned=None, labelled: int = L
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([v.tobytes() for v in a.astype(np.float16)], pa.binary()), pa.array([v.tobytes() for v in m.astype(np.float16)], pa.binary())], ["doc_id", "y", "a", "b"])
 
     inputs = _inputs(documents)
-    got = inputs.join(chosen, inputs.doc_id == F.col("_id")).select(F.col("_id").alias("doc_id"), "text", "lang", "source", "n_chars", "y").mapInArrow(work, "doc_id long, y double, a binary, b binary").collect()
+    # one row of each id: the sample bounds rows only then
+    one = inputs.join(chosen, inputs.doc_id == F.col("_id")).groupBy("_id").agg(F.max("y").alias("y"), F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    got = one.select(F.col("_id").alias("doc_id"), "d.*", "y").mapInArrow(work, "doc_id long, y double, a binary, b binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.a, r.b))
     view = lambda name, has: np.stack([np.frombuffer(r[name], np.float16) for r in got if (r.y is not None) == has]).astype(np.float64) if any((r.y is not None) == has for r in got) else np.zeros((0, len(np.frombuffer(got[0][name], np.float16))) if got else (0, 1))
     return cotrain(view("a", True), view("b", True), np.array([r.y for r in got if r.y is not None]), view("a", False), view("b", False))

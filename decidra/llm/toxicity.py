@@ -325,7 +325,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXI
     """Trains on a bounded sample of the labelled rows that aren't held out.
 
     The sample has at most ``sample_toxic`` and ``sample_clean`` rows, chosen by a hash of the id, and at most
-    ``sample_windows`` windows of each text.  A row with several labels counts as toxic if one of them is 1.
+    ``sample_windows`` windows of each text.  A row with several labels counts as toxic if one of them is 1;
+    of an id with several texts one is taken.
     """
     spark = documents.sparkSession
     rows = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -348,7 +349,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXI
                 made.append([" ".join(words[a:z]) for a, z in (spans[k] for k in keep)])
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(made, pa.list_(pa.string()))], ["toxic", "windows"])
 
-    got = documents.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").select("toxic", "text")
+    # one text of each id: the sample bounds rows only then
+    got = documents.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
     got = arrow_map(got, cut, "toxic int, windows array<string>").collect()
     examples = sorted((r.toxic, [w.split(" ") for w in r.windows]) for r in got)
     return train(examples, seen)
