@@ -2,9 +2,10 @@
 
 A sketch is a histogram with integer bucket bounds, 64 of them for each power of two, so a quantile's relative error is
 1/32 at most.  Sketches are rows (language, source, measure, bucket, count): they merge by adding, and a source with too few
-texts takes the merged sketch of its language, a language with too few that of the corpus.  A text is kept if it
-fails no base rule and each measure lies within the fences of its group: the quartiles widened by a multiple of
-their distance, and never narrower than a least distance.
+texts for its tails takes the merged sketch of its language, a language with too few that of the corpus.  A text is kept if
+it fails no base rule and each measure lies within the fences of its group: a tail quantile of the group, moved away from
+the median by a multiple of their distance.  The distance counts as ``least`` where nearly all of a group's texts are equal; this
+is about what a sketch can't tell apart, or a few signs in a thousand.
 
 Only DataFrame functions are used; no text is shuffled.
 
@@ -22,23 +23,25 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, SPACES, text_or_empty, written
 
 SYMBOLS = "#*$%&|<>"
-#: Texts that a sketch needs to set fences.
-LEAST_TEXTS = 50
+#: Texts that a sketch needs to set fences: two beyond the farthest tail.
+LEAST_TEXTS = 200
 
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure in whole numbers, the multiple of the quartiles' distance, and the least distance from them."""
+    """A measure in whole numbers, the tail quantile in percent, the multiple of its distance from the median, and the least distance."""
 
     name: str
     low: bool
     high: bool
+    tail: int
     times: int
     least: int
 
 
 #: Thousandths, but for the mean length of words in hundredths.
-FENCES = (Fence("word_length", True, True, 4, 200), Fence("symbols", False, True, 4, 60), Fence("dup_lines", False, True, 4, 400), Fence("capitals", False, True, 4, 300))
+FENCES = (Fence("word_length", True, True, 90, 3, 16), Fence("symbols", False, True, 90, 3, 6), Fence("dup_lines", False, True, 99, 1, 30), Fence("capitals", False, True, 99, 1, 4))
+PERCENTS = (1, 10, 50, 90, 99)
 
 
 def statistics(documents: DataFrame) -> DataFrame:
@@ -81,28 +84,28 @@ def merged(parts: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by, measure, n, q25, q75): the lower bounds of the buckets with these quantiles."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by, measure, n, q1, q10, ...): the lower bounds of the buckets with the quantiles ``PERCENTS``."""
     group = Window.partitionBy(*by, "measure")
     ranked = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     value = F.expr("CASE WHEN bucket < 64 THEN bucket ELSE shiftleft(bucket % 64, int(bucket div 64)) END")
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), value))
-    return ranked.groupBy(*by, "measure").agg(F.max("total").alias("n"), at(25).alias("q25"), at(75).alias("q75"))
+    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), value)).alias(f"q{p}")
+    return ranked.groupBy(*by, "measure").agg(F.max("total").alias("n"), *map(at, PERCENTS))
 
 
 def fences(parts: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(lang, source, one map of fences) for each language and source."""
-    own = quartiles(parts, "lang", "source").alias("s")
-    by_lang = quartiles(merged(parts, "lang"), "lang").alias("l")
-    whole = quartiles(merged(parts)).alias("w")
+    own = quantiles(parts, "lang", "source").alias("s")
+    by_lang = quantiles(merged(parts, "lang"), "lang").alias("l")
+    whole = quantiles(merged(parts)).alias("w")
     joined = own.join(by_lang, F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.measure") == F.col("l.measure"))).join(whole, F.col("s.measure") == F.col("w.measure"))
-    pick = lambda c: F.when(F.col("s.n") >= least_texts, F.col(f"s.{c}")).when(F.col("l.n") >= least_texts, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
-    rows = joined.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), F.col("s.measure").alias("measure"), pick("q25").alias("q25"), pick("q75").alias("q75"))
+    pick = lambda c: F.when(F.col("s.n") >= least_texts, F.col(f"s.{c}")).when(F.col("l.n") >= least_texts, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}")).alias(c)
+    rows = joined.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), F.col("s.measure").alias("measure"), *(pick(f"q{p}") for p in PERCENTS))
     bounds = []
     for f in FENCES:
-        wide = F.greatest(F.lit(f.times) * (F.col("q75") - F.col("q25")), F.lit(f.least))
-        mine = F.col("measure") == f.name
-        bounds += [F.max(F.when(mine, F.col("q25") - wide)).alias(f"{f.name}_low"), F.max(F.when(mine, F.col("q75") + wide)).alias(f"{f.name}_high")]
+        mine, low, high = F.col("measure") == f.name, F.col(f"q{100 - f.tail}"), F.col(f"q{f.tail}")
+        away = lambda d: f.times * F.greatest(d, F.lit(f.least))  # noqa: B023, E731
+        bounds += [F.max(F.when(mine, low - away(F.col("q50") - low))).alias(f"{f.name}_low"), F.max(F.when(mine, high + away(high - F.col("q50")))).alias(f"{f.name}_high")]
     return rows.groupBy("lang", "source").agg(*bounds)
 
 

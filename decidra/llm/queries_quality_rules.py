@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality_rules import FENCES, LEAST_TEXTS, judged
+from .quality_rules import FENCES, LEAST_TEXTS, PERCENTS, judged
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
@@ -22,10 +22,12 @@ def _sql() -> str:
 
     def quart(name: str, by: str) -> str:
         keys = f"{by}, measure" if by else "measure"
-        return f"{name}_c AS (SELECT {keys}, bucket, sum(count(*)) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {keys}) AS total FROM long GROUP BY {keys}, bucket), {name} AS (SELECT {keys}, max(total) AS n, min({value}) FILTER (100 * upto >= 25 * total) AS q25, min({value}) FILTER (100 * upto >= 75 * total) AS q75 FROM {name}_c GROUP BY {keys})"
+        at = ", ".join(f"min({value}) FILTER (100 * upto >= {p} * total) AS q{p}" for p in PERCENTS)
+        return f"{name}_c AS (SELECT {keys}, bucket, sum(count(*)) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {keys}) AS total FROM long GROUP BY {keys}, bucket), {name} AS (SELECT {keys}, max(total) AS n, {at} FROM {name}_c GROUP BY {keys})"
 
     pick = lambda c: f"CASE WHEN s.n >= {LEAST_TEXTS} THEN s.{c} WHEN l.n >= {LEAST_TEXTS} THEN l.{c} ELSE w.{c} END"
-    bounds = ", ".join(f"max(CASE WHEN measure = '{f.name}' THEN q25 - greatest({f.times} * (q75 - q25), {f.least}) END) AS {f.name}_low, max(CASE WHEN measure = '{f.name}' THEN q75 + greatest({f.times} * (q75 - q25), {f.least}) END) AS {f.name}_high" for f in FENCES)
+    bounds = ", ".join(f"max(CASE WHEN measure = '{f.name}' THEN q{100 - f.tail} - {f.times} * greatest(q50 - q{100 - f.tail}, {f.least}) END) AS {f.name}_low, max(CASE WHEN measure = '{f.name}' THEN q{f.tail} + {f.times} * greatest(q{f.tail} - q50, {f.least}) END) AS {f.name}_high" for f in FENCES)
+    picked = ", ".join(f"{pick(f'q{p}')} AS q{p}" for p in PERCENTS)
     inside = " AND ".join(x for f in FENCES for x in ([f"{f.name} >= {f.name}_low"] if f.low else []) + ([f"{f.name} <= {f.name}_high"] if f.high else []))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -37,7 +39,7 @@ c AS (SELECT rid, doc_id, lang, source, len(words) AS n_words, length(regexp_rep
 m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines, CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END AS capitals FROM c),
 long AS ({long}),
 {quart("s", "lang, source")}, {quart("l", "lang")}, {quart("w", "")},
-f AS (SELECT lang, source, {bounds} FROM (SELECT s.lang, s.source, s.measure, {pick("q25")} AS q25, {pick("q75")} AS q75 FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure JOIN w ON s.measure = w.measure) GROUP BY lang, source)
+f AS (SELECT lang, source, {bounds} FROM (SELECT s.lang, s.source, s.measure, {picked} FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure JOIN w ON s.measure = w.measure) GROUP BY lang, source)
 SELECT m.doc_id, m.n_words::BIGINT AS n_words, m.word_chars::BIGINT AS word_chars, m.n_symbols::BIGINT AS n_symbols, m.n_dup_lines::BIGINT AS n_dup_lines, m.n_repeat_words::BIGINT AS n_repeat_words, m.base_failed, NOT m.base_failed AND ({inside}) AS kept
 FROM m JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source"""
 

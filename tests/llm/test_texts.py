@@ -210,6 +210,18 @@ def test_quality_rules_on_odd_rows(spark):
     assert judged(df.limit(0)).count() == 0 and op8_quality_rules
 
 
+def test_fences_follow_each_group_and_small_groups_take_the_merged_sketch(spark):
+    """Two sources with words of different lengths: what is ordinary in one is beyond the other's fence."""
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(n - 1, n + 1))) for _ in range(60))
+    rows = [(k, text(5), "en", "short") for k in range(300)] + [(1000 + k, text(11), "en", "long") for k in range(300)]
+    rows += [(2000, text(11), "en", "short"), (2001, text(5), "en", "long"), (2002, text(5), "en", "few"), (2003, text(11), "en", "few"), (2004, text(40), "en", "few"), (2005, "# $ % & " * 3 + text(5), "en", "short")]
+    kept = {x.doc_id: x.kept for x in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[2000] and not kept[2001] and not kept[2005]
+    assert kept[2002] and kept[2003] and not kept[2004]
+    assert sum(kept[k] for k in range(300)) > 290 and sum(kept[1000 + k] for k in range(300)) > 290
+
+
 def test_toxicity_learns_words_and_stems(spark):
     r = random.Random(3)
     plain = ["".join(r.choices("aeiou", k=2)) + "".join(r.choices("bdlmn", k=2)) for _ in range(300)]
