@@ -1,11 +1,15 @@
 """Secrets: exact patterns, and a battery of randomness tests that adds what they miss.
 
 Candidates are runs of 16 and more characters of base64 and its kin.  The alphabet of each is inferred from its
-characters.  Three tests hold it against ordinary text: chi-squared uniformity over the alphabet (against the statistic
-that letter or digit frequencies of ordinary text would give), runs (against the share of changes between kinds of
-characters in ordinary text) and serial correlation (against a correlated string).  Fisher's method combines them.  The
-Benjamini-Hochberg rule is applied within classes of length to the p-values of all candidates of the corpus, by
-mergeable counts of their logarithms, so long and short strings don't share a threshold.
+characters.  Three tests measure how random it is: chi-squared uniformity over the alphabet, runs (of kinds of characters) and serial
+correlation.  Their p-values against rough models of ordinary strings give a score, 3 / 2 times the second smallest: two tests
+must agree, and it is a p-value however the three depend on each other, if the models hold.  They need not: what ordinary text
+scores is measured.
+Every text gives one string for each class of length, its own words (lower-case, or with a capital first, and whole between
+spaces or signs) without what is between them, from a place that a hash chooses,
+and a candidate's p-value is the share of these that score as high.  The Benjamini-Hochberg rule is applied within classes of
+length to the p-values of all candidates of the corpus, by mergeable counts of scores, so long and short strings don't share
+a threshold.
 
 Defined results: null and empty texts have no spans.  Each row is judged by its own text, repeated rows alike, and counts in
 the corpus; null ids stay null; other columns are ignored; an empty table gives an empty result.
@@ -15,6 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,20 +31,21 @@ from .common import arrow_map, slices, text_or_empty, written
 from .spans import overlaps
 
 KINDS = ("assign", "access", "hex", "random")
-#: Rate of false discoveries, the largest p-value that can pass in any corpus, and the lower ends of the classes of length.
-RATE, LARGEST_P, CLASSES = 0.01, 1e-4, (16, 24, 32, 48, 96)
+#: Rate of false discoveries, and the lower ends of the classes of length.
+RATE, CLASSES = 0.01, (16, 24, 32, 48, 96)
 BINS_PER_DECADE, MOST_BIN = 20, 800
 
 _words = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = re.compile(rf"(?:{_words})[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+_WORDS = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]*(?![A-Za-z0-9+/_=-])")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ALPHABETS = (("hex", frozenset("0123456789abcdef")), ("HEX", frozenset("0123456789ABCDEF")), ("base32", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")), ("base36", frozenset("abcdefghijklmnopqrstuvwxyz0123456789")), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")))
 _SIZE = {"hex": 16, "HEX": 16, "base32": 32, "base36": 36, "base64": 64}
 #: Sum of squared frequencies of ordinary text in each alphabet: decimal digits for hex, letters else.
 _ORDINARY = {"hex": 0.1, "HEX": 0.1, "base32": 0.066, "base36": 0.066, "base64": 0.066}
-#: Changes between kinds of characters, and lag-one correlation, of ordinary strings.
+#: Rough models of ordinary strings for the scores: changes between kinds of characters, and lag-one correlation.
 _CHANGES, _CORRELATION = 0.08, 0.5
 
 
@@ -59,7 +67,7 @@ def _normal(z: float) -> float:
 
 
 def p_value(token: str) -> float:
-    """How well ordinary text explains the token: Fisher's combination of the three tests."""
+    """The score of a token: one and a half times the middle one of the three tests' p-values."""
     token = token.rstrip("=")
     name, n = encoding(token), len(token)
     if n < 4:
@@ -80,8 +88,32 @@ def p_value(token: str) -> float:
     scale = math.sqrt(float((a * a).sum() * (b * b).sum()))
     r = min(0.999, abs(float((a * b).sum()) / scale)) if scale else 0.999
     serial = _normal((math.atanh(r) - math.atanh(_CORRELATION)) * math.sqrt(max(1, n - 3)))
-    half = -sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
-    return math.exp(-half) * (1 + half + half * half / 2)
+    return min(1.0, 1.5 * sorted((uniform, runs, serial))[1])
+
+
+def ordinary(text: str) -> list[tuple[int, str]]:
+    """(class, string): joined words of the text for each class of length that they fill, from a hashed place on."""
+    words = _WORDS.findall(text)
+    out, total = [], sum(map(len, words))
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    ends = list(accumulate(map(len, words)))
+    for k, low in enumerate(CLASSES):
+        high = CLASSES[k + 1] if k + 1 < len(CLASSES) else 2 * low
+        n = low + (seed >> 3 * k) % (high - low)
+        if total >= n:
+            first = bisect_right(ends, (seed * (2 * k + 1) + k) % (total - n + 1))
+            start = ends[first] - len(words[first])
+            if total - start < n:  # the last words
+                first = bisect_right(ends, total - n)
+            taken, have = [], 0
+            for w in words[first:]:
+                taken.append(w)
+                have += len(w)
+                if have >= n:
+                    break
+            if have >= n:
+                out.append((k, "".join(taken)[:n]))
+    return out
 
 
 def p_bin(token: str) -> int:
@@ -93,10 +125,10 @@ def length_class(n: int) -> int:
 
 
 def scanned(documents: DataFrame) -> DataFrame:
-    """Rows of ``documents`` without the text, with base spans and candidates (start, end, class, bin of p)."""
+    """Rows of ``documents`` without the text, with base spans, candidates (start, end, class, bin of the score) and the classes and bins of ordinary strings."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    made = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, candidates array<struct<start:long,end:long,class:int,bin:int>>")
+    made = _parse_datatype_string("base array<struct<kind:string,start:long,end:long>>, candidates array<struct<start:long,end:long,class:int,bin:int>>, ordinary array<struct<class:int,bin:int>>")
     kept = [f for f in documents.schema.fields if f.name not in {"text", *made.names, "added"}]
     schema = StructType([*kept, *made.fields])
 
@@ -105,30 +137,34 @@ def scanned(documents: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for b in slices(batches):
-            bases, candidates = [], []
+            bases, candidates, plain = [], [], []
             for t in b.column("text").to_pylist():
                 base = base_spans(t or "")
                 bases.append([{"kind": k, "start": a, "end": z} for k, a, z in base])
+                plain.append([{"class": k, "bin": p_bin(x)} for k, x in ordinary(t or "")])
                 candidates.append([{"start": m.start(), "end": m.end(), "class": length_class(m.end() - m.start()), "bin": p_bin(m.group())} for m in _CANDIDATE.finditer(t or "") if not overlaps(m.start(), m.end(), base)])
-            arrays = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip((bases, candidates), made.fields, strict=True)]
+            arrays = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip((bases, candidates, plain), made.fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *arrays], schema.names)
 
     return arrow_map(documents, work, schema)
 
 
-def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
-    """The least bin of each class of length that passes; counts by (class, bin).
+def thresholds(counts: dict[tuple[int, int], int], plain: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
+    """The least bin of each class of length that passes; counts of candidates and of ordinary strings by (class, bin).
 
-    A bin's p-values are taken for its largest one.
+    A candidate's p-value is one more than the ordinary strings of its class in its bin or a higher one, of one more than all.
     """
     out = {}
     for c in {k for k, _ in counts}:
         mine = sorted(((b, n) for (k, b), n in counts.items() if k == c), reverse=True)
-        total, passed = sum(n for _, n in mine), 0
+        null = sorted(((b, n) for (k, b), n in plain.items() if k == c), reverse=True)
+        total, every, passed, above, at = sum(n for _, n in mine), sum(n for _, n in null), 0, 0, 0
         for b, n in mine:
             passed += n
-            p = 10 ** (-b / BINS_PER_DECADE)
-            if p <= LARGEST_P and p * total <= rate * passed:
+            while at < len(null) and null[at][0] >= b:
+                above += null[at][1]
+                at += 1
+            if (1 + above) / (1 + every) * total <= rate * passed:
                 out[c] = b
     return out
 
@@ -136,8 +172,11 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> dict[i
 def found(documents: DataFrame, rate: float = RATE) -> DataFrame:
     """Rows without the text, with ``base`` and ``added``: arrays of (kind, start, end)."""
     rows = written(scanned(documents), "secrets")
-    table = rows.select(F.explode("candidates").alias("c")).groupBy("c.class", "c.bin").count().collect()  # at most len(CLASSES) * (MOST_BIN + 1) rows
-    limits = thresholds({(r["class"], r["bin"]): r["count"] for r in table}, rate)
+
+    def counts(column: str) -> dict[tuple[int, int], int]:  # at most len(CLASSES) * (MOST_BIN + 1) rows
+        return {(r["class"], r["bin"]): r["count"] for r in rows.select(F.explode(column).alias("c")).groupBy("c.class", "c.bin").count().collect()}
+
+    limits = thresholds(counts("candidates"), counts("ordinary"), rate)
     passes = lambda c: F.coalesce(*(F.when((c["class"] == k) & (c["bin"] >= b), F.lit(True)) for k, b in limits.items()), F.lit(False))
     added = F.transform(F.filter("candidates", passes), lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return rows.withColumn("added", added).drop("candidates")
+    return rows.withColumn("added", added).drop("candidates", "ordinary")
