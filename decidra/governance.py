@@ -276,6 +276,7 @@ def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFram
     rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit, "left").withColumn("_rule", rule.score())
     if rows.where(F.col("_a").isNull()).limit(1).count():
         raise Blocked("observed units have no score")
+    rows = gate(rows, "_a", LABEL)
     names = ["auc", "brier", "log_loss", *(["net_benefit"] if costs else [])]
     return Verdict(rows.count(), tuple(paired(rows, "_a", "_rule", LABEL, m, costs, draws, key=unit) for m in names))
 
@@ -296,6 +297,7 @@ def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right:
     rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(a, unit, "left").join(b, unit, "left")
     if rows.where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count():
         raise Blocked("observed units have no score")
+    rows = gate(rows, "_a", LABEL)
     return Verdict(rows.count(), tuple(paired(rows, "_a", "_b", LABEL, m, draws=draws, key=unit) for m in metrics))
 
 

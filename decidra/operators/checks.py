@@ -111,6 +111,8 @@ def gather(split: Split, schema: Schema, outcome: Outcome, task: Task) -> Facts:
     strings = [c for c in f.columns if isinstance(f.types[c], StringType)]
     event, label = F.col(outcome.event), F.col(LABEL)
     sums = {"rows": F.count("*"), "labelled": F.count(label), "positives": F.coalesce(F.sum(label), F.lit(0)), "before": F.count_if(event < F.col(decision)), "equal": F.count_if(event == F.col(decision)), "unobserved": F.count_if(label.isNull() & (F.col(REASON) != IMMATURE)), "hash_rows": F.count_distinct(F.xxhash64(*f.columns), F.hash(*f.columns))}
+    if split.windows:
+        sums["beyond"] = F.count_if(F.col(decision) >= F.lit(max(w.stop for w in split.windows)).cast("timestamp_ntz"))
     if entity:
         sums["entities"] = F.count_distinct(entity) + F.max(F.col(entity).isNull().cast("int"))
     if natural:
@@ -139,7 +141,7 @@ def gather(split: Split, schema: Schema, outcome: Outcome, task: Task) -> Facts:
     if numeric:
         for r in association(tagged, numeric, LABEL, ["window"]).collect():
             f.links[r.window, r.feature] = (r.rows, r.positives, r.association)
-        for r in association(tagged, numeric, LABEL).collect():
+        for r in association(df, numeric, LABEL).collect():
             f.pooled[r.feature] = (r.rows, r.positives, r.association)
         for r in association(df.withColumn("_seen", label.isNotNull().cast("int")), numeric, "_seen").collect():
             f.seen[r.feature] = (r.rows, r.positives, r.association)
@@ -199,7 +201,7 @@ def no_grain(f):
 
 @check("C6")
 def outcome_as_feature(f):
-    return [Finding("C6", "outcome_component_as_feature", f"{c} computes the outcome", True, c) for c in (f.outcome.event,) if (s := f.schema.spec(c)) is not None and s.role is Role.FEATURE]
+    return [Finding("C6", "outcome_component_as_feature", f"{c} computes the outcome", True, c) for c in (f.outcome.event, f.outcome.deadline) if (s := f.schema.spec(c)) is not None and s.role is Role.FEATURE]
 
 
 @check("C1")
@@ -329,8 +331,7 @@ def shared_groups(f):
 def no_reserve(f):
     if f.split.reserve_from is not None or not f.split.windows or not f.days:
         return []
-    end = max(w.stop for w in f.split.windows)
-    n = sum(k for d, k in f.days if d >= end.date())
+    n = f.totals["beyond"]
     return [Finding("P5", "no_reserve", f"{n} rows lie beyond the windows, and none are reserved", True, metrics={"rows": n})] if n else []
 
 
@@ -407,11 +408,8 @@ def rate_by_reason(f, ratio=1.5):
 
 
 def _window_rates(f):
-    pairs = {}
-    for w in f.split.windows:
-        best = max(((rows, p) for (name, _), (rows, p, _) in f.links.items() if name == w.name), default=(0, 0))
-        if best[0] >= MIN_ROWS:
-            pairs[w.name] = (best[1] / best[0], best[0])
+    """(positive rate, labels) of the windows' evaluation rows."""
+    pairs = {w: (c["positives"] / c["labelled"], c["labelled"]) for w, c in f.counts.items() if c["labelled"] >= MIN_ROWS}
     if len(pairs) < 2:
         raise NotApplicable("fewer than two windows with enough labels")
     return pairs

@@ -74,12 +74,12 @@ class Split:
         return self.labelled.withColumn("_part", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull()))).select("*", "_part.window", "_part.side").drop("_part")
 
     def counts(self) -> DataFrame:
-        """(window, train, evaluate, labelled, immature, dropped_not_yet_known): one aggregation for all windows."""
+        """(window, train, evaluate, labelled, positives, immature, dropped_not_yet_known): one aggregation for all windows."""
         rows = []
         for w in self.windows:
             late = self.seen & (F.col(self.decision) < _at(w.start)) & (F.col(KNOWN_AT) >= _at(w.start))
-            rows.append((w.name, F.count_if(self.in_train(w)), F.count_if(self.in_evaluate(w)), F.count_if(self.in_evaluate(w) & F.col(LABEL).isNotNull()), F.count_if(self.in_evaluate(w) & (F.col(REASON) == IMMATURE)), F.count_if(late)))
-        names = ("train", "evaluate", "labelled", "immature", "dropped_not_yet_known")
+            rows.append((w.name, F.count_if(self.in_train(w)), F.count_if(self.in_evaluate(w)), F.count_if(self.in_evaluate(w) & F.col(LABEL).isNotNull()), F.count_if(self.in_evaluate(w) & (F.col(LABEL) == 1)), F.count_if(self.in_evaluate(w) & (F.col(REASON) == IMMATURE)), F.count_if(late)))
+        names = ("train", "evaluate", "labelled", "positives", "immature", "dropped_not_yet_known")
         wide = self.labelled.agg(*(c.alias(f"_{k}_{n}") for k, (_, *cs) in enumerate(rows) for n, c in zip(names, cs, strict=True)))
         return wide.select(F.inline(F.array(*(F.struct(F.lit(name).alias("window"), *(F.col(f"_{k}_{n}").alias(n) for n in names)) for k, (name, *_) in enumerate(rows)))))
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parsing import partial_date, two_digit_year
 from ..operators.joins import Cardinality, Direction, asof_join, guarded_join, prior_count
 from ..operators.profile import row_balance
 from ..operators.windows import history, keep_first, rolling
@@ -121,10 +122,7 @@ def flights(raw: DataFrame) -> DataFrame:
 def loans(raw: DataFrame, months: Sequence[int] = (12, 24, 36)) -> DataFrame:
     """Loans with dates of two-digit years repaired.  raw: id, approved, disbursed, charged_off (dd-MMM-yy), term, amount, industry."""
 
-    def repaired(c: str) -> Column:
-        d = day(c, "d-MMM-yy")
-        return F.when(F.year(d) > 2014, F.add_months(d, -1200)).otherwise(d).cast("timestamp_ntz")
-
+    repaired = lambda c: two_digit_year(c, 2014).cast("timestamp_ntz")
     rows = raw.withColumns({"approved_at": repaired("approved"), "decided_at": repaired("disbursed"), "event_at": repaired("charged_off"), "months": F.col("term").try_cast("int"), "amount_usd": money("amount"), "sector": F.substring("industry", 1, 2)})
     early = F.coalesce(F.col("event_at") < F.col("decided_at"), F.lit(False))
     rows = row_balance(rows, {"no_date": F.col("decided_at").isNull(), "no_term": F.col("months").isNull() | (F.col("months") <= 0), "paid_before": early})
@@ -134,9 +132,7 @@ def loans(raw: DataFrame, months: Sequence[int] = (12, 24, 36)) -> DataFrame:
 def studies(raw: DataFrame, registered: DataFrame) -> DataFrame:
     """Studies: partial dates go to the month's end.  raw: id, started, due, posted (yyyy-MM or yyyy-MM-dd); registered: id, sponsor."""
 
-    def partial(c: str) -> Column:
-        return F.coalesce(day(c, "yyyy-MM-dd"), F.last_day(day(c, "yyyy-MM"))).cast("timestamp_ntz")
-
+    partial = lambda c: partial_date(c).cast("timestamp_ntz")
     rows = raw.withColumns({"decided_at": partial("started"), "deadline_on": partial("due"), "event_at": partial("posted")})
     rows = row_balance(rows, {"no_dates": F.col("decided_at").isNull() | F.col("deadline_on").isNull(), "due_before": F.coalesce(F.col("deadline_on") < F.col("decided_at"), F.lit(False))})
     return guarded_join(rows, registered, on=["id"], expect=Cardinality.ONE_TO_ONE)

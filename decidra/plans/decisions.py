@@ -91,7 +91,7 @@ _PARTS = ", ".join(f"('{w.name}', TIMESTAMP '{w.start}', TIMESTAMP '{w.stop}')"
 _TAGGED = WITH + f", w(w, start, stop) AS (VALUES {_PARTS}), t AS (SELECT w, 'train' AS side, start, stop, l.* FROM l, w WHERE {_SEEN} AND label IS NOT NULL AND known_at < start UNION ALL SELECT w, 'evaluate', start, stop, l.* FROM l, w WHERE {_SEEN} AND decided_at >= start AND decided_at < stop) "
 
 
-@query(_TAGGED + f'SELECT w AS "window", (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'train\') AS train, (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'evaluate\') AS evaluate, (SELECT count(label) FROM t WHERE t.w = w.w AND side = \'evaluate\') AS labelled, (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'evaluate\' AND reason_of = \'immature\') AS immature, (SELECT count(*) FROM l WHERE {_SEEN} AND decided_at < w.start AND known_at >= w.start) AS dropped_not_yet_known FROM w')
+@query(_TAGGED + f'SELECT w AS "window", (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'train\') AS train, (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'evaluate\') AS evaluate, (SELECT count(label) FROM t WHERE t.w = w.w AND side = \'evaluate\') AS labelled, (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'evaluate\' AND label = 1) AS positives, (SELECT count(*) FROM t WHERE t.w = w.w AND side = \'evaluate\' AND reason_of = \'immature\') AS immature, (SELECT count(*) FROM l WHERE {_SEEN} AND decided_at < w.start AND known_at >= w.start) AS dropped_not_yet_known FROM w')
 def sp1_window_counts(spark, d):
     return splits(spark, d).counts()
 
@@ -287,7 +287,7 @@ def met11_segment_bias(spark, d):
 
 @query(f"WITH {_SCORED}, t AS (SELECT *, ntile(10) OVER (ORDER BY value, doc_id) AS decile FROM s) SELECT decile::BIGINT AS decile, count(*) AS rows, round(avg(value), 6) AS mean_score, round(avg(label), 6) AS mean_label FROM t GROUP BY 1")
 def met13_deciles(spark, d):
-    """Deciles by counting: the sample is grouped by value, so equal places follow from ranks without a global sort of rows."""
+    """Deciles of a labelled sample, of equal places; they need a total order, which one window gives."""
     rows = scored(spark, d)
     tiles = rows.withColumn("decile", F.ntile(10).over(Window.orderBy("value", "doc_id")))
     return tiles.groupBy(F.col("decile").cast("long").alias("decile")).agg(F.count("*").alias("rows"), r(F.avg("value")).alias("mean_score"), r(F.avg("label")).alias("mean_label"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decisions, relational
+from . import audits, decisions, exchange, relational
 
-MODULES = [relational, decisions]
+MODULES = [relational, decisions, audits, exchange]
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import Cardinality, Direction, asof_join, check_cardinality, guarded_join, join_losses, prior_count, rows_per_key
 from ..operators.profile import SENTINELS, distinct_with_null, duplicate_rows, loss_counts, profile, sentinel_counts, without_sentinels
-from ..operators.windows import average_rank, history, keep_first, micros, rolling
+from ..operators.windows import MICROS_PER_DAY, average_rank, history, keep_first, micros, rolling
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,11 +387,11 @@ def str_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", F.substring("p_name", 1, 2).alias("two"), F.col("p_name").rlike("(?i)red").alias("red"), F.col("p_type").startswith("S").alias("s"), F.char_length("p_brand").cast("long").alias("n"), F.concat("p_brand", F.lit("/"), "p_type").alias("joined"), money.alias("money"))
 
 
-@query("SELECT event_id, ts::DATE AS day, date_trunc('month', ts)::TIMESTAMP AS month, ts + INTERVAL 30 HOUR AS later, isodow(ts) AS weekday, hour(ts) AS hour, strftime(ts, '%Y-%m-%d %H:%M') AS text, epoch_us(ts) AS us, date_diff('second', TIMESTAMP '2024-01-10', ts) // 86400 AS floor_days, last_day(ts::DATE) AS month_end FROM events WHERE ts >= TIMESTAMP '2024-01-10'")
+@query("SELECT event_id, ts::DATE AS day, date_trunc('month', ts)::TIMESTAMP AS month, ts + INTERVAL 30 HOUR AS later, isodow(ts) AS weekday, hour(ts) AS hour, strftime(ts, '%Y-%m-%d %H:%M') AS text, epoch_us(ts) AS us, floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10')) / 86400000000.0)::BIGINT AS floor_days, last_day(ts::DATE) AS month_end FROM events")
 def dt_functions(spark, d):
     ts, start = F.col("ts"), F.lit("2024-01-10").cast("timestamp_ntz")
-    return table(spark, d, "events").where(ts >= start).select(
-        "event_id", F.to_date(ts).alias("day"), F.date_trunc("month", ts).cast("timestamp_ntz").alias("month"), (ts + F.expr("INTERVAL 30 HOURS")).alias("later"), (F.weekday(ts) + 1).cast("long").alias("weekday"), F.hour(ts).cast("long").alias("hour"), F.date_format(ts, "yyyy-MM-dd HH:mm").alias("text"), micros("ts").alias("us"), F.timestamp_diff("DAY", start, ts).alias("floor_days"), F.last_day(ts).alias("month_end"),
+    return table(spark, d, "events").select(
+        "event_id", F.to_date(ts).alias("day"), F.date_trunc("month", ts).cast("timestamp_ntz").alias("month"), (ts + F.expr("INTERVAL 30 HOURS")).alias("later"), (F.weekday(ts) + 1).cast("long").alias("weekday"), F.hour(ts).cast("long").alias("hour"), F.date_format(ts, "yyyy-MM-dd HH:mm").alias("text"), micros("ts").alias("us"), F.floor((micros("ts") - F.unix_micros(start.cast("timestamp"))) / MICROS_PER_DAY).alias("floor_days"), F.last_day(ts).alias("month_end"),
     )
 
 
@@ -412,10 +412,13 @@ def ud1_lookup(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(classes, F.col("event_type")), F.lit("other")).alias("class"))
 
 
-@query('SELECT \'event_type\' AS "column", 0::BIGINT AS n UNION ALL SELECT \'props\', 0')
+_TOKENS = ", ".join(f"'{x}'" for x in SENTINELS)
+
+
+@query(f"WITH e AS (SELECT CASE event_type WHEN 'view' THEN 'N/A' WHEN 'click' THEN '?' ELSE event_type END AS event_type, CASE WHEN event_id % 10 = 0 THEN '-1' ELSE props END AS props FROM events) SELECT 'event_type' AS \"column\", count(*) FILTER (event_type IN ({_TOKENS})) AS n FROM e UNION ALL SELECT 'props', count(*) FILTER (props IN ({_TOKENS})) FROM e")
 def src15_sentinel_counts(spark, d):
-    assert SENTINELS
-    return sentinel_counts(table(spark, d, "events"))
+    kind = F.when(F.col("event_type") == "view", "N/A").when(F.col("event_type") == "click", "?").otherwise(F.col("event_type"))
+    return sentinel_counts(table(spark, d, "events").withColumns({"event_type": kind, "props": F.when(F.col("event_id") % 10 == 0, "-1").otherwise(F.col("props"))}))
 
 
 @query("SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n, count(nullif(o_orderpriority, '5-LOW')) AS filled FROM orders GROUP BY 1")

@@ -15,6 +15,11 @@ def write_sorted(df: DataFrame, path: str, order: Sequence[str]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("error").option("compression", "none").parquet(path)
 
 
+def write_parts(split, path: str) -> None:
+    """The parts of a split's windows as Parquet, in folders ``window=.../side=...``."""
+    split.tagged().write.mode("error").partitionBy("window", "side").parquet(path)
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows, whatever their order or files: sums of row hashes, and their number."""
     h = F.xxhash64(*df.columns)
@@ -24,9 +29,11 @@ def content_digest(df: DataFrame) -> str:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of the files in ``path``, hashed where they are read."""
+    """(name, bytes, sha256) of the files in ``path``, named from there on, hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(root).toString()
+    return files.select(F.expr(f"substring(path, {len(root.rstrip('/')) + 2})").alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify(declared: DataFrame, found: DataFrame, strict: bool = True) -> DataFrame:
