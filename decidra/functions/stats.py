@@ -1,6 +1,7 @@
 """Rank statistics, calibration and cost metrics as aggregations.
 
-Scores are grouped by value before anything is ordered, so windows over the whole sample see different values only.
+Scores are grouped by value, and ordered within narrow buckets of values only (:mod:`.ranks`), so no task sees a whole
+sample, however many different scores it has.
 """
 
 from __future__ import annotations
@@ -10,19 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import before_buckets, bucket, order_statistics, quantiles, running
+
 LEAST_ROWS = 50
 
 
 def _pairs(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p")).withColumn("_bucket", bucket(F.col("_s")))
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, rows, positives, auc) with ties averaged; null for a single class."""
-    order = Window.partitionBy(*by).orderBy("_s")
-    groups = _pairs(df, score, label, by)
-    ranked = groups.withColumn("_rank", F.sum("_n").over(order) - (F.col("_n") - 1) / 2)
-    sums = ranked.groupBy(*by).agg(F.sum("_n").cast("long").alias("rows"), F.sum("_p").cast("long").alias("positives"), F.sum(F.col("_rank") * F.col("_p")).alias("_r"), F.count("*").alias("values"))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_s")
+    ranked = _pairs(df, score, label, by).withColumn("_r", (F.sum("_n").over(within) - (F.col("_n") - 1) / 2) * F.col("_p")).withColumn("_v", F.lit(1))
+    # a bucket's positives rank above all rows of the buckets before
+    buckets = before_buckets(ranked, ["_n", "_p", "_r", "_v"], by)
+    sums = buckets.groupBy(*by).agg(F.sum("_in_n").cast("long").alias("rows"), F.sum("_in_p").cast("long").alias("positives"), F.sum(F.col("_in_r") + F.col("_before_n") * F.col("_in_p")).alias("_r"), F.sum("_in_v").alias("values"))
     p, n = F.col("positives"), F.col("rows") - F.col("positives")
     return sums.select(*by, "rows", "positives", "values", F.when((p > 0) & (n > 0), (F.col("_r") - p * (p + 1) / 2) / (p * n)).alias("auc"))
 
@@ -39,16 +43,15 @@ def association(df: DataFrame, features: Sequence[str], label: str, by: Sequence
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, ap): the step definition, equal scores being one threshold."""
-    down = Window.partitionBy(*by).orderBy(F.desc("_s"))
-    whole = Window.partitionBy(*by)
-    steps = _pairs(df, score, label, by).select(*by, "_p", (F.sum("_p").over(down) / F.sum("_n").over(down)).alias("_precision"), F.sum("_p").over(whole).alias("_all"))
+    upto = running(_pairs(df, score, label, by), ["_n", "_p"], by, descending=True)
+    steps = upto.select(*by, "_p", (F.col("_upto_p") / F.col("_upto_n")).alias("_precision"), F.col("_all_p").alias("_all"))
     return steps.groupBy(*by).agg(F.when(F.max("_all") > 0, F.sum(F.col("_precision") * F.col("_p")) / F.max("_all")).alias("ap"))
 
 
 def calibration_bins(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """(bin, rows, mean_score, mean_label) of quantile bins; edges by linear interpolation, a value on an edge goes up."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    edges = rows.agg(F.percentile(score, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("_edges"))
+    edges = quantiles(rows, score, [k / bins for k in range(bins + 1)]).select(F.col("quantiles").alias("_edges"))
     at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.size(F.filter("_edges", lambda e: e <= F.col(score))) - 1))
     return rows.join(F.broadcast(edges), how="cross").withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("rows"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("mean_label"))
 
@@ -80,10 +83,8 @@ def net_benefit(score: str, label: str, threshold: float) -> Column:
 
 def quantile_nearest(df: DataFrame, value: str, q: float, by: Sequence[str] = ()) -> DataFrame:
     """(by, quantile): the order statistic at round(q * (n - 1)), halves to even, without interpolation."""
-    order = Window.partitionBy(*by).orderBy("_s")
-    groups = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_s")).agg(F.count("*").alias("_n"))
-    upto = groups.select(*by, "_s", F.sum("_n").over(order).alias("_upto"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
-    return upto.where(F.col("_upto") > F.rint(F.lit(q) * (F.col("_all") - 1))).groupBy(*by).agg(F.min("_s").alias("quantile"))
+    found = order_statistics(df, value, lambda n: [F.rint(F.lit(float(q)) * (n - 1))], by)
+    return found.select(*by, F.map_values("found")[0].alias("quantile"))
 
 
 def segment_bias(df: DataFrame, score: str, label: str, features: Sequence[str], least_rows: int = 200) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ..functions.ranks import quantiles
 from ..functions.stats import association
 from ..schema import Availability, Comparison, Grain, Outcome, Role, Schema, Task
 from .label import IMMATURE, LABEL, REASON
@@ -146,8 +147,8 @@ def gather(split: Split, schema: Schema, outcome: Outcome, task: Task) -> Facts:
         for r in association(df.withColumn("_seen", label.isNotNull().cast("int")), numeric, "_seen").collect():
             f.seen[r.feature] = (r.rows, r.positives, r.association)
         spread = tagged.select("window", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric))))
-        for r in spread.where(F.col("v").isNotNull()).groupBy("window", "feature").agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).collect():
-            f.spans[r.feature, r.window] = (r.n, r.q[0], r.q[1])
+        for r in quantiles(spread, "v", (0.05, 0.95), ["window", "feature"]).collect():
+            f.spans[r.feature, r.window] = (r.rows, *r.quantiles)
     unit = entity if outcome.recurring else f.object_key
     if unit and split.windows:
         f.shared = {r.window: r.shared for r in overlap(split, unit).collect()}

@@ -8,6 +8,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import before_buckets, same
+
 
 class Cardinality(Enum):
     ONE_TO_ONE = "one_to_one"
@@ -115,12 +117,21 @@ def _all_set(by: Sequence[str]) -> Column:
     return out
 
 
-def prior_count(decisions: DataFrame, events: DataFrame, *, by: Sequence[str], decision_time: str, event_time: str, same_instant_counts: bool = False, name: str = "prior") -> DataFrame:
-    """``decisions`` with the number of earlier ``events`` of the same key, by one window over both streams."""
+def prior_count(decisions: DataFrame, events: DataFrame, *, by: Sequence[str], decision_time: str, event_time: str, same_instant_counts: bool = False, name: str = "prior", bucket_days: int | None = None) -> DataFrame:
+    """``decisions`` with the number of earlier ``events`` of the same key, by one window over both streams.
+
+    ``bucket_days`` splits the rows of a key that has too many for one task: each bucket of days counts its own events
+    and adds the totals of the buckets before it.  Decisions without time count nothing.
+    """
     keep = F.struct(*(F.col(c) for c in decisions.columns))
     event_side = 0 if same_instant_counts else 1
     both = decisions.select(*by, F.col(decision_time).alias("_t"), F.lit(1 - event_side).alias("_side"), keep.alias("_left"), F.lit(0).alias("_one")).unionByName(
         events.where(F.col(event_time).isNotNull()).select(*by, F.col(event_time).alias("_t"), F.lit(event_side).alias("_side"), F.lit(1).alias("_one")), allowMissingColumns=True
     )
-    upto = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_n", F.sum("_one").over(upto)).where("_left is not null").select(*(F.col("_left")[c].alias(c) for c in decisions.columns), F.col("_n").cast("long").alias(name))
+    days = F.floor(F.datediff(F.to_date("_t"), F.lit("1970-01-01").cast("date")) / bucket_days) if bucket_days else F.lit(0)
+    both = both.withColumn("_bucket", days)
+    upto = Window.partitionBy(*by, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_n", F.sum("_one").over(upto)).where("_left is not null")
+    if bucket_days:
+        out = same(out, before_buckets(both, ["_one"], by), [*by, "_bucket"]).withColumn("_n", F.col("_n") + F.col("_before_one"))
+    return out.select(*(F.col("_left")[c].alias(c) for c in decisions.columns), F.col("_n").cast("long").alias(name))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import partial_date, two_digit_year
 from ..operators.joins import Cardinality, Direction, asof_join, guarded_join, prior_count
 from ..operators.profile import row_balance
-from ..operators.windows import history, keep_first, rolling
+from ..operators.windows import history, keep_first, rolled, rolling
 
 
 def stamp(column: str, form: str | None = None) -> Column:
@@ -76,7 +76,8 @@ def incidents(raw: DataFrame, days: Sequence[int] = (7, 30)) -> DataFrame:
     form = "yyyy/MM/dd hh:mm:ss a"
     rows = raw.withColumns({"happened_at": stamp("incident_datetime", form), "decided_at": stamp("report_datetime", form)})
     rows = row_balance(rows, {"no_time": F.col("happened_at").isNull() | F.col("decided_at").isNull(), "before": F.col("decided_at") < F.col("happened_at"), "no_place": F.col("place").isNull()})
-    rows = rows.withColumns({"reported_90d": F.count("*").over(rolling(["district"], "decided_at", 90, "left")), "happened_90d": F.count("*").over(rolling(["district"], "happened_at", 90, "left"))})
+    for name, clock_of in (("reported_90d", "decided_at"), ("happened_90d", "happened_at")):  # a district has very many reports
+        rows = rolled(rows, by=["district"], time=clock_of, days=90, sums={name: F.lit(1)}, closed="left")
     nexts = rows.select("place", F.col("decided_at").alias("event_at"))
     out = asof_join(rows, nexts, left_on="decided_at", right_on="event_at", by=["place"], direction=Direction.FORWARD, strict=True, values=[])
     return out.withColumns({"lag_hours": F.timestamp_diff("HOUR", "happened_at", "decided_at")} | horizons("decided_at", days))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions.ranks import quantiles, tiles
 from ..operators import label, split
 from ..operators.checks import audit
 from ..operators.profile import SENTINELS
@@ -198,8 +199,8 @@ def n6_association(spark, d):
 
 @query(_TAGGED + "SELECT w AS \"window\", round(quantile_cont(o_totalprice, 0.05), 4) AS q05, round(quantile_cont(o_totalprice, 0.95), 4) AS q95 FROM t WHERE side = 'evaluate' GROUP BY 1")
 def n5_support(spark, d):
-    q = lambda p: r(F.percentile("o_totalprice", p), 4)
-    return splits(spark, d).tagged().where("side = 'evaluate'").groupBy("window").agg(q(0.05).alias("q05"), q(0.95).alias("q95"))
+    q = quantiles(splits(spark, d).tagged().where("side = 'evaluate'"), "o_totalprice", [0.05, 0.95], ["window"])
+    return q.select("window", r(F.col("quantiles")[0], 4).alias("q05"), r(F.col("quantiles")[1], 4).alias("q95"))
 
 
 @query("WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT min(v) FILTER (k = round_even(0.9 * (n - 1), 0)) AS quantile FROM s")
@@ -287,10 +288,8 @@ def met11_segment_bias(spark, d):
 
 @query(f"WITH {_SCORED}, t AS (SELECT *, ntile(10) OVER (ORDER BY value, doc_id) AS decile FROM s) SELECT decile::BIGINT AS decile, count(*) AS rows, round(avg(value), 6) AS mean_score, round(avg(label), 6) AS mean_label FROM t GROUP BY 1")
 def met13_deciles(spark, d):
-    """Deciles of a labelled sample, of equal places; they need a total order, which one window gives."""
-    rows = scored(spark, d)
-    tiles = rows.withColumn("decile", F.ntile(10).over(Window.orderBy("value", "doc_id")))
-    return tiles.groupBy(F.col("decile").cast("long").alias("decile")).agg(F.count("*").alias("rows"), r(F.avg("value")).alias("mean_score"), r(F.avg("label")).alias("mean_label"))
+    """Deciles of a labelled sample, of equal places in the order of (value, doc_id)."""
+    return tiles(scored(spark, d), "value", "doc_id", 10, "decile").groupBy("decile").agg(F.count("*").alias("rows"), r(F.avg("value")).alias("mean_score"), r(F.avg("label")).alias("mean_label"))
 
 
 @query(f"WITH {_SCORED} SELECT t AS threshold, (count(*) FILTER (value >= t AND label = 0) * 1 + count(*) FILTER (value < t AND label = 1) * 5)::BIGINT AS cost FROM s, (SELECT unnest([0.1::DOUBLE, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS t) GROUP BY 1")
@@ -310,8 +309,9 @@ def met14_correlation_drift(spark, d):
 @query(WITH + ", q AS (SELECT quantile_cont(o_totalprice, 0.25) AS lo, quantile_cont(o_totalprice, 0.75) AS hi FROM l WHERE label IS NOT NULL) SELECT round(avg(label) FILTER (o_totalprice >= hi) - avg(label) FILTER (o_totalprice <= lo), 6) AS gap FROM l, q WHERE label IS NOT NULL")
 def met15_quartile_gap(spark, d):
     rows = labelled(spark, d).where(F.col(label.LABEL).isNotNull())
-    lo, hi = rows.agg(F.percentile("o_totalprice", F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
-    x = F.col("o_totalprice")
-    return rows.agg(r(F.avg(F.when(x >= F.lit(hi), F.col(label.LABEL))) - F.avg(F.when(x <= F.lit(lo), F.col(label.LABEL)))).alias("gap"))
+    edges = quantiles(rows, "o_totalprice", [0.25, 0.75]).select("quantiles")
+    x, q = F.col("o_totalprice"), F.col("quantiles")
+    rows = rows.crossJoin(F.broadcast(edges))  # one row
+    return rows.agg(r(F.avg(F.when(x >= q[1], F.col(label.LABEL))) - F.avg(F.when(x <= q[0], F.col(label.LABEL)))).alias("gap"))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..operators.joins import Cardinality, Direction, asof_join, check_cardinality, guarded_join, join_losses, prior_count, rows_per_key
 from ..operators.profile import SENTINELS, distinct_with_null, duplicate_rows, loss_counts, profile, sentinel_counts, without_sentinels
-from ..operators.windows import MICROS_PER_DAY, average_rank, history, keep_first, micros, rolling
+from ..operators.windows import MICROS_PER_DAY, average_rank, history, keep_first, micros, rolled, rolling
 from .tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +188,15 @@ def jn13_prior_count(spark, d):
     return prior_count(left, right, by=["user_id"], decision_time="ts", event_time="bought_at").select("event_id", "prior")
 
 
+@query("SELECT a.event_id, count(b.event_id) AS prior FROM events a LEFT JOIN (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)) b ON b.user_id % 3 = a.user_id % 3 AND b.ts < a.ts WHERE a.event_id % 20 = 0 GROUP BY 1")
+def jn13_prior_count_hot(spark, d):
+    """Three keys hold all rows: each is split into buckets of days.  The asking rows are every twentieth."""
+    rows = table(spark, d, "events").withColumn("part", F.col("user_id") % 3)
+    least = rows.agg(F.min("event_type").alias("least"))
+    found = rows.join(F.broadcast(least), F.col("event_type") == F.col("least")).select("part", F.col("ts").alias("found_at"))  # one row
+    return prior_count(rows.where("event_id % 20 = 0"), found, by=["part"], decision_time="ts", event_time="found_at", bucket_days=1).select("event_id", "prior")
+
+
 @query("SELECT n_name, count(*) AS orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region) GROUP BY n_name")
 def jn1_star(spark, d):
     first = table(spark, d, "region").orderBy("r_name").limit(1).select("r_regionkey")
@@ -237,7 +247,8 @@ def ag6_mode(spark, d):
 
 @query("SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def ag7_quantiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(r(F.percentile("value", 0.5)).alias("median"), r(F.percentile("value", 0.9)).alias("q90"))
+    q = quantiles(table(spark, d, "events"), "value", [0.5, 0.9], ["event_type"])
+    return q.select("event_type", r(F.col("quantiles")[0]).alias("median"), r(F.col("quantiles")[1]).alias("q90"))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 15")
@@ -307,7 +318,7 @@ def wn6_roll_right(spark, d):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS earlier FROM events")
 def wn7_roll_left(spark, d):
-    return table(spark, d, "events").select("event_id", F.count("*").over(rolling(["event_type"], "ts", 3, "left")).alias("earlier"))
+    return rolled(table(spark, d, "events").select("event_id", "event_type", "ts"), by=["event_type"], time="ts", days=3, sums={"earlier": F.lit(1)}, closed="left").select("event_id", "earlier")
 
 
 @query("SELECT day, day - lag(day) OVER (ORDER BY day) AS gap FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)")
