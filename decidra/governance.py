@@ -6,17 +6,18 @@ with what is measured, and a measured sample is spent.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
-from .functions import stats
+from .functions.ranks import quantiles
 from .operators.label import KNOWN_AT, LABEL
 from .schema import Schema
 
@@ -67,6 +68,7 @@ class Purpose(Enum):
 class _Sample:
     frame: DataFrame
     unit: str
+    start: dt.datetime | None = None
     uses: list[tuple[Purpose, str | None]] = field(default_factory=list)
 
 
@@ -76,10 +78,11 @@ class SampleLedger:
     def __init__(self, schema: Schema, overrides: OverrideLedger | None = None):
         self.schema, self.overrides, self._samples, self.fits = schema, overrides or OverrideLedger(), {}, []
 
-    def register(self, name: str, frame: DataFrame, unit: str) -> None:
+    def register(self, name: str, frame: DataFrame, unit: str, start: dt.datetime | None = None) -> None:
+        """``start`` is where the sample's window begins; without it, its first decision counts."""
         if name in self._samples:
             raise Blocked(f"{name} is registered already")
-        self._samples[name] = _Sample(frame, unit)
+        self._samples[name] = _Sample(frame, unit, start)
 
     def checkout(self, name: str, purpose: Purpose, note: str | None = None) -> DataFrame:
         """The sample's rows; handing them out and recording it are one act."""
@@ -109,6 +112,21 @@ class SampleLedger:
         if unknown:
             raise Blocked(f"P11: {unknown} aren't features that are known at the decision")
 
+    def provenance_defects(self, sample: str, trained_on: str) -> list[str]:
+        """Why a model of the rows of ``trained_on`` may not be measured on ``sample``; empty if it may."""
+        if trained_on not in self._samples:
+            return [f"{trained_on} isn't registered"]
+        train, s = self._samples[trained_on], self._samples[sample]
+        out = [] if any(p is Purpose.FITTING for p, _ in train.uses) else [f"{trained_on} wasn't handed out for fitting"]
+        start = s.start or s.frame.agg(F.min(self.schema.decision_time)).first()[0]
+        if start is not None and not known_before(train.frame, start):
+            out.append(f"labels of {trained_on} were known only after {sample} began")
+        if train.unit != s.unit:
+            out.append(f"the units of {trained_on} and {sample} can't be compared")
+        elif shares_units(train.frame, s.frame, s.unit):
+            out.append(f"{trained_on} shares units with {sample}")
+        return out
+
     def unspent(self) -> list[str]:
         return [n for n, s in self._samples.items() if not any(p is Purpose.MEASUREMENT for p, _ in s.uses)]
 
@@ -155,6 +173,11 @@ class Costs:
         return float(self.false_positive / (self.false_positive + self.false_negative))
 
 
+#: Metrics of which the smaller value is better.
+ERRORS = ("ece", "brier", "log_loss")
+BINS = 10
+
+
 @dataclass(frozen=True)
 class Comparison:
     metric: str
@@ -171,8 +194,13 @@ class Comparison:
     def decisive(self) -> bool:
         return self.low > 0 or self.high < 0
 
+    @property
+    def better(self) -> bool:
+        """Whether the model decisively beats the rule; of errors the smaller one is better."""
+        return self.high < 0 if self.metric in ERRORS else self.low > 0
+
     def statement(self) -> str:
-        side = "can't be told from the rule" if not self.decisive else "is above the rule" if self.low > 0 else "is below the rule"
+        side = "can't be told from the rule" if not self.decisive else "is better than the rule" if self.better else "is worse than the rule"
         return f"{self.metric}: {self.model:.4f} against {self.rule:.4f}, difference [{self.low:+.4f}; {self.high:+.4f}]: the model {side}"
 
 
@@ -213,7 +241,7 @@ def paired(df: DataFrame, model: str, rule: str, label: str, metric: str, costs:
     broken = rows.agg(F.count_if(F.isnan("_m") | F.isnan("_r") | (F.abs("_m") == float("inf")) | (F.abs("_r") == float("inf")) | F.col("_m").isNull() | F.col("_r").isNull()).alias("bad"), F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi")).first()
     if broken.bad or not broken.n:
         return Unmeasured(metric, f"{broken.bad} scores aren't finite" if broken.n else "no rows")
-    if metric == "auc" and broken.lo == broken.hi:
+    if metric in ("auc", "ap") and broken.lo == broken.hi:
         return Unmeasured(metric, "a single class")
     # different pairs of scores with counts of both classes; weights of a cell's rows add up to Poisson counts
     cells = rows.groupBy("_m", "_r", "_y").agg(F.count("*").alias("n")).withColumn("_k", F.xxhash64("_m", "_r", "_y"))
@@ -225,7 +253,7 @@ def paired(df: DataFrame, model: str, rule: str, label: str, metric: str, costs:
             yield out.drop(columns="n")
 
     weighted = cells.select("_m", "_r", "_y", "n", "_k").mapInPandas(draw, "_m double, _r double, _y int, w array<long>")
-    values = _bootstrap(weighted, metric, costs, draws)
+    values = _bootstrap(weighted, rows, metric, costs, draws)
     if any(v is None or not np.isfinite(v) for pair in values for v in pair):
         return Unmeasured(metric, "a draw leaves it undefined")
     gaps = [m - r for m, r in values[1:]]
@@ -233,16 +261,24 @@ def paired(df: DataFrame, model: str, rule: str, label: str, metric: str, costs:
     return Comparison(metric, float(values[0][0]), float(values[0][1]), float(low), float(high))
 
 
-def _bootstrap(weighted: DataFrame, metric: str, costs: Costs | None, draws: int) -> list[tuple[float, float]]:
-    """The metric of both scores in the sample (first) and in each draw."""
+def _bootstrap(weighted: DataFrame, sample: DataFrame, metric: str, costs: Costs | None, draws: int) -> list[tuple[float, float]]:
+    """The metric of both scores in the sample (first) and in each draw; the bins of ECE are those of the sample."""
     spark_values = weighted.select("_m", "_r", "_y", F.posexplode("w").alias("_d", "_w")).where(F.col("_w") > 0)
     out = []
     for s in ("_m", "_r"):
         rows = spark_values.select("_d", F.col(s).alias("_s"), "_y", "_w")
         y, w = F.col("_y"), F.col("_w")
-        if metric == "auc":
-            from pyspark.sql import Window
-
+        if metric == "ece":
+            edges = quantiles(sample, s, [k / BINS for k in range(BINS + 1)]).select("quantiles")
+            place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.size(F.filter("quantiles", lambda e: e <= F.col("_s"))) - 1))
+            b = rows.crossJoin(F.broadcast(edges)).groupBy("_d", place.alias("_bin")).agg(F.sum("_w").alias("n"), F.abs(F.sum(w * F.col("_s")) - F.sum(w * y)).alias("gap"))  # one row
+            value = b.groupBy("_d").agg((F.sum("gap") / F.sum("n")).alias("v"))
+        elif metric == "ap":
+            down = Window.partitionBy("_d").orderBy(F.desc("_s"))
+            g = rows.groupBy("_d", "_s").agg(F.sum("_w").alias("n"), F.sum(F.when(y == 1, w).otherwise(0)).alias("p"))
+            steps = g.select("_d", "p", (F.sum("p").over(down) / F.sum("n").over(down) * F.col("p")).alias("gain"))
+            value = steps.groupBy("_d").agg((F.sum("gain") / F.nullif(F.sum("p"), F.lit(0))).alias("v"))
+        elif metric == "auc":
             g = rows.groupBy("_d", "_s").agg(F.sum("_w").alias("n"), F.sum(F.when(y == 1, w).otherwise(0)).alias("p"))
             rank = F.sum("n").over(Window.partitionBy("_d").orderBy("_s")) - (F.col("n") - 1) / 2
             t = g.withColumn("k", rank).groupBy("_d").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("k") * F.col("p")).alias("k"))
@@ -277,7 +313,7 @@ def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFram
     if rows.where(F.col("_a").isNull()).limit(1).count():
         raise Blocked("observed units have no score")
     rows = gate(rows, "_a", LABEL)
-    names = ["auc", "brier", "log_loss", *(["net_benefit"] if costs else [])]
+    names = ["auc", "ece", "ap", "brier", "log_loss", *(["net_benefit"] if costs else [])]
     return Verdict(rows.count(), tuple(paired(rows, "_a", "_rule", LABEL, m, costs, draws, key=unit) for m in names))
 
 
@@ -315,14 +351,22 @@ class Stability:
         return len(self.signs) <= 1
 
 
-def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFrame], rule: Rule, metric: str = "auc", draws: int = DRAWS) -> Stability:
-    """A metric against the rule in each window.  All windows are validated before any is spent."""
+def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFrame], rule: Rule, metric: str = "auc", draws: int = DRAWS, trained_on: dict[str, str] | None = None) -> Stability:
+    """A metric against the rule in each window.  All windows are validated before any is spent.
+
+    ``trained_on`` names the sample that the model of each window was fitted on; its provenance must hold.
+    """
     ready = {}
     for sample, scores in predictions.items():
         if sample not in ledger._samples:
             raise Blocked(f"{sample} isn't registered")
         if any(p is Purpose.MEASUREMENT for p, _ in ledger.history(sample)):
             ledger.overrides.enforce("P1", True, f"{sample} was measured before")
+        if trained_on is not None:
+            if sample not in trained_on:
+                raise Blocked(f"what the model of {sample} was fitted on isn't named")
+            if defects := ledger.provenance_defects(sample, trained_on[sample]):
+                raise Blocked("; ".join(defects))
         s = ledger._samples[sample]
         scored = _scored(ledger, sample, scores, "_a")
         if s.frame.where(F.col(LABEL).isNotNull()).join(scored, s.unit, "left_anti").limit(1).count():

@@ -140,12 +140,12 @@ def gather(split: Split, schema: Schema, outcome: Outcome, task: Task) -> Facts:
         f.reasons = [tuple(r) for r in df.where(label.isNotNull()).groupBy(reason).agg(F.count("*").alias("n"), F.sum(label).alias("p")).where(F.col("n") >= MIN_ROWS).collect()]
     numeric, tagged = f.numeric, split.tagged().where(F.col("side") == EVALUATE)
     if numeric:
-        for r in association(tagged, numeric, LABEL, ["window"]).collect():
-            f.links[r.window, r.feature] = (r.rows, r.positives, r.association)
-        for r in association(df, numeric, LABEL).collect():
-            f.pooled[r.feature] = (r.rows, r.positives, r.association)
-        for r in association(df.withColumn("_seen", label.isNotNull().cast("int")), numeric, "_seen").collect():
-            f.seen[r.feature] = (r.rows, r.positives, r.association)
+        # the windows, the whole table, and whether there is a label, in one pass
+        of = lambda rows, part, window, y: rows.select(F.lit(part).alias("_part"), window.cast("string").alias("window"), y.cast("int").alias("_y"), *numeric)
+        parts = of(tagged, "links", F.col("window"), label).unionByName(of(df, "pooled", F.lit(None), label)).unionByName(of(df, "seen", F.lit(None), label.isNotNull()))
+        for r in association(parts, numeric, "_y", ["_part", "window"]).collect():
+            kept = getattr(f, r["_part"])
+            kept[(r.window, r.feature) if r["_part"] == "links" else r.feature] = (r.rows, r.positives, r.association)
         spread = tagged.select("window", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric))))
         for r in quantiles(spread, "v", (0.05, 0.95), ["window", "feature"]).collect():
             f.spans[r.feature, r.window] = (r.rows, *r.quantiles)

@@ -94,8 +94,8 @@ def run(project: Project, frame: DataFrame, overrides: OverrideLedger | None = N
         if project.outcome.recurring and key and look_back is not None:
             train = purge_overlapping_train(train, split.evaluate(w), key, decision, look_back)
         ledger.register(f"{w.name}:train", train, unit)
-        ledger.register(f"{w.name}:evaluate", split.evaluate(w), unit)
+        ledger.register(f"{w.name}:evaluate", split.evaluate(w), unit, w.start)
     if split.reserve_from is not None:
-        ledger.register("reserve", split.reserved(), unit)
+        ledger.register("reserve", split.reserved(), unit, split.reserve_from)
     study = Study(project.title, project.outcome.estimand(), report.findings, report.skipped)
     return Result(report, ledger, study)

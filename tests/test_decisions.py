@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decidra import governance as g
+from decidra.functions import stats
 from decidra.operators import label, split
 from decidra.operators.checks import audit
 from decidra.operators.split import Split
@@ -139,6 +140,11 @@ def test_project_run_and_measurement(spark):
     verdict = g.measure_against_baseline(result.samples, "reserve", scores, g.Rule(constant=0.3), g.Costs(Fraction(1), Fraction(4)), draws=60)
     by = {c.metric: c for c in verdict.comparisons}
     assert by["auc"].rule == 0.5 and by["auc"].model > 0.55 and by["auc"].low > 0 and by["brier"].high < 0.01
+    assert set(by) == {"auc", "ece", "ap", "brier", "log_loss", "net_benefit"}
+    known = reserve.select(label.LABEL, (0.55 / (1 + F.col("lead_days") / 6)).alias("s")).where(F.col(label.LABEL).isNotNull())
+    assert by["ece"].model == pytest.approx(stats.calibration_error(known, "s", label.LABEL).first().ece)
+    assert by["ap"].model == pytest.approx(stats.average_precision(known, "s", label.LABEL).first().ap)
+    assert by["ece"].low <= by["ece"].difference <= by["ece"].high or by["ece"].decisive
     result.study.conclude(verdict)
     assert "auc" in result.study.render() and "reserve" not in result.samples.unspent()
     with pytest.raises(g.Blocked):
@@ -178,5 +184,16 @@ def test_contrast_and_stability(spark):
     assert stable.stable and stable.signs == {1}
     with pytest.raises(g.Blocked):
         g.stability_across_windows(result.samples, {"w0:evaluate": lead("w0:evaluate")}, g.Rule(constant=0.5), draws=5)
+    assert result.samples.provenance_defects("w0:evaluate", "w0:train") == ["w0:train wasn't handed out for fitting"]
+    result.samples.fit("w0:train", ["lead_days"])
+    assert result.samples.provenance_defects("w0:evaluate", "w0:train") == [] and len(result.samples.provenance_defects("w0:evaluate", "w2:train")) == 3
+    result = run(parse(form()), world(spark))  # a ledger of which nothing is spent
+    window = {"w1:evaluate": lead("w1:evaluate")}
+    for named in ({}, {"w1:evaluate": "w1:train"}):  # not named, not handed out
+        with pytest.raises(g.Blocked):
+            g.stability_across_windows(result.samples, window, g.Rule(constant=0.5), draws=5, trained_on=named)
+    assert not result.samples.history("w1:evaluate")
+    result.samples.fit("w1:train", ["lead_days"])
+    assert g.stability_across_windows(result.samples, window, g.Rule(constant=0.5), "brier", 20, {"w1:evaluate": "w1:train"}).stable
     verdict = g.measure_contrast(result.samples, "reserve", lead("reserve"), lead("reserve", -1), ["auc"], draws=40)
     assert verdict.comparisons[0].low > 0
