@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary folder is set.
+    Only a local session without that setting (tests) gets a temporary folder; a cluster must name one, since its
+    machines don't share local folders.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="decidra-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

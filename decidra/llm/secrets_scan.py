@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, text_or_empty, written
-from .spans import overlaps
+from .spans import Taken
 
 KINDS = ("assign", "access", "hex", "random")
 #: Rate of false discoveries, and the lower ends of the classes of length.
@@ -140,9 +140,10 @@ def scanned(documents: DataFrame) -> DataFrame:
             bases, candidates, plain = [], [], []
             for t in b.column("text").to_pylist():
                 base = base_spans(t or "")
+                taken = Taken(base)
                 bases.append([{"kind": k, "start": a, "end": z} for k, a, z in base])
                 plain.append([{"class": k, "bin": p_bin(x)} for k, x in ordinary(t or "")])
-                candidates.append([{"start": m.start(), "end": m.end(), "class": length_class(m.end() - m.start()), "bin": p_bin(m.group())} for m in _CANDIDATE.finditer(t or "") if not overlaps(m.start(), m.end(), base)])
+                candidates.append([{"start": m.start(), "end": m.end(), "class": length_class(m.end() - m.start()), "bin": p_bin(m.group())} for m in _CANDIDATE.finditer(t or "") if not taken.overlaps(m.start(), m.end())])
             arrays = [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip((bases, candidates, plain), made.fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *arrays], schema.names)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from decidra.llm import pii, secrets_scan, spans, toxicity
+from decidra.llm.common import shared_dir
 from decidra.llm.decontamination import matches, without_leaks
 from decidra.llm.quality_classifier import cotrain
 from decidra.llm.quality_classifier import fit as fit_quality
@@ -117,6 +118,29 @@ def plain_secrets(t):
     return out + [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m.group()) >= 32]
 
 
+def test_taken_places_equal_brute_force():
+    draw = random.Random(4)
+    for _ in range(200):
+        made = [("k", a, a + draw.randrange(1, 15)) for a in (draw.randrange(60) for _ in range(draw.randrange(6)))]
+        taken = spans.Taken(made)
+        for a in range(0, 75, 3):
+            z = a + draw.randrange(1, 9)
+            assert taken.overlaps(a, z) == any(a < e and s < z for _, s, e in made)
+
+
+def test_clusters_must_name_a_shared_folder():
+    class Named(dict):
+        conf = property(lambda self: self)
+
+        def set(self, key, value):
+            self[key] = value
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Named({"spark.master": "yarn"}))
+    assert shared_dir(Named({"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_dir(Named({"spark.master": "local[2]"})).startswith("file://")
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_base_spans_equal_the_patterns(seed):
     r = random.Random(seed)
