@@ -34,13 +34,17 @@ FAN, PIECES = 8, 20_000
 CACHE_STRINGS, CACHE_WORDS = 900_000, 1_000_000
 
 
-_AFTER_SIGN = re.compile(r"(?:[^\w \t\n]|_)[.,][ \n]")
+#: Letters and digits that stay such in the tokenizer's lower case, whatever its version of Unicode: ASCII, Latin and Cyrillic
+#: but for the capital dotted I, of which a mark remains that joins the sign after it.
+_LETTERS = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u0527"
+_AFTER_SIGN = re.compile(rf"[^{_LETTERS} \t\n][.,][ \n]")
 
 
 def apart(text: str) -> str:
     """The text with spaces for line ends, and around commas and full stops that end a word, which are words of their own.
 
-    One after another sign belongs to that sign's word; texts with such are left as they are.
+    One after another sign belongs to that sign's word; texts with such, or with letters that may end in a mark, are left
+    as they are.
     """
     if not _AFTER_SIGN.search(text):
         text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " , ").replace(".\n", " . ")

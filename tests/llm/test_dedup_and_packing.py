@@ -208,3 +208,18 @@ def test_packing_bounds_a_task_when_no_two_pieces_fit(spark, monkeypatch, small)
 def test_packing_levels_shrink():
     assert next_width(1500, 30_000_000, 8, 20_000) == 0 and next_width(1500, 4_000_000, 8, 20_000) == 200 and next_width(1500, 100, 8, 20_000) == 188
     assert next_width(3, 40, 2, 20) == 2 and next_width(2, 20, 2, 20) == 1 and next_width(5, 1, 8, 20) == 0
+
+
+def test_ids_equal_the_whole_tokenizers_on_any_script():
+    """100,000 strings of letters, marks, signs, spaces and special tokens of many scripts."""
+    from decidra.llm.packing import Tokens
+
+    coder, r = Tokens(vocabulary()), random.Random(11)
+    spans = [(0x20, 0x7F), (0xA0, 0x250), (0x250, 0x370), (0x370, 0x530), (0x590, 0x700), (0x900, 0xA00), (0xE00, 0xE80), (0x1E00, 0x2100), (0x2C00, 0x2E00), (0x3040, 0x3100), (0x4E00, 0x4E80), (0xA640, 0xA700), (0xFB00, 0xFB10), (0xFE20, 0xFE30), (0x1F600, 0x1F650)]
+    fixed = [", ", ". ", ",\n", ".\n", " ", "\n", "\t", ",", ".", "\u0130", "\u0130, ", "\u0130. ", "e\u0301, ", "\u0307", "'s", "_, ", "\u1e9e", "\u212a", "\ufb03, ", "\u00df", *coder.special[:4]]
+    assert list(coder.encode(["ANKARA'DAK\u0130, sonra EVDEK\u0130. Sonra"]))[0].tolist() == coder.whole.encode("ANKARA'DAK\u0130, sonra EVDEK\u0130. Sonra", add_special_tokens=False).ids
+    for _ in range(20):
+        texts = ["".join(r.choice(fixed) if r.random() < 0.4 else chr(r.randrange(*r.choice(spans))) for _ in range(r.randrange(1, 24))) for _ in range(5000)]
+        want = coder.whole.encode_batch_fast(texts, add_special_tokens=False)
+        for text, got, w in zip(texts, coder.encode(texts), want, strict=True):
+            assert got.tolist() == w.ids, ascii(text)
