@@ -22,8 +22,14 @@ def _pairs(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFram
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, rows, positives, auc) with ties averaged; null for a single class."""
+    return auc_of_counts(_pairs(df, score, label, by), by)
+
+
+def auc_of_counts(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`auc` of (by, _s, _n, _p): different scores with their rows and positives."""
+    groups = groups if "_bucket" in groups.columns else groups.withColumn("_bucket", bucket(F.col("_s")))
     within = Window.partitionBy(*by, "_bucket").orderBy("_s")
-    ranked = _pairs(df, score, label, by).withColumn("_r", (F.sum("_n").over(within) - (F.col("_n") - 1) / 2) * F.col("_p")).withColumn("_v", F.lit(1))
+    ranked = groups.withColumn("_r", (F.sum("_n").over(within) - (F.col("_n") - 1) / 2) * F.col("_p")).withColumn("_v", F.lit(1))
     # a bucket's positives rank above all rows of the buckets before
     buckets = before_buckets(ranked, ["_n", "_p", "_r", "_v"], by)
     sums = buckets.groupBy(*by).agg(F.sum("_in_n").cast("long").alias("rows"), F.sum("_in_p").cast("long").alias("positives"), F.sum(F.col("_in_r") + F.col("_before_n") * F.col("_in_p")).alias("_r"), F.sum("_in_v").alias("values"))

@@ -1,8 +1,9 @@
 """Data-quality, leakage and drift checks of a decision table.
 
-An audit makes a few passes over one persisted labelled table, whatever the number of checks: global counters, daily
-and monthly volume, features by status, associations and quantiles by window, sets of objects shared between windows' sides.  Each check then is a
-rule over a few numbers.  Checks whose premise doesn't hold, or that lack what they need, are reported as skipped.
+A check is a rule over a few numbers, and declares the fragments of plans that give them (:mod:`.passes`).  An audit
+unites the needs of all checks that apply and answers them in a handful of queries over one persisted labelled table,
+whatever the number of checks: a check that is added brings its needs along, and shares the passes with all others.
+Checks whose premise doesn't hold, or that lack what they need, are reported as skipped.
 """
 
 from __future__ import annotations
@@ -10,24 +11,27 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from statistics import median
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ..functions.ranks import quantiles
-from ..functions.stats import association
-from ..schema import Availability, Comparison, Grain, Outcome, Role, Schema, Task
+from ..schema import Availability, Comparison, Grain, Outcome, Role, Schema, Simultaneous, Task
 from .label import IMMATURE, LABEL, REASON
+from .passes import Answers, Facet, Needs, Part, Rank, answered, nothing
 from .profile import SENTINELS
-from .split import EVALUATE, Split, group_candidates, group_overlap, lookback_overlap, overlap
+from .split import Split, group_candidates, lookback_overlap
 from .windows import MICROS_PER_DAY, micros
 
+#: Rows below which a rate means nothing, and how many standard errors tell two of them apart.
 MIN_ROWS, SIGMA = 100, 3.0
+#: Rows that an association needs, and rows a level that a string feature needs.
+LINK_ROWS, LEVEL_ROWS = 50, 50
 
 
 @dataclass(frozen=True)
@@ -65,31 +69,26 @@ class NotApplicable(Exception):
     """The check can't be made on this table."""
 
 
-@dataclass
-class Facts:
-    """What the passes found; small, on the driver."""
+@dataclass(frozen=True)
+class Context:
+    """What is declared, and the columns that there are: all that needs are made from."""
 
     schema: Schema
     outcome: Outcome
     task: Task
     split: Split
-    columns: list[str]
-    types: dict
-    totals: dict = field(default_factory=dict)
-    counts: dict = field(default_factory=dict)
-    reserve: dict = field(default_factory=dict)
-    days: list = field(default_factory=list)
-    months: list = field(default_factory=list)
-    by_status: list = field(default_factory=list)
-    reasons: list = field(default_factory=list)
-    links: dict = field(default_factory=dict)
-    pooled: dict = field(default_factory=dict)
-    seen: dict = field(default_factory=dict)
-    spans: dict = field(default_factory=dict)
-    shared: dict = field(default_factory=dict)
-    groups: dict = field(default_factory=dict)
-    candidates: list = field(default_factory=list)
-    lookbacks: dict = field(default_factory=dict)
+
+    @cached_property
+    def types(self) -> dict:
+        return {f.name: f.dataType for f in self.split.labelled.schema.fields}
+
+    @cached_property
+    def columns(self) -> list[str]:
+        return [c for c in self.split.labelled.columns if not c.startswith("__")]
+
+    @property
+    def decision(self) -> str:
+        return self.schema.decision_time
 
     @property
     def features(self) -> list[str]:
@@ -99,81 +98,129 @@ class Facts:
     def numeric(self) -> list[str]:
         return [f for f in self.features if isinstance(self.types[f], NumericType)]
 
+    @property
+    def strings(self) -> list[str]:
+        return [f for f in self.features if isinstance(self.types[f], StringType)]
+
     @property
     def object_key(self) -> str | None:
         return self.schema.one(Role.NATURAL_KEY) or self.schema.one(Role.ENTITY_ID)
 
+    @property
+    def unit(self) -> str | None:
+        """What may not be on both sides of a window."""
+        return self.schema.one(Role.ENTITY_ID) if self.outcome.recurring else self.object_key
+
+    def need(self, role: Role, what: str) -> str:
+        name = self.schema.one(role)
+        if name is None:
+            raise NotApplicable(f"{what} isn't declared")
+        return name
+
+
+@dataclass(frozen=True)
+class Facts:
+    """The context, and the answers to all needs."""
+
+    context: Context
+    answers: Answers
+    frames: Mapping[str, list[Row]] = field(default_factory=dict)
+
+    @property
+    def sums(self) -> dict:
+        return self.answers.sums
+
+    @property
+    def days(self) -> list[tuple[dt.date, int]]:
+        return [(dt.date.fromisoformat(k), m["n"]) for k, m in self.answers.facets["day"] if k is not None]
+
+    def facet(self, name: str) -> list[tuple[str | None, dict[str, int]]]:
+        return self.answers.facets[name]
+
+    def rank(self, part: str, feature: str) -> Rank:
+        return self.answers.ranks.get((part, feature), Rank(0, 0, None))
 
-def gather(split: Split, schema: Schema, outcome: Outcome, task: Task) -> Facts:
-    """All passes over the labelled table, which should be persisted."""
-    df, decision = split.labelled, schema.decision_time
-    f = Facts(schema, outcome, task, split, [c for c in df.columns if not c.startswith("__")], {x.name: x.dataType for x in df.schema.fields})
-    entity, natural, status, kind, reason = (schema.one(r) for r in (Role.ENTITY_ID, Role.NATURAL_KEY, Role.STATUS, Role.EVENT_KIND, Role.OBSERVATION_REASON))
-    strings = [c for c in f.columns if isinstance(f.types[c], StringType)]
-    event, label = F.col(outcome.event), F.col(LABEL)
-    sums = {"rows": F.count("*"), "labelled": F.count(label), "positives": F.coalesce(F.sum(label), F.lit(0)), "before": F.count_if(event < F.col(decision)), "equal": F.count_if(event == F.col(decision)), "unobserved": F.count_if(label.isNull() & (F.col(REASON) != IMMATURE)), "hash_rows": F.count_distinct(F.xxhash64(*f.columns), F.hash(*f.columns))}
-    if split.windows:
-        sums["beyond"] = F.count_if(F.col(decision) >= F.lit(max(w.stop for w in split.windows)).cast("timestamp_ntz"))
-    if entity:
-        sums["entities"] = F.count_distinct(entity) + F.max(F.col(entity).isNull().cast("int"))
-    if natural:
-        sums["objects"] = F.count_distinct(natural) + F.max(F.col(natural).isNull().cast("int"))
-    if kind:
-        sums["kinds"] = F.count_distinct(kind)
-    sums |= {f"sentinel:{c}": F.count_if(F.col(c).isin(*SENTINELS)) for c in strings}
-    for c in schema.columns:
-        if c.measured_at and c.window_days:
-            age = (micros(decision) - micros(c.measured_at)) / MICROS_PER_DAY
-            sums[f"new:{c.name}"], sums[f"old:{c.name}"] = F.count_if(age < c.window_days[0]), F.count_if(age > c.window_days[1])
-        if c.value_as_of and c.value_as_of in f.types:
-            sums[f"late:{c.name}"], sums[f"dated:{c.name}"] = F.count_if(F.col(c.value_as_of) > F.col(decision)), F.count(c.value_as_of)
-    f.totals = df.agg(*(v.alias(f"_{k}") for k, v in enumerate(sums.values()))).first()
-    f.totals = {k: v if v is not None else 0 for k, v in zip(sums, f.totals, strict=True)}
-    f.counts = {r.window: r.asDict() for r in split.counts().collect()}
-    f.reserve = split.reserve_counts().first().asDict()
-    f.days = [(r.day, r.n) for r in df.where(F.col(decision).isNotNull()).groupBy(F.to_date(decision).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()]
-    f.months = [tuple(r) for r in df.where((F.col(REASON) != IMMATURE) & F.col(decision).isNotNull()).groupBy(F.date_trunc("month", decision).alias("m")).agg(F.count("*").alias("n"), F.count(event).alias("k")).orderBy("m").collect()]
-    if status:
-        parts = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).isNull().cast("int").alias("gone")) for c in [outcome.event, *f.features]))
-        f.by_status = [tuple(r) for r in df.select(F.col(status).alias("status"), F.inline(parts)).groupBy("feature", "status").agg(F.count("*").alias("n"), F.sum("gone").alias("gone")).collect()]
-    if reason:
-        f.reasons = [tuple(r) for r in df.where(label.isNotNull()).groupBy(reason).agg(F.count("*").alias("n"), F.sum(label).alias("p")).where(F.col("n") >= MIN_ROWS).collect()]
-    numeric, tagged = f.numeric, split.tagged().where(F.col("side") == EVALUATE)
-    if numeric:
-        # the windows, the whole table, and whether there is a label, in one pass
-        of = lambda rows, part, window, y: rows.select(F.lit(part).alias("_part"), window.cast("string").alias("window"), y.cast("int").alias("_y"), *numeric)
-        parts = of(tagged, "links", F.col("window"), label).unionByName(of(df, "pooled", F.lit(None), label)).unionByName(of(df, "seen", F.lit(None), label.isNotNull()))
-        for r in association(parts, numeric, "_y", ["_part", "window"]).collect():
-            kept = getattr(f, r["_part"])
-            kept[(r.window, r.feature) if r["_part"] == "links" else r.feature] = (r.rows, r.positives, r.association)
-        spread = tagged.select("window", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric))))
-        for r in quantiles(spread, "v", (0.05, 0.95), ["window", "feature"]).collect():
-            f.spans[r.feature, r.window] = (r.rows, *r.quantiles)
-    unit = entity if outcome.recurring else f.object_key
-    if unit and split.windows:
-        f.shared = {r.window: r.shared for r in overlap(split, unit).collect()}
-    group = schema.one(Role.GROUP_ID)
-    if group and split.windows:
-        f.groups = {r.window: (r.shared, r.touched) for r in group_overlap(split, group).collect()}
-    elif f.object_key:
-        f.candidates = [tuple(r) for r in group_candidates(df.select(f.columns), f.object_key).collect()]
-    widest = max((c.window_days[1] for c in schema.by_role(Role.FEATURE) if c.window_days), default=None)
-    if outcome.recurring and widest is not None and f.object_key:
-        f.lookbacks = {w.name: lookback_overlap(split.train(w), split.evaluate(w), f.object_key, decision, widest).first()[0] for w in split.windows}
-    return f
-
-
-CHECKS: dict[str, tuple[Callable[[Facts], list[Finding]], str | None]] = {}
-
-
-def check(requirement: str, premise: str | None = None):
-    def keep(f):
-        CHECKS[requirement] = (f, premise)
-        return f
+    def windows(self) -> list[str]:
+        return [w.name for w in self.context.split.windows]
+
+
+def no_frames(_context: Context) -> dict[str, DataFrame]:
+    return {}
+
+
+@dataclass(frozen=True)
+class Check:
+    """A requirement with its rule, its needs, and small tables of its own (``frames``) that the fused passes can't give."""
+
+    requirement: str
+    rule: Callable[[Facts], list[Finding]]
+    premise: str | None = None
+    needs: Callable[[Context], Needs] = nothing
+    frames: Callable[[Context], dict[str, DataFrame]] = no_frames
+
+
+CHECKS: dict[str, Check] = {}
+
+
+def check(requirement: str, premise: str | None = None, needs=nothing, frames=no_frames):
+    def keep(rule):
+        CHECKS[requirement] = Check(requirement, rule, premise, needs, frames)
+        return rule
 
     return keep
 
 
+# --- fragments that several checks share -----------------------------------------------------------------------------
+
+WINDOW_SUMS: dict[str, Callable[[Split, object], Column]] = {
+    "train": lambda s, w: s.in_train(w),
+    "evaluate": lambda s, w: s.in_evaluate(w),
+    "labelled": lambda s, w: s.in_evaluate(w) & F.col(LABEL).isNotNull(),
+    "positives": lambda s, w: s.in_evaluate(w) & (F.col(LABEL) == 1),
+    "immature": lambda s, w: s.in_evaluate(w) & (F.col(REASON) == IMMATURE),
+}
+RESERVE_SUMS = {"evaluate": F.lit, "labelled": lambda _: F.col(LABEL).isNotNull(), "positives": lambda _: F.col(LABEL) == 1, "immature": lambda _: F.col(REASON) == IMMATURE}
+RESERVE = "reserve"
+
+
+def by_window(*names: str, reserve: bool = False):
+    """Counts ``name:window`` for each window, and for the reserve."""
+
+    def needs(c: Context) -> Needs:
+        found = {f"{n}:{w.name}": F.count_if(WINDOW_SUMS[n](c.split, w)) for n in names for w in c.split.windows}
+        if reserve and c.split.reserve_from is not None:
+            found |= {f"{n}:{RESERVE}": F.count_if(c.split.in_reserve & RESERVE_SUMS[n](True)) for n in names if n in RESERVE_SUMS}
+        return Needs(found)
+
+    return needs
+
+
+def labels(_c: Context) -> Needs:
+    return Needs({"rows": F.count("*"), "labelled": F.count(LABEL), "positives": F.sum(LABEL)})
+
+
+def by_day(c: Context) -> Needs:
+    return Needs(facets={"day": Facet(F.to_date(c.decision), {"n": F.lit(1)})})
+
+
+def pooled(c: Context) -> Needs:
+    return Needs(parts={"pooled": Part(F.lit(True), F.col(LABEL))}, numbers=c.numeric, strings=c.strings, ranked_strings=("pooled",))
+
+
+def window_ranks(c: Context) -> Needs:
+    return Needs(parts={f"window:{w.name}": Part(c.split.in_evaluate(w), F.col(LABEL), (0.05, 0.95)) for w in c.split.windows}, numbers=c.numeric)
+
+
+def all_of(*needs):
+    def united(c: Context) -> Needs:
+        out = Needs()
+        for n in needs:
+            out = out | n(c)
+        return out
+
+    return united
+
+
 def _rate_error(rate: float, n: int) -> float:
     return math.sqrt(max(0.0, rate * (1 - rate)) / n) if n else math.inf
 
@@ -183,224 +230,402 @@ def _link_error(rows: int, positives: int) -> float:
     return 0.29 / math.sqrt(few) if few > 0 else math.inf
 
 
+# --- declarations ----------------------------------------------------------------------------------------------------
+
+
 @check("A10")
 def mixed_grains(f):
-    e, d = f.schema.spec(f.outcome.event), f.schema.spec(f.outcome.deadline)
+    o, s = f.context.outcome, f.context.schema
+    e, d = s.spec(o.event), s.spec(o.deadline)
     if not e or not d or e.grain is None or d.grain is None:
         raise NotApplicable("a grain isn't declared")
     if Grain.MONTH in (e.grain, d.grain) and e.grain is not d.grain:
         return [Finding("A10", "mixed_temporal_grain", "a month isn't comparable with a finer grain", True)]
-    if e.grain is not d.grain and f.outcome.comparison is Comparison.DIRECT:
+    if e.grain is not d.grain and o.comparison is Comparison.DIRECT:
         return [Finding("A10", "mixed_temporal_grain", f"{e.grain.name} is compared with {d.grain.name}", True)]
     return [Finding("A10", "coarse_temporal_grain", "both sides are months", False)] if e.grain is Grain.MONTH else []
 
 
+def _outcome_columns(f):
+    o, s = f.context.outcome, f.context.schema
+    return [(c, s.spec(c)) for c in (o.event, o.deadline) if s.spec(c) is not None]
+
+
 @check("A10b")
 def no_grain(f):
-    return [Finding("A10b", "missing_temporal_grain", f"{c} has no declared grain", True, c) for c in (f.outcome.event, f.outcome.deadline) if (s := f.schema.spec(c)) is not None and s.grain is None]
+    return [Finding("A10b", "missing_temporal_grain", f"{c} has no declared grain", True, c) for c, s in _outcome_columns(f) if s.grain is None]
 
 
 @check("C6")
 def outcome_as_feature(f):
-    return [Finding("C6", "outcome_component_as_feature", f"{c} computes the outcome", True, c) for c in (f.outcome.event, f.outcome.deadline) if (s := f.schema.spec(c)) is not None and s.role is Role.FEATURE]
+    return [Finding("C6", "outcome_component_as_feature", f"{c} computes the outcome", True, c) for c, s in _outcome_columns(f) if s.role is Role.FEATURE]
 
 
 @check("C1")
 def known_later(f):
-    return [Finding("C1", "feature_after_decision", f"{c.name} is known after the decision", True, c.name) for c in f.schema.by_role(Role.FEATURE) if c.availability is Availability.AFTER]
+    late = [c.name for c in f.context.schema.by_role(Role.FEATURE) if c.availability is Availability.AFTER]
+    return [Finding("C1", "feature_after_decision", f"{c} is known after the decision", True, c) for c in late]
 
 
 @check("C2")
 def unknown_availability(f):
-    return [Finding("C2", "unknown_availability", f"when {c.name} is known isn't declared", False, c.name) for c in f.schema.by_role(Role.FEATURE) if c.availability in (None, Availability.UNKNOWN)]
+    unknown = [c.name for c in f.context.schema.by_role(Role.FEATURE) if c.availability in (None, Availability.UNKNOWN)]
+    return [Finding("C2", "unknown_availability", f"when {c} is known isn't declared", False, c) for c in unknown]
+
+
+@check("S8")
+def undeclared_columns(f):
+    extra = sorted(set(f.context.columns) - {c.name for c in f.context.schema.columns})
+    return [Finding("S8", "undeclared_column", f"{c} isn't declared", True, c) for c in extra]
+
+
+@check("P10")
+def overlapping_windows(f):
+    ws = sorted(f.context.split.windows, key=lambda w: (w.start, w.stop))
+    return [Finding("P10", "windows_overlap", f"{a.name} and {b.name} overlap", True, a.name) for a, b in zip(ws, ws[1:], strict=False) if b.start < a.stop]
 
 
-@check("A2")
+# --- rows ------------------------------------------------------------------------------------------------------------
+
+
+def _both_keys(c):
+    names = c.need(Role.ENTITY_ID, "an id"), c.need(Role.NATURAL_KEY, "a natural key")
+    return Needs(keys={n: F.col(n) for n in names})
+
+
+@check("A2", needs=_both_keys)
 def surrogate_key(f):
-    if "entities" not in f.totals or "objects" not in f.totals:
-        raise NotApplicable("no natural key is declared")
-    fewer = f.totals["objects"] < f.totals["entities"]
-    return [Finding("A2", "surrogate_entity", f"{f.totals['entities']} ids stand for {f.totals['objects']} objects", True)] if fewer and not f.outcome.recurring else []
+    ids, objects = (f.answers.keys[f.context.schema.one(r)].different for r in (Role.ENTITY_ID, Role.NATURAL_KEY))
+    fewer = objects < ids and not f.context.outcome.recurring
+    return [Finding("A2", "surrogate_entity", f"{ids} ids stand for {objects} objects", True)] if fewer else []
+
+
+def _whole_rows(c):
+    whole = F.concat_ws(":", F.xxhash64(*c.columns), F.hash(*c.columns))
+    return labels(c) | Needs(keys={"whole row": whole})
 
 
-@check("A3")
+@check("A3", needs=_whole_rows)
 def duplicates(f):
-    n = f.totals["rows"] - f.totals["hash_rows"]
+    n = f.sums["rows"] - f.answers.keys["whole row"].different if f.sums["rows"] else 0
     return [Finding("A3", "duplicate_rows", f"{n} rows repeat others", False, metrics={"rows": n})] if n else []
 
 
-@check("A5", "process")
+def _by_status(columns):
+    def needs(c):
+        status = c.need(Role.STATUS, "a status")
+        gone = {f"gone:{x}": F.col(x).isNull() for x in columns(c)}
+        return Needs(facets={"status": Facet(F.col(status), {"n": F.lit(1), **gone})})
+
+    return needs
+
+
+@check("A5", "process", _by_status(lambda c: [c.outcome.event]))
 def conflicting_status(f):
-    rows = [(s, n, gone) for name, s, n, gone in f.by_status if name == f.outcome.event and s is not None]
-    return [Finding("A5", "status_conflicts_with_event", f"{s}: {gone} of {n} rows have no event", False, s, {"share": gone / n}) for s, n, gone in sorted(rows) if 0 < gone < n]
+    name = f"gone:{f.context.outcome.event}"
+    rows = [(s, m["n"], m[name]) for s, m in f.facet("status") if s is not None]
+    return [
+        Finding("A5", "status_conflicts_with_event", f"{s}: {gone} of {n} rows have no event", False, s, {"share": gone / n})
+        for s, n, gone in rows if 0 < gone < n
+    ]
 
 
-def _daily(f):
-    if not f.days:
-        raise NotApplicable("no decisions")
-    first, last = f.days[0][0], f.days[-1][0]
-    return first, last, dict(f.days)
+@check("A11", "process", all_of(labels, _by_status(lambda c: c.features)))
+def post_treatment_missing(f, least=30, share=0.8, times=1.5):
+    total, out = f.sums["rows"], []
+    for feature in f.context.features:
+        gone = [(m[f"gone:{feature}"], m["n"], s) for s, m in f.facet("status")]
+        if (all_gone := sum(g for g, *_ in gone)) >= least:
+            most, n, status = max(gone, key=lambda x: (x[0], str(x[2])))
+            if most / all_gone >= share and most / all_gone > times * n / total:
+                out.append(Finding("A11", "missing_by_status", f"{most / all_gone:.0%} of {feature}'s gaps have the status {status}", False, feature, {"share": most / all_gone}))
+    return out
 
 
-@check("A6", "stream")
+@check("A6", "stream", by_day)
 def truncated_tail(f, tail=14, ratio=0.35, least_days=42):
-    if len(f.days) < least_days:
+    days = f.days
+    if len(days) < least_days:
         raise NotApplicable(f"fewer than {least_days} days")
-    _, last, by = _daily(f)
-    late = [by.get(last - dt.timedelta(days=k), 0) for k in range(tail)]
-    usual = median(n for d, n in f.days if d <= last - dt.timedelta(days=tail))
-    return [Finding("A6", "truncated_tail", f"the last {tail} days have {sum(late) / tail:.1f} rows a day, {usual} before", False, metrics={"ratio": sum(late) / tail / usual})] if sum(late) / tail < ratio * usual else []
+    last, by = days[-1][0], dict(days)
+    late = sum(by.get(last - dt.timedelta(days=k), 0) for k in range(tail)) / tail
+    usual = median(n for d, n in days if d <= last - dt.timedelta(days=tail))
+    return [Finding("A6", "truncated_tail", f"the last {tail} days have {late:.1f} rows a day, {usual} before", False, metrics={"ratio": late / usual})] if late < ratio * usual else []
 
 
-@check("A7", "stream")
+@check("A7", "stream", by_day)
 def missing_period(f, least=7):
     days = [d for d, _ in f.days]
-    return [Finding("A7", "missing_period", f"no rows between {a} and {b}", False, str(a), {"days": (b - a).days - 1}) for a, b in zip(days, days[1:], strict=False) if (b - a).days - 1 >= least]
+    gaps = [(a, b, (b - a).days - 1) for a, b in zip(days, days[1:], strict=False)]
+    return [Finding("A7", "missing_period", f"no rows between {a} and {b}", False, str(a), {"days": n}) for a, b, n in gaps if n >= least]
 
 
-@check("A11", "process")
-def post_treatment_missing(f, least=30, share=0.8, times=1.5):
-    n_of, total, out = {s: n for name, s, n, _ in f.by_status if name == f.outcome.event}, f.totals["rows"], []
-    for feature in f.features:
-        gone = {s: g for name, s, _, g in f.by_status if name == feature}
-        if (all_gone := sum(gone.values())) >= least:
-            top = max(sorted(gone, key=str), key=lambda s: gone[s])
-            part = gone[top] / all_gone
-            if part >= share and part > times * n_of[top] / total:
-                out.append(Finding("A11", "missing_by_status", f"{part:.0%} of {feature}'s gaps have the status {top}", False, feature, {"share": part}))
-    return out
+@check("A14", needs=lambda c: Needs({f"sentinel:{x}": F.count_if(F.col(x).isin(*SENTINELS)) for x in c.columns if isinstance(c.types[x], StringType)}))
+def sentinels(f):
+    found = [(k[9:], n) for k, n in f.sums.items() if k.startswith("sentinel:") and n]
+    return [Finding("A14", "sentinel_as_value", f"{c} has {n} sentinels", True, c, {"rows": n}) for c, n in found]
 
 
-@check("A14")
-def sentinels(f):
-    return [Finding("A14", "sentinel_as_value", f"{k[9:]} has {n} sentinels", True, k[9:], {"rows": n}) for k, n in f.totals.items() if k.startswith("sentinel:") and n]
+def _before(c):
+    event, decision = F.col(c.outcome.event), F.col(c.decision)
+    worst = F.max(F.when(event < decision, F.floor((micros(c.decision) - micros(c.outcome.event)) / MICROS_PER_DAY)))
+    return Needs({"before": F.count_if(event < decision), "equal": F.count_if(event == decision), "worst days before": worst})
 
 
-@check("A13")
+@check("A13", needs=_before)
 def event_before_decision(f):
-    out = [Finding("A13", "event_before_decision", f"{f.totals['before']} events lie before the decision", True, metrics={"rows": f.totals["before"]})] if f.totals["before"] else []
-    return out + ([Finding("A13", "event_at_decision", f"{f.totals['equal']} events are at the decision", False, metrics={"rows": f.totals["equal"]})] if f.totals["equal"] else [])
+    out, n, same, worst = [], f.sums["before"], f.sums["equal"], f.sums["worst days before"]
+    if n:
+        out.append(Finding("A13", "event_before_decision", f"{n} events lie before the decision, up to {worst} days", True, metrics={"rows": n, "worst_days": worst}))
+    if same:
+        out.append(Finding("A13", "event_at_decision", f"{same} events are at the decision", False, metrics={"rows": same}))
+    return out
 
 
-@check("N6", "binary")
-def separates_alone(f, least=0.35, sure=0.45, times=2.5):
-    strength = {c: abs(v[2]) for c, v in f.pooled.items() if v[2] is not None}
-    out = []
-    for c, s in sorted(strength.items()):
-        others = [v for k, v in strength.items() if k != c]
-        if s >= least and (s >= sure or (others and s >= times * median(others))):
-            out.append(Finding("N6", "feature_separates_outcome", f"{c} alone has an association of {s:.3f}", True, c, {"association": s}))
-    return out
+def _immaturity(c):
+    return by_window("evaluate", "immature", reserve=True)(c)
 
 
-@check("P8")
-def small_train(f, least=100):
-    return [Finding("P8", "small_training_part", f"{w} trains on {c['train']} rows", True, w, {"rows": c["train"]}) for w, c in f.counts.items() if c["train"] < least]
+@check("A12", "delayed", _immaturity)
+def immature(f, least=0.01):
+    names = [*f.windows(), *([RESERVE] if f"evaluate:{RESERVE}" in f.sums else [])]
+    parts = [(w, f.sums[f"immature:{w}"], f.sums[f"evaluate:{w}"]) for w in names]
+    return [
+        Finding("A12", "immature_labels", f"{k} of {n} outcomes in {w} aren't mature", True, w, {"share": k / n})
+        for w, k, n in parts if n and k / n >= least
+    ]
 
 
-@check("P9")
-def small_evaluate(f, least=100):
-    return [Finding("P9", "small_evaluation_part", f"{w} observes {c['labelled']} outcomes", True, w, {"rows": c["labelled"]}) for w, c in f.counts.items() if c["labelled"] < least]
+# --- clocks and windows of features ----------------------------------------------------------------------------------
 
 
-@check("P10")
-def overlapping_windows(f):
-    ws = sorted(f.split.windows, key=lambda w: (w.start, w.stop))
-    return [Finding("P10", "windows_overlap", f"{a.name} and {b.name} overlap", True, a.name) for a, b in zip(ws, ws[1:], strict=False) if b.start < a.stop]
+def _measured(c):
+    sums = {}
+    for x in c.schema.columns:
+        if x.measured_at and x.window_days and x.measured_at in c.types:
+            age = (micros(c.decision) - micros(x.measured_at)) / MICROS_PER_DAY
+            low, high = x.window_days
+            for name, over in (("new", low - age), ("old", age - high)):
+                sums |= {f"{name}:{x.name}": F.count_if(over > 0), f"worst {name}:{x.name}": F.max(F.when(over > 0, over))}
+    return Needs(sums)
 
 
-@check("N2")
-def shared_objects(f):
-    return [Finding("N2", "entity_overlap", f"{n} objects are in both parts of {w}", True, w, {"objects": n}) for w, n in f.shared.items() if n]
+@check("S7", needs=_measured)
+def measured_outside_window(f):
+    out = []
+    for name, finding, says in (("new", "measured_too_new", "newer"), ("old", "measured_too_old", "older")):
+        for x in f.context.schema.columns:
+            if n := f.sums.get(f"{name}:{x.name}"):
+                worst = f.sums[f"worst {name}:{x.name}"]
+                out.append(Finding("S7", finding, f"{n} values of {x.name} are {says} than its window, by up to {worst:g} days", True, x.name, {"rows": n, "worst_days": worst}))
+    return out
 
 
-@check("N2i")
-def shared_history(f):
-    if not f.outcome.recurring:
-        raise NotApplicable("objects don't recur")
-    out = [Finding("N2i", "feature_window_undeclared", f"{c}'s window isn't declared", True, c) for c in f.features if f.schema.spec(c).window_days is None]
-    return out + [Finding("N2i", "feature_windows_overlap", f"{n} rows of {w} look back into training rows", True, w, {"rows": n}) for w, n in f.lookbacks.items() if n]
+def _known_at(c: Context) -> str:
+    """The column that says when a row is known: when it arrived, else when it was measured, else the decision."""
+    return c.schema.one(Role.AVAILABLE_AT) or c.schema.one(Role.MEASURED_AT) or c.decision
 
 
-@check("N14")
-def shared_groups(f):
-    out = [Finding("N14", "group_overlap", f"{n} groups are in both parts of {w}", True, w, {"groups": n, "touched": t}) for w, (n, t) in f.groups.items() if n]
-    return out + [Finding("N14", "undeclared_group", f"{c} groups {s:.0%} of rows", True, c, {"groups": g, "share": s}) for c, g, s in f.candidates]
+def _clocked(c: Context):
+    return [x for x in c.schema.by_role(Role.FEATURE) if x.availability is Availability.AT_DECISION and x.window_days and x.window_days[1] > 0]
 
 
-@check("P5")
-def no_reserve(f):
-    if f.split.reserve_from is not None or not f.split.windows or not f.days:
-        return []
-    n = f.totals["beyond"]
-    return [Finding("P5", "no_reserve", f"{n} rows lie beyond the windows, and none are reserved", True, metrics={"rows": n})] if n else []
+def _clocks(c):
+    known, sums = _known_at(c), {"rows": F.count("*")}
+    for x in _clocked(c):
+        if x.clock and x.clock != known and x.clock in c.types and known in c.types:
+            sums[f"behind:{x.name}"] = F.count_if(F.col(x.clock) < F.col(known))
+    return Needs(sums)
 
 
-@check("A12", "delayed")
-def immature(f, least=0.01):
-    parts = {w: (c["immature"], c["evaluate"]) for w, c in f.counts.items()} | ({"reserve": (f.reserve["reserved_immature"], f.reserve["reserved"])} if f.reserve["reserved"] else {})
-    return [Finding("A12", "immature_labels", f"{k} of {n} outcomes in {w} aren't mature", True, w, {"share": k / n}) for w, (k, n) in parts.items() if n and k / n >= least]
+@check("S9", needs=_clocks)
+def window_clock(f, share=0.05):
+    out, rows, known = [], f.sums["rows"], _known_at(f.context)
+    for x in _clocked(f.context):
+        n = f.sums.get(f"behind:{x.name}")
+        if not x.clock:
+            out.append(Finding("S9", "window_clock_undeclared", f"the clock of {x.name}'s window isn't declared", True, x.name))
+        elif n and n >= share * rows:
+            out.append(Finding("S9", "window_clock_unknowable", f"{x.name}'s window counts by {x.clock}, which is before {known} in {n / rows:.1%} of rows", True, x.name, {"share": n / rows}))
+    return out
+
 
+def _dated(c: Context):
+    return [*c.schema.by_role(Role.DEADLINE), *(x for x in c.schema.by_role(Role.FEATURE) if x.availability is Availability.AT_DECISION)]
+
+
+def _fixed_later(c):
+    sums = {"rows": F.count("*")}
+    for x in _dated(c):
+        if x.value_as_of and x.value_as_of in c.types and x.value_as_of != c.decision:
+            sums[f"late:{x.name}"] = F.count_if(F.col(x.value_as_of) > F.col(c.decision))
+    return Needs(sums)
+
+
+@check("S10", needs=_fixed_later)
+def revised_later(f, share=0.05):
+    out, rows = [], f.sums["rows"]
+    for x in _dated(f.context):
+        n = f.sums.get(f"late:{x.name}")
+        if x.value_as_of is None:
+            out.append(Finding("S10", "value_as_of_undeclared", f"as of when {x.name} holds isn't declared", True, x.name))
+        elif n and n >= share * rows:
+            out.append(Finding("S10", "value_revised_after_decision", f"{x.name} was fixed later in {n / rows:.0%} of rows", True, x.name, {"share": n / rows}))
+    return out
 
-@check("S6")
+
+@check("S6", needs=by_day)
 def premise_contradicted(f):
-    out = []
-    if f.task.has_process and f.schema.one(Role.STATUS) is None:
+    out, days = [], f.days
+    if f.context.task.has_process and f.context.schema.one(Role.STATUS) is None:
         out.append(Finding("S6", "premise_contradicted", "a process is declared, but no status", True, "process"))
-    if f.task.is_stream and len(f.days) >= 4:
-        gaps = sorted((b - a).days for (a, _), (b, _) in zip(f.days, f.days[1:], strict=False))
+    if f.context.task.is_stream and len(days) >= 4:
+        gaps = sorted((b - a).days for (a, _), (b, _) in zip(days, days[1:], strict=False))
         if gaps[round(0.9 * (len(gaps) - 1))] > 3 * median(gaps):
             out.append(Finding("S6", "premise_contradicted", "rows don't arrive regularly", True, "stream"))
     return out
 
 
-@check("S7")
-def measured_outside_window(f):
-    out = [Finding("S7", "measured_too_new", f"{n} values of {k[4:]} are newer than its window", True, k[4:], {"rows": n}) for k, n in f.totals.items() if k.startswith("new:") and n]
-    return out + [Finding("S7", "measured_too_old", f"{n} values of {k[4:]} are older than its window", True, k[4:], {"rows": n}) for k, n in f.totals.items() if k.startswith("old:") and n]
+# --- splits ----------------------------------------------------------------------------------------------------------
 
 
-@check("S8")
-def undeclared_columns(f):
-    return [Finding("S8", "undeclared_column", f"{c} isn't declared", True, c) for c in sorted(set(f.columns) - {c.name for c in f.schema.columns})]
+@check("P8", needs=by_window("train"))
+def small_train(f, least=MIN_ROWS):
+    sizes = [(w, f.sums[f"train:{w}"]) for w in f.windows()]
+    return [Finding("P8", "small_training_part", f"{w} trains on {n} rows", True, w, {"rows": n}) for w, n in sizes if n < least]
 
 
-@check("S10")
-def revised_later(f, least=0.05):
-    out = []
-    for c in [*f.schema.by_role(Role.DEADLINE), *f.schema.by_role(Role.FEATURE)]:
-        if c.value_as_of is None:
-            if c.role is Role.DEADLINE:
-                out.append(Finding("S10", "value_as_of_undeclared", f"as of when {c.name} holds isn't declared", True, c.name))
-        elif (n := f.totals.get(f"dated:{c.name}")) and f.totals[f"late:{c.name}"] / n >= least:
-            out.append(Finding("S10", "value_revised_after_decision", f"{c.name} was fixed later in {f.totals[f'late:{c.name}'] / n:.0%} of rows", True, c.name))
+@check("P9", needs=by_window("labelled", reserve=True))
+def small_evaluate(f, least=MIN_ROWS):
+    names = [*f.windows(), *([RESERVE] if f"labelled:{RESERVE}" in f.sums else [])]
+    sizes = [(w, f.sums[f"labelled:{w}"]) for w in names]
+    return [Finding("P9", "small_evaluation_part", f"{w} observes {n} outcomes", True, w, {"rows": n}) for w, n in sizes if n < least]
+
+
+def _beyond(c):
+    if not c.split.windows:
+        raise NotApplicable("no windows")
+    last = F.lit(max(w.stop for w in c.split.windows)).cast("timestamp_ntz")
+    return Needs({"beyond": F.count_if(F.col(c.decision) >= last)})
+
+
+@check("P5", needs=_beyond)
+def no_reserve(f):
+    n = f.sums["beyond"]
+    return [Finding("P5", "no_reserve", f"{n} rows lie beyond the windows, and none are reserved", True, metrics={"rows": n})] if n and f.context.split.reserve_from is None else []
+
+
+def _unit_keys(c):
+    return Needs(keys={c.unit: F.col(c.unit)}) if c.unit else Needs()
+
+
+@check("N2", needs=_unit_keys)
+def shared_objects(f):
+    if f.context.unit is None or f.context.unit not in f.answers.keys:
+        return []
+    shared = f.answers.keys[f.context.unit].shared
+    return [Finding("N2", "entity_overlap", f"{n} objects are in both parts of {w}", True, w, {"objects": n}) for w, n in shared.items() if n]
+
+
+def _lookbacks(c):
+    widest = max((x.window_days[1] for x in c.schema.by_role(Role.FEATURE) if x.window_days), default=None)
+    if not c.outcome.recurring or widest is None or not c.object_key or not c.split.windows:
+        return {}
+    found = None
+    for w in c.split.windows:
+        n = lookback_overlap(c.split.train(w), c.split.evaluate(w), c.object_key, c.decision, widest).select(F.lit(w.name).alias("window"), "n")
+        found = n if found is None else found.unionByName(n)
+    return {"look back": found}
+
+
+@check("N2i", frames=_lookbacks)
+def shared_history(f):
+    if not f.context.outcome.recurring:
+        raise NotApplicable("objects don't recur")
+    open_ = [c for c in f.context.features if f.context.schema.spec(c).window_days is None]
+    out = [Finding("N2i", "feature_window_undeclared", f"{c}'s window isn't declared", True, c) for c in open_]
+    hits = [(r.window, r.n) for r in f.frames.get("look back", []) if r.n]
+    return out + [Finding("N2i", "feature_windows_overlap", f"{n} rows of {w} look back into training rows", True, w, {"rows": n}) for w, n in hits]
+
+
+def _group_keys(c):
+    group = c.schema.one(Role.GROUP_ID)
+    return Needs(keys={group: F.col(group)}) if group else Needs()
+
+
+def _candidates(c):
+    if c.schema.one(Role.GROUP_ID) or not c.object_key:
+        return {}
+    return {"groups": group_candidates(c.split.labelled.select(c.columns), c.object_key)}
+
+
+@check("N14", needs=_group_keys, frames=_candidates)
+def shared_groups(f):
+    out, group = [], f.context.schema.one(Role.GROUP_ID)
+    if group and group in f.answers.keys:
+        k = f.answers.keys[group]
+        for w, n in k.shared_known.items():
+            if n:
+                touched = k.touched[w] / f.sums[f"evaluate:{w}"] if f.sums.get(f"evaluate:{w}") else k.touched[w] / max(1, k.rows[w])
+                out.append(Finding("N14", "group_overlap", f"{n} groups are in both parts of {w}", True, w, {"groups": n, "touched": touched}))
+    found = f.frames.get("groups", [])
+    return out + [Finding("N14", "undeclared_group", f"{r.column} groups {r.share:.0%} of rows", True, r.column, {"groups": r.groups, "share": r.share}) for r in found]
+
+
+# --- outcomes --------------------------------------------------------------------------------------------------------
+
+
+@check("N6", "binary", pooled)
+def separates_alone(f, least=0.35, sure=0.45, times=2.5):
+    ranks = {c: f.rank("pooled", c).association for c in (*f.context.numeric, *f.context.strings)}
+    strength, out = {c: abs(a) for c, a in ranks.items() if a is not None}, []
+    for c, s in sorted(strength.items()):
+        others = [v for k, v in strength.items() if k != c]
+        typical = median(others) if others else 0.0
+        if s >= least and (s >= sure or typical == 0 or s >= times * typical):
+            out.append(Finding("N6", "feature_separates_outcome", f"{c} alone has an association of {s:.3f}", True, c, {"association": s}))
     return out
 
 
-@check("N15", "binary")
+@check("N15", "binary", labels)
 def degenerate(f):
-    if f.outcome.degenerate_below is None:
+    floor = f.context.outcome.degenerate_below
+    if floor is None:
         return [Finding("N15", "degeneracy_undeclared", "no least share of the rarer outcome is declared", True)]
-    if not f.totals["labelled"]:
+    if not f.sums["labelled"]:
         raise NotApplicable("no labels")
-    rate, floor = f.totals["positives"] / f.totals["labelled"], f.outcome.degenerate_below
+    rate = f.sums["positives"] / f.sums["labelled"]
     return [Finding("N15", "degenerate_outcome", f"{rate:.3f} are positive", True, metrics={"rate": rate})] if not floor <= rate <= 1 - floor else []
 
 
-@check("N16", "binary")
+def _observed(c):
+    seen = Part(F.lit(True), F.col(LABEL).isNotNull().cast("int"))
+    gone = F.count_if(F.col(LABEL).isNull() & (F.col(REASON) != IMMATURE))
+    return labels(c) | Needs({"unobserved": gone}, parts={"seen": seen}, numbers=c.numeric, strings=c.strings, ranked_strings=("seen",))
+
+
+@check("N16", "binary", _observed)
 def unobserved_outcomes(f, least=0.05, link=0.10):
-    n, gone = f.totals["rows"], f.totals["unobserved"]
-    if not n or gone / n < least or not f.totals["labelled"]:
+    n, gone = f.sums["rows"], f.sums["unobserved"]
+    if not n or gone / n < least or not f.sums["labelled"]:
         return []
-    observed, rate = n - gone, f.totals["positives"] / f.totals["labelled"]
+    observed, rate = n - gone, f.sums["positives"] / f.sums["labelled"]
     low, high = rate * observed / n, (rate * observed + gone) / n
-    tied = [c for c, (rows, p, a) in sorted(f.seen.items()) if a is not None and abs(a) > max(link, SIGMA * _link_error(rows, p))]
-    return [Finding("N16", "unobserved_share", f"{gone / n:.0%} unobserved: the rate lies in [{low:.3f}, {high:.3f}]" + (f"; observation depends on {', '.join(tied)}" if tied else ""), bool(tied), metrics={"low": low, "high": high})]
+    ranks = [(c, f.rank("seen", c)) for c in sorted((*f.context.numeric, *f.context.strings))]
+    tied = [c for c, r in ranks if r.association is not None and abs(r.association) > max(link, SIGMA * _link_error(r.rows, r.positives))]
+    more = f"; observation depends on {', '.join(tied)}" if tied else ""
+    return [Finding("N16", "unobserved_share", f"{gone / n:.0%} unobserved: the rate lies in [{low:.3f}, {high:.3f}]{more}", bool(tied), metrics={"low": low, "high": high})]
+
+
+def _by_reason(c):
+    reason = c.need(Role.OBSERVATION_REASON, "a reason")
+    y = F.col(LABEL)
+    return Needs(facets={"reason": Facet(F.col(reason), {"n": y.isNotNull(), "p": y == 1})})
 
 
-@check("N17", "binary")
+@check("N17", "binary", _by_reason)
 def rate_by_reason(f, ratio=1.5):
-    rates = sorted(((p / n, n, r) for r, n, p in f.reasons), key=lambda x: (x[0], str(x[2])))
+    rates = sorted(((m["p"] / m["n"], m["n"], r) for r, m in f.facet("reason") if m["n"] >= MIN_ROWS), key=lambda x: (x[0], str(x[2])))
     if len(rates) < 2:
         raise NotApplicable("fewer than two reasons with enough rows")
     (a, n, low), (b, m, high) = rates[0], rates[-1]
@@ -408,32 +633,55 @@ def rate_by_reason(f, ratio=1.5):
     return [Finding("N17", "rate_depends_on_reason", f"{low}: {a:.3f}, {high}: {b:.3f}", True, metrics={"low": a, "high": b})] if apart else []
 
 
-def _window_rates(f):
-    """(positive rate, labels) of the windows' evaluation rows."""
-    pairs = {w: (c["positives"] / c["labelled"], c["labelled"]) for w, c in f.counts.items() if c["labelled"] >= MIN_ROWS}
-    if len(pairs) < 2:
-        raise NotApplicable("fewer than two windows with enough labels")
-    return pairs
+def _pair_sums(f, name):
+    n = f.sums.get(f"labelled:{name}", 0)
+    return (f.sums[f"positives:{name}"] / n if n else 0.0), n
+
+
+def _beyond_last(f, last: float, rising: bool) -> str:
+    """What the rate does after the last window, by the reserve: unknown, flat, continues or reverses."""
+    after, n = _pair_sums(f, RESERVE)
+    if n < MIN_ROWS:
+        return "unknown"
+    if abs(after - last) <= SIGMA * _rate_error(after, n):
+        return "flat"
+    return "continues" if (after > last) == rising else "reverses"
 
 
-@check("N3", "binary")
+@check("N3", "binary", by_window("labelled", "positives", reserve=True))
 def rate_drift(f, ratio=1.5):
-    rates = _window_rates(f)
-    (a, n), (b, m) = min(rates.values()), max(rates.values())
+    """Windows against each other, their trend and what the reserve makes of it, and the reserve against all windows.
+
+    The reserve needs no ratio: what is measured on another population is off by any difference that can be told from noise.
+    """
+    rates = [(w, *_pair_sums(f, w)) for w in f.windows()]
+    rates = [(w, r, n) for w, r, n in rates if n >= MIN_ROWS]
+    if len(rates) < 2:
+        raise NotApplicable("fewer than two windows with enough labels")
     out = []
-    if b - a > SIGMA * math.hypot(_rate_error(a, n), _rate_error(b, m)):
-        values = [v[0] for v in rates.values()]
-        if len(values) >= 3 and (values == sorted(values) or values == sorted(values, reverse=True)):
-            out.append(Finding("N3", "rate_trend", " -> ".join(f"{v:.3f}" for v in values), True))
-        if a == 0 or b / a >= ratio:
-            out.append(Finding("N3", "rate_drift", f"from {a:.3f} to {b:.3f}", True, metrics={"low": a, "high": b}))
+    total = sum(n for *_, n in rates)
+    whole = sum(f.sums[f"positives:{w}"] for w, *_ in rates) / total
+    after, m = _pair_sums(f, RESERVE)
+    if m >= MIN_ROWS and abs(after - whole) > SIGMA * math.hypot(_rate_error(whole, total), _rate_error(after, m)):
+        out.append(Finding("N3", "reserve_rate_differs", f"{after:.3f} in the reserve, {whole:.3f} in the windows", True, RESERVE, {"windows": whole, "reserve": after}))
+    values = [r for _, r, _ in rates]
+    steps = [b - a for a, b in zip(values, values[1:], strict=False)]
+    if len(values) >= 3 and (all(s > 0 for s in steps) or all(s < 0 for s in steps)):
+        spread = math.hypot(_rate_error(values[0], rates[0][2]), _rate_error(values[-1], rates[-1][2]))
+        if abs(values[-1] - values[0]) > SIGMA * spread:
+            beyond = _beyond_last(f, values[-1], steps[0] > 0)
+            shown = " -> ".join(f"{v:.3f}" for v in values)
+            out.append(Finding("N3", "rate_trend", f"{shown}; beyond the last window: {beyond}", True, beyond, {"first": values[0], "last": values[-1]}))
+    (_, a, n), (_, b, m) = min(rates, key=lambda x: x[1]), max(rates, key=lambda x: x[1])
+    if b > 0 and (a == 0 or b / a >= ratio) and b - a > SIGMA * math.hypot(_rate_error(a, n), _rate_error(b, m)):
+        out.append(Finding("N3", "rate_drift", f"from {a:.3f} to {b:.3f}", True, metrics={"low": a, "high": b}))
     return out
 
 
 def _disjoint(f, least=0.5):
     out = {}
-    for c in f.numeric:
-        spans = [(lo, hi) for (name, _), (n, lo, hi) in f.spans.items() if name == c and n >= MIN_ROWS]
+    for c in f.context.numeric:
+        spans = [r.quantiles for w in f.windows() if (r := f.rank(f"window:{w}", c)).valued >= MIN_ROWS]
         if len(spans) >= 2:
             narrow = min(hi - lo for lo, hi in spans)
             common = min(hi for _, hi in spans) - max(lo for lo, _ in spans)
@@ -443,101 +691,146 @@ def _disjoint(f, least=0.5):
     return out
 
 
-@check("N5")
+@check("N5", needs=window_ranks)
 def disjoint_support(f):
     return [Finding("N5", "disjoint_support", f"{c}'s windows share {s:.0%} of the narrowest range", True, c, {"share": s}) for c, s in _disjoint(f).items()]
 
 
-@check("N4", "binary")
+@check("N4", "binary", window_ranks)
 def relation_drift(f, least=0.05, ratio=3.0, strong=0.15):
     out, apart = [], _disjoint(f)
-    for c in f.numeric:
-        got = [(a, _link_error(rows, p)) for (_, name), (rows, p, a) in sorted(f.links.items()) if name == c and a is not None and rows >= MIN_ROWS]
+    for c in f.context.numeric:
+        ranks = [f.rank(f"window:{w}", c) for w in f.windows()]
+        got = [(r.association, _link_error(r.rows, r.positives)) for r in ranks if r.association is not None and r.rows >= MIN_ROWS]
         if c in apart or len(got) < 2:
             continue
         (low, e), (high, g) = min(got), max(got)
         if low < 0 < high and abs(low) >= max(least, SIGMA * e) and high >= max(least, SIGMA * g):
-            out.append(Finding("N4", "relation_flips", f"{c}'s association goes from {low:.3f} to {high:.3f}", True, c))
+            out.append(Finding("N4", "relation_flips", f"{c}'s association goes from {low:.3f} to {high:.3f}", True, c, {"low": low, "high": high}))
             continue
         (weak, e), (top, g) = min((abs(a), x) for a, x in got), max((abs(a), x) for a, x in got)
         if top >= strong and (weak == 0 or top / weak >= ratio) and top - weak >= SIGMA * math.hypot(e, g):
-            out.append(Finding("N4", "relation_weakens", f"{c}'s association goes from {weak:.3f} to {top:.3f}", True, c))
+            out.append(Finding("N4", "relation_weakens", f"{c}'s association goes from {weak:.3f} to {top:.3f}", True, c, {"low": weak, "high": top}))
     return out
 
 
-@check("N8", "binary")
+@check("N8", "binary", pooled)
 def declared_direction(f, least=0.05):
     out = []
-    for c in f.schema.by_role(Role.FEATURE):
-        rows, p, a = f.pooled.get(c.name, (0, 0, None))
-        if c.direction and a is not None and a * c.direction < 0 and abs(a) >= max(least, SIGMA * _link_error(rows, p)):
-            out.append(Finding("N8", "direction_contradicted", f"{c.name}'s association is {a:.3f}", True, c.name, {"association": a}))
+    for c in f.context.schema.by_role(Role.FEATURE):
+        r = f.rank("pooled", c.name) if c.name in f.context.numeric else Rank(0, 0, None)
+        if c.direction and r.association is not None and r.association * c.direction < 0 and abs(r.association) >= max(least, SIGMA * _link_error(r.rows, r.positives)):
+            out.append(Finding("N8", "direction_contradicted", f"{c.name}'s association is {r.association:.3f}", True, c.name, {"association": r.association}))
     return out
 
 
-@check("N12")
-def collapsed_kinds(f):
-    if "kinds" not in f.totals:
-        raise NotApplicable("no column of kinds")
-    several = f.totals["kinds"] >= 2 and f.outcome.primary_kind is None and not f.outcome.collapse_kinds
-    return [Finding("N12", "kinds_collapsed", f"{f.totals['kinds']} kinds of events are taken for one", True)] if several else []
+def _kinds(c):
+    return Needs(facets={"kind": Facet(F.col(c.need(Role.EVENT_KIND, "a column of kinds")), {"n": F.lit(1)})})
+
+
+def _at_one_instant(c):
+    """(moments, rows): instants at which one object has events of several kinds, and their rows."""
+    kind, key = c.schema.one(Role.EVENT_KIND), c.object_key
+    if not c.task.competing or c.task.simultaneous is not Simultaneous.NOT_POSSIBLE or kind is None or key is None:
+        return {}
+    rows = c.split.labelled.where(F.col(c.outcome.event).isNotNull() & F.col(kind).isNotNull() & F.col(key).isNotNull())
+    moments = rows.groupBy(key, c.outcome.event).agg((F.min(kind) < F.max(kind)).alias("several"), F.count("*").alias("n"))
+    return {"at one instant": moments.where("several").agg(F.count("*").alias("moments"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))}
 
 
-@check("N13", "binary")
+@check("N12", needs=_kinds, frames=_at_one_instant)
+def collapsed_kinds(f):
+    kinds = [k for k, _ in f.facet("kind") if k is not None]
+    task, outcome = f.context.task, f.context.outcome
+    if len(kinds) < 2:
+        raise NotApplicable("fewer than two kinds of events")
+    if task.competing:
+        if task.simultaneous is None:
+            return [Finding("N12", "simultaneity_undeclared", "what several kinds at one instant mean isn't declared", True)]
+        out, value = [], task.simultaneous_kind
+        never = task.simultaneous is Simultaneous.NOT_POSSIBLE
+        if value is not None and never and value in kinds:
+            out.append(Finding("N12", "simultaneity_contradicted", f"several kinds at one instant are declared impossible, but {value} is in the data", True, value))
+        if value is not None and not never and value not in kinds:
+            out.append(Finding("N12", "simultaneity_contradicted", f"{value} should mark several kinds at one instant, but isn't in the data", True, value))
+        for r in f.frames.get("at one instant", []):
+            if r.moments:
+                out.append(Finding("N12", "kinds_at_one_instant", f"{r.moments} instants have events of several kinds of one object", True, metrics={"moments": r.moments, "rows": r.rows}))
+        return out
+    if outcome.primary_kind is None and not outcome.collapse_kinds:
+        return [Finding("N12", "kinds_collapsed", f"{len(kinds)} kinds of events are taken for one", True, metrics={"kinds": len(kinds)})]
+    return []
+
+
+@check("N13", "binary", labels)
 def unexpected_rate(f):
-    if f.outcome.expected_rate is None or f.outcome.tolerance is None or not f.totals["labelled"]:
+    o = f.context.outcome
+    if o.expected_rate is None or o.tolerance is None or not f.sums["labelled"]:
         raise NotApplicable("no expected rate is declared")
-    rate = f.totals["positives"] / f.totals["labelled"]
-    return [Finding("N13", "rate_not_expected", f"{rate:.3f} instead of {f.outcome.expected_rate:.3f}", True, metrics={"rate": rate})] if abs(rate - f.outcome.expected_rate) > f.outcome.tolerance else []
+    rate = f.sums["positives"] / f.sums["labelled"]
+    return [Finding("N13", "rate_not_expected", f"{rate:.3f} instead of {o.expected_rate:.3f}", True, metrics={"rate": rate})] if abs(rate - o.expected_rate) > o.tolerance else []
+
 
+def _by_month(c):
+    ripe = F.col(REASON) != IMMATURE
+    return Needs(facets={"month": Facet(F.date_trunc("month", c.decision).cast("date"), {"n": ripe, "k": ripe & F.col(c.outcome.event).isNotNull()})})
 
-@check("N18", "delayed")
+
+@check("N18", "delayed", _by_month)
 def recording_stops(f, least=0.25):
-    fills = [(k / n, n, m) for m, n, k in f.months if n >= MIN_ROWS]
+    fills = [(m["k"] / m["n"], m["n"], month[:7]) for month, m in f.facet("month") if month is not None and m["n"] >= MIN_ROWS]
     if len(fills) < 2:
         raise NotApplicable("fewer than two months with enough rows")
     (a, n, worst), (b, m, _) = min(fills), max(fills)
     if b - a < max(least, SIGMA * math.hypot(_rate_error(a, n), _rate_error(b, m))):
         return []
     struck = sum(b - x >= least for x, *_ in fills)
-    return [Finding("N18", "event_recording_stops", f"events fill {a:.0%} of {worst:%Y-%m} and {b:.0%} at best; {struck} months are struck", True, metrics={"low": a, "high": b, "months": struck})]
+    return [Finding("N18", "event_recording_stops", f"events fill {a:.0%} of {worst} and {b:.0%} at best; {struck} months are struck", True, metrics={"low": a, "high": b, "months": struck})]
 
 
-@check("S9")
-def clock_undeclared(f):
-    out = []
-    for c in f.schema.by_role(Role.FEATURE):
-        if c.window_days and c.measured_at is None and not f.schema.by_role(Role.AVAILABLE_AT):
-            out.append(Finding("S9", "window_clock_undeclared", f"the clock of {c.name}'s window isn't declared", True, c.name))
-    return out
+_PREMISES = {"process": lambda t: t.has_process, "stream": lambda t: t.is_stream, "binary": lambda t: t.binary, "delayed": lambda t: t.delayed}
 
 
-_PREMISES = {"process": lambda t: t.has_process, "stream": lambda t: t.is_stream, "binary": lambda t: t.binary, "delayed": lambda t: t.delayed}
+def gather(context: Context, checks: Sequence[Check]) -> tuple[Facts, list[Check], list[Skipped]]:
+    """The answers to the needs of all checks that apply, those checks, and the others with their reasons."""
+    needs, frames, live, skipped = Needs(), {}, [], []
+    for c in checks:
+        if c.premise and not _PREMISES[c.premise](context.task):
+            skipped.append(Skipped(c.requirement, f"the premise {c.premise!r} isn't declared"))
+            continue
+        try:
+            own, small = c.needs(context), c.frames(context)
+        except NotApplicable as e:
+            skipped.append(Skipped(c.requirement, str(e)))
+            continue
+        needs, frames = needs | own, frames | small
+        live.append(c)
+    sides = {w.name: (context.split.in_train(w), context.split.in_evaluate(w)) for w in context.split.windows}
+    answers = answered(context.split.labelled, needs, sides, LINK_ROWS, LEVEL_ROWS)
+    return Facts(context, answers, {name: df.collect() for name, df in frames.items()}), live, skipped
 
 
-def audit(split: Split, schema: Schema, outcome: Outcome, task: Task, overrides=None) -> Report:
-    """All checks.  An override makes a requirement's findings advisory."""
+def audit(split: Split, schema: Schema, outcome: Outcome, task: Task, overrides=None, more: Sequence[Check] = ()) -> Report:
+    """All checks, and ``more`` of one's own.  An override makes a requirement's findings advisory."""
+    context = Context(schema, outcome, task, split)
     split.labelled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        facts = gather(split, schema, outcome, task)
+        facts, live, skipped = gather(context, [*CHECKS.values(), *more])
     finally:
         split.labelled.unpersist()
-    report = Report([], [], {})
-    for requirement, (rule, premise) in CHECKS.items():
-        if premise and not _PREMISES[premise](task):
-            report.skipped.append(Skipped(requirement, f"the premise {premise!r} isn't declared"))
-            continue
+    report = Report([], skipped, {})
+    for c in live:
         try:
-            found = rule(facts)
+            found = c.rule(facts)
         except NotApplicable as e:
-            report.skipped.append(Skipped(requirement, str(e)))
+            report.skipped.append(Skipped(c.requirement, str(e)))
             continue
-        allowed = overrides is not None and overrides.allows(requirement)
+        allowed = overrides is not None and overrides.allows(c.requirement)
         report.findings += [Finding(x.requirement, x.finding, x.detail, x.blocking and not allowed, x.subject, x.metrics) for x in found]
     errors = defaultdict(float)
-    for (_, c), (rows, p, a) in facts.links.items():
-        if a is not None:
-            errors[c] = max(errors[c], SIGMA * _link_error(rows, p))
+    for (part, c), r in facts.answers.ranks.items():
+        if part.startswith("window:") and r.association is not None:
+            errors[c] = max(errors[c], SIGMA * _link_error(r.rows, r.positives))
     if errors:
         report.limits["N4"] = "associations below these can't be told from none: " + ", ".join(f"{c} {e:.3f}" for c, e in sorted(errors.items()))
     return report

@@ -73,7 +73,7 @@ def outcome(how: Comparison = Comparison.DIRECT, **more) -> Outcome:
 
 
 def schema() -> Schema:
-    feature = lambda n: ColumnSpec(n, Role.FEATURE, availability=Availability.AT_DECISION, source="order form")
+    feature = lambda n: ColumnSpec(n, Role.FEATURE, availability=Availability.AT_DECISION, source="order form", value_as_of="decided_at")
     return Schema((
         ColumnSpec("o_orderkey", Role.ENTITY_ID), ColumnSpec("o_custkey", Role.NATURAL_KEY), ColumnSpec("decided_at", Role.DECISION_TIME, Grain.INSTANT), ColumnSpec("deadline_on", Role.DEADLINE, Grain.INSTANT, value_as_of="decided_at"),
         ColumnSpec("event_at", Role.OUTCOME_COMPONENT, Grain.INSTANT), ColumnSpec("status", Role.STATUS), ColumnSpec("kind", Role.EVENT_KIND), ColumnSpec("reason", Role.OBSERVATION_REASON), ColumnSpec("c_mktsegment", Role.GROUP_ID), ColumnSpec("c_nationkey", Role.IGNORED), feature("o_totalprice"), feature("c_acctbal"),

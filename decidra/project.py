@@ -13,7 +13,7 @@ from .governance import OverrideLedger, SampleLedger, Study
 from .operators.checks import Report, audit
 from .operators.label import compute
 from .operators.split import Split, purge_overlapping_train
-from .schema import Availability, Cause, ColumnSpec, Comparison, DeclarationError, Grain, Missing, Outcome, Positive, Role, Schema, Task, periods_from_days, validate_outcome
+from .schema import Availability, Cause, ColumnSpec, Comparison, DeclarationError, Grain, Missing, Outcome, Positive, Role, Schema, Simultaneous, Task, periods_from_days, validate_outcome
 
 SECTIONS = {"title", "observed_until", "observed_until_source", "assumptions", "columns", "outcome", "task", "split"}
 
@@ -48,8 +48,8 @@ def parse(form: dict) -> Project:
     _only("project", form, SECTIONS)
     columns = []
     for c in form["columns"]:
-        _only(f"column {c.get('name')}", c, {"name", "role", "grain", "availability", "source", "measured_at", "window_days", "direction", "value_as_of"})
-        columns.append(ColumnSpec(c["name"], Role(c["role"]), Grain[c["grain"].upper()] if c.get("grain") else None, Availability(c["availability"]) if c.get("availability") else None, c.get("source"), c.get("measured_at"), tuple(c["window_days"]) if c.get("window_days") else None, c.get("direction"), c.get("value_as_of")))
+        _only(f"column {c.get('name')}", c, {"name", "role", "grain", "availability", "source", "measured_at", "window_days", "direction", "value_as_of", "clock"})
+        columns.append(ColumnSpec(c["name"], Role(c["role"]), Grain[c["grain"].upper()] if c.get("grain") else None, Availability(c["availability"]) if c.get("availability") else None, c.get("source"), c.get("measured_at"), tuple(c["window_days"]) if c.get("window_days") else None, c.get("direction"), c.get("value_as_of"), c.get("clock")))
     schema, o = Schema(tuple(columns)), dict(form["outcome"])
     causes = tuple(Cause(x["name"], Missing(x["meaning"]), x.get("status"), x.get("assumption")) for x in o.pop("causes", []))
     _only("outcome", o, {"event", "deadline", "comparison", "positive", "primary_kind", "recurring", "expected_rate", "tolerance", "degenerate_below", "collapse_kinds"})
@@ -58,7 +58,13 @@ def parse(form: dict) -> Project:
     until = form["observed_until"]
     until = until if isinstance(until, dt.datetime) else dt.datetime.fromisoformat(str(until))
     parts = form["split"]
-    return Project(form["title"], until, schema, outcome, Task(**form.get("task", {})), tuple((w["name"], w["from_day"], w["to_day"]) for w in parts["windows"]), parts.get("reserve_from_day"), parts.get("reserve_until_day"), tuple(form.get("assumptions", ())))
+    return Project(form["title"], until, schema, outcome, _task(form.get("task", {})), tuple((w["name"], w["from_day"], w["to_day"]) for w in parts["windows"]), parts.get("reserve_from_day"), parts.get("reserve_until_day"), tuple(form.get("assumptions", ())))
+
+
+def _task(form: dict) -> Task:
+    _only("task", form, {"binary", "delayed", "has_process", "is_stream", "competing", "simultaneous", "simultaneous_kind"})
+    when = form.get("simultaneous")
+    return Task(**(form | {"simultaneous": Simultaneous(when) if when else None}))
 
 
 def load(path: str | Path) -> Project:

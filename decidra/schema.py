@@ -57,6 +57,8 @@ class ColumnSpec:
     window_days: tuple[float, float] | None = None
     direction: int | None = None
     value_as_of: str | None = None
+    #: The column by which rows enter the feature's window.
+    clock: str | None = None
 
     def __post_init__(self) -> None:
         if not self.name.strip():
@@ -65,6 +67,8 @@ class ColumnSpec:
             raise DeclarationError(f"{self.name}: a column of time needs a grain")
         if self.role is not Role.FEATURE and (self.window_days or self.direction):
             raise DeclarationError(f"{self.name}: only features have windows and directions")
+        if self.clock and not self.window_days:
+            raise DeclarationError(f"{self.name}: a clock needs a window")
         if self.measured_at and not self.window_days:
             raise DeclarationError(f"{self.name}: measured_at needs a window")
         if self.role is Role.FEATURE and self.availability in (Availability.AT_DECISION, Availability.AFTER) and not (self.source or "").strip():
@@ -196,6 +200,14 @@ def periods_from_days(origin: dt.datetime, days: Sequence[tuple[str, float, floa
     return [Period(n, origin + dt.timedelta(days=a), origin + dt.timedelta(days=b)) for n, a, b in days]
 
 
+class Simultaneous(Enum):
+    """What events of several kinds at one instant are."""
+
+    NOT_POSSIBLE = "not_possible"
+    OWN_KIND = "own_kind"
+    EXCLUDED = "excluded"
+
+
 @dataclass(frozen=True)
 class Task:
     """Which premises of checks hold."""
@@ -205,6 +217,9 @@ class Task:
     has_process: bool = False
     is_stream: bool = False
     competing: bool = False
+    simultaneous: Simultaneous | None = None
+    #: The kind that marks several kinds at one instant.
+    simultaneous_kind: str | None = None
 
 
 @dataclass

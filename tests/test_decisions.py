@@ -33,7 +33,7 @@ def world(spark, rows=3000, days=540, seed=7, **change):
 
 
 def columns(*more, **features):
-    f = lambda n: ColumnSpec(n, Role.FEATURE, availability=Availability.AT_DECISION, source="form", **features.get(n, {}))
+    f = lambda n: ColumnSpec(n, Role.FEATURE, availability=Availability.AT_DECISION, source="form", value_as_of="decided_at", **features.get(n, {}))
     return Schema((ColumnSpec("entity_id", Role.ENTITY_ID), ColumnSpec("decided_at", Role.DECISION_TIME, Grain.INSTANT), ColumnSpec("deadline_on", Role.DEADLINE, Grain.DATE, value_as_of="decided_at"), ColumnSpec("event_at", Role.OUTCOME_COMPONENT, Grain.INSTANT), ColumnSpec("status", Role.STATUS), f("lead_days"), f("size"), f("region"), *more))
 
 
@@ -116,7 +116,7 @@ def test_split_is_strict_and_partition_invariant(spark):
 
 def form():
     role = lambda n, r, **k: {"name": n, "role": r, **k}
-    feature = {"availability": "at_decision", "source": "form"}
+    feature = {"availability": "at_decision", "source": "form", "value_as_of": "decided_at"}
     return {
         "title": "Late deliveries", "observed_until": "2026-01-01T00:00:00",
         "columns": [role("entity_id", "entity_id"), role("decided_at", "decision_time", grain="instant"), role("deadline_on", "deadline", grain="date", value_as_of="decided_at"), role("event_at", "outcome_component", grain="instant"), role("status", "status"), role("lead_days", "feature", **feature), role("size", "feature", **feature), role("region", "feature", **feature)],
