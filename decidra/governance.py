@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 from enum import Enum
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
-from .functions.ranks import quantiles
+from .functions.bootstrap import ORDERED, bootstrapped
 from .operators.label import KNOWN_AT, LABEL
 from .schema import Schema
 
@@ -175,7 +176,6 @@ class Costs:
 
 #: Metrics of which the smaller value is better.
 ERRORS = ("ece", "brier", "log_loss")
-BINS = 10
 
 
 @dataclass(frozen=True)
@@ -228,73 +228,44 @@ def gate(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.withColumns({score: F.col(score).cast("double"), label: F.col(label).cast("int")})
 
 
+def paired_all(df: DataFrame, model: str, rule: str, label: str, metrics: Sequence[str], costs: Costs | None = None, draws: int = DRAWS, seed: int = SEED) -> list[Comparison | Unmeasured]:
+    """Metrics of two scores of the same rows with paired percentile intervals, from the same draws (:mod:`.functions.bootstrap`)."""
+    m, r, y = F.col(model), F.col(rule), F.col(label)
+    rows = df.where(y.isNotNull())
+    odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    about = rows.agg(F.count_if(odd(m) | odd(r)).alias("bad"), F.count("*").alias("n"), F.min(y).alias("lo"), F.max(y).alias("hi"), F.least(F.min(m), F.min(r)).alias("least"), F.greatest(F.max(m), F.max(r)).alias("most")).first()
+    why = {}
+    for metric in metrics:
+        if not about.n:
+            why[metric] = "no rows"
+        elif about.bad:
+            why[metric] = f"{about.bad} scores aren't finite"
+        elif metric in ORDERED and about.lo == about.hi:
+            why[metric] = "a single class"
+        elif metric in ("brier", "log_loss") and not 0 <= about.least <= about.most <= 1:
+            why[metric] = "scores aren't probabilities"
+    wanted = [x for x in metrics if x not in why]
+    got = bootstrapped(rows, model, rule, label, wanted, costs.threshold if costs else None, draws, seed) if wanted else {}
+    out: list[Comparison | Unmeasured] = []
+    for metric in metrics:
+        if metric in why:
+            out.append(Unmeasured(metric, why[metric]))
+            continue
+        v = got[metric]
+        gaps = v.draws_model - v.draws_rule
+        if not np.isfinite([v.model, v.rule]).all():
+            out.append(Unmeasured(metric, "a sure score is wrong" if metric == "log_loss" else "it is undefined"))
+        elif not np.isfinite(gaps).all():
+            out.append(Unmeasured(metric, f"{int((~np.isfinite(gaps)).sum())} of {draws} draws leave it undefined"))
+        else:
+            low, high = np.quantile(gaps, [(1 - LEVEL) / 2, (1 + LEVEL) / 2])
+            out.append(Comparison(metric, v.model, v.rule, float(low), float(high)))
+    return out
 
-def paired(df: DataFrame, model: str, rule: str, label: str, metric: str, costs: Costs | None = None, draws: int = DRAWS, seed: int = SEED, key: str | None = None) -> Comparison | Unmeasured:
-    """A metric of two scores of the same rows with a paired percentile interval.
 
-    The bootstrap is Poisson: each row has its own weights, from a hash of its key and the draw, so every partition draws
-    alone.  Rows are weighted at their (model, rule, label) and one aggregation gives all draws.
-    """
-    import numpy as np
-
-    rows = df.where(F.col(label).isNotNull()).select(F.col(model).alias("_m"), F.col(rule).alias("_r"), F.col(label).alias("_y"), (F.col(key) if key else F.monotonically_increasing_id()).cast("string").alias("_k"))
-    broken = rows.agg(F.count_if(F.isnan("_m") | F.isnan("_r") | (F.abs("_m") == float("inf")) | (F.abs("_r") == float("inf")) | F.col("_m").isNull() | F.col("_r").isNull()).alias("bad"), F.count("*").alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi")).first()
-    if broken.bad or not broken.n:
-        return Unmeasured(metric, f"{broken.bad} scores aren't finite" if broken.n else "no rows")
-    if metric in ("auc", "ap") and broken.lo == broken.hi:
-        return Unmeasured(metric, "a single class")
-    # different pairs of scores with counts of both classes; weights of a cell's rows add up to Poisson counts
-    cells = rows.groupBy("_m", "_r", "_y").agg(F.count("*").alias("n")).withColumn("_k", F.xxhash64("_m", "_r", "_y"))
-
-    def draw(frames):
-        for f in frames:
-            out = f[["_m", "_r", "_y", "n"]].copy()
-            out["w"] = [np.concatenate([[n], np.random.default_rng([seed, k & 0x7FFFFFFFFFFFFFFF]).poisson(n, draws)]).tolist() for n, k in zip(f["n"], f["_k"], strict=True)]
-            yield out.drop(columns="n")
-
-    weighted = cells.select("_m", "_r", "_y", "n", "_k").mapInPandas(draw, "_m double, _r double, _y int, w array<long>")
-    values = _bootstrap(weighted, rows, metric, costs, draws)
-    if any(v is None or not np.isfinite(v) for pair in values for v in pair):
-        return Unmeasured(metric, "a draw leaves it undefined")
-    gaps = [m - r for m, r in values[1:]]
-    low, high = np.quantile(gaps, [(1 - LEVEL) / 2, (1 + LEVEL) / 2])
-    return Comparison(metric, float(values[0][0]), float(values[0][1]), float(low), float(high))
-
-
-def _bootstrap(weighted: DataFrame, sample: DataFrame, metric: str, costs: Costs | None, draws: int) -> list[tuple[float, float]]:
-    """The metric of both scores in the sample (first) and in each draw; the bins of ECE are those of the sample."""
-    spark_values = weighted.select("_m", "_r", "_y", F.posexplode("w").alias("_d", "_w")).where(F.col("_w") > 0)
-    out = []
-    for s in ("_m", "_r"):
-        rows = spark_values.select("_d", F.col(s).alias("_s"), "_y", "_w")
-        y, w = F.col("_y"), F.col("_w")
-        if metric == "ece":
-            edges = quantiles(sample, s, [k / BINS for k in range(BINS + 1)]).select("quantiles")
-            place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.size(F.filter("quantiles", lambda e: e <= F.col("_s"))) - 1))
-            b = rows.crossJoin(F.broadcast(edges)).groupBy("_d", place.alias("_bin")).agg(F.sum("_w").alias("n"), F.abs(F.sum(w * F.col("_s")) - F.sum(w * y)).alias("gap"))  # one row
-            value = b.groupBy("_d").agg((F.sum("gap") / F.sum("n")).alias("v"))
-        elif metric == "ap":
-            down = Window.partitionBy("_d").orderBy(F.desc("_s"))
-            g = rows.groupBy("_d", "_s").agg(F.sum("_w").alias("n"), F.sum(F.when(y == 1, w).otherwise(0)).alias("p"))
-            steps = g.select("_d", "p", (F.sum("p").over(down) / F.sum("n").over(down) * F.col("p")).alias("gain"))
-            value = steps.groupBy("_d").agg((F.sum("gain") / F.nullif(F.sum("p"), F.lit(0))).alias("v"))
-        elif metric == "auc":
-            g = rows.groupBy("_d", "_s").agg(F.sum("_w").alias("n"), F.sum(F.when(y == 1, w).otherwise(0)).alias("p"))
-            rank = F.sum("n").over(Window.partitionBy("_d").orderBy("_s")) - (F.col("n") - 1) / 2
-            t = g.withColumn("k", rank).groupBy("_d").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("k") * F.col("p")).alias("k"))
-            value = t.select("_d", ((F.col("k") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("v"))
-        elif metric == "brier":
-            value = rows.groupBy("_d").agg((F.sum(w * F.pow(F.col("_s") - y, 2)) / F.sum(w)).alias("v"))
-        elif metric == "net_benefit":
-            act = F.col("_s") >= costs.threshold
-            gain = F.when(act & (y == 1), w).when(act, -w * (costs.threshold / (1 - costs.threshold))).otherwise(0)
-            value = rows.groupBy("_d").agg((F.sum(gain) / F.sum(w)).alias("v"))
-        else:
-            loss = -F.when(y == 1, F.ln(F.when(F.col("_s") > 0, F.col("_s")))).otherwise(F.log1p(-F.when(F.col("_s") < 1, F.col("_s"))))
-            value = rows.groupBy("_d").agg((F.sum(w * F.coalesce(loss, F.lit(float("inf")))) / F.sum(w)).alias("v"))
-        got = {r[0]: r[1] for r in value.collect()}  # one row a draw
-        out.append([got.get(k) for k in range(draws + 1)])
-    return list(zip(*out, strict=True))
+def paired(df: DataFrame, model: str, rule: str, label: str, metric: str, costs: Costs | None = None, draws: int = DRAWS, seed: int = SEED) -> Comparison | Unmeasured:
+    """:func:`paired_all` of one metric."""
+    return paired_all(df, model, rule, label, [metric], costs, draws, seed)[0]
 
 
 @dataclass(frozen=True)
@@ -314,7 +285,7 @@ def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFram
         raise Blocked("observed units have no score")
     rows = gate(rows, "_a", LABEL)
     names = ["auc", "ece", "ap", "brier", "log_loss", *(["net_benefit"] if costs else [])]
-    return Verdict(rows.count(), tuple(paired(rows, "_a", "_rule", LABEL, m, costs, draws, key=unit) for m in names))
+    return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_rule", LABEL, names, costs, draws)))
 
 
 def _scored(ledger: SampleLedger, sample: str, scores: DataFrame, name: str) -> DataFrame:
@@ -334,7 +305,7 @@ def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right:
     if rows.where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count():
         raise Blocked("observed units have no score")
     rows = gate(rows, "_a", LABEL)
-    return Verdict(rows.count(), tuple(paired(rows, "_a", "_b", LABEL, m, draws=draws, key=unit) for m in metrics))
+    return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_b", LABEL, metrics, draws=draws)))
 
 
 @dataclass(frozen=True)
@@ -376,7 +347,7 @@ def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFr
     for sample, scored in ready.items():
         unit = ledger._samples[sample].unit
         rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit).withColumn("_rule", rule.score())
-        out[sample] = paired(rows, "_a", "_rule", LABEL, metric, draws=draws, key=unit)
+        out[sample] = paired(rows, "_a", "_rule", LABEL, metric, draws=draws)
     return Stability(out)
 
 

@@ -103,3 +103,41 @@ def by_kind(df: DataFrame, outcome: Outcome, decision: str, kind: str, kinds: li
         parts.append(F.struct(F.lit(k).alias("kind"), made[LABEL].alias("label"), others.alias("others")))
     rows = df.select(F.inline(F.array(*parts)))
     return rows.groupBy("kind").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("positives"), F.count_if(F.col("others")).alias("censored_by_others"))
+
+
+def cause_bounds(df: DataFrame, outcome: Outcome, decision: str, snapshot: Column, status: str | None = None) -> DataFrame:
+    """(class, rows, meanings, conflated, low, high): for each class of causes that a status can tell apart, the rows without
+    an event in it, and between which rates the truth lies if only these rows are added to those with an event.
+
+    A row that may not have occurred counts as such if it is mature; one that may be unobserved, as either; one that may
+    be excluded, as none.  The class without a status is named ``indistinguishable``; classes without rows stay out.
+    """
+    event, deadline = _sides(outcome)
+    horizon = F.to_date(snapshot) if outcome.comparison is Comparison.BY_DATE else snapshot
+    after = outcome.positive is Positive.AFTER
+    shown = [c.status for c in outcome.distinguishable]
+    name = F.lit("indistinguishable")
+    if status is not None and shown:
+        name = F.when(F.col(status).isin(*shown), F.col(status)).otherwise(name)
+    found = F.when(F.col(outcome.event).isNotNull() & ~F.coalesce(F.col(outcome.event) < F.col(decision), F.lit(False)), (event > deadline if after else event <= deadline).cast("int"))
+    rows = df.select(F.when(F.col(outcome.event).isNull(), name).alias("class"), F.coalesce(deadline < horizon, F.lit(False)).alias("mature"), found.alias("y"))
+    by = rows.groupBy("class").agg(F.count("*").alias("rows"), F.count_if("mature").alias("mature"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p"))
+    known = by.where("class IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("p"), F.lit(0)).alias("_p"))  # one row
+    gone = by.where("class IS NOT NULL").crossJoin(F.broadcast(known))
+    # of a class: rows that a negative, and that a positive label may be given to, and those that are in the population in either case
+    low, high, meanings = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("array<string>")
+    for value, causes in outcome.classes().items():
+        mine = F.col("class") == ("indistinguishable" if value is None else value)
+        means = {c.meaning for c in causes}
+        either = Missing.UNOBSERVED in means
+        only = means == {Missing.NOT_OCCURRED}
+        may_no, may_yes = either or (Missing.NOT_OCCURRED in means and not after), either or (Missing.NOT_OCCURRED in means and after)
+        m = F.col("rows") if either else F.col("mature")
+        zero = F.lit(0)
+        must = m if only else zero
+        noes, yeses = (m if may_no else zero), (m if may_yes else zero)
+        at_least = (F.col("_p") + (must if not may_no else zero)) / F.nullif(F.col("_n") + (noes if may_no else must), zero)
+        at_most = (F.col("_p") + yeses) / F.nullif(F.col("_n") + (yeses if may_yes else must), zero)
+        low, high = F.when(mine, at_least).otherwise(low), F.when(mine, at_most).otherwise(high)
+        meanings = F.when(mine, F.array(*(F.lit(x.value) for x in sorted(means, key=lambda x: x.value)))).otherwise(meanings)
+    return gone.select("class", "rows", meanings.alias("meanings"), (F.size(meanings) > 1).alias("conflated"), low.alias("low"), high.alias("high"))

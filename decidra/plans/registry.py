@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, decisions, exchange, relational
+from . import audits, decisions, exchange, measures, relational
 
-MODULES = [relational, decisions, audits, exchange]
+MODULES = [relational, decisions, audits, exchange, measures]
 
 
 def queries() -> dict:
