@@ -1,13 +1,10 @@
-"""The sample ledger, overrides, measurement and reports.  State lives on the driver; samples stay data frames.
+"""Measurement against rules and other models, and reports.  Samples come from the ledger (:mod:`.ledger`).
 
-A sample is handed out by the ledger only, which records why.  What was fitted or selected on must share no object
-with what is measured, and a measured sample is spent.
+Every measurement asks what the model was fitted on, and spends its samples by one act, after all checks.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
@@ -19,133 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from .functions.bootstrap import ORDERED, bootstrapped
-from .operators.label import KNOWN_AT, LABEL
-from .schema import Schema
+from .ledger import Blocked, External, Fit, Override, OverrideLedger, Purpose, SampleLedger, known_before, shares_units
+from .operators.label import LABEL
 
 #: Draws, seed and level of bootstrap intervals.
 DRAWS, SEED, LEVEL = 400, 20260101, 0.95
 
 
-class Blocked(RuntimeError):
-    """Something that isn't allowed, and no override lets it pass."""
-
-
-@dataclass(frozen=True)
-class Override:
-    requirement: str
-    reason: str
-    author: str
-
-    def __post_init__(self) -> None:
-        if not re.fullmatch(r"[A-Z]\d+[a-z]?", self.requirement):
-            raise ValueError(f"{self.requirement!r} is no requirement")
-        if len(self.reason.strip()) < 10 or not self.author.strip():
-            raise ValueError("an override needs a reason of ten characters and an author")
-
-
-@dataclass
-class OverrideLedger:
-    entries: list[Override] = field(default_factory=list)
-
-    def add(self, requirement: str, reason: str, author: str) -> None:
-        self.entries.append(Override(requirement, reason, author))
-
-    def allows(self, requirement: str) -> bool:
-        return any(e.requirement == requirement for e in self.entries)
-
-    def enforce(self, requirement: str, broken: bool, why: str) -> None:
-        if broken and not self.allows(requirement):
-            raise Blocked(f"{requirement}: {why}")
-
-
-class Purpose(Enum):
-    AUDIT = "audit"
-    FITTING = "fitting"
-    SELECTION = "selection"
-    MEASUREMENT = "measurement"
-
-
-@dataclass
-class _Sample:
-    frame: DataFrame
-    unit: str
-    start: dt.datetime | None = None
-    uses: list[tuple[Purpose, str | None]] = field(default_factory=list)
-
-
-class SampleLedger:
-    """Registers samples and hands them out."""
-
-    def __init__(self, schema: Schema, overrides: OverrideLedger | None = None):
-        self.schema, self.overrides, self._samples, self.fits = schema, overrides or OverrideLedger(), {}, []
-
-    def register(self, name: str, frame: DataFrame, unit: str, start: dt.datetime | None = None) -> None:
-        """``start`` is where the sample's window begins; without it, its first decision counts."""
-        if name in self._samples:
-            raise Blocked(f"{name} is registered already")
-        self._samples[name] = _Sample(frame, unit, start)
-
-    def checkout(self, name: str, purpose: Purpose, note: str | None = None) -> DataFrame:
-        """The sample's rows; handing them out and recording it are one act."""
-        if name not in self._samples:
-            raise Blocked(f"{name} isn't registered")
-        s = self._samples[name]
-        measured = any(p is Purpose.MEASUREMENT for p, _ in s.uses)
-        if purpose is Purpose.MEASUREMENT:
-            self.overrides.enforce("P1", measured, f"{name} was measured before")
-            for other, o in self._samples.items():
-                if any(p in (Purpose.FITTING, Purpose.SELECTION) for p, _ in o.uses):
-                    self.overrides.enforce("P2", o.unit != s.unit, f"the units of {other} and {name} can't be compared")
-                    self.overrides.enforce("P1", shares_units(o.frame, s.frame, s.unit), f"{name} shares units with {other}, which was used for fitting or selection")
-        else:
-            self.overrides.enforce("P7", measured and purpose is not Purpose.AUDIT, f"{name} was measured; it can't be used for {purpose.value}")
-        s.uses.append((purpose, note))
-        return s.frame
-
-    def fit(self, name: str, inputs: Sequence[str]) -> DataFrame:
-        """Training rows for a model with these inputs, which must be features that are known at the decision."""
-        self.uses(inputs)
-        self.fits.append((name, tuple(inputs)))
-        return self.checkout(name, Purpose.FITTING)
-
-    def uses(self, inputs: Sequence[str]) -> None:
-        unknown = sorted(set(inputs) - set(self.schema.usable_features()))
-        if unknown:
-            raise Blocked(f"P11: {unknown} aren't features that are known at the decision")
-
-    def provenance_defects(self, sample: str, trained_on: str) -> list[str]:
-        """Why a model of the rows of ``trained_on`` may not be measured on ``sample``; empty if it may."""
-        if trained_on not in self._samples:
-            return [f"{trained_on} isn't registered"]
-        train, s = self._samples[trained_on], self._samples[sample]
-        out = [] if any(p is Purpose.FITTING for p, _ in train.uses) else [f"{trained_on} wasn't handed out for fitting"]
-        start = s.start or s.frame.agg(F.min(self.schema.decision_time)).first()[0]
-        if start is not None and not known_before(train.frame, start):
-            out.append(f"labels of {trained_on} were known only after {sample} began")
-        if train.unit != s.unit:
-            out.append(f"the units of {trained_on} and {sample} can't be compared")
-        elif shares_units(train.frame, s.frame, s.unit):
-            out.append(f"{trained_on} shares units with {sample}")
-        return out
-
-    def unspent(self) -> list[str]:
-        return [n for n, s in self._samples.items() if not any(p is Purpose.MEASUREMENT for p, _ in s.uses)]
-
-    def history(self, name: str) -> list[tuple[Purpose, str | None]]:
-        return list(self._samples[name].uses)
-
-
-def shares_units(a: DataFrame, b: DataFrame, unit: str) -> bool:
-    """Whether two samples share an id; ids are compared as strings and never collected."""
-    key = lambda df: df.where(F.col(unit).isNotNull()).select(F.col(unit).cast("string").alias("_unit"))
-    return key(b).join(key(a), "_unit", "left_semi").limit(1).count() > 0
-
-
-def known_before(train: DataFrame, start) -> bool:
-    """Whether all training labels were known strictly before the window."""
-    return train.where(F.col(LABEL).isNotNull() & (F.col(KNOWN_AT) >= F.lit(start).cast("timestamp_ntz"))).limit(1).count() == 0
-
-
 @dataclass(frozen=True)
 class Rule:
     """A baseline: a constant, or a feature above or below a threshold."""
@@ -277,34 +154,51 @@ class Verdict:
         return "\n".join(c.statement() if isinstance(c, Comparison) else f"{c.metric}: not measured, {c.reason}" for c in self.comparisons)
 
 
-def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFrame, rule: Rule, costs: Costs | None = None, draws: int = DRAWS) -> Verdict:
+def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFrame, rule: Rule, trained_on: Fit | External, costs: Costs | None = None, draws: int = DRAWS) -> Verdict:
     """Measures external scores (unit, score) on a sample, which is spent by it; scores are joined by unit, not by place."""
-    unit, scored = ledger._samples[sample].unit, _scored(ledger, sample, scores, "_a")
-    rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit, "left").withColumn("_rule", rule.score())
-    if rows.where(F.col("_a").isNull()).limit(1).count():
-        raise Blocked("observed units have no score")
-    rows = gate(rows, "_a", LABEL)
+    scored = {sample: _scored(ledger, sample, scores, "_a")}
+    rows = _spent(ledger, {sample: trained_on}, scored)[sample].withColumn("_rule", rule.score())
     names = ["auc", "ece", "ap", "brier", "log_loss", *(["net_benefit"] if costs else [])]
     return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_rule", LABEL, names, costs, draws)))
 
 
 def _scored(ledger: SampleLedger, sample: str, scores: DataFrame, name: str) -> DataFrame:
     """(unit, name) with types checked and one score for each unit."""
-    unit = ledger._samples[sample].unit
+    unit = ledger.unit(sample)
+    if unit is None:
+        raise Blocked(f"P2: {sample} has no unit to join scores by", "P2")
     checked = gate(scores.withColumn("_one", F.lit(1)), "score", "_one")
     if scores.groupBy(unit).count().where("count > 1").limit(1).count():
         raise Blocked("a unit has several scores")
     return checked.select(unit, F.col("score").alias(name))
 
 
-def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right: DataFrame, metrics: Sequence[str] = ("auc", "brier"), draws: int = DRAWS) -> Verdict:
+def _spent(ledger: SampleLedger, trained_on: dict[str, Fit | External], *scored: dict[str, DataFrame], purpose: Purpose = Purpose.MEASUREMENT) -> dict[str, DataFrame]:
+    """Observed rows of all samples with their scores.  Provenance and scores are checked for all before any is spent."""
+    for sample, fit in trained_on.items():
+        if defects := ledger.provenance_defects(sample, fit):
+            raise Blocked("; ".join(defects))
+        observed = ledger._sample(sample).frame.where(F.col(LABEL).isNotNull())
+        for s in scored:
+            if observed.join(s[sample], ledger.unit(sample), "left_anti").limit(1).count():
+                raise Blocked(f"observed units of {sample} have no score")
+    external = [f"scores from elsewhere: {f.reason}" for f in trained_on.values() if isinstance(f, External)]
+    frames = ledger.spend(trained_on, purpose, "; ".join(dict.fromkeys([f"{', '.join(trained_on)} against scores", *external])))
+    out = {}
+    for sample, frame in frames.items():
+        rows = frame.where(F.col(LABEL).isNotNull())
+        for s in scored:
+            rows = rows.join(s[sample], ledger.unit(sample))
+        out[sample] = gate(rows, "_a", LABEL)
+    return out
+
+
+def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right: DataFrame, trained_on: tuple[Fit | External, Fit | External], metrics: Sequence[str] = ("auc", "brier"), draws: int = DRAWS) -> Verdict:
     """Two models' scores (unit, score) on the same rows of a sample, which one checkout spends."""
-    unit = ledger._samples[sample].unit
-    a, b = _scored(ledger, sample, left, "_a"), _scored(ledger, sample, right, "_b")
-    rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(a, unit, "left").join(b, unit, "left")
-    if rows.where(F.col("_a").isNull() | F.col("_b").isNull()).limit(1).count():
-        raise Blocked("observed units have no score")
-    rows = gate(rows, "_a", LABEL)
+    if defects := ledger.provenance_defects(sample, trained_on[1]):
+        raise Blocked("; ".join(defects))
+    a, b = ({sample: _scored(ledger, sample, df, n)} for df, n in ((left, "_a"), (right, "_b")))
+    rows = _spent(ledger, {sample: trained_on[0]}, a, b)[sample]
     return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_b", LABEL, metrics, draws=draws)))
 
 
@@ -322,33 +216,15 @@ class Stability:
         return len(self.signs) <= 1
 
 
-def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFrame], rule: Rule, metric: str = "auc", draws: int = DRAWS, trained_on: dict[str, str] | None = None) -> Stability:
-    """A metric against the rule in each window.  All windows are validated before any is spent.
-
-    ``trained_on`` names the sample that the model of each window was fitted on; its provenance must hold.
-    """
-    ready = {}
-    for sample, scores in predictions.items():
-        if sample not in ledger._samples:
-            raise Blocked(f"{sample} isn't registered")
-        if any(p is Purpose.MEASUREMENT for p, _ in ledger.history(sample)):
-            ledger.overrides.enforce("P1", True, f"{sample} was measured before")
-        if trained_on is not None:
-            if sample not in trained_on:
-                raise Blocked(f"what the model of {sample} was fitted on isn't named")
-            if defects := ledger.provenance_defects(sample, trained_on[sample]):
-                raise Blocked("; ".join(defects))
-        s = ledger._samples[sample]
-        scored = _scored(ledger, sample, scores, "_a")
-        if s.frame.where(F.col(LABEL).isNotNull()).join(scored, s.unit, "left_anti").limit(1).count():
-            raise Blocked(f"observed units of {sample} have no score")
-        ready[sample] = scored
-    out = {}
-    for sample, scored in ready.items():
-        unit = ledger._samples[sample].unit
-        rows = ledger.checkout(sample, Purpose.MEASUREMENT).where(F.col(LABEL).isNotNull()).join(scored, unit).withColumn("_rule", rule.score())
-        out[sample] = paired(rows, "_a", "_rule", LABEL, metric, draws=draws)
-    return Stability(out)
+def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFrame], rule: Rule, trained_on: dict[str, Fit | External], metric: str = "auc", draws: int = DRAWS) -> Stability:
+    """A metric against the rule in each window.  All windows are validated before any is spent, and they are spent for
+    selection: what is chosen by them is measured on another sample."""
+    missing = sorted(set(predictions) - set(trained_on))
+    if missing:
+        raise Blocked(f"what the models of {missing} were fitted on isn't named")
+    scored = {sample: _scored(ledger, sample, scores, "_a") for sample, scores in predictions.items()}
+    rows = _spent(ledger, {s: trained_on[s] for s in predictions}, scored, purpose=Purpose.SELECTION)
+    return Stability({s: paired(df.withColumn("_rule", rule.score()), "_a", "_rule", LABEL, metric, draws=draws) for s, df in rows.items()})
 
 
 @dataclass

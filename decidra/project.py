@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .governance import OverrideLedger, SampleLedger, Study
+from .governance import Study
+from .ledger import OverrideLedger, SampleLedger
 from .operators.checks import Report, audit
 from .operators.label import compute
 from .operators.split import Split, purge_overlapping_train
@@ -99,9 +100,8 @@ def run(project: Project, frame: DataFrame, overrides: OverrideLedger | None = N
         train = split.train(w)
         if project.outcome.recurring and key and look_back is not None:
             train = purge_overlapping_train(train, split.evaluate(w), key, decision, look_back)
-        ledger.register(f"{w.name}:train", train, unit)
-        ledger.register(f"{w.name}:evaluate", split.evaluate(w), unit, w.start)
+        ledger.register_window(w.name, w.start, split.evaluate(w), train, unit)
     if split.reserve_from is not None:
-        ledger.register("reserve", split.reserved(), unit, split.reserve_from)
-    study = Study(project.title, project.outcome.estimand(), report.findings, report.skipped)
+        ledger.register_window("reserve", split.reserve_from, split.reserved(), None, unit)
+    study = Study(project.title, project.outcome.estimand(project.title, project.observed_until), report.findings, report.skipped)
     return Result(report, ledger, study)

@@ -126,46 +126,39 @@ def form():
     }
 
 
+def lead_score(frame, sign=1, base=0.0):
+    return frame.select("entity_id", (base + sign * 0.55 / (1 + F.col("lead_days") / 6)).alias("score"))
+
+
 def test_project_run_and_measurement(spark):
     with pytest.raises(DeclarationError):
         parse(form() | {"odd": 1})
     result = run(parse(form()), world(spark))
-    assert not result.report.blocking and set(result.samples.unspent()) >= {"reserve", "w0:train"}
+    samples = result.samples
+    assert not result.report.blocking and set(samples.unspent()) == {"w0", "w1", "w2", "reserve"}
+    with pytest.raises(g.Blocked):
+        samples.training("w2", ["event_at"])
+    fit = samples.training("w2", ["lead_days"])
+    assert g.known_before(fit.frame, ORIGIN + dt.timedelta(days=383)) and samples.features == ("lead_days",)
+    reserve = samples.checkout("reserve", g.Purpose.AUDIT, "to score it")
+    scores = lead_score(reserve)
     with pytest.raises(g.Blocked):
-        result.samples.fit("w2:train", ["event_at"])
-    train = result.samples.fit("w2:train", ["lead_days"])
-    assert g.known_before(train, ORIGIN + dt.timedelta(days=383))
-    reserve = result.samples.checkout("reserve", g.Purpose.AUDIT)
-    scores = reserve.select("entity_id", (0.55 / (1 + F.col("lead_days") / 6)).alias("score"))
-    verdict = g.measure_against_baseline(result.samples, "reserve", scores, g.Rule(constant=0.3), g.Costs(Fraction(1), Fraction(4)), draws=60)
+        g.measure_against_baseline(samples, "reserve", scores.where("entity_id > 'e002900'"), g.Rule(constant=0.3), fit)
+    assert not samples.was_measured("reserve")
+    verdict = g.measure_against_baseline(samples, "reserve", scores, g.Rule(constant=0.3), fit, g.Costs(Fraction(1), Fraction(4)), draws=60)
     by = {c.metric: c for c in verdict.comparisons}
     assert by["auc"].rule == 0.5 and by["auc"].model > 0.55 and by["auc"].low > 0 and by["brier"].high < 0.01
-    assert set(by) == {"auc", "ece", "ap", "brier", "log_loss", "net_benefit"}
+    assert list(by) == ["auc", "ece", "ap", "brier", "log_loss", "net_benefit"]
     known = reserve.select(label.LABEL, (0.55 / (1 + F.col("lead_days") / 6)).alias("s")).where(F.col(label.LABEL).isNotNull())
     assert by["ece"].model == pytest.approx(stats.calibration_error(known, "s", label.LABEL).first().ece)
     assert by["ap"].model == pytest.approx(stats.average_precision(known, "s", label.LABEL).first().ap)
     assert by["ece"].low <= by["ece"].difference <= by["ece"].high or by["ece"].decisive
     result.study.conclude(verdict)
-    assert "auc" in result.study.render() and "reserve" not in result.samples.unspent()
-    with pytest.raises(g.Blocked):
-        result.samples.checkout("reserve", g.Purpose.MEASUREMENT)
-    with pytest.raises(g.Blocked):
-        result.samples.checkout("reserve", g.Purpose.SELECTION)
-
-
-def test_ledger_blocks_shared_units_and_overrides_allow(spark):
-    df = world(spark, rows=50)
-    overrides = g.OverrideLedger()
-    ledger = g.SampleLedger(columns(), overrides)
-    ledger.register("a", df, "entity_id")
-    ledger.register("b", df.limit(5), "entity_id")
-    ledger.checkout("a", g.Purpose.FITTING)
-    with pytest.raises(g.Blocked):
-        ledger.checkout("b", g.Purpose.MEASUREMENT)
-    overrides.add("P1", "the overlap is known and small", "someone")
-    assert ledger.checkout("b", g.Purpose.MEASUREMENT).count() == 5
-    with pytest.raises(ValueError):
-        overrides.add("P1", "short", "someone")
+    assert "auc" in result.study.render() and "or not at all" in result.study.render() and "reserve" not in samples.unspent()
+    for purpose in (g.Purpose.MEASUREMENT, g.Purpose.SELECTION):
+        with pytest.raises(g.Blocked):
+            samples.checkout("reserve", purpose, "again")
+    assert "reserve, measurement" in samples.section() and samples.frame(spark).count() == 3
 
 
 def test_gate_refuses(spark):
@@ -179,21 +172,17 @@ def test_gate_refuses(spark):
 
 def test_contrast_and_stability(spark):
     result = run(parse(form()), world(spark))
-    lead = lambda name, sign=1: result.samples._samples[name].frame.select("entity_id", (0.5 + sign * 0.45 / (1 + F.col("lead_days"))).alias("score"))
-    stable = g.stability_across_windows(result.samples, {f"w{k}:evaluate": lead(f"w{k}:evaluate") for k in range(3)}, g.Rule(constant=0.5), draws=40)
-    assert stable.stable and stable.signs == {1}
-    with pytest.raises(g.Blocked):
-        g.stability_across_windows(result.samples, {"w0:evaluate": lead("w0:evaluate")}, g.Rule(constant=0.5), draws=5)
-    assert result.samples.provenance_defects("w0:evaluate", "w0:train") == ["w0:train wasn't handed out for fitting"]
-    result.samples.fit("w0:train", ["lead_days"])
-    assert result.samples.provenance_defects("w0:evaluate", "w0:train") == [] and len(result.samples.provenance_defects("w0:evaluate", "w2:train")) == 3
-    result = run(parse(form()), world(spark))  # a ledger of which nothing is spent
-    window = {"w1:evaluate": lead("w1:evaluate")}
-    for named in ({}, {"w1:evaluate": "w1:train"}):  # not named, not handed out
+    samples, names = result.samples, [f"w{k}" for k in range(3)]
+    predictions = {w: lead_score(samples._sample(w).frame, 0.8, 0.5) for w in names}
+    fits = {w: samples.training(w, ["lead_days"]) for w in names}
+    rule = g.Rule(constant=0.5)
+    for wrong in ({}, {"w0": fits["w2"]}, {"w0": None}):  # not named, from the future, none of the ledger's
         with pytest.raises(g.Blocked):
-            g.stability_across_windows(result.samples, window, g.Rule(constant=0.5), draws=5, trained_on=named)
-    assert not result.samples.history("w1:evaluate")
-    result.samples.fit("w1:train", ["lead_days"])
-    assert g.stability_across_windows(result.samples, window, g.Rule(constant=0.5), "brier", 20, {"w1:evaluate": "w1:train"}).stable
-    verdict = g.measure_contrast(result.samples, "reserve", lead("reserve"), lead("reserve", -1), ["auc"], draws=40)
+            g.stability_across_windows(samples, {"w0": predictions["w0"]}, rule, wrong, draws=5)
+    assert set(samples.unspent()) == {*names, "reserve"}
+    stable = g.stability_across_windows(samples, predictions, rule, fits, draws=40)
+    assert stable.stable and stable.signs == {1} and samples.unspent() == ["reserve"]
+    reserve = samples._sample("reserve").frame
+    both = (fits["w2"], g.External("the vendor's model of 2020"))
+    verdict = g.measure_contrast(samples, "reserve", lead_score(reserve, 0.8, 0.5), lead_score(reserve, -0.8, 0.5), both, ["auc"], draws=40)
     assert verdict.comparisons[0].low > 0
