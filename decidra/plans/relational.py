@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantiles
+from ..governance import Rule
 from ..operators.joins import Cardinality, Direction, asof_join, check_cardinality, guarded_join, join_losses, prior_count, rows_per_key
 from ..operators.profile import SENTINELS, distinct_with_null, duplicate_rows, loss_counts, profile, sentinel_counts, without_sentinels
 from ..operators.windows import MICROS_PER_DAY, average_rank, history, keep_first, micros, rolled, rolling
@@ -80,7 +81,7 @@ def cnd3_sentinels(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM orders")
 def cnd4_rule_score(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 150000).cast("double").alias("score"))
+    return table(spark, d, "orders").select("o_orderkey", Rule(feature="o_totalprice", threshold=150000).score().alias("score"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
@@ -288,9 +289,19 @@ def ag14_rollup(spark, d):
     return table(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query('SELECT unnest([\'o_orderstatus\', \'o_orderpriority\']) AS "column", \'string\' AS type, count(*) AS rows, 0::BIGINT AS nulls, unnest([count(DISTINCT o_orderstatus), count(DISTINCT o_orderpriority)]) AS "distinct" FROM orders')
+@query("""WITH x AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority, o_orderstatus AS status, o_custkey AS customer FROM orders)
+SELECT 'priority' AS "column", 'string' AS type, count(*) AS rows, count(*) - count(priority) AS nulls, count(DISTINCT priority) + (count(*) > count(priority))::INT AS "distinct" FROM x
+UNION ALL SELECT 'status', 'string', count(*), count(*) - count(status), count(DISTINCT status) + (count(*) > count(status))::INT FROM x
+UNION ALL SELECT 'customer', 'bigint', count(*), count(*) - count(customer), count(DISTINCT customer) + (count(*) > count(customer))::INT FROM x""")
 def ag15_profile(spark, d):
-    return profile(table(spark, d, "orders").select("o_orderstatus", "o_orderpriority"))
+    priority = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority")
+    return profile(table(spark, d, "orders").select(priority, F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")))
+
+
+@query("SELECT count(*) - count(DISTINCT (o_custkey, o_orderstatus)) AS duplicates FROM orders")
+def ag15_duplicates(spark, d):
+    """Rows that repeat others in some columns."""
+    return duplicate_rows(table(spark, d, "orders").select("o_custkey", "o_orderstatus"))
 
 
 # --- windows ------------------------------------------------------------------------------------------------------------
@@ -384,9 +395,9 @@ def se4_shared_units(spark, d):
     return o.where(F.col("o_orderdate") >= cut).join(o.where(F.col("o_orderdate") < cut).select("o_custkey"), "o_custkey", "left_semi").agg(F.count("*").alias("shared"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def se5_difference(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_totalprice > 200000").select("o_custkey"))
 
 
 # --- functions ----------------------------------------------------------------------------------------------------------

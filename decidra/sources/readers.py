@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.profile import without_sentinels
@@ -73,48 +72,3 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, columns
     """Nested records as flat columns: names and paths such as ``a.b.c``, or expressions."""
     df = spark.read.schema(schema).json(path)
     return df.select(*((F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()))
-
-
-class PageRange(InputPartition):
-    def __init__(self, offset: int, rows: int):
-        self.offset, self.rows = offset, rows
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[int, int], list[tuple]], total: int, page: int, tries: int):
-        self.fetch, self.total, self.page, self.tries = fetch, total, page, tries
-
-    def partitions(self) -> list[PageRange]:
-        return [PageRange(k, min(self.page, self.total - k)) for k in range(0, self.total, self.page)]
-
-    def read(self, partition: PageRange) -> Iterator[tuple]:
-        for attempt in range(self.tries):
-            try:
-                rows = self.fetch(partition.offset, partition.rows)
-                break
-            except OSError:
-                if attempt + 1 == self.tries:
-                    raise
-        if len(rows) != partition.rows:
-            raise ValueError(f"{len(rows)} rows at {partition.offset} instead of {partition.rows}")
-        yield from rows
-
-
-def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[tuple]], total: int, page: int = 50_000, tries: int = 3) -> type[DataSource]:
-    """A data source whose partitions are pages (offset, rows) of an ordered remote table with a declared number of rows.
-
-    Register it with ``spark.dataSource.register``; a page that is short fails, so a changed table isn't read in part.
-    """
-
-    class Paged(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return schema
-
-        def reader(self, schema: StructType) -> DataSourceReader:
-            return _PagedReader(fetch, total, page, tries)
-
-    return Paged

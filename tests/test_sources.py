@@ -3,9 +3,11 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from decidra.functions import tables
 from decidra.plans import builders
-from decidra.sources import readers, sinks
+from decidra.sources import paged, readers, sinks
 from decidra.streaming import maturation
 
 
@@ -42,13 +44,80 @@ def test_json_lines(spark, tmp_path):
     assert {(r.c, max(r.n, 0)) for r in got.collect()} == {(None, 0), ("x", 2)}
 
 
-def test_paged_source(spark):
-    spark.dataSource.register(readers.paged_source("pages_ok", "k int, s string", lambda o, n: [(o + j, f"r{o + j}") for j in range(n)], total=25, page=10))
-    df = spark.read.format("pages_ok").load()
-    assert df.count() == 25 and df.rdd.getNumPartitions() == 3
-    spark.dataSource.register(readers.paged_source("pages_short", "k int, s string", lambda o, n: [], total=5))
-    with pytest.raises(Exception, match="instead of"):
-        spark.read.format("pages_short").load().count()
+class Squares:
+    """A service of 25 rows that writes down what it was asked, and breaks off as often as it is told to."""
+
+    def __init__(self, folder, short=0, failures=0):
+        self.folder, self.short, self.failures = str(folder), short, failures
+
+    def _rows(self, where):
+        rows = [{"k": k, "s": f"r{k}", "q": k * k if k % 5 else None} for k in range(25)]
+        test = {"=": lambda a, b: a == b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "in": lambda a, b: a in b, "known": lambda a, b: True, "null": lambda a, b: a is None}
+        return [r for r in rows if all((r[c.column] is not None or c.operator == "null") and test[c.operator](r[c.column], c.value) for c in where)]
+
+    def count(self, where):
+        return len(self._rows(where))
+
+    def fetch(self, columns, where, offset, rows):
+        import uuid
+        from pathlib import Path
+
+        Path(self.folder, uuid.uuid4().hex).write_text(paged.text(columns, where, "k", offset, rows))
+        if len(list(Path(self.folder).iterdir())) <= self.failures:
+            raise ConnectionError("the line broke off")
+        return [tuple(r[c] for c in columns) for r in self._rows(where)[offset : offset + rows - self.short]]
+
+
+def paged_table(spark, folder, columns=(), **more):
+    folder.mkdir()
+    service = {k: more.pop(k) for k in ("short", "failures") if k in more}
+    name = f"squares_{folder.name}"
+    spark.dataSource.register(paged.source(name, Squares(folder, **service), StructType.fromDDL("k int, s string, q int"), page=10, wait=0.01, **more))
+    return paged.read(spark, name, columns)
+
+
+def asked(folder):
+    return sorted(p.read_text() for p in folder.iterdir())
+
+
+def test_paged_source(spark, tmp_path):
+    df = paged_table(spark, tmp_path / "all", expected=25)
+    assert df.collect() == [(k, f"r{k}", k * k if k % 5 else None) for k in range(25)] and df.rdd.getNumPartitions() == 3
+    df = paged_table(spark, tmp_path / "some", ["q", "k"]).where("k > 12 AND q IS NOT NULL AND k % 2 = 0")
+    assert sorted(map(tuple, df.collect())) == [(k * k, k) for k in range(13, 25) if k % 5 and k % 2 == 0]
+    assert all(t.startswith("SELECT q, k WHERE") and "k > 12" in t and "q IS NOT NULL" in t for t in asked(tmp_path / "some")) and len(asked(tmp_path / "some")) == 1
+    df = paged_table(spark, tmp_path / "in").where(F.col("k").isin(3, 4, 24) & (F.col("s") == "r4"))
+    assert df.count() == 1 and len(asked(tmp_path / "in")) == 1 and "IN (3, 4, 24)" in asked(tmp_path / "in")[0]
+    assert paged_table(spark, tmp_path / "none").where("k > 99").count() == 0 and asked(tmp_path / "none") == []
+
+
+def test_paged_source_tries_again_and_refuses_other_rows(spark, tmp_path):
+    assert paged_table(spark, tmp_path / "again", failures=3).where("k <= 4").count() == 5 and len(asked(tmp_path / "again")) == 4
+    for name, more in (("down", {"failures": 99}), ("short", {"short": 1}), ("changed", {"expected": 26})):
+        with pytest.raises(Exception, match="broke off|instead of|were declared"):
+            paged_table(spark, tmp_path / name, **more).collect()
+    assert paged.text(["a"], [paged.Condition("b", "=", "it's"), paged.Condition("c", "null")], "a", 5, 9) == "SELECT a WHERE b = 'it''s' AND c IS NULL ORDER BY a LIMIT 9 OFFSET 5"
+
+
+def test_parquet_service(spark, tmp_path):
+    spark.range(100).select((99 - F.col("id")).alias("k"), (F.col("id") % 7).alias("m")).repartition(3).write.parquet(str(tmp_path / "t"))
+    service = paged.ParquetService(str(tmp_path / "t"), "k")
+    low = [paged.Condition("k", "<", 30), paged.Condition("m", ">=", 2), paged.Condition("m", "known")]
+    want = [(k,) for k in range(30) if (99 - k) % 7 >= 2]
+    assert service.count(low) == len(want) and service.fetch(["k"], low, 5, 4) == want[5:9] and service.count([paged.Condition("m", "null")]) == 0
+
+
+def test_table_function_and_mergeable_aggregate(spark):
+    name = tables.register_window_days(spark, "pieces")
+    day = dt.date(2024, 1, 1)
+    spark.createDataFrame([(1, day, day + dt.timedelta(days=17)), (2, day, day), (3, None, day), (4, day, day + dt.timedelta(days=7))], "k int, a date, z date").createOrReplaceTempView("spans")
+    got = [tuple(r) for r in spark.sql(f"SELECT k, number, datediff(ends, begins), share FROM spans, LATERAL {name}(a, z, 7) ORDER BY k, number").collect()]
+    assert got == [(1, 0, 7, 7 / 17), (1, 1, 7, 7 / 17), (1, 2, 3, 3 / 17), (4, 0, 7, 1.0)]
+    rows = [("a", float(v)) for v in (5, 1, 9, 3, 3)] + [("b", 1.0), ("b", 2.0), (None, 4.0), (None, 6.0), (None, 8.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.rows, r.trimmed_mean) for r in tables.trimmed_mean(df, "v", ["g"], 1).collect()}
+    assert got == {"a": (5, pytest.approx(11 / 3)), "b": (2, None), None: (3, 6.0)}
+    assert tables.trimmed_mean(df.limit(0), "v", ["g"]).count() == 0
 
 
 def test_manifests_and_digests(spark, tmp_path):
