@@ -16,7 +16,7 @@ The cost is linear in cells, and no task holds all scores.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,7 +116,11 @@ def _losses(s: np.ndarray, y: np.ndarray, cost: float | None) -> dict[str, np.nd
     return {"brier": (s - y) ** 2, "log_loss": np.where(np.isfinite(log), log, 0.0), "sure": (~np.isfinite(log)).astype(float), "net_benefit": gain}
 
 
-def _linear(table: DataFrame, edges: dict[str, np.ndarray], cost: float | None, draws: int, seed: int) -> dict[str, np.ndarray]:
+#: A metric of one's own: the loss of each row from scores and labels; the metric is their mean.
+Loss = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _linear(table: DataFrame, edges: dict[str, np.ndarray], cost: float | None, draws: int, seed: int, own: Mapping[str, Loss]) -> dict[str, np.ndarray]:
     """Arrays of sums by name: ``rows``, ``m brier``, ``m bin 3 rows`` and so on."""
 
     def work(frames):
@@ -128,6 +132,7 @@ def _linear(table: DataFrame, edges: dict[str, np.ndarray], cost: float | None,
                 for side in ("m", "r"):
                     s = f[side].to_numpy(float)
                     columns |= {f"{side} {name}": v for name, v in _losses(s, y, cost).items()}
+                    columns |= {f"{side} {name}": np.asarray(loss(s, y), float) for name, loss in own.items()}
                     place = np.clip(np.searchsorted(edges[side], s, side="right") - 1, 0, BINS - 1)
                     for b in range(BINS):
                         here = (place == b).astype(float)
@@ -291,8 +296,9 @@ def _precision(placed: DataFrame, places: DataFrame, draws: int, seed: int) -> n
 ORDERED = ("auc", "ap")
 
 
-def bootstrapped(rows: DataFrame, model: str, rule: str, label: str, metrics: Sequence[str], cost: float | None = None, draws: int = 400, seed: int = 1, heavy: int = HEAVY) -> dict[str, Values]:
-    """Values of ``metrics`` (auc, ap, ece, brier, log_loss, net_benefit) of two scores; ``cost`` is the threshold of net benefit.
+def bootstrapped(rows: DataFrame, model: str, rule: str, label: str, metrics: Sequence[str], cost: float | None = None, draws: int = 400, seed: int = 1, heavy: int = HEAVY, own: Mapping[str, Loss] | None = None) -> dict[str, Values]:
+    """Values of ``metrics`` (auc, ap, ece, brier, log_loss, net_benefit, and those of ``own``) of two scores; ``cost`` is the threshold
+    of net benefit.
 
     ECE's bins are those of the sample.  Rows without a label don't count; scores must be finite.
     """
@@ -303,7 +309,7 @@ def bootstrapped(rows: DataFrame, model: str, rule: str, label: str, metrics: Se
         if wanted := [m for m in metrics if m not in ORDERED]:
             shares = [k / BINS for k in range(BINS + 1)]
             edges = {s: np.array(quantiles(known, c, shares).first().quantiles, float) for s, c in (("m", model), ("r", rule))} if "ece" in wanted else {s: np.zeros(BINS + 1) for s in "mr"}
-            sums = _linear(table, edges, cost, draws, seed)
+            sums = _linear(table, edges, cost, draws, seed, own or {})
             for m in wanted:
                 out[m] = _pair(*(_from_sums(sums, m, side) for side in ("m", "r")))
         if wanted := [m for m in metrics if m in ORDERED]:

@@ -5,7 +5,7 @@ Every measurement asks what the model was fitted on, and spends its samples by o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 from fractions import Fraction
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
-from .functions.bootstrap import ORDERED, bootstrapped
+from .functions.bootstrap import ORDERED, Loss, bootstrapped
 from .ledger import Blocked, External, Fit, Override, OverrideLedger, Purpose, SampleLedger, known_before, shares_units
 from .operators.label import LABEL
 
@@ -105,8 +105,10 @@ def gate(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.withColumns({score: F.col(score).cast("double"), label: F.col(label).cast("int")})
 
 
-def paired_all(df: DataFrame, model: str, rule: str, label: str, metrics: Sequence[str], costs: Costs | None = None, draws: int = DRAWS, seed: int = SEED) -> list[Comparison | Unmeasured]:
-    """Metrics of two scores of the same rows with paired percentile intervals, from the same draws (:mod:`.functions.bootstrap`)."""
+def paired_all(df: DataFrame, model: str, rule: str, label: str, metrics: Sequence[str], costs: Costs | None = None, draws: int = DRAWS, seed: int = SEED, own: Mapping[str, Loss] | None = None) -> list[Comparison | Unmeasured]:
+    """Metrics of two scores of the same rows with paired percentile intervals, from the same draws (:mod:`.functions.bootstrap`).
+
+    ``own`` names losses of one's own, functions of scores and labels whose mean is a metric like any other."""
     m, r, y = F.col(model), F.col(rule), F.col(label)
     rows = df.where(y.isNotNull())
     odd = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
@@ -122,7 +124,7 @@ def paired_all(df: DataFrame, model: str, rule: str, label: str, metrics: Sequen
         elif metric in ("brier", "log_loss") and not 0 <= about.least <= about.most <= 1:
             why[metric] = "scores aren't probabilities"
     wanted = [x for x in metrics if x not in why]
-    got = bootstrapped(rows, model, rule, label, wanted, costs.threshold if costs else None, draws, seed) if wanted else {}
+    got = bootstrapped(rows, model, rule, label, wanted, costs.threshold if costs else None, draws, seed, own=own) if wanted else {}
     out: list[Comparison | Unmeasured] = []
     for metric in metrics:
         if metric in why:

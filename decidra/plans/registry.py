@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audits, decisions, exchange, measures, relational
+from . import audits, built, decisions, exchange, measures, relational
 
-MODULES = [relational, decisions, audits, exchange, measures]
+MODULES = [relational, decisions, audits, exchange, measures, built]
 
 
 def queries() -> dict:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .governance import Study
@@ -83,6 +84,20 @@ class Result:
     study: Study
 
 
+def built(project: Project, build: Callable[[SparkSession, str], DataFrame], spark: SparkSession, path: str, overrides: OverrideLedger | None = None) -> Result:
+    """Runs a project on what its builder makes of the raw files at ``path``.
+
+    The table is held against the declarations first: columns that are declared must be there, and a column that isn't
+    declared is refused before anything is computed from it.
+    """
+    frame = build(spark, path)
+    declared = {c.name for c in project.schema.columns}
+    missing, extra = sorted(declared - set(frame.columns)), project.schema.undeclared(frame)
+    if missing or extra:
+        raise DeclarationError(f"the builder's table lacks {missing} and has {extra}, which isn't declared")
+    return run(project, frame, overrides)
+
+
 def run(project: Project, frame: DataFrame, overrides: OverrideLedger | None = None) -> Result:
     """Labels, splits, audits, and hands the samples to the ledger."""
     decision = project.schema.decision_time

@@ -86,6 +86,9 @@ def test_intervals_and_reasons(spark):
     df = spark.createDataFrame([(float(a), 0.4, int(z)) for a, z in zip(good, y, strict=True)], "m double, r double, y int")
     got = {c.metric: c for c in g.paired_all(df, "m", "r", "y", ["auc", "ap", "brier"], draws=100)}
     assert got["auc"].rule == 0.5 and got["auc"].low <= got["auc"].difference <= got["auc"].high and got["auc"].better and got["brier"].better
+    loss = {"absolute": lambda s, y: abs(s - y)}  # a metric of one's own
+    mine = g.paired_all(df, "m", "r", "y", ["absolute", "brier"], draws=100, own=loss)[0]
+    assert mine.model == pytest.approx(np.abs(good - y).mean()) and mine.rule == pytest.approx(np.abs(0.4 - y).mean()) and mine.low < mine.difference < mine.high
     one = spark.createDataFrame([(0.2, 0.4, 1)], "m double, r double, y int")
     assert [c.reason for c in g.paired_all(one, "m", "r", "y", ["auc"])] == ["a single class"]
     few = spark.createDataFrame([(0.2, 0.4, 1), (0.7, 0.1, 0)], "m double, r double, y int")

@@ -10,7 +10,7 @@ from decidra.functions import stats
 from decidra.operators import label, split
 from decidra.operators.checks import audit
 from decidra.operators.split import Split
-from decidra.project import parse, run
+from decidra.project import built, parse, run
 from decidra.schema import Availability, Cause, ColumnSpec, Comparison, DeclarationError, Grain, Missing, Outcome, Period, Positive, Role, Schema, Task
 
 ORIGIN = dt.datetime(2024, 1, 1)
@@ -186,3 +186,13 @@ def test_contrast_and_stability(spark):
     both = (fits["w2"], g.External("the vendor's model of 2020"))
     verdict = g.measure_contrast(samples, "reserve", lead_score(reserve, 0.8, 0.5), lead_score(reserve, -0.8, 0.5), both, ["auc"], draws=40)
     assert verdict.comparisons[0].low > 0
+
+
+def test_builders_are_held_against_the_declarations(spark, tmp_path):
+    project, path = parse(form()), str(tmp_path / "raw")
+    world(spark, rows=600).write.parquet(path)
+    result = built(project, lambda s, p: s.read.parquet(p), spark, path)
+    assert set(result.samples.unspent()) == {"w0", "w1", "w2", "reserve"}
+    for odd in (lambda s, p: s.read.parquet(p).drop("size"), lambda s, p: s.read.parquet(p).withColumn("later", F.lit(1))):
+        with pytest.raises(DeclarationError):
+            built(project, odd, spark, path)

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from decidra.plans import audits, exchange
+from decidra.plans import audits, built, exchange
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("region", "customer", "supplier", "orders", "lineitem", "events", "documents")
+TABLES = ("region", "customer", "supplier", "orders", "lineitem", "events", "documents", "nation")
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("module", [exchange, audits])
+@pytest.mark.parametrize("module", [exchange, audits, built])
 def test_queries_equal_their_sql(spark, duck, module):
     assert module.QUERIES.keys() == module.ORACLE.keys()
     for name, ask in module.QUERIES.items():
