@@ -3,14 +3,16 @@
 Writing goes through Spark's text sink, so that any file system will do and lost tasks are written again under its
 commit protocol.  That sink ends each row with a separator.  The last byte of a gzip member is the highest byte of the
 content's length, which is zero below 16 MB: the separator is that byte, and longer records are split over several members
-(which concatenate to one stream).
+(which concatenate to one stream).  A row of the sink is a bundle of about ``BUNDLE`` bytes of members, or one longer record, and a
+file holds ``FILE_BUNDLES`` of them.
 
-Reading takes files whole (``binaryFile``; keep archives well below an executor's memory, as the writer does) and yields
-records.  A record whose compression, header, length or payload digest fails its check is skipped: the reader looks
-for the next version line or, in a zipped archive, at the end of a member for the next member, from which a valid record can
-be read, goes on there and logs the bytes between as quarantined.  A member may hold any number of records; of one that breaks
-off, the records before the break are read.  A record that is longer than its member goes on in the next ones.  A member's
-content is held whole.
+Reading takes files whole (``binaryFile``) and yields records.  A record whose compression, header, length or payload
+digest fails its check is skipped: the reader looks for the next version line or the next gzip member, whichever comes
+first, from which a valid record can be read, goes on there and logs the bytes between as quarantined.  So members and
+plain records may alternate.  A member may hold any number of records; of one that breaks off, or whose checksum is wrong,
+all bytes that can be unpacked are read.  A record that is longer than its member goes on in the next ones.  A member's content
+is held whole.  Digests are checked by the algorithm that they name, in base32 or hexadecimal digits of either case; of an
+algorithm that isn't known they are reported unchecked.
 
 Defined results: a null payload is empty.  Of equal payloads (of at least ``least`` bytes) the record with the largest id
 is the response, others revisit it; rows that repeat that id are responses all.  A null id counts as the smallest one
@@ -32,8 +34,10 @@ from .common import arrow_map
 
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
-#: Bytes of content in a gzip member at most; records in a file at most.
-MEMBER_BYTES, FILE_RECORDS = (1 << 24) - 1, 5_000
+#: Bytes of content in a gzip member at most; bytes of members in a row of the sink, about; rows in a file at most.
+MEMBER_BYTES, BUNDLE, FILE_BUNDLES = (1 << 24) - 1, 1 << 24, 8
+#: Names of digests in archives.
+ALGORITHMS = {"sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512", "md5": "md5"}
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -68,24 +72,36 @@ def zipped(data: bytes) -> bytes:
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes an archive of ``pages`` (page_id, url, html) as files in the folder ``path``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", payload_digest(F.col("payload")))
-    # only ids and digests are grouped; the largest id of each digest that has more than one row
+    rows = rows.withColumn("digest", payload_digest(F.col("payload"))).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    # ids and digests are grouped, and pages are dealt by their ids: a payload that very many pages share is no key of theirs
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keys = keys.where(F.octet_length("payload") >= least).select("page_id", payload_digest(F.col("payload")).alias("digest"))
     several = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(several, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")))
+    others = keys.distinct().join(several, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    marked = rows.join(others.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key"), "digest", "refers_to"), ["key", "digest"], "left")
 
     def work(batches):
         import pyarrow as pa
 
+        def row(members: list[bytes]):
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])  # the separator ends the last member
+
+        bundle, size = [], 0
         for b in batches:
             for start in range(0, b.num_rows, 64):
                 part = b.slice(start, 64)
-                made = [zipped(record(*r))[:-1] for r in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
+                for r in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
+                    member = zipped(record(*r))
+                    if bundle and size + len(member) > BUNDLE:
+                        yield row(bundle)
+                        bundle, size = [], 0
+                    bundle.append(member)
+                    size += len(member)
+        if bundle:
+            yield row(bundle)
 
     members = arrow_map(marked.select("page_id", "url", "payload", "digest", "refers_to"), work, "value binary")
-    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", FILE_BUNDLES).text(path)
 
 
 class Damaged(ValueError):
@@ -110,6 +126,18 @@ def _headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def digest_of(payload: bytes, said: str) -> bool | None:
+    """Whether a labelled digest is the payload's; None if its algorithm isn't known.  Without a label it is a SHA-1."""
+    label, colon, value = said.partition(":")
+    name = ALGORITHMS.get(label.strip().lower()) if colon else "sha1"
+    if name is None:
+        return None
+    value, real = (value if colon else label).strip(), hashlib.new(name, payload, usedforsecurity=False).digest()
+    if len(value) == 2 * len(real):
+        return value.lower() == real.hex()
+    return value.rstrip("=").upper() == base64.b32encode(real).decode().rstrip("=")
+
+
 def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict, int]:
     """The plain record at ``at`` and where the next one begins."""
     data = bytes(data) if isinstance(data, memoryview) else data
@@ -132,9 +160,10 @@ def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict,
     kind = head.get("warc-type", "")
     is_http = kind in ("response", "revisit") and block.startswith(b"HTTP/")
     http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
-    said = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if check and said and kind != "revisit" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != said:
+    said = head.get("warc-payload-digest", "")
+    if check and said and kind != "revisit" and digest_of(payload, said) is False:
         raise Damaged("payload digest")
+    said = said[5:] if said[:5].lower() == "sha1:" else said
     size = len(payload)
     if kind == "revisit":
         m = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
@@ -142,6 +171,23 @@ def parsed(data: memoryview | bytes, at: int, check: bool = True) -> tuple[dict,
     return {"type": kind, "id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "digest": said or None, "refers_to": head.get("warc-refers-to"), "payload_bytes": size, "payload": payload, "header": head}, after
 
 
+class _Starts:
+    """Places at which a member or a record may begin.  What was found of one kind is kept while the other comes first."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.version = data, -1, -1
+
+    def after(self, at: int) -> int:
+        """The next place after ``at``; the end if there is none."""
+        if self.member <= at:
+            k = self.data.find(MEMBER, at + 1)
+            self.member = k if k >= 0 else len(self.data)
+        if self.version <= at:
+            m = VERSION.search(self.data, at + 1)
+            self.version = m.start() if m else len(self.data)
+        return min(self.member, self.version)
+
+
 def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """("record", start, end, record) and ("gap", start, end, reason), in order; together they cover all bytes.
 
@@ -149,10 +195,10 @@ def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     their bytes of its content.  Records before the place where a member breaks off have no bytes, the gap that follows has.
     """
     at, size, gap, why = 0, len(data), None, ""
-    zipped_file = data[:2] == MEMBER[:2] or (not VERSION.match(data) and data.find(MEMBER) >= 0 and not VERSION.search(data))
+    starts = _Starts(data)
     while at < size:
         try:
-            if zipped_file:
+            if data[at : at + 2] == MEMBER[:2]:
                 content, after, broken = _member(data, at)
                 entries, after, failed = _entries(data, content, after, broken)
                 if not entries:
@@ -163,13 +209,7 @@ def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            if zipped_file:
-                at = data.find(MEMBER, at + 1)
-            else:
-                m = VERSION.search(data, at + 1)
-                at = m.start() if m else -1
-            if at < 0:
-                break
+            at = starts.after(at)
             continue
         if gap is not None:
             yield "gap", gap, at, why
@@ -178,9 +218,7 @@ def salvaged(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
             yield entry, at, after if k == len(entries) - 1 and not broken else at, what
         if broken:
             gap, why = at, broken
-            at = data.find(MEMBER, at + 1)
-            if at < 0:
-                break
+            at = starts.after(at)
         else:
             at = after
     if gap is not None:
@@ -247,9 +285,10 @@ def _continued(data: bytes, content: bytes, after: int, at: int, short: Short) -
 def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """The content of the member at ``at``, where the next one begins, and why it breaks off, if it does.
 
-    It is fed in pieces, so that a member costs time for its own bytes alone.
+    It is fed in pieces, so that a member costs time for its own bytes alone.  A piece that fails is fed again byte by
+    byte, for all that comes before the failure: a wrong checksum alone costs nothing of the content.
     """
-    view, d, got = memoryview(data), zlib.decompressobj(31), []
+    view, d, got, start = memoryview(data), zlib.decompressobj(31), [], at
     try:
         while not d.eof:
             if at >= len(data):
@@ -257,7 +296,15 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
             got.append(d.decompress(view[at : at + 8192]))
             at = min(len(data), at + 8192)
     except zlib.error as e:
-        return b"".join(got), at, f"compression: {e}"
+        again = zlib.decompressobj(31)
+        for k in range(start, at, 8192):
+            again.decompress(view[k : min(at, k + 8192)])
+        try:
+            for k in range(at, min(len(data), at + 8192)):
+                got.append(again.decompress(view[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(got), k, f"compression: {e}"
     return b"".join(got), at - len(d.unused_data), None
 
 

@@ -66,6 +66,66 @@ def test_salvage_reads_members_of_other_writers(monkeypatch):
     assert ids(short + one(plain[1])) == [("gap", (0, len(short))), ("record", "1")]
 
 
+def foreign(payload, said, kind="response"):
+    """A record of another writer, with the digest line as given."""
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x>\r\nWARC-Payload-Digest: {said}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_digests_of_other_writers():
+    p = b"some payload"
+    b32 = lambda name: base64.b32encode(hashlib.new(name, p).digest()).decode()
+    good = [f"sha1:{b32('sha1')}", f"SHA1:{b32('sha1').lower()}", f"sha-1:{hashlib.sha1(p).hexdigest()}", b32("sha1"), hashlib.sha1(p).hexdigest().upper(), f"sha256:{b32('sha256')}", f"SHA-256: {hashlib.sha256(p).hexdigest()}"]
+    good += [f"md5:{hashlib.md5(p).hexdigest()}", f"md5:{b32('md5').rstrip('=')}", f"sha512:{b32('sha512')}", "blake9:anything", "xxh64:00"]
+    for said in good:
+        assert [g[0] for g in warc.salvaged(foreign(p, said))] == ["record"], said
+    for said in (f"sha1:{b32('sha256')}", f"sha256:{b32('sha1')}", "md5:" + "0" * 32, "sha1:short", hashlib.sha1(b"other").hexdigest()):
+        assert [g[3] for g in warc.salvaged(foreign(p, said))] == ["payload digest"], said
+    assert [g[3]["digest"] for g in warc.salvaged(foreign(p, f"sha1:{b32('sha1')}") + foreign(p, "blake9:x"))] == [b32("sha1"), "blake9:x"]
+
+
+@pytest.mark.parametrize("damage", [b"", b"\0" * 99, b"\x1f\x8b\x08junk", b"WARC/1.0\r\nno"])
+def test_members_and_plain_records_alternate(damage):
+    plain, packed = records(7, False), records(7)
+    parts = [packed[0], packed[1], plain[2], plain[3], packed[4], plain[5], packed[6]]
+    for broken in (None, 1, 3, 4):
+        kept = [parts[k] if k != broken else parts[k][: len(parts[k]) // 2] + damage for k in range(7)]
+        got = list(warc.salvaged(b"".join(kept)))
+        assert [g[3]["id"] for g in got if g[0] == "record"] == [f"<urn:page:{k}>" for k in range(7) if k != broken], broken
+        assert got[0][1] == 0 and got[-1][2] == sum(map(len, kept)) and all(a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("n", [6, 400])
+def test_a_wrong_checksum_costs_no_record(n):
+    """One member whose checksum alone is wrong: all records are sound."""
+    r = random.Random(n)
+    noise = [warc.record(k, "u", p, digest(p), None) for k in range(n) for p in [r.randbytes(r.randrange(10, 900))]]
+    data = bytearray(gzip.compress(b"".join(noise)))
+    data[-8] ^= 1
+    for more in (b"", warc.zipped(noise[0])):
+        got = list(warc.salvaged(bytes(data) + more))
+        assert sum(g[0] == "record" for g in got) == n + bool(more) and "incorrect data check" in [g[3] for g in got if g[0] == "gap"][0]
+    # flipped bits in the compressed bytes lose what follows them, and nothing before
+    for at in (len(data) // 3, len(data) // 2):
+        hurt = bytearray(gzip.compress(b"".join(noise)))
+        hurt[at] ^= 0xFF
+        ids = [g[3]["id"] for g in warc.salvaged(bytes(hurt)) if g[0] == "record"]
+        before = max(0, n * at // len(data) - n // 20 - 1)
+        assert ids[:before] == [f"<urn:page:{k}>" for k in range(before)] and len(set(ids)) == len(ids)
+
+
+def test_files_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE", 40_000)
+    monkeypatch.setattr(warc, "FILE_BUNDLES", 2)
+    r = random.Random(1)
+    rows = [(k, "u", r.randbytes(3000).hex()) for k in range(120)] + [(200, "u", r.randbytes(90_000).hex())]
+    path = scratch(spark, "test-warc-cut")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    sizes = [x.length for x in spark.read.format("binaryFile").load(path).select("length").collect()]
+    assert len(sizes) > 3 and max(sizes) < 40_000 + 110_000
+    assert warc.read(spark, path).where("entry = 'record'").count() == 121
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u\r\n4", ""), (5, "u5", "é" * 1000), (None, "u6", "same"), (7, "u7", "seven"), (7, "u7", "seven"), (8, "u8", "x" * 20_000_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
