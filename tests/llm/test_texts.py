@@ -235,6 +235,54 @@ def test_randomness_finds_planted_keys_at_the_stated_rate(spark):
     assert [x.added for x in out if x.doc_id == 0][0] == [x.added for x in out if x.doc_id == 0][1]
 
 
+def _identifiers(r, words):
+    """Names, paths, versions, dates and UUIDs as programs write them."""
+    import uuid
+
+    w = lambda n: [r.choice(words).lower() for _ in range(n)]
+    camel = lambda n: "".join(x.capitalize() for x in w(n))
+    return {
+        "number": f"{camel(2)}{r.randrange(10, 99999)}{camel(1)}", "camel": (lambda c: c[0].lower() + c[1:])(camel(5)), "snake": "_".join(w(4)), "constant": "_".join(w(4)).upper() + f"_{r.randrange(99)}", "path": "/".join(["", *w(4)]) + f"/{r.choice(words)}{r.randrange(99)}",
+        "date": f"{r.choice(words)}-20{r.randrange(10, 30)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}T{r.randrange(10, 24)}-{r.randrange(10, 60)}", "kebab": "-".join(w(5)), "uuid": str(uuid.UUID(int=r.getrandbits(128))), "UUID": str(uuid.UUID(int=r.getrandbits(128))).upper(), "digits": str(r.randrange(10**17, 10**22)),
+    }
+
+
+@pytest.mark.parametrize("keys", [True, False])
+def test_identifiers_are_no_secrets(spark, keys):
+    """Ten kinds of identifiers in every fifth text, with keys in other texts and without: nearly all that is flagged are keys."""
+    r = random.Random(9)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    words = [w for t in texts[:200] for w in t.split() if w.isascii() and w.isalpha() and 2 < len(w) < 10]
+    rows, planted, kinds = [], set(), {}
+    for k, text in enumerate(texts):
+        if k % 5 == 1:
+            for kind, name in _identifiers(r, words).items():
+                kinds[k, len(text) + 1, len(text) + 1 + len(name)] = kind
+                text += f" {name}"
+        if k % 5 == 2 and keys:
+            key = "".join(r.choices(ENCODINGS["base64"], k=r.choice([24, 32, 40, 48, 64])))
+            planted.add((k, len(text) + 1, len(text) + 1 + len(key)))
+            text += f" {key} end"
+        rows.append((k, text))
+    out = secrets_scan.found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {(x.doc_id, s["start"], s["end"]) for x in out for s in x.added}
+    false = found - planted
+    assert len(false) <= max(2, 0.02 * len(found)), [kinds.get(x) for x in false]
+    if keys:
+        assert len(found & planted) >= 0.9 * len(planted)
+
+
+def test_scores_of_many_strings_are_those_of_each():
+    r = random.Random(3)
+    pairs = secrets_scan.Pairs.of(sum(secrets_scan.letter_pairs(t.encode()) for t in [ITEM] * 50).reshape(26, 26).astype(float))
+    tokens = ["".join(r.choices(r.choice(list(ENCODINGS.values())), k=r.randrange(1, 90))) + "=" * r.randrange(3) for _ in range(3000)] + ["", "===", "aaaa", "1234567890123456", "____----++++"]
+    for table in (None, pairs):
+        whole = secrets_scan.bins(tokens, table)
+        assert whole[:40] + whole[-5:] == [secrets_scan.p_bin(t, table) for t in tokens[:40] + tokens[-5:]]
+    assert secrets_scan.letter_pairs(b"ab-Ba aB1b")[1] == 2 and secrets_scan.letter_pairs(b"ab-Ba aB1b").sum() == 3 and secrets_scan.Pairs.of(np.zeros((26, 26))) is None
+    assert {f for _, f, _ in secrets_scan.shaped(ITEM * 9)} == set(range(secrets_scan.FORMS)) and all(secrets_scan.length_class(len(x)) <= k for k, _, x in secrets_scan.shaped(ITEM * 9))
+
+
 def test_ordinary_strings_pass_for_secrets_no_more_often_than_stated():
     r = random.Random(2)
     words = [w for w in "the of and a to in is was he for it with as his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last".split()]
