@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 Null and empty texts pass all filters (they are no copies, leaks or insults) and are packed as end tokens.  Rows without
-an id stay in the filters: they can't be named as copies or leaks.
+an id stay in the filters: they can't be named as copies or leaks.  Rows that repeat an id and a text are one row after the
+second stage; other texts of that id stay.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat that id, one."""
+    """Of each group of near copies the document with the smallest id; of rows that repeat an id, one of each text (the smallest
+    by the other columns, so that every run keeps the same)."""
     groups = jaccard_join.similar_components(docs, WORDS, SIMILAR)
     gone = groups.where("n_shingles > 0 and component_id < doc_id").select("doc_id").distinct()
     again = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     single = kept.join(again, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("k"), *(F.col(c).alias(f"c{j}") for j, c in enumerate(rest)))).alias("_row"))
+    return single.unionByName(one.select("doc_id", "text", *(F.col(f"_row.c{j}").alias(c) for j, c in enumerate(rest))).select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
