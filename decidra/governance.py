@@ -1,4 +1,4 @@
-"""Measurement against rules and other models, and reports.  Samples come from the ledger (:mod:`.ledger`).
+"""Measurement against rules and other models.  Samples come from the ledger (:mod:`.ledger`).
 
 Every measurement asks what the model was fitted on, and spends its samples by one act, after all checks.
 """
@@ -6,8 +6,7 @@ Every measurement asks what the model was fitted on, and spends its samples by o
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from enum import Enum
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 from .functions.bootstrap import ORDERED, Loss, bootstrapped
-from .ledger import Blocked, External, Fit, Override, OverrideLedger, Purpose, SampleLedger, known_before, shares_units
+from .ledger import Blocked, External, Fit, OverrideLedger, Purpose, SampleLedger, known_before
 from .operators.label import LABEL
 
 #: Draws, seed and level of bootstrap intervals.
@@ -229,22 +228,4 @@ def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFr
     return Stability({s: paired(df.withColumn("_rule", rule.score()), "_a", "_rule", LABEL, metric, draws=draws) for s, df in rows.items()})
 
 
-@dataclass
-class Study:
-    """Findings, questions and conclusions, rendered as Markdown."""
-
-    title: str
-    estimand: str
-    findings: list = field(default_factory=list)
-    skipped: list = field(default_factory=list)
-    conclusions: list[str] = field(default_factory=list)
-
-    def conclude(self, verdict: Verdict) -> None:
-        self.conclusions.append(verdict.text())
-
-    def render(self) -> str:
-        out = [f"# {self.title}", "", f"Estimand: {self.estimand}", "", "## Findings", ""]
-        out += [f"- **{f.requirement}** {'blocking' if f.blocking else 'advisory'}: {f.detail}" for f in self.findings] or ["None."]
-        out += ["", "## Not checked", "", *([f"- {s.requirement}: {s.reason}" for s in self.skipped] or ["None."])]
-        out += ["", "## Conclusions", "", *(self.conclusions or ["None yet."])]
-        return "\n".join(out) + "\n"
+__all__ = ["Blocked", "Comparison", "Costs", "External", "Fit", "OverrideLedger", "Purpose", "Rule", "SampleLedger", "Stability", "Unmeasured", "Verdict", "gate", "known_before", "measure_against_baseline", "measure_contrast", "paired", "paired_all", "stability_across_windows"]

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .governance import Study
 from .ledger import OverrideLedger, SampleLedger
 from .operators.checks import Report, audit
 from .operators.label import compute
 from .operators.split import Split, purge_overlapping_train
 from .schema import Availability, Cause, ColumnSpec, Comparison, DeclarationError, Grain, Missing, Outcome, Positive, Role, Schema, Simultaneous, Task, periods_from_days, validate_outcome
+from .study import Assumption, Assumptions, Basis, Study, Unknowns, unknowns
 
 SECTIONS = {"title", "observed_until", "observed_until_source", "assumptions", "columns", "outcome", "task", "split"}
 
@@ -30,13 +30,11 @@ class Project:
     windows: tuple[tuple[str, float, float], ...]
     reserve_from_day: float | None = None
     reserve_until_day: float | None = None
-    assumptions: tuple[dict, ...] = ()
+    assumptions: tuple[Assumption, ...] = ()
 
-    def questions(self) -> list[str]:
-        """What the declarations rest on and the data can't show."""
-        out = [f"Is it known at the decision what {c.name} is?" for c in self.schema.by_role(Role.FEATURE) if c.availability in (None, Availability.UNKNOWN)]
-        out += [f"Does it hold that {a['claim']}?" for a in self.assumptions if not a.get("evidence")]
-        return out + [f"Does it hold that {c.assumption}?" for c in self.outcome.causes if c.assumption]
+    def unknowns(self, columns: Iterable[str]) -> Unknowns:
+        """What the declarations claim and the columns that there are can't show."""
+        return unknowns(self.schema, self.outcome, columns)
 
 
 def _only(name: str, form: dict, known: set[str]) -> dict:
@@ -60,7 +58,12 @@ def parse(form: dict) -> Project:
     until = form["observed_until"]
     until = until if isinstance(until, dt.datetime) else dt.datetime.fromisoformat(str(until))
     parts = form["split"]
-    return Project(form["title"], until, schema, outcome, _task(form.get("task", {})), tuple((w["name"], w["from_day"], w["to_day"]) for w in parts["windows"]), parts.get("reserve_from_day"), parts.get("reserve_until_day"), tuple(form.get("assumptions", ())))
+    return Project(form["title"], until, schema, outcome, _task(form.get("task", {})), tuple((w["name"], w["from_day"], w["to_day"]) for w in parts["windows"]), parts.get("reserve_from_day"), parts.get("reserve_until_day"), tuple(_assumption(a) for a in form.get("assumptions", ())))
+
+
+def _assumption(form: dict) -> Assumption:
+    _only("assumption", form, {"statement", "basis", "author", "consequence", "evidence"})
+    return Assumption(form["statement"], Basis(form["basis"]), form["author"], form["consequence"], form.get("evidence"))
 
 
 def _task(form: dict) -> Task:
@@ -118,5 +121,6 @@ def run(project: Project, frame: DataFrame, overrides: OverrideLedger | None = N
         ledger.register_window(w.name, w.start, split.evaluate(w), train, unit)
     if split.reserve_from is not None:
         ledger.register_window("reserve", split.reserve_from, split.reserved(), None, unit)
-    study = Study(project.title, project.outcome.estimand(project.title, project.observed_until), report.findings, report.skipped)
+    estimand = project.outcome.estimand(project.title, project.observed_until)
+    study = Study(project.title, estimand, report, ledger, repr(project), Assumptions(list(project.assumptions)), project.unknowns(frame.columns))
     return Result(report, ledger, study)
