@@ -116,3 +116,93 @@ def lb7_cause_bounds(spark, d):
     """Bounds of the rate for each class of causes that the statuses can tell apart."""
     out = label.cause_bounds(tables.t1(spark, d), CONFLATED, "decided_at", F.lit(SNAPSHOT).cast("timestamp_ntz"), "status")
     return out.select("class", "rows", "conflated", r("low").alias("low"), r("high").alias("high"))
+
+
+# --- measurements through the ledger ----------------------------------------------------------------------------------
+
+_MODEL = "1 / (1 + o_totalprice / 200000)"
+_WITHIN = f"WITH {T1_SQL}, {tables.labelled_sql()}, b AS (SELECT *, {_MODEL} AS m, (o_totalprice > 150000)::INT::DOUBLE AS r FROM l WHERE label IS NOT NULL)"
+_RESERVED = f"decided_at >= TIMESTAMP '{tables.RESERVE_FROM}' AND decided_at < TIMESTAMP '{tables.RESERVE_UNTIL}'"
+#: Metrics of the scores ``v`` against ``label`` by the columns ``by``, as rows (by, metric, x).
+_METRICS = """rk AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY v) + (count(*) OVER (PARTITION BY {by}, v) - 1) / 2.0 AS rk FROM side),
+cut AS (SELECT {by}, quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM side GROUP BY {by}),
+bin AS (SELECT {by}, abs(sum(v - label)) AS gap, count(*) AS n FROM (SELECT side.*, greatest(0, least(9, len([x for x in q if x <= v]) - 1)) AS k FROM side JOIN cut USING ({by})) GROUP BY {by}, k),
+step AS (SELECT {by}, p, sum(p) OVER (PARTITION BY {by} ORDER BY v DESC) / sum(n) OVER (PARTITION BY {by} ORDER BY v DESC) AS precision FROM (SELECT {by}, v, count(*) AS n, sum(label) AS p FROM side GROUP BY {by}, v)),
+long AS (SELECT {by}, 'auc' AS metric, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS x FROM rk GROUP BY {by}
+UNION ALL SELECT {by}, 'ece', sum(gap) / sum(n) FROM bin GROUP BY {by} UNION ALL SELECT {by}, 'ap', sum(precision * p) / sum(p) FROM step GROUP BY {by}
+UNION ALL SELECT {by}, 'brier', avg((v - label) * (v - label)) FROM side GROUP BY {by})"""
+_FROM_ELSEWHERE = g.External("a formula of the order's price")
+
+
+def _ledger(spark, d):
+    """The samples of the orders' windows and reserve, and all orders' scores."""
+    from .decisions import splits
+
+    s = splits(spark, d)
+    ledger = g.SampleLedger(tables.schema())
+    for w in s.windows:
+        ledger.register_window(w.name, w.start, s.evaluate(w), s.train(w), "o_orderkey")
+    ledger.register_window("reserve", s.reserve_from, s.reserved(), None, "o_orderkey")
+    ledger.uses(["o_totalprice"])
+    orders = tables.table(spark, d, "orders")
+    return ledger, orders.select("o_orderkey", F.expr(_MODEL).alias("score")), orders.select("o_orderkey", (F.col("o_orderkey") % 7 / 7).alias("score"))
+
+
+def _points(spark, named) -> DataFrame:
+    rows = [(name, c.metric, *((c.model, c.rule) if isinstance(c, g.Comparison) else (None, None))) for name, c in named]
+    df = spark.createDataFrame(rows, "sample string, metric string, model double, rule double")
+    return df.select("sample", "metric", r("model").alias("model"), r("rule").alias("rule"))
+
+
+@query(
+    f"""{_WITHIN}, side AS (SELECT 'm' AS side, m AS v, label FROM b WHERE {_RESERVED} UNION ALL SELECT 'r', r, label FROM b WHERE {_RESERVED}), {_METRICS.format(by="side")}
+    SELECT 'reserve' AS sample, metric, round(max(x) FILTER (side = 'm'), 6) AS model, round(max(x) FILTER (side = 'r'), 6) AS rule FROM long GROUP BY metric UNION ALL SELECT 'reserve', 'log_loss', NULL, NULL"""
+)
+def met9_against_baseline(spark, d):
+    """The reserve, which is spent by it; a rule that says 0 or 1 has no finite log loss."""
+    ledger, scores, _ = _ledger(spark, d)
+    verdict = g.measure_against_baseline(ledger, "reserve", scores, g.Rule(feature="o_totalprice", threshold=150000), _FROM_ELSEWHERE, draws=50)
+    return _points(spark, [("reserve", c) for c in verdict.comparisons])
+
+
+@query(
+    f"""{_WITHIN}, side AS (SELECT 'm' AS side, m AS v, label FROM b WHERE {_RESERVED} UNION ALL SELECT 'r', (o_orderkey % 7) / 7.0, label FROM b WHERE {_RESERVED}), {_METRICS.format(by="side")}
+    SELECT 'reserve' AS sample, metric, round(max(x) FILTER (side = 'm'), 6) AS model, round(max(x) FILTER (side = 'r'), 6) AS rule FROM long WHERE metric IN ('auc', 'brier') GROUP BY metric"""
+)
+def met10_contrast(spark, d):
+    """Two models on the reserve."""
+    ledger, left, right = _ledger(spark, d)
+    return _points(spark, [("reserve", c) for c in g.measure_contrast(ledger, "reserve", left, right, (_FROM_ELSEWHERE, _FROM_ELSEWHERE), draws=50).comparisons])
+
+
+@query(
+    f"""{_WITHIN}, w(w, start, stop) AS (VALUES {", ".join(f"('{w.name}', TIMESTAMP '{w.start}', TIMESTAMP '{w.stop}')" for w in tables.PERIODS)}),
+    e AS (SELECT w, b.* FROM b JOIN w ON decided_at >= start AND decided_at < stop), side AS (SELECT w || 'm' AS side, m AS v, label FROM e UNION ALL SELECT w || 'r', r, label FROM e), {_METRICS.format(by="side")}
+    SELECT side[:2] AS sample, metric, round(max(x) FILTER (side[3:] = 'm'), 6) AS model, round(max(x) FILTER (side[3:] = 'r'), 6) AS rule FROM long WHERE metric = 'auc' GROUP BY ALL"""
+)
+def met12_stability(spark, d):
+    """The model against the rule in each window; all windows are spent together."""
+    ledger, scores, _ = _ledger(spark, d)
+    windows = [w.name for w in tables.PERIODS]
+    out = g.stability_across_windows(ledger, dict.fromkeys(windows, scores), g.Rule(feature="o_totalprice", threshold=150000), dict.fromkeys(windows, _FROM_ELSEWHERE), draws=50)
+    return _points(spark, out.windows.items())
+
+
+@query(
+    f"""{_WITHIN} SELECT name, accepted FROM (SELECT 'model' AS name, count(*) FILTER (label NOT IN (0, 1)) = 0 AS accepted FROM b UNION ALL SELECT 'status', false FROM b HAVING count(*) > 0
+    UNION ALL SELECT 'label of counts', count(*) FILTER (o_orderkey NOT IN (0, 1)) = 0 FROM b UNION ALL SELECT 'key times a billion', max(o_orderkey) * 1000000000000 <= 9007199254740992 FROM b)"""
+)
+def met7_input_gate(spark, d):
+    """What the gate takes: a model's score; not strings, labels that count, or whole numbers that lose digits."""
+    from .decisions import labelled
+
+    rows = labelled(spark, d).where(F.col(label.LABEL).isNotNull()).withColumns({"model": F.expr(_MODEL), "large": F.col("o_orderkey") * 1_000_000_000_000})
+    asked = {"model": ("model", label.LABEL), "status": ("status", label.LABEL), "label of counts": ("model", "o_orderkey"), "key times a billion": ("large", label.LABEL)}
+    out = []
+    for name, (score, y) in asked.items():
+        try:
+            g.gate(rows, score, y)
+            out.append((name, True))
+        except g.Blocked:
+            out.append((name, False))
+    return spark.createDataFrame(out, "name string, accepted boolean")
