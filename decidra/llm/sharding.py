@@ -4,12 +4,13 @@ Records are ordered by (hash of the text, hash of the id, number of the row).  O
 chance grows with its size; quantiles of the sample's keys are the splitters of ``SLICES`` ranges for each shard.  The ranges'
 exact sizes come from one aggregation.  A range with more than twice its due, in bytes or in rows, is subdivided: a sample
 of its rows alone gives it splitters of its own, and so on until none is left.  A record that is larger than a whole range
-gets one for itself.  Shards are runs of ranges that end where their bytes are due; the single large records are dealt
-first, each to the shard with the fewest bytes, and the runs fill what they leave.  So a shard's bytes differ from the mean
-by one range at most (1 in ``SLICES / 2``), unless single records are larger than a shard.
+gets one for itself.  Shards are runs of ranges that end where their bytes are due; large records, and groups of equal texts
+that fill several ranges but no more than ``WHOLE`` of a shard, are dealt first, each to the shard with the fewest bytes, and
+the runs fill what they leave.  So a shard's bytes differ from the mean by one range at most (1 in ``SLICES / 2``), unless
+large records leave too few others to fill up with.
 
-Equal texts are neighbours.  The first splitter within a group of them moves to the group's start, so a group is only
-divided where it is larger than a range; within it the hash of the id gives splitters like any other key.
+Equal texts are neighbours.  The first splitter within a group of them moves to the group's start; within it the hash of the id
+gives splitters like any other key.  A group is divided between shards only if it fills more than ``WHOLE`` of one.
 
 Only DataFrame functions are used.  A row's range is a binary search in an array of splitters, which is a constant of the
 plan; the driver gets the sample (about ``SAMPLE`` keys whatever the input), large records (fewer than the ranges) and one
@@ -33,6 +34,8 @@ from .common import dropped, written
 #: Ranges for each shard, and keys sampled for each range.
 SLICES = 256
 KEYS_PER_RANGE = 8
+#: The share of a shard up to which a group of equal texts stays in one.
+WHOLE = 0.25
 #: Rounds in which overfull ranges are subdivided; each makes them hundreds of times smaller, so a few are taken.
 ROUNDS = 12
 KEY = ("_group", "_tie", "_row")
@@ -152,40 +155,59 @@ def split(rows: DataFrame, ranges: int, keys_per_range: int = KEYS_PER_RANGE) ->
     return splitters, sorted(found.values(), key=lambda x: x.number)
 
 
-def dealt(ranges: list[Range], shards: int) -> dict[int, tuple[int, int]]:
+def units(splitters: list[Key], ranges: list[Range]) -> list[list[Range]]:
+    """Ranges that begin with or within the same group are one unit; the range before the first splitter is one, too."""
+    out: list[list[Range]] = []
+    last = None
+    for x in ranges:
+        group = splitters[x.number - 1][0] if x.number else None
+        if out and group is not None and group == last:
+            out[-1].append(x)
+        else:
+            out.append([x])
+        last = group
+    return out
+
+
+def dealt(splitters: list[Key], ranges: list[Range], shards: int, whole: float = WHOLE) -> dict[int, tuple[int, int]]:
     """(shard, rows of the shard before it) of each range."""
     total = sum(x.size for x in ranges)
+    first: list[list[Range]] = []  # dealt before the runs: groups of several ranges that stay whole, and single large records
+    for unit in units(splitters, ranges):
+        if (len(unit) > 1 or unit[0].alone) and sum(x.size for x in unit) <= whole * total / shards:
+            first.append(unit)
+        else:
+            first += [[x] for x in unit if x.alone]
     loads = [(0, s) for s in range(shards)]
     shard: dict[int, int] = {}
-    for x in sorted((x for x in ranges if x.alone), key=lambda x: (-x.size, x.number)):
+    for unit in sorted(first, key=lambda u: (-sum(x.size for x in u), u[0].number)):
         load, s = heapq.heappop(loads)
-        shard[x.number] = s
-        heapq.heappush(loads, (load + x.size, s))
-    taken = dict((s, load) for load, s in loads)
+        shard |= {x.number: s for x in unit}
+        heapq.heappush(loads, (load + sum(x.size for x in unit), s))
+    taken = {s: load for load, s in loads}
+    runs = [x for x in ranges if x.number not in shard]
     room = [max(0.0, total / shards - taken[s]) for s in range(shards)]
-    rest = sum(x.size for x in ranges if not x.alone)
-    scale, ends, upto = rest / (sum(room) or 1), [], 0.0
+    scale, ends, upto = sum(x.size for x in runs) / (sum(room) or 1), [], 0.0
     for r in room:
         upto += r * scale
         ends.append(upto)
     upto = 0.0
-    for x in ranges:
-        if not x.alone:
-            shard[x.number] = min(bisect_right(ends, upto + x.size / 2), shards - 1)
-            upto += x.size
-    first, counts = {}, [0] * shards
+    for x in runs:
+        shard[x.number] = min(bisect_right(ends, upto + x.size / 2), shards - 1)
+        upto += x.size
+    places, counts = {}, [0] * shards
     for x in ranges:
         s = shard[x.number]
-        first[x.number] = (s, counts[s])
+        places[x.number] = (s, counts[s])
         counts[s] += x.rows
-    return first
+    return places
 
 
 def sharded(rows: DataFrame, group: Column, size: Column, carry: list[str], shards: int = 16, slices: int = SLICES) -> DataFrame:
     """``carry`` of all rows with size, shard (from 0) and slot (from 0, gapless in the shard, in the order of keys)."""
     table = keyed(rows, group, size, *carry)
     splitters, ranges = split(table, shards * slices)
-    places = dealt(ranges, shards)
+    places = dealt(splitters, ranges, shards)
     numbers = range(len(splitters) + 1)
     of = lambda part: F.get(_longs([places.get(k, (0, 0))[part] for k in numbers]), F.col("_k"))
     order = F.row_number().over(Window.partitionBy("_k").orderBy(*KEY)) - 1
