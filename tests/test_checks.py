@@ -48,7 +48,7 @@ def test_a_check_of_ones_own_joins_the_passes(spark):
     assert tuple(own.findings[-1].metrics.values()) == (*want, 4)
 
 
-def test_needs_unite_and_must_agree():
+def test_needs_unite_and_must_agree(spark):
     a = Needs({"x": F.count("*")}, {"day": Facet(F.col("d"), {"n": F.lit(1)})}, parts={"p": Part(F.lit(True), F.col("y"), (0.5,))}, numbers=("u",))
     b = Needs({"x": F.count("*")}, {"day": Facet(F.col("d"), {"k": F.col("e")})}, parts={"p": Part(F.lit(True), F.col("y"), (0.9,))}, numbers=("v", "u"))
     both = a | b
