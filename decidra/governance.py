@@ -5,11 +5,13 @@ Every measurement asks what the model was fitted on, and spends its samples by o
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType
@@ -158,9 +160,10 @@ class Verdict:
 def measure_against_baseline(ledger: SampleLedger, sample: str, scores: DataFrame, rule: Rule, trained_on: Fit | External, costs: Costs | None = None, draws: int = DRAWS) -> Verdict:
     """Measures external scores (unit, score) on a sample, which is spent by it; scores are joined by unit, not by place."""
     scored = {sample: _scored(ledger, sample, scores, "_a")}
-    rows = _spent(ledger, {sample: trained_on}, scored)[sample].withColumn("_rule", rule.score())
     names = ["auc", "ece", "ap", "brier", "log_loss", *(["net_benefit"] if costs else [])]
-    return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_rule", LABEL, names, costs, draws)))
+    with _spent(ledger, {sample: trained_on}, scored) as spent:
+        rows = spent[sample].withColumn("_rule", rule.score())
+        return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_rule", LABEL, names, costs, draws)))
 
 
 def _scored(ledger: SampleLedger, sample: str, scores: DataFrame, name: str) -> DataFrame:
@@ -174,8 +177,11 @@ def _scored(ledger: SampleLedger, sample: str, scores: DataFrame, name: str) ->
     return checked.select(unit, F.col("score").alias(name))
 
 
-def _spent(ledger: SampleLedger, trained_on: dict[str, Fit | External], *scored: dict[str, DataFrame], purpose: Purpose = Purpose.MEASUREMENT) -> dict[str, DataFrame]:
-    """Observed rows of all samples with their scores.  Provenance and scores are checked for all before any is spent."""
+@contextmanager
+def _spent(ledger: SampleLedger, trained_on: dict[str, Fit | External], *scored: dict[str, DataFrame], purpose: Purpose = Purpose.MEASUREMENT) -> Iterator[dict[str, DataFrame]]:
+    """Observed rows of all samples with their scores.  Provenance and scores are checked for all before any is spent.
+
+    Metrics read the rows many times, so they are kept on disk until the measurement is done."""
     for sample, fit in trained_on.items():
         if defects := ledger.provenance_defects(sample, fit):
             raise Blocked("; ".join(defects))
@@ -185,13 +191,18 @@ def _spent(ledger: SampleLedger, trained_on: dict[str, Fit | External], *scored:
                 raise Blocked(f"observed units of {sample} have no score")
     external = [f"scores from elsewhere: {f.reason}" for f in trained_on.values() if isinstance(f, External)]
     frames = ledger.spend(trained_on, purpose, "; ".join(dict.fromkeys([f"{', '.join(trained_on)} against scores", *external])))
-    out = {}
-    for sample, frame in frames.items():
-        rows = frame.where(F.col(LABEL).isNotNull())
-        for s in scored:
-            rows = rows.join(s[sample], ledger.unit(sample))
-        out[sample] = gate(rows, "_a", LABEL)
-    return out
+    out, kept = {}, []
+    try:
+        for sample, frame in frames.items():
+            rows = frame.where(F.col(LABEL).isNotNull())
+            for s in scored:
+                rows = rows.join(s[sample], ledger.unit(sample))
+            kept.append(rows.persist(StorageLevel.DISK_ONLY))
+            out[sample] = gate(rows, "_a", LABEL)
+        yield out
+    finally:
+        for rows in kept:
+            rows.unpersist()
 
 
 def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right: DataFrame, trained_on: tuple[Fit | External, Fit | External], metrics: Sequence[str] = ("auc", "brier"), draws: int = DRAWS) -> Verdict:
@@ -199,8 +210,9 @@ def measure_contrast(ledger: SampleLedger, sample: str, left: DataFrame, right:
     if defects := ledger.provenance_defects(sample, trained_on[1]):
         raise Blocked("; ".join(defects))
     a, b = ({sample: _scored(ledger, sample, df, n)} for df, n in ((left, "_a"), (right, "_b")))
-    rows = _spent(ledger, {sample: trained_on[0]}, a, b)[sample]
-    return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_b", LABEL, metrics, draws=draws)))
+    with _spent(ledger, {sample: trained_on[0]}, a, b) as spent:
+        rows = spent[sample]
+        return Verdict(rows.count(), tuple(paired_all(rows, "_a", "_b", LABEL, metrics, draws=draws)))
 
 
 @dataclass(frozen=True)
@@ -224,8 +236,8 @@ def stability_across_windows(ledger: SampleLedger, predictions: dict[str, DataFr
     if missing:
         raise Blocked(f"what the models of {missing} were fitted on isn't named")
     scored = {sample: _scored(ledger, sample, scores, "_a") for sample, scores in predictions.items()}
-    rows = _spent(ledger, {s: trained_on[s] for s in predictions}, scored, purpose=Purpose.SELECTION)
-    return Stability({s: paired(df.withColumn("_rule", rule.score()), "_a", "_rule", LABEL, metric, draws=draws) for s, df in rows.items()})
+    with _spent(ledger, {s: trained_on[s] for s in predictions}, scored, purpose=Purpose.SELECTION) as rows:
+        return Stability({s: paired(df.withColumn("_rule", rule.score()), "_a", "_rule", LABEL, metric, draws=draws) for s, df in rows.items()})
 
 
 __all__ = ["Blocked", "Comparison", "Costs", "External", "Fit", "OverrideLedger", "Purpose", "Rule", "SampleLedger", "Stability", "Unmeasured", "Verdict", "gate", "known_before", "measure_against_baseline", "measure_contrast", "paired", "paired_all", "stability_across_windows"]

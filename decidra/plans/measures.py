@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -135,10 +136,15 @@ _FROM_ELSEWHERE = g.External("a formula of the order's price")
 
 
 def _ledger(spark, d):
-    """The samples of the orders' windows and reserve, and all orders' scores."""
+    """The samples of the orders' windows and reserve, and all orders' scores.
+
+    The labelled orders, with the columns that a measurement reads, are written once: each check and metric reads them again."""
     from .decisions import splits
+    from .exchange import place
 
     s = splits(spark, d)
+    s.labelled.select("o_orderkey", s.decision, label.LABEL, label.KNOWN_AT, "o_totalprice").write.parquet(path := place(spark, "ledger"))
+    s = dataclasses.replace(s, labelled=spark.read.parquet(path))
     ledger = g.SampleLedger(tables.schema())
     for w in s.windows:
         ledger.register_window(w.name, w.start, s.evaluate(w), s.train(w), "o_orderkey")

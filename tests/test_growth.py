@@ -11,3 +11,20 @@ def test_approximate_counts_are_taken_of_a_column_with_many_values(spark):
     exact = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey").distinct().count()
     rows = {r.l_linestatus: r for r in QUERIES["ag14_approx_distinct"](spark, DATA).collect()}
     assert rows[None].parts == exact > 100 and all(r.near for r in rows.values()) and len(rows) == 3
+
+
+def _scans(spark, act, name: str) -> int:
+    """How many executed plans read a file of this name while ``act`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    act()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    new = store.executionsList(before, store.executionsCount() - before)
+    return sum(name in new.apply(k).physicalPlanDescription() for k in range(new.size()))
+
+
+def test_a_measurement_labels_the_orders_once(spark):
+    from decidra.plans.measures import QUERIES
+
+    assert _scans(spark, lambda: QUERIES["met12_stability"](spark, DATA), "lineitem.parquet") == 1
