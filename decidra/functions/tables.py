@@ -1,7 +1,7 @@
-"""Table functions and aggregates of one's own; rows travel in Arrow batches.
+"""Table functions and aggregates of one's own.
 
 ``window_days`` is a table function for lateral joins: the days of a span as rows, which no column expression of one row
-gives with a running number and a share.  ``trimmed_mean`` is an aggregate whose parts merge: what a task has seen of a
+gives with a running number and a share; it is a function of SQL, so rows never leave the JVM.  ``trimmed_mean`` is an aggregate whose parts merge: what a task has seen of a
 group is a few sums and its extremes, so the groups' values never meet.
 """
 
@@ -17,19 +17,13 @@ from pyspark.sql import functions as F
 def register_window_days(spark: SparkSession, name: str = "window_days") -> str:
     """Registers the table function ``name(start, stop, step)``: (number, begins, ends, share) for each ``step`` days of
     [start, stop); the last piece may be shorter, ``share`` is its part of the span.  Nulls and empty spans give no rows."""
-    import datetime as dt
-
-    class WindowDays:
-        def eval(self, start: dt.date, stop: dt.date, step: int) -> Iterator[tuple]:
-            if start is None or stop is None or not step or start >= stop:
-                return
-            whole = (stop - start).days
-            for number, first in enumerate(range(0, whole, step)):
-                last = min(whole, first + step)
-                yield number, start + dt.timedelta(days=first), start + dt.timedelta(days=last), (last - first) / whole
-
-    made = F.udtf(WindowDays, returnType="number int, begins date, ends date, share double", useArrow=True)
-    spark.udtf.register(name, made)
+    whole = "datediff(stop, start)"
+    last = f"least({whole}, first + step)"
+    piece = f"named_struct('number', k, 'begins', date_add(start, first), 'ends', date_add(start, {last}), 'share', ({last} - first) / {whole})"
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(start DATE, stop DATE, step INT) RETURNS TABLE (number INT, begins DATE, ends DATE, share DOUBLE)
+        RETURN SELECT w.number, w.begins, w.ends, w.share FROM inline(CASE WHEN start < stop AND step > 0 THEN transform(sequence(0, {whole} - 1, step), (first, k) -> {piece}) END) w(number, begins, ends, share)"""
+    )
     return name
 
 

@@ -28,3 +28,11 @@ def test_a_measurement_labels_the_orders_once(spark):
     from decidra.plans.measures import QUERIES
 
     assert _scans(spark, lambda: QUERIES["met12_stability"](spark, DATA), "lineitem.parquet") == 1
+
+
+def test_a_table_function_keeps_rows_in_the_jvm(spark):
+    from decidra.functions import tables
+
+    name = tables.register_window_days(spark, "years")
+    plan = spark.sql(f"SELECT w.* FROM (SELECT date_add(DATE'2024-01-01', id::INT) AS z FROM range(3)) s, LATERAL {name}(DATE'2024-01-01', z, 365) w")
+    assert "Python" not in plan._jdf.queryExecution().toString() and plan.count() == 2
