@@ -107,8 +107,9 @@ SELECT nct_id, registered_at, due_at_current, CASE WHEN o_orderstatus = 'F' THEN
 FROM y WHERE NOT coalesce(due_at_current < registered_at, false)""")
 def bld_studies(spark, d):
     """Orders as nested JSON records; orders of one status have no first version."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_linenumber").cast("string")).alias("conditions"))
-    o = shipped(spark, d).join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    orders = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("shipped_at"), F.collect_list(F.col("l_linenumber").cast("string")).alias("conditions"))
+    o = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     date = lambda c, **more: F.struct(c.alias("date"), *(v.alias(k) for k, v in more.items()))
     due = F.when(F.col("o_orderpriority") == "3-MEDIUM", text("shipped_at", "yyyy-MM")).otherwise(text("shipped_at", "yyyy-MM-dd"))
     kind = F.when(F.col("o_orderstatus") == "F", "ACTUAL").otherwise("ESTIMATED")
@@ -116,7 +117,7 @@ def bld_studies(spark, d):
     status = F.struct(date(due, type=kind).alias("primaryCompletionDateStruct"), date(text("o_orderdate", "yyyy-MM-dd")).alias("studyFirstPostDateStruct"), F.col("o_orderstatus").alias("overallStatus"))
     current = o.select(F.to_json(F.struct(F.struct(F.struct(key.alias("nctId")).alias("identificationModule"), status.alias("statusModule"), F.struct("conditions").alias("conditionsModule")).alias("protocolSection"))).alias("value"))
     promised = F.struct(F.struct(F.struct(date(F.date_format(F.date_add("o_orderdate", 100), "yyyy-MM-dd")).alias("primaryCompletionDateStruct")).alias("statusModule")).alias("protocolSection"))
-    original = o.select(F.to_json(F.struct(key.alias("nctId"), F.when(F.col("o_orderstatus") == "P", "no version").alias("error"), promised.alias("study"))).alias("value"))
+    original = orders.select(F.to_json(F.struct(key.alias("nctId"), F.when(F.col("o_orderstatus") == "P", "no version").alias("error"), promised.alias("study"))).alias("value"))
     return b.registered_studies(current, original).drop("sponsor")
 
 

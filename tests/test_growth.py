@@ -36,3 +36,10 @@ def test_a_table_function_keeps_rows_in_the_jvm(spark):
     name = tables.register_window_days(spark, "years")
     plan = spark.sql(f"SELECT w.* FROM (SELECT date_add(DATE'2024-01-01', id::INT) AS z FROM range(3)) s, LATERAL {name}(DATE'2024-01-01', z, 365) w")
     assert "Python" not in plan._jdf.queryExecution().toString() and plan.count() == 2
+
+
+def test_studies_aggregate_the_lines_once(spark):
+    from decidra.plans.built import QUERIES
+
+    plan = QUERIES["bld_studies"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and sum("Aggregate [l_orderkey" in line for line in plan.splitlines()) == 1
