@@ -38,6 +38,33 @@ def test_a_table_function_keeps_rows_in_the_jvm(spark):
     assert "Python" not in plan._jdf.queryExecution().toString() and plan.count() == 2
 
 
+def test_pages_of_a_sorted_table_read_their_row_groups_only(spark, tmp_path, monkeypatch):
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from decidra.sources import paged
+
+    keys = list(range(1000))
+    tables = {"sorted": keys, "mixed": random.Random(1).sample(keys, 1000), "null": [None, *keys[1:]], "tied": [k // 3 for k in keys]}
+    read = []
+    for name, ks in tables.items():
+        pq.write_table(pa.table({"k": ks, "m": [None if k is None else k % 7 for k in ks]}), tmp_path / name, row_group_size=50)
+        service = paged.ParquetService(str(tmp_path / name), "k")
+        for where, keep in (([], lambda k: True), ([paged.Condition("k", ">=", 60)], lambda k: k is not None and k >= 60), ([paged.Condition("m", ">=", 2), paged.Condition("k", "in", keys[10:900])], lambda k: k is not None and k % 7 >= 2 and 10 <= k < 900)):
+            want = [(k,) for k in sorted((k for k in ks if keep(k)), key=lambda k: (k is None, k))]
+            got = [r for at in range(0, len(want), 30) for r in service.fetch(["k"], where, at, 30)]
+            assert got == want and service.count(where) == len(want), name
+    service = paged.ParquetService(str(tmp_path / "sorted"), "k")
+    monkeypatch.setattr(paged.ParquetService, "_page", lambda self, place, *a: read.append(len(place.groups)) or [])
+    service.fetch(["k"], [], 495, 10)
+    places = service.located([], 495, 10)
+    monkeypatch.setattr(paged, "_runs", None)  # a task is told where its page lies
+    assert service.fetch_at(["k"], [], places) == [] and read.pop() and read.pop()
+    assert read == [1, 1]
+
+
 def test_studies_aggregate_the_lines_once(spark):
     from decidra.plans.built import QUERIES
 
