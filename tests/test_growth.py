@@ -70,3 +70,15 @@ def test_studies_aggregate_the_lines_once(spark):
 
     plan = QUERIES["bld_studies"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and sum("Aggregate [l_orderkey" in line for line in plan.splitlines()) == 1
+
+
+def test_audits_write_the_labelled_rows_once_and_keep_no_table(spark, monkeypatch):
+    from decidra.plans import audits
+
+    monkeypatch.setattr(audits, "_reports", {})
+    monkeypatch.setattr(audits, "_written", {}, raising=False)
+    kept = []
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: kept.append(self) or self)
+    assert _scans(spark, lambda: [audits.report(spark, DATA, wrong) for wrong in (False, True)], "lineitem.parquet") == 1
+    assert not kept
+    assert "Union" not in audits.defective(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
