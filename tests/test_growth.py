@@ -82,3 +82,38 @@ def test_audits_write_the_labelled_rows_once_and_keep_no_table(spark, monkeypatc
     assert _scans(spark, lambda: [audits.report(spark, DATA, wrong) for wrong in (False, True)], "lineitem.parquet") == 1
     assert not kept
     assert "Union" not in audits.defective(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_of_numbers_are_counted_and_shuffled_once(spark):
+    from pyspark.sql import functions as F
+
+    from decidra.operators.passes import Needs, Part, _numbers
+
+    rows = spark.read.parquet(f"{DATA}/orders.parquet")
+    part = Part(F.col("o_orderkey") % 3 > 0, (F.col("o_orderkey") % 2).cast("int"), (0.5,))
+    needs = Needs(parts={"part": part, "all": Part(F.lit(True), part.label)}, numbers=("o_totalprice", "o_custkey"))
+    assert _scans(spark, lambda: _numbers(rows, needs, 50), "ReusedExchange") == 1
+
+
+def test_days_are_facets_as_dates_and_keep_their_names(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from decidra.operators.passes import Facet, _facets
+
+    rows = spark.createDataFrame([(dt.date(998, 1, 2), "x"), (None, "2020-01-01"), (dt.date(2020, 1, 1), None), (dt.date(2020, 1, 1), "x")], "day date, name string")
+    one = {"n": F.lit(1)}
+    got = _facets(rows, {"day": Facet(F.col("day"), one), "name": Facet(F.col("name"), one | {"old": F.col("day") < dt.date(1000, 1, 1)})})
+    assert got["day"] == [("0998-01-02", {"n": 1}), ("2020-01-01", {"n": 2}), (None, {"n": 1})]
+    assert got["name"] == [("2020-01-01", {"n": 1, "old": 0}), ("x", {"n": 2, "old": 1}), (None, {"n": 1, "old": 0})]
+
+
+def test_all_windows_look_back_by_one_join(spark):
+    from decidra.operators.split import lookback_overlap, lookback_overlaps
+    from decidra.plans.decisions import splits
+
+    s = splits(spark, DATA)
+    got = lookback_overlaps(s, "o_custkey", 200.0)
+    want = {w.name: lookback_overlap(s.train(w), s.evaluate(w), "o_custkey", s.decision, 200.0).first().n for w in s.windows}
+    assert {r.window: r.n for r in got.collect()} == want and any(want.values())
